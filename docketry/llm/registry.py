@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from docketry.llm import line_dedup
+from docketry.llm import line_dedup, mixing, secrets
 
 
 def queries() -> dict:
     return {
+        "op4_secret_scan": secrets.op4_secret_scan,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_secret_scan": secrets.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
+        "op10_mixing": mixing.ORACLE,
     }
