@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docketry.llm import line_dedup, mixing, secrets
+from docketry.llm import line_dedup, mixing, secrets, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_simhash": simhash.op1_simhash,
         "op4_secret_scan": secrets.op4_secret_scan,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op10_mixing": mixing.op10_mixing,
