@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docketry.llm import line_dedup, mixing, secrets, simhash
+from docketry.llm import decontam, line_dedup, mixing, secrets, simhash
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_decontaminate": decontam.op2_decontaminate,
         "op4_secret_scan": secrets.op4_secret_scan,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op10_mixing": mixing.op10_mixing,
@@ -16,6 +17,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_decontaminate": decontam.ORACLE,
         "op4_secret_scan": secrets.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
         "op10_mixing": mixing.ORACLE,
