@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.llm import decontam, line_dedup, mixing, secrets, simhash
+from docketry.llm import decontam, fingerprint, line_dedup, mixing, secrets, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_simhash": simhash.op1_simhash,
         "op2_decontaminate": decontam.op2_decontaminate,
         "op4_secret_scan": secrets.op4_secret_scan,
+        "op7_winnow": fingerprint.op7_winnow,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op10_mixing": mixing.op10_mixing,
     }
