@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from docketry.llm import decontam, fingerprint, line_dedup, mixing, secrets, simhash
+from docketry.llm import decontam, fingerprint, langid, line_dedup, mixing, secrets, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_decontaminate": decontam.op2_decontaminate,
+        "op3_language_id": langid.op3_language_id,
         "op4_secret_scan": secrets.op4_secret_scan,
+        "op6_warc": warc.op6_warc,
         "op7_winnow": fingerprint.op7_winnow,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op10_mixing": mixing.op10_mixing,
@@ -20,6 +22,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontam.ORACLE,
         "op4_secret_scan": secrets.ORACLE,
+        "op6_warc": warc.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
         "op10_mixing": mixing.ORACLE,
     }
