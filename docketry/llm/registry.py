@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.llm import decontam, fingerprint, langid, line_dedup, mixing, secrets, simhash, warc
+from docketry.llm import decontam, fingerprint, html_text, langid, line_dedup, mixing, secrets, simhash, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_decontaminate": decontam.op2_decontaminate,
         "op3_language_id": langid.op3_language_id,
         "op4_secret_scan": secrets.op4_secret_scan,
+        "op5_html_extract": html_text.op5_html_extract,
         "op6_warc": warc.op6_warc,
         "op7_winnow": fingerprint.op7_winnow,
         "op8_line_dedup": line_dedup.op8_line_dedup,
