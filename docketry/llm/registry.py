@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.llm import decontam, fingerprint, html_text, langid, line_dedup, mixing, secrets, simhash, warc
+from docketry.llm import decontam, fingerprint, html_text, langid, line_dedup, mixing, secrets, simhash, suffix_dedup, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_warc": warc.op6_warc,
         "op7_winnow": fingerprint.op7_winnow,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_mixing": mixing.op10_mixing,
     }
 
