@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -167,3 +168,25 @@ def identify(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
+
+
+def keep_known(docs: DataFrame, filters: Filters, min_coverage: float = 0.25) -> DataFrame:
+    """The rows of docs, all columns, whose text is in one of the languages.
+
+    A row goes if its text is null or has no letter, or if less than min_coverage of its n-grams
+    are known to the best language. Without learned languages only the texts without letters go.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = sent.value
+        chance = f.chance()
+        for b in batches:
+            keep = []
+            for text in b.column("text").to_pylist():
+                h = grams(text or "")
+                right = (f.counts(h) - len(h) * chance) / np.maximum(1 - chance, 1e-9) if len(h) and f.langs else np.array([len(h)])
+                keep.append(bool(len(h)) and bool(right.max() >= min_coverage * len(h)))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
