@@ -161,9 +161,10 @@ def compared(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         last = None  # (bucket, id, text, fingerprint, hashes) that waits for its next
         for b in batches:
-            out = []
+            out, size = [], 0
             for bucket, own, doc, text in zip(b["bucket"], b["own"], b["doc_id"].astype("Int64"), b["text"], strict=True):
                 text = text if isinstance(text, str) else ""
                 hashes, at = winnow(text, k, window)
@@ -173,8 +174,12 @@ def compared(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
                     changed = edited(before, text)
                     h, p = winnow(changed, k, window)
                     out.append((other, len(before), changed, fp, packed(h, p), likeness(own_set, np.unique(h)), likeness(own_set, distinct)))
+                    size += len(text)
                 last = (bucket, doc, text, packed(hashes, at), distinct) if own else None
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
+                if size > 1 << 20:
+                    yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+                    out, size = [], 0
+            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(docs).mapInPandas(made, schema)
