@@ -126,7 +126,7 @@ def barrier_hits(outgoing: DataFrame, label_map: DataFrame, releases: DataFrame
     if releases is not None:
         values = apply_releases(values, releases)
     rows = outgoing.select("case_no", "turn", "text").join(values, "case_no").filter(F.contains("text", F.col("value")))
-    return rows.select("case_no", "turn", "value", F.locate(F.col("value"), F.col("text")).cast("long").alias("at"))
+    return rows.select("case_no", "turn", "value", F.position(F.col("value"), F.col("text")).cast("long").alias("at"))
 
 
 def global_hits(outgoing: DataFrame, values: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def global_hits(outgoing: DataFrame, values: DataFrame) -> DataFrame:
         raise ValueError(f"{n} global values without an inner word; at most {MAX_SHORT} can be compared with all texts")
     if n:
         hits = hits.unionByName(outgoing.select("turn", "text").join(F.broadcast(short), F.contains("text", F.col("value"))))
-    return hits.filter(F.contains("text", F.col("value"))).select("turn", "value", F.locate(F.col("value"), F.col("text")).cast("long").alias("at"))
+    return hits.filter(F.contains("text", F.col("value"))).select("turn", "value", F.position(F.col("value"), F.col("text")).cast("long").alias("at"))
 
 
 def barrier(outgoing: DataFrame, hits: DataFrame, key: list[str]) -> DataFrame:
