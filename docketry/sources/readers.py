@@ -48,6 +48,6 @@ def pages_to_text(pages: DataFrame) -> DataFrame:
 
 
 def read_plain(spark: SparkSession, glob: str) -> DataFrame:
-    """(path, text) of whole .txt and .md files."""
-    rows = spark.read.option("wholetext", True).text(glob).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """(path, text) of whole .txt and .md files; empty files give no row."""
+    rows = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return rows.filter(F.lower("path").rlike(r"\.(txt|md)$"))
