@@ -34,7 +34,7 @@ from docketry.llm.fingerprint import BASE, POWERS
 
 GRAM = 32
 #: Bytes of regions in a shard, about.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Windows that share a core, where a gram is too frequent for a shard.
 CELL = 32
 #: Bits of a bitmap, as a power of two: 4 MB.
@@ -134,40 +134,49 @@ def region_rows(docs: DataFrame, span: int, known: Bitmap) -> DataFrame:
 
 
 def suffix_array(data: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Sorted suffixes of joined texts, by prefix doubling.
+    """Sorted suffixes of joined texts, by prefix tripling; only what is still tied is sorted again.
 
     left: bytes from each position to the end of its own text, where a suffix ends; of suffixes
     that are equal up to there the one of the earlier text comes first.
     """
     n, size = len(data), 7
-    key = np.zeros(n, np.int64)
-    symbols = np.concatenate((data.astype(np.int64) + 1, np.zeros(size, np.int64)))
-    for k in range(size):
-        key = key * 257 + np.where(left > k, symbols[k : k + n], 0)
-    order = np.lexsort((left > size, key))
-    rank = np.empty(n, np.int64)
-
-    # where groups of equal keys begin; suffixes that have ended are groups of one
-    new = np.ones(n, bool)
-    new[1:] = (key[order[1:]] != key[order[:-1]]) | (left[order[1:]] <= size) | (left[order[:-1]] <= size)
-    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[order] = start
+    one = np.concatenate((data.astype(np.int64) + 1, np.zeros(size, np.int64)))
+    two = one[:-1] * 257 + one[1:]
+    four = two[:-2] * 257**2 + two[2:]
+    key = (four[:n] * 257**2 + two[4 : n + 4]) * 257 + one[6 : n + 6]
+    short = np.flatnonzero(left < size)
+    past = 257 ** (size - left[short])
+    key[short] = key[short] // past * past
+    key = 2 * key + (left > size)  # of equal prefixes the suffix that ends comes first
+    some = np.argsort(key)
+    key = key[some]
+    # suffixes that have ended are settled here: later ones differ by the rank of their ends
+    ended = np.flatnonzero(left[some] <= size)
+    at = some[ended]
+    some[ended] = at[np.lexsort((at, key[ended]))]
+    order, places = some.copy(), np.arange(n)
+    rank, start = np.empty(n, np.int64), np.empty(n, np.int64)
+    fresh = np.ones(n, bool)
+    fresh[1:] = key[1:] != key[:-1]
+    fresh[ended] = True
     while True:
-        alone = new & np.append(new[1:], True)
-        open_at = np.flatnonzero(~alone)  # places in the array that are not settled
-        if not len(open_at):
+        own = np.maximum.accumulate(np.where(fresh, places, 0))
+        rank[some], start[places] = own, own
+        tied = ~(fresh & np.append(fresh[1:], True))
+        if not tied.any():
             return order
-        some = order[open_at]
-        follow = rank[np.minimum(some + size, n - 1)]
-        size *= 2
-        by = np.lexsort((some, left[some] > size, follow, start[open_at]))
-        some, group, follow = some[by], start[open_at][by], follow[by]
-        order[open_at] = some
+        places, some = places[tied], some[tied]
+        key = start[places] * n + rank[np.minimum(some + size, n - 1)]
+        if n < 1 << 21:  # three ranks fit
+            key = key * n + rank[np.minimum(some + 2 * size, n - 1)]
+            size *= 3
+        else:
+            size *= 2
+        by = np.argsort(key)
+        some, key = some[by], key[by]
+        order[places] = some
         fresh = np.ones(len(some), bool)
-        fresh[1:] = (group[1:] != group[:-1]) | (follow[1:] != follow[:-1]) | (left[some[1:]] <= size) | (left[some[:-1]] <= size)
-        new[open_at] = fresh
-        start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank[some] = start[open_at]
+        fresh[1:] = key[1:] != key[:-1]
 
 
 def common_prefix(data: np.ndarray, left: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
