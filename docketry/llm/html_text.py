@@ -50,9 +50,10 @@ OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion banner cookie "
     "cookies consent gdpr notice notices alert alerts popup popover modal overlay newsletter subscribe subscription signup login paywall "
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer masthead topbar toolbar share "
-    "sharing social related recommended recommendations pagination pager skip disclaimer".split()
+    "sharing social related recommended recommendations pagination pager skip disclaimer announcement announcements adbox adslot adunit "
+    "adspace adcontainer adwrapper adsbygoogle".split()
 )
-COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+COMMENT_WORDS = frozenset("comment comments commentlist commentbox disqus respond response responses reply replies discussion guestbook".split())
 ROOTS = frozenset(("article", "main"))
 #: Share of links among the characters that a parent adds, up to which it is taken.
 LINKED = 0.3
@@ -124,7 +125,7 @@ def hints(node: Node) -> tuple[set[str], str, bool]:
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
             value = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", value)
-            words |= {w for w in re.split(r"[^a-z0-9]+", value.lower()) if w}
+            words |= {w.rstrip("0123456789") for w in re.split(r"[^a-z0-9]+", value.lower())} - {""}
         elif name == "role":
             role = value.lower().strip()
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -159,11 +160,29 @@ def strip(root: Node) -> None:
         elif node.tag == "header" or "header" in words and node.tag not in HEADINGS:  # an article's own head holds its heading
             if not any(k.tag in ROOTS for k in below(node)):
                 node.out = not (inside and any(k.tag in HEADINGS for k in below(node)))
+        if node.tag in ("ul", "ol") and not node.out:
+            node.out = menu(node)
         if not node.out:
             inside = inside or node.tag in ROOTS
             rest += [(k, inside) for k in node.kids if isinstance(k, Node)]
 
 
+def menu(node: Node) -> bool:
+    """Whether a list holds three links or more and no other text."""
+    links = 0
+    rest: list = [*node.kids]
+    while rest:
+        k = rest.pop()
+        if not isinstance(k, Node):
+            if k.strip():
+                return False
+        elif k.tag == "a":
+            links += 1
+        elif not k.out:
+            rest += k.kids
+    return links >= 3
+
+
 def measure(root: Node) -> list[Node]:
     """Sets counts, densities and sums of densities; the nodes that are kept, in page order."""
     order, rest = [], [(root, False)]
