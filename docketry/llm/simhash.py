@@ -10,6 +10,13 @@ never what is found.
 
 A shard gives a spanning forest of its links and not all pairs, so the number of links follows the
 number of points. Groups are the components of the forests, found by distributed star contraction.
+
+With a similarity wanted, points are distinct word sequences, and links are pairs within the radius
+whose word shingles are alike enough by sketches that travel with the points. Texts of which one has
+more than 1 / similarity times the other's shingles can't be: points meet only in their own and the
+next band of sizes. A radius that is wide against 64 bits leaves the tree nothing to prune, since
+almost all points lie at about half of the bits from any other; levels that would send most points
+to both sides are not grown, and the bands alone cut the work.
 """
 
 from __future__ import annotations
@@ -30,20 +37,26 @@ SAMPLE = 8192
 SHARD = 4096
 #: Levels of the tree, at most: its size is bounded whatever the number of points.
 MAX_DEPTH = 12
+#: Levels are grown while at most this share of the sample would go to both sides of them.
+BOTH_SIDES = 0.5
+#: Bins of a sketch: each holds a byte of the smallest shingle hash that falls into it.
+BINS = 256
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The SimHash of the word shingles, repeats included; 0 for a text without words."""
+def shingle_hashes(text: str | None, words: int) -> tuple[np.ndarray, bytes]:
+    """XXH64 of the word shingles, repeats included, and the words, lower-cased and joined."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return 0
+    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
+    if len(found) <= words:
+        return np.array([digest(joined, 42)] if found else [], dtype="<u8"), joined
     ends = np.cumsum([len(w) + 1 for w in found])
     starts = np.concatenate(([0], ends[:-1])).tolist()
     ends = (ends - 1).tolist()
-    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
-    if len(found) <= words:
-        return digest(joined, 42)
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :], strict=False)], dtype="<u8")
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :], strict=False)], dtype="<u8"), joined
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; 0 without any."""
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 65536):
         part = hashes[k : k + 65536].view(np.uint8).reshape(-1, 8)
@@ -51,6 +64,28 @@ def fingerprint(text: str | None, words: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int) -> int:
+    """The SimHash of the word shingles; 0 for a text without words."""
+    return simhash(shingle_hashes(text, words)[0])
+
+
+def sketch(distinct: np.ndarray) -> bytes:
+    """One-permutation sketch of sorted distinct hashes: for each bin a byte from 1, or 0 if it is empty."""
+    out = np.zeros(BINS, np.uint8)
+    mixed = np.sort(distinct * np.uint64(0x9E3779B97F4A7C15))
+    bins = (mixed >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1]))) if len(bins) else []
+    out[bins[first]] = ((mixed[first] >> np.uint64(8)) % np.uint64(255)).astype(np.uint8) + 1
+    return out.tobytes()
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard index of the sketches in each row of a and b."""
+    used = ((a != 0) | (b != 0)).sum(axis=1)
+    same = ((a == b) & (a != 0)).sum(axis=1)
+    return (same / np.maximum(used, 1) - 1 / 255) / (1 - 1 / 255)
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp long) of every row; fp holds the 64 bits of the fingerprint."""
 
@@ -62,23 +97,46 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(made, "doc_id long, fp long")
 
 
-def grow(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vantage points and median distances of a full tree, children of node k at 2k+1 and 2k+2."""
+def profiles(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, id, fp, band, n, sketch) of every row; id is a hash of the words, n counts distinct shingles."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for t in b["text"]:
+                hashes, joined = shingle_hashes(t, words)
+                distinct = np.unique(hashes)
+                band = int(np.log(max(1, len(distinct))) / -np.log(similarity))
+                out.append((xxhash.xxh3_64_intdigest(joined) - 2**63, int(np.uint64(simhash(hashes)).view(np.int64)), band, len(distinct), sketch(distinct)))
+            yield pd.DataFrame(out, columns=["id", "fp", "band", "n", "sketch"]).assign(doc_id=b["doc_id"].astype("Int64").array)[
+                ["doc_id", "id", "fp", "band", "n", "sketch"]
+            ]
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInPandas(made, "doc_id long, id long, fp long, band long, n long, sketch binary")
+
+
+def grow(sample: np.ndarray, depth: int, radius: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """Vantage points and median distances of a full tree, children of node k at 2k+1 and 2k+2, and its depth."""
     points, medians = np.zeros(2**depth - 1, np.uint64), np.zeros(2**depth - 1, np.int64)
-    rng, held = np.random.default_rng(42), {0: sample}
-    for k in range(2**depth - 1):
-        own = held.pop(k)
-        if not len(own):
-            held[2 * k + 1] = held[2 * k + 2] = own
-            continue
-        tried = own[rng.integers(0, len(own), 8)]
-        d = np.bitwise_count(own[None, :] ^ tried[:, None]).astype(np.int64)
-        best = int(d.std(axis=1).argmax())  # the vantage point that spreads the others most
-        points[k], medians[k] = tried[best], int(np.median(d[best]))
-        inside = d[best] <= medians[k]
-        if 2 * k + 2 < 2**depth - 1:
-            held[2 * k + 1], held[2 * k + 2] = own[inside], own[~inside]
-    return points, medians
+    rng, held = np.random.default_rng(42), [sample]
+    for level in range(depth):
+        below, both = [], 0
+        for k, own in enumerate(held, 2**level - 1):
+            if not len(own):
+                below += [own, own]
+                continue
+            tried = own[rng.integers(0, len(own), 8)]
+            d = np.bitwise_count(own[None, :] ^ tried[:, None]).astype(np.int64)
+            best = int(d.std(axis=1).argmax())  # the vantage point that spreads the others most
+            points[k], medians[k] = tried[best], int(np.median(d[best]))
+            inside = d[best] <= medians[k]
+            both += int(((d[best] - radius <= medians[k]) & (d[best] + radius > medians[k])).sum())
+            below += [own[inside], own[~inside]]
+        if both > BOTH_SIDES * len(sample):
+            return (points[: 2**level - 1], medians[: 2**level - 1]), level
+        held = below
+    return (points, medians), depth
 
 
 def route(fps: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int, radius: int) -> tuple[np.ndarray, ...]:
@@ -108,73 +166,106 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def shard_links(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+def alike(guests: pd.DataFrame, kept: pd.DataFrame, label: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the candidate pairs (guest i, owned j at distance d) link: for each guest and group
+    of owned points the first found to be alike, nearest ones first. All are tried before none links."""
+    n, m = guests["n"].to_numpy()[i], kept["n"].to_numpy()[j]
+    at = np.flatnonzero(np.minimum(n, m) >= similarity * np.maximum(n, m))
+    at = at[np.lexsort((d[at], label[j[at]], i[at]))]
+    a, b = (np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(-1, BINS) for x in (guests, kept))
+    out, tried = [], 1
+    while len(at):
+        group = i[at] * (len(label) + 1) + label[j[at]]
+        first = np.concatenate(([True], group[1:] != group[:-1]))
+        place = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+        now = np.flatnonzero(place < tried)
+        good = now[np.concatenate([likeness(a[i[at[k]]], b[j[at[k]]]) >= similarity for k in np.array_split(now, -(-len(now) // 16384))])]
+        done, one = np.unique(group[good], return_index=True)
+        out.append(at[good[one]])
+        at = at[(place >= tried) & ~np.isin(group, done)]
+        tried *= 4
+    return np.concatenate(out) if out else at
+
+
+def shard_links(batches: Iterator[pd.DataFrame], radius: int, similarity: float | None) -> Iterator[pd.DataFrame]:
     """Links of each (shard, chunk), whose rows come with the owned points first.
 
     Held at a time: the owned points of one chunk, their groups so far, and one batch of visitors.
     """
     key, owned, label, kept = None, [], None, None
-    for b in batches:
-        for at, rows in b.groupby(["shard", "chunk"], sort=False):
+    for batch in batches:
+        for at, rows in batch.groupby(["shard", "chunk"], sort=False):
             if at != key:
                 key, owned, label = at, [], None
             own = rows["visits"].to_numpy() == 0
             if own.any():
-                owned.append(rows["fp"].to_numpy()[own].view(np.uint64))
-            guests = rows["fp"].to_numpy()[~own].view(np.uint64)
+                owned.append(rows[own])
+            guests = rows[~own]
             if not len(guests) or not owned:
                 continue
             if label is None:
-                kept = np.concatenate(owned)
-                label = np.arange(len(kept))
-            for k in range(0, len(guests), 1024):
-                some = guests[k : k + 1024]
-                i, j = np.nonzero(np.bitwise_count(some[:, None] ^ kept[None, :]) <= radius)
-                apart = some[i] != kept[j]
-                i, j = i[apart], label[j[apart]]
+                kept = pd.concat(owned)
+                label, fps, ids = np.arange(len(kept)), kept["fp"].to_numpy().view(np.uint64), kept["id"].to_numpy()
+            for k in range(0, len(guests), 256):
+                some = guests.iloc[k : k + 256]
+                names = some["id"].to_numpy()
+                d = np.bitwise_count(some["fp"].to_numpy().view(np.uint64)[:, None] ^ fps[None, :])
+                i, j = np.nonzero(d <= radius)
+                apart = names[i] != ids[j]
+                i, j = i[apart], j[apart]
+                if similarity is not None and len(i):
+                    told = alike(some, kept, label, i, j, d[i, j], similarity)
+                    i, j = i[told], j[told]
                 if not len(i):
                     continue
-                pairs = np.unique(np.stack((i, j)), axis=1)  # one link from a guest to each group of owned points
-                i, j = pairs
-                yield pd.DataFrame({"a": some[i].view(np.int64), "b": kept[j].view(np.int64)})
+                i, j = np.unique(np.stack((i, label[j])), axis=1)  # one link from a guest to each group of owned points
+                yield pd.DataFrame({"a": names[i], "b": ids[j]})
                 joint = components(len(kept) + len(some), j, i + len(kept))
                 label = joint[: len(kept)][label]
 
 
-def links(points: DataFrame, radius: int) -> DataFrame:
-    """(a, b) links of distinct fingerprints fp: the same components as all pairs within the radius."""
+def links(points: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """(a, b) links of distinct points: the same components as all pairs that link.
+
+    points: fp, which is also their name; with a similarity id, fp, band, n and sketch.
+    """
     spark = points.sparkSession
     n = points.count()
     depth = max(0, min(MAX_DEPTH, int(np.log2(max(1, n / SHARD)) + 0.999)))
-    rows = points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect() if depth else []
-    tree = grow(np.array([r["fp"] for r in rows], dtype=np.int64).view(np.uint64), depth)
+    rows = points.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(SAMPLE).collect() if depth else []
+    tree, depth = grow(np.array([r["fp"] for r in rows], dtype=np.int64).view(np.uint64), depth, radius)
+    carried = ["id", "fp"] if similarity is None else ["id", "fp", "n", "sketch"]
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fps = b["fp"].to_numpy(np.int64).view(np.uint64)
-            for k in range(0, len(fps), 4096):
-                some = fps[k : k + 4096]
-                owner, row, shard = route(some, tree, depth, radius)
-                # of two points, the one whose shard has the lower number visits the other: each pair meets once
+            for k in range(0, len(b), 4096):
+                some = b.iloc[k : k + 4096]
+                band = some["band"].to_numpy() << depth
+                owner, row, shard = route(some["fp"].to_numpy(np.int64).view(np.uint64), tree, depth, radius)
+                # of two points in one band, the one whose shard has the lower number visits the other, and of
+                # two in neighbouring bands the one in the higher: each pair meets once
                 later = shard >= owner[row]
-                row, shard = row[later], shard[later]
-                yield pd.DataFrame({
-                    "shard": np.concatenate((owner, shard)), "visits": np.repeat([0, 1], [len(owner), len(shard)]),
-                    "fp": np.concatenate((some, some[row])).view(np.int64),
-                })
-
-    rows = points.select("fp").mapInPandas(routed, "shard long, visits long, fp long")
+                parts = [(np.arange(len(some)), owner + band, 0), (row[later], (shard + band[row])[later], 1)]
+                if similarity is not None:
+                    parts.append((row, shard + band[row] - (1 << depth), 1))
+                for at, place, visits in parts:
+                    yield some[carried].iloc[at].assign(shard=place, visits=visits)[["shard", "visits", *carried]]
+
+    if similarity is None:
+        points = points.select(F.col("fp").alias("id"), "fp", F.lit(0).cast("long").alias("band"))
+    schema = "shard long, visits long, id long, fp long" + ", n long, sketch binary" * (similarity is not None)
+    rows = points.mapInPandas(routed, schema)
     if n > SHARD:
         rows = written(rows, "routed")
-    # shards, at most 2 ** MAX_DEPTH rows
+    # shards: the leaves of a tree of bounded depth, in each band of sizes
     sizes = rows.filter("visits = 0").groupBy("shard").agg(F.ceil(F.count("*") / (2 * SHARD)).alias("chunks"))
     rows = rows.join(F.broadcast(sizes), "shard")
-    chunk = F.when(F.col("visits") == 0, F.array(F.pmod(F.xxhash64("fp"), F.col("chunks")))).otherwise(
+    chunk = F.when(F.col("visits") == 0, F.array(F.pmod(F.xxhash64("id"), F.col("chunks")))).otherwise(
         F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
     )
-    dealt = rows.select("shard", "visits", "fp", F.explode(chunk).alias("chunk"))
+    dealt = rows.select("shard", "visits", *carried, F.explode(chunk).alias("chunk"))
     dealt = dealt.repartition(max(tasks(spark), 2**depth // 4), "shard", "chunk").sortWithinPartitions("shard", "chunk", "visits")
-    return dealt.mapInPandas(lambda it: shard_links(it, radius), "a long, b long")
+    return dealt.mapInPandas(lambda it: shard_links(it, radius, similarity), "a long, b long")
 
 
 def connected(found: DataFrame) -> DataFrame:
@@ -201,25 +292,30 @@ def connected(found: DataFrame) -> DataFrame:
         before = (mark["n"], mark["s"])
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs, which needs doc_id and text.
 
     fp: the SimHash of word shingles of the lower-cased text as a long. component_id: the smallest
-    doc_id reachable over fingerprints at `radius` or fewer differing bits, itself included. A
-    text that is null, empty or blank has fingerprint 0 and links like any other. Repeated rows
-    come out repeated. Null ids have their text linked, but are no candidates for component_id,
-    which is null where a component has no other. Other columns are ignored.
+    doc_id reachable over fingerprints at `radius` or fewer differing bits, itself included; with a
+    similarity, over texts of the same words, or within the radius with shingles as alike as that
+    (Jaccard index, estimated by sketches). A text that is null, empty or blank has fingerprint 0
+    and links like any other. Repeated rows come out repeated. Null ids have their text linked, but
+    are no candidates for component_id, which is null where a component has no other. Other columns
+    are ignored.
     """
-    fps = written(fingerprints(docs, words), "fingerprints")
-    points = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "points")
-    roots = connected(links(points, radius))
-    named = points.join(roots, points["fp"] == roots["node"], "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
+    if similarity is None:
+        rows = fingerprints(docs, words).select("doc_id", F.col("fp").alias("id"), "fp")
+    else:
+        rows = profiles(docs, words, similarity)
+    rows = written(rows, "fingerprints")
+    same = [F.first(c).alias(c) for c in rows.columns if c not in ("doc_id", "id")]
+    points = written(rows.groupBy("id").agg(F.min("doc_id").alias("first_id"), *same), "points")
+    roots = connected(links(points, radius, similarity))
+    named = points.join(roots, points["id"] == roots["node"], "left").select("id", "first_id", F.coalesce("root", "id").alias("root"))
     named = written(named, "named")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(smallest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = named.join(smallest, "root").select("id", "component_id")
+    return rows.select("doc_id", "id", "fp").join(named, "id").select("doc_id", "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
