@@ -5,6 +5,8 @@ tenant, degree and case_no are the case key; tenant and degree follow from the c
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,11 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def place(self, name: str) -> str:
+        """A new path in the shared folder of the cluster, or in a temporary one where none is named."""
+        shared = self.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        return f"{shared}/docketry-{self.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
     @cached_property
     def cases(self) -> DataFrame:
         items = self.table("lineitem").groupBy("l_orderkey").agg(

@@ -43,7 +43,29 @@ def _(t):
     return t.cases
 
 
-@query("s3_html_to_text")
+@query("s2_read_case_list", "SELECT '0' || case_no AS case_no FROM cases WHERE case_no % 3 = 0")
+def _(t):
+    path = t.place("case-list")
+    lines = F.when(F.expr("case_no % 3 = 0"), F.concat(F.lit("0-"), F.col("case_no").cast("string"))).otherwise(F.lit("no number"))
+    t.cases.select(lines.alias("case_no")).write.option("header", True).csv(path)
+    return readers.read_case_list(t.spark, path)[0]
+
+
+@query("s4_read_plain", "SELECT title FROM pieces")
+def _(t):
+    path = t.place("plain")
+    t.pieces.select("title").write.text(path)
+    return readers.read_plain(t.spark, f"{path}/*.txt").select(F.explode(F.split("text", "\n")).alias("title")).filter("title <> ''")
+
+
+BARE = "coalesce(html, '')"
+for _part in (r"(?is)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<[^>]*>"):
+    BARE = f"regexp_replace({BARE}, '{_part}', ' ', 'g')"
+for _name, _text in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("apos", "''"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+    BARE = f"replace({BARE}, '&{_name};', '{_text}')"
+
+
+@query("s3_html_to_text", f"SELECT page_id, trim(regexp_replace({BARE}, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS text FROM pages")
 def _(t):
     return readers.pages_to_text(t.table("pages"))
 
@@ -622,6 +644,20 @@ def _(t):
 KEPT = _found_sql("kept", "sheets", {k: MENTIONS[k] for k in ("date", "law", "deadline")})
 
 
+@query("d4_detect_model", """
+SELECT case_no, piece_id, 'person' AS kind, regexp_extract(text, 'Autor ([^ ,]+),', 1) AS value, CAST(6 AS BIGINT) AS start,
+       CAST(6 + length(regexp_extract(text, 'Autor ([^ ,]+),', 1)) AS BIGINT) AS "end" FROM sheets""")
+def _(t):
+    return deid.detect_model(t.sheets, _name_after_label)
+
+
+def _name_after_label(batches):
+    """Stands for a user's model: the word after a label, with its place."""
+    for b in batches:
+        value = b["text"].str.extract("Autor ([^ ,]+),")[0]
+        yield b[["case_no", "piece_id"]].assign(kind="person", value=value, start=6, end=6 + value.str.len())
+
+
 @query("d5_drop_preserved", """
 SELECT * FROM both_kinds e WHERE NOT EXISTS (
   SELECT 1 FROM kept k WHERE k.case_no = e.case_no AND k.piece_id = e.piece_id AND e.start < k."end" AND k.start < e."end")""",
