@@ -11,34 +11,41 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Bytes of a batch that goes to a Python worker, about: it bounds the worker's memory, however long the texts.
-BATCH_BYTES = 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """From now on batches of the session hold BATCH_BYTES at most, or one row."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made for applications on one machine that name none.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir.
+    """The folder that the driver and all executors see: spark.checkpoint.dir, with its scheme.
 
-    Where it is unset, as in tests on one machine, a temporary folder is set for the session.
+    Where it is unset, as in tests on one machine, the application gets a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+        app = spark.sparkContext.applicationId
+        folder = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.makeQualified(path).toString().rstrip("/")
+
+
+#: Bytes of a batch that goes to a Python worker, about: it bounds the worker's memory, however long the texts.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches of the session hold BATCH_BYTES at most, or one row."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, grouped by application so that it can be cleared later."""
+    small_batches(spark)
     return f"{shared_folder(spark)}/docketry-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 

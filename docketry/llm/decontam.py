@@ -108,8 +108,8 @@ def hash_filter(found: DataFrame) -> np.ndarray:
     bit = F.expr(f"h & {2**FILTER_BITS - 1}")
     cells = found.select((bit / 64).cast("int").alias("cell"), F.expr(f"shiftleft(1L, CAST((h & {2**FILTER_BITS - 1}) % 64 AS INT))").alias("b"))
     bitmap = np.zeros(2 ** (FILTER_BITS - 6), np.int64)
-    for cell, b in cells.groupBy("cell").agg(F.bit_or("b")).toLocalIterator():
-        bitmap[cell] = b
+    held = cells.groupBy("cell").agg(F.bit_or("b").alias("b")).toPandas()
+    bitmap[held["cell"]] = held["b"]
     return bitmap.view(np.uint64)
 
 

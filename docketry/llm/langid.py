@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import table
+from docketry.llm.common import small_batches, table
 
 GRAM = 4
 HASHES = 3
@@ -98,12 +98,17 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Filters:
     what is fitted is bounded and does not depend on the partitions. Languages are ordered by
     their number of labelled rows, which decides ties.
     """
+    small_batches(docs.sparkSession)
     own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = [r["lang"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    langs = [r["lang"] for r in counts]
     if not langs:
         return Filters([], np.zeros((1, 2**BITS), np.uint64))
+    # hashes are even: below this one are about twice as many ids as wanted, so few reach the ranking
+    most = {r["lang"]: min(2**63 - 1, -(2**63) + 2**64 * 2 * fit_docs // r["count"]) for r in counts}
+    low = F.xxhash64("doc_id") <= F.create_map(*[F.lit(x) for pair in most.items() for x in pair])[F.col("lang")]
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    some = own.select("lang", "doc_id").withColumn("rank", rank).filter(F.col("rank") <= fit_docs).select("doc_id").distinct()
+    some = own.select("lang", "doc_id").filter(low).withColumn("rank", rank).filter(F.col("rank") <= fit_docs).select("doc_id").distinct()
     # fit_docs ids for each language at most
     sample = own.select("doc_id", "lang", "text").join(F.broadcast(some), "doc_id", "left_semi")
 
