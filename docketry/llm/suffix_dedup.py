@@ -34,7 +34,7 @@ from docketry.llm.fingerprint import BASE, POWERS
 
 GRAM = 32
 #: Bytes of regions in a shard, about.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Windows that share a core, where a gram is too frequent for a shard.
 CELL = 32
 #: Bits of a bitmap, as a power of two: 4 MB.
@@ -85,8 +85,8 @@ class Bitmap:
         low = f"({column} & {2**MAP_BITS - 1})"
         cells = values.select(F.expr(f"CAST({low} div 64 AS INT)").alias("cell"), F.expr(f"shiftleft(1L, CAST({low} % 64 AS INT))").alias("b"))
         held = np.zeros(2 ** (MAP_BITS - 6), np.int64)
-        for cell, b in cells.groupBy("cell").agg(F.bit_or("b")).toLocalIterator():
-            held[cell] = b
+        found = cells.groupBy("cell").agg(F.bit_or("b").alias("b")).toPandas()
+        held[found["cell"]] = found["b"]
         self.sent = values.sparkSession.sparkContext.broadcast(held.view(np.uint64))
 
     def has(self, values: np.ndarray) -> np.ndarray:
