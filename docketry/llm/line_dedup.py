@@ -105,7 +105,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     runs = LineRuns(spark, scratch(spark, "line-runs"), fanout)
     for b in range(batches):
         runs.add(lines.filter(F.col("batch") == b))
-    common = runs.totals().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc")
+    # written, so that both sides of the join are shuffled for it and Spark can split a frequent line's rows
+    common = written(runs.totals().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc"), "common-lines")
     gone = (
         lines.join(common, ["h1", "h2"])
         .filter(F.col("doc_id") < F.col("max_doc"))
