@@ -11,25 +11,27 @@ never what is found.
 A shard gives a spanning forest of its links and not all pairs, so the number of links follows the
 number of points. Groups are the components of the forests, found by distributed star contraction.
 
-With a similarity wanted, points are distinct word sequences, and links are pairs within the radius
-whose word shingles are alike enough by sketches that travel with the points. Texts of which one has
-more than 1 / similarity times the other's shingles can't be: points meet only in their own and the
-next band of sizes. A radius that is wide against 64 bits leaves the tree nothing to prune, since
-almost all points lie at about half of the bits from any other; levels that would send most points
-to both sides are not grown, and the bands alone cut the work.
+With a similarity wanted, points are distinct word sequences, and links are the pairs whose sets of
+word shingles have that Jaccard index or more, exactly. Candidates come from prefixes: with the
+shingles of all texts in one order, the rarest first, two texts that are alike enough share one among
+the first of each, as many as either can lack and one more. First the points that share a shingle are
+compared with one of them, so that a group of near copies is linked without all its pairs; then the
+pairs between what is still apart. What decides on a pair is its whole sets of shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm.common import table, tasks, written
+from docketry.llm.suffix_dedup import Bitmap
 
 #: Distinct fingerprints that the tree is grown on, at most.
 SAMPLE = 8192
@@ -39,8 +41,8 @@ SHARD = 4096
 MAX_DEPTH = 12
 #: Levels are grown while at most this share of the sample would go to both sides of them.
 BOTH_SIDES = 0.5
-#: Bins of a sketch: each holds a byte of the smallest shingle hash that falls into it.
-BINS = 256
+#: Frequent shingles that the order of shingles knows, at most: it shapes the work, and never what is found.
+FREQUENT = 1 << 17
 
 
 def shingle_hashes(text: str | None, words: int) -> tuple[np.ndarray, bytes]:
@@ -69,23 +71,6 @@ def fingerprint(text: str | None, words: int) -> int:
     return simhash(shingle_hashes(text, words)[0])
 
 
-def sketch(distinct: np.ndarray) -> bytes:
-    """One-permutation sketch of sorted distinct hashes: for each bin a byte from 1, or 0 if it is empty."""
-    out = np.zeros(BINS, np.uint8)
-    mixed = np.sort(distinct * np.uint64(0x9E3779B97F4A7C15))
-    bins = (mixed >> np.uint64(56)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1]))) if len(bins) else []
-    out[bins[first]] = ((mixed[first] >> np.uint64(8)) % np.uint64(255)).astype(np.uint8) + 1
-    return out.tobytes()
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard index of the sketches in each row of a and b."""
-    used = ((a != 0) | (b != 0)).sum(axis=1)
-    same = ((a == b) & (a != 0)).sum(axis=1)
-    return (same / np.maximum(used, 1) - 1 / 255) / (1 - 1 / 255)
-
-
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp long) of every row; fp holds the 64 bits of the fingerprint."""
 
@@ -97,23 +82,52 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(made, "doc_id long, fp long")
 
 
-def profiles(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, id, fp, band, n, sketch) of every row; id is a hash of the words, n counts distinct shingles."""
+def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that three or more of about SAMPLE rows hold, and their counts."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [np.unique(shingle_hashes(t, words)[0]) for t in b["text"]]
+            yield pd.DataFrame({"s": np.concatenate([np.zeros(0, "<u8"), *found]).view(np.int64)})
+
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, docs.count() // SAMPLE))) == 0)
+    counts = some.select("text").mapInPandas(made, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 2")
+    held = counts.orderBy(F.desc("n"), "s").limit(FREQUENT).toPandas()
+    s, n = held["s"].to_numpy(np.int64).view(np.uint64), held["n"].to_numpy(np.int64)
+    by = np.argsort(s)
+    return s[by], n[by]
+
+
+def profiles(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
+    """(doc_id, id, fp, n, prefix) of every row; id is a hash of the words, n counts distinct shingles.
+
+    prefix: the rarest of them, as many as a text that is alike enough can lack and one more.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, counts = sent.value
         for b in batches:
             out = []
             for t in b["text"]:
                 hashes, joined = shingle_hashes(t, words)
                 distinct = np.unique(hashes)
-                band = int(np.log(max(1, len(distinct))) / -np.log(similarity))
-                out.append((xxhash.xxh3_64_intdigest(joined) - 2**63, int(np.uint64(simhash(hashes)).view(np.int64)), band, len(distinct), sketch(distinct)))
-            yield pd.DataFrame(out, columns=["id", "fp", "band", "n", "sketch"]).assign(doc_id=b["doc_id"].astype("Int64").array)[
-                ["doc_id", "id", "fp", "band", "n", "sketch"]
-            ]
+                n = len(distinct)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+                    distinct = distinct[np.argsort(np.where(known[at] == distinct, counts[at], 0), kind="stable")]
+                least = -(-similarity.numerator * n // similarity.denominator)
+                prefix = distinct[: n - least + 1].view(np.int64)
+                out.append((name(joined), int(np.uint64(simhash(hashes)).view(np.int64)), n, prefix))
+            yield pd.DataFrame(out, columns=["id", "fp", "n", "prefix"]).assign(doc_id=b["doc_id"].astype("Int64").array)[["doc_id", "id", "fp", "n", "prefix"]]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(made, "doc_id long, id long, fp long, band long, n long, sketch binary")
+    return rows.mapInPandas(made, "doc_id long, id long, fp long, n long, prefix array<long>")
+
+
+def name(joined: bytes) -> int:
+    """The id of a text: a hash of its words."""
+    return xxhash.xxh3_64_intdigest(joined) - 2**63
 
 
 def grow(sample: np.ndarray, depth: int, radius: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
@@ -166,28 +180,7 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def alike(guests: pd.DataFrame, kept: pd.DataFrame, label: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray, similarity: float) -> np.ndarray:
-    """Which of the candidate pairs (guest i, owned j at distance d) link: for each guest and group
-    of owned points the first found to be alike, nearest ones first. All are tried before none links."""
-    n, m = guests["n"].to_numpy()[i], kept["n"].to_numpy()[j]
-    at = np.flatnonzero(np.minimum(n, m) >= similarity * np.maximum(n, m))
-    at = at[np.lexsort((d[at], label[j[at]], i[at]))]
-    a, b = (np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(-1, BINS) for x in (guests, kept))
-    out, tried = [], 1
-    while len(at):
-        group = i[at] * (len(label) + 1) + label[j[at]]
-        first = np.concatenate(([True], group[1:] != group[:-1]))
-        place = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        now = np.flatnonzero(place < tried)
-        good = now[np.concatenate([likeness(a[i[at[k]]], b[j[at[k]]]) >= similarity for k in np.array_split(now, -(-len(now) // 16384))])]
-        done, one = np.unique(group[good], return_index=True)
-        out.append(at[good[one]])
-        at = at[(place >= tried) & ~np.isin(group, done)]
-        tried *= 4
-    return np.concatenate(out) if out else at
-
-
-def shard_links(batches: Iterator[pd.DataFrame], radius: int, similarity: float | None) -> Iterator[pd.DataFrame]:
+def shard_links(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
     """Links of each (shard, chunk), whose rows come with the owned points first.
 
     Held at a time: the owned points of one chunk, their groups so far, and one batch of visitors.
@@ -213,9 +206,6 @@ def shard_links(batches: Iterator[pd.DataFrame], radius: int, similarity: float
                 i, j = np.nonzero(d <= radius)
                 apart = names[i] != ids[j]
                 i, j = i[apart], j[apart]
-                if similarity is not None and len(i):
-                    told = alike(some, kept, label, i, j, d[i, j], similarity)
-                    i, j = i[told], j[told]
                 if not len(i):
                     continue
                 i, j = np.unique(np.stack((i, label[j])), axis=1)  # one link from a guest to each group of owned points
@@ -224,40 +214,31 @@ def shard_links(batches: Iterator[pd.DataFrame], radius: int, similarity: float
                 label = joint[: len(kept)][label]
 
 
-def links(points: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
-    """(a, b) links of distinct points: the same components as all pairs that link.
-
-    points: fp, which is also their name; with a similarity id, fp, band, n and sketch.
-    """
+def links(points: DataFrame, radius: int) -> DataFrame:
+    """(a, b) links of distinct points (fp, which is also their name): the same components as all pairs that link."""
     spark = points.sparkSession
     n = points.count()
     depth = max(0, min(MAX_DEPTH, int(np.log2(max(1, n / SHARD)) + 0.999)))
     rows = points.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(SAMPLE).collect() if depth else []
     tree, depth = grow(np.array([r["fp"] for r in rows], dtype=np.int64).view(np.uint64), depth, radius)
-    carried = ["id", "fp"] if similarity is None else ["id", "fp", "n", "sketch"]
+    carried = ["id", "fp"]
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k in range(0, len(b), 4096):
                 some = b.iloc[k : k + 4096]
-                band = some["band"].to_numpy() << depth
                 owner, row, shard = route(some["fp"].to_numpy(np.int64).view(np.uint64), tree, depth, radius)
-                # of two points in one band, the one whose shard has the lower number visits the other, and of
-                # two in neighbouring bands the one in the higher: each pair meets once
+                # of two points, the one whose shard has the lower number visits the other: each pair meets once
                 later = shard >= owner[row]
-                parts = [(np.arange(len(some)), owner + band, 0), (row[later], (shard + band[row])[later], 1)]
-                if similarity is not None:
-                    parts.append((row, shard + band[row] - (1 << depth), 1))
+                parts = [(np.arange(len(some)), owner, 0), (row[later], shard[later], 1)]
                 for at, place, visits in parts:
                     yield some[carried].iloc[at].assign(shard=place, visits=visits)[["shard", "visits", *carried]]
 
-    if similarity is None:
-        points = points.select(F.col("fp").alias("id"), "fp", F.lit(0).cast("long").alias("band"))
-    schema = "shard long, visits long, id long, fp long" + ", n long, sketch binary" * (similarity is not None)
-    rows = points.mapInPandas(routed, schema)
+    points = points.select(F.col("fp").alias("id"), "fp")
+    rows = points.mapInPandas(routed, "shard long, visits long, id long, fp long")
     if n > SHARD:
         rows = written(rows, "routed")
-    # shards: the leaves of a tree of bounded depth, in each band of sizes
+    # shards: the leaves of a tree of bounded depth
     sizes = rows.filter("visits = 0").groupBy("shard").agg(F.ceil(F.count("*") / (2 * SHARD)).alias("chunks"))
     rows = rows.join(F.broadcast(sizes), "shard")
     chunk = F.when(F.col("visits") == 0, F.array(F.pmod(F.xxhash64("id"), F.col("chunks")))).otherwise(
@@ -265,7 +246,60 @@ def links(points: DataFrame, radius: int, similarity: float | None = None) -> Da
     )
     dealt = rows.select("shard", "visits", *carried, F.explode(chunk).alias("chunk"))
     dealt = dealt.repartition(max(tasks(spark), 2**depth // 4), "shard", "chunk").sortWithinPartitions("shard", "chunk", "visits")
-    return dealt.mapInPandas(lambda it: shard_links(it, radius, similarity), "a long, b long")
+    return dealt.mapInPandas(lambda it: shard_links(it, radius), "a long, b long")
+
+
+def could(n: str, p: str, m: str, q: str, similarity: Fraction) -> Column:
+    """Whether sets of n and m shingles whose first common one is at p and q (from 0) can be alike enough."""
+    t, u = similarity.numerator, similarity.denominator
+    sizes = F.expr(f"{u} * least({n}, {m}) >= {t} * greatest({n}, {m})")
+    return sizes & F.expr(f"{t + u} * least({n} - {p}, {m} - {q}) >= {t} * ({n} + {m})")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
+    """The pairs (a, b) of ids whose texts' sets of shingles have the Jaccard index or more."""
+    known = Bitmap(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id")
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids = np.array([name(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in b["text"]], np.int64)
+            own = known.has(ids)
+            yield pd.DataFrame({"id": ids[own], "held": [np.unique(shingle_hashes(t, words)[0]).tobytes() for t in b["text"][own]]})
+
+    def decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            good = []
+            for x, y in zip(rows["x"], rows["y"], strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both * similarity.denominator >= similarity.numerator * (len(x) + len(y) - both))
+            yield rows.loc[np.array(good, bool), ["a", "b"]]
+
+    sets = written(docs.select("text").mapInPandas(made, "id long, held binary").groupBy("id").agg(F.first("held").alias("held")), "shingles")
+    rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("held").alias("y")), "b")
+    rows = rows.join(sets.select(F.col("id").alias("a"), F.col("held").alias("x")), "a")
+    return written(rows.select("a", "b", "x", "y").mapInPandas(decided, "a long, b long"), "confirmed")
+
+
+def similar(docs: DataFrame, points: DataFrame, words: int, similarity: Fraction) -> DataFrame:
+    """(a, b) links of distinct points (id, n, prefix): the same components as all pairs that are alike enough."""
+    held = points.select("id", "n", F.posexplode("prefix").alias("p", "s"))
+    first = held.groupBy("s").agg(F.count("*").alias("points"), F.min(F.struct("id", "n", "p")).alias("f")).filter("points > 1")
+    met = written(held.join(first.select("s", "f"), "s"), "met")
+    tried = met.filter("id <> f.id").filter(could("n", "p", "f.n", "f.p", similarity)).select(F.col("f.id").alias("a"), F.col("id").alias("b"))
+    tried = written(tried.distinct(), "tried")
+    near = confirmed(docs, tried, words, similarity)
+    # then the pairs between groups: a shingle whose points are of one group is done
+    met = met.select("id", "n", "p", "s").join(connected(near), F.col("id") == F.col("node"), "left")
+    met = met.select("s", "id", "n", "p", F.coalesce("root", "id").alias("g"))
+    several = met.groupBy("s").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high")
+    met = written(met.join(several.select("s"), "s"), "apart")
+    groups = met.select("s", "g").distinct()
+    across = groups.join(groups.select("s", F.col("g").alias("h")), "s").filter("g < h")
+    left = met.join(across, ["s", "g"]).select("s", F.col("h").alias("g"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("p").alias("q"))
+    rest = left.join(met, ["s", "g"]).filter(could("n", "p", "m", "q", similarity)).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+    rest = written(rest.distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    return near.union(confirmed(docs, rest, words, similarity))
 
 
 def connected(found: DataFrame) -> DataFrame:
@@ -297,20 +331,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, similarity
 
     fp: the SimHash of word shingles of the lower-cased text as a long. component_id: the smallest
     doc_id reachable over fingerprints at `radius` or fewer differing bits, itself included; with a
-    similarity, over texts of the same words, or within the radius with shingles as alike as that
-    (Jaccard index, estimated by sketches). A text that is null, empty or blank has fingerprint 0
-    and links like any other. Repeated rows come out repeated. Null ids have their text linked, but
+    similarity, whatever the radius, over texts of the same words or with sets of shingles as alike
+    as that (Jaccard index, exactly). A text that is null, empty or blank has fingerprint 0 and
+    links like any other. Repeated rows come out repeated. Null ids have their text linked, but
     are no candidates for component_id, which is null where a component has no other. Other columns
     are ignored.
     """
-    if similarity is None:
+    alike = None if similarity is None else Fraction(str(similarity))
+    if alike is None:
         rows = fingerprints(docs, words).select("doc_id", F.col("fp").alias("id"), "fp")
     else:
-        rows = profiles(docs, words, similarity)
+        rows = profiles(docs, words, alike)
     rows = written(rows, "fingerprints")
     same = [F.first(c).alias(c) for c in rows.columns if c not in ("doc_id", "id")]
     points = written(rows.groupBy("id").agg(F.min("doc_id").alias("first_id"), *same), "points")
-    roots = connected(links(points, radius, similarity))
+    roots = connected(links(points, radius) if alike is None else similar(docs, points, words, alike))
     named = points.join(roots, points["id"] == roots["node"], "left").select("id", "first_id", F.coalesce("root", "id").alias("root"))
     named = written(named, "named")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))

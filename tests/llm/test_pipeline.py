@@ -87,6 +87,22 @@ def test_stages(spark, sf_dir):
     assert docs.filter("n_chars <> char_length(text)").count() == 0
 
 
+def test_near_dedup_decides_exactly(spark, sf_dir):
+    word = [f"w{k}" for k in range(400)]
+    texts, at = {}, 1
+    for n in (4, 8, 12, 240):  # pairs of n and n / 0.8 shingles, all of the shorter text's among them: exactly 0.8, and one shingle below it
+        for more in (n // 4, n // 4 + 1):
+            texts[at] = " ".join(f"{at}{w}" for w in word[: n + 4])
+            texts[at + 1] = " ".join(f"{at}{w}" for w in word[: n + 4 + more])
+            at += 2
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["doc_id"] for r in pipeline.near_dedup(spark, docs, sf_dir).collect()}
+    assert got == set(texts) - {2, 6, 10, 14}
+    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert {r["doc_id"]: r["text"] for r in pipeline.near_dedup(spark, docs, sf_dir).collect()} == without_near(before, 0.8)
+
+
 def test_odd_rows_survive(spark, sf_dir):
     rows = [(None, None, None, None, None), (None, "again and the same text", "en", None, 3), (1, "", "en", "s", 0), (2, "the same text again and again", "en", "s", 1), (2, "the same text again and again", "en", "s", 1), (3, "the same text again and again", None, None, 2), (4, "12 34", "fr", "s", 5)]
     docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, slot string, component_id string")
