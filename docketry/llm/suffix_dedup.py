@@ -13,7 +13,8 @@ index holds the corpus: texts that share a span are first brought together.
    Burrows-Wheeler transform, keeps only the ends of the transform's runs, with the text position
    and the common prefix at each, and from these streams the matching statistic of every position:
    inside of a run it falls by one a byte. Positions with `span` or more are marked. A gram with
-   more regions than a shard can hold is dealt by longer cores around it.
+   more regions than a shard can hold is dealt by longer cores around it, and a core with more than
+   that has the hashes of its windows counted, which needs no group in one task.
 
 Bitmaps of fixed size, sent to the tasks, keep rows that cannot matter out of the shuffles; they
 only ever let too much through, and joins decide.
@@ -236,8 +237,8 @@ def marked(rows: pd.DataFrame, span: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["did", "row_h", "start", "end"])
 
 
-def pieces(span: int, shards: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Cuts the wanted regions out of the texts: (shard, did, row_h, start, data)."""
+def pieces(span: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Cuts the wanted regions out of the texts: (key, hot, did, row_h, start, data); equal windows have one key."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -247,22 +248,50 @@ def pieces(span: int, shards: int) -> Callable[[Iterator[pd.DataFrame]], Iterato
                 for r in wanted:
                     h, p, a, b = r["h"], r["p"], r["a"], r["b"]
                     if not r["hot"]:
-                        out.append((h % shards, did, row_h, a, raw[a : b + span]))
+                        out.append((h, False, did, row_h, a, raw[a : b + span]))
                     else:
                         for cell in range((p - b) // CELL, (p - a) // CELL + 1):
                             first, last = max(a, p - CELL * cell - CELL + 1), min(b, p - CELL * cell)
                             core = raw[p - CELL * cell : p - CELL * cell - CELL + 1 + span]
-                            shard = xxhash.xxh3_64_intdigest(core, seed=cell) % shards
-                            out.append((shard, did, row_h, first, raw[first : last + span]))
+                            key = xxhash.xxh3_64_intdigest(core, seed=cell % 2**64) - 2**63
+                            out.append((key, True, did, row_h, first, raw[first : last + span]))
                 size += len(raw)
                 if size > 4 << 20:
-                    yield pd.DataFrame(out, columns=["shard", "did", "row_h", "start", "data"])
+                    yield pd.DataFrame(out, columns=["key", "hot", "did", "row_h", "start", "data"])
                     out, size = [], 0
-            yield pd.DataFrame(out, columns=["shard", "did", "row_h", "start", "data"])
+            yield pd.DataFrame(out, columns=["key", "hot", "did", "row_h", "start", "data"])
 
     return made
 
 
+def window_rows(cells: DataFrame, span: int) -> DataFrame:
+    """(wh, did, row_h, start) of every window of the pieces (did, row_h, start, data); wh is its hash."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = xxhash.xxh3_64_intdigest
+        for b in batches:
+            for k in range(0, len(b), 2048):
+                some = b.iloc[k : k + 2048]
+                n = some["data"].str.len().to_numpy() - span + 1
+                wh = np.array([digest(data[x : x + span]) for data in some["data"] for x in range(len(data) - span + 1)], np.uint64).view(np.int64)
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                rows = some[["did", "row_h", "start"]].iloc[np.repeat(np.arange(len(some)), n)]
+                yield rows.assign(wh=wh, start=rows["start"].to_numpy() + step)[["wh", "did", "row_h", "start"]]
+
+    return cells.select("did", "row_h", "start", "data").mapInPandas(made, f"wh long, {ROW}, start long")
+
+
+def dealt(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pieces (key, hot, did, row_h, start, data) with their shard, and those whose core alone is more than a shard."""
+    size = F.length("data")
+    # each of them stands for more than SHARD_BYTES: few enough to be sent
+    big = cut.filter("hot").groupBy("key").agg(F.sum(size).alias("bytes")).filter(F.col("bytes") > SHARD_BYTES)
+    big = F.broadcast(written(big.select("key", F.lit(True).alias("hot")), "big-cores"))
+    small = cut.join(big, ["key", "hot"], "left_anti")
+    shards = -(-(small.agg(F.sum(size)).first()[0] or 1) // SHARD_BYTES)
+    return small.withColumn("shard", F.pmod("key", F.lit(shards))).drop("key", "hot"), cut.join(big, ["key", "hot"], "left_semi")
+
+
 def repeats(docs: DataFrame, span: int = 200) -> DataFrame:
     """(did, row_h, start, end): strings of span bytes or more that cover all repeated ones, as byte offsets."""
     grams = gram_rows(docs, span).groupBy("h").agg(F.count("*").alias("n"), F.min("rh").alias("low"), F.max("rh").alias("high"))
@@ -280,16 +309,20 @@ def repeats(docs: DataFrame, span: int = 200) -> DataFrame:
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     if not total:
         return sure.unionByName(again)
-    shards = -(-total // SHARD_BYTES)
     wanted = kinds.join(sizes.select("h", "hot"), "h").select("r.did", "r.row_h", F.struct("h", "r.p", "r.a", "r.b", "hot").alias("w"))
     wanted = wanted.groupBy("did", "row_h").agg(F.collect_list("w").alias("wanted"))
     wanted = written(wanted, "wanted")
     own = Bitmap(wanted, "row_h").column(F.col("row_h"))
     held = keyed(docs).filter("text IS NOT NULL").filter(own)
     held = held.join(wanted.hint("shuffle_hash"), ["did", "row_h"]).select("did", "row_h", "text", "wanted")
-    cut = held.mapInPandas(pieces(span, shards), f"shard long, {ROW}, start long, data binary")
-    index = cut.groupBy("shard").applyInPandas(lambda rows: marked(rows, span), f"{ROW}, start long, end long")
-    return sure.unionByName(again).unionByName(index)
+    cut = held.mapInPandas(pieces(span), f"key long, hot boolean, {ROW}, start long, data binary")
+    small, big = dealt(written(cut, "pieces"))
+    index = small.groupBy("shard").applyInPandas(lambda rows: marked(rows, span), f"{ROW}, start long, end long")
+    # windows of big cores: a window comes once a kind, so one that comes again is in two kinds
+    windows = written(window_rows(big, span), "windows")
+    twice = written(windows.groupBy("wh").agg(F.count("*").alias("n")).filter("n > 1").select("wh"), "windows-twice")
+    counted = windows.join(twice, "wh").select("did", "row_h", "start", (F.col("start") + span).alias("end"))
+    return sure.unionByName(again).unionByName(index).unionByName(counted)
 
 
 def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

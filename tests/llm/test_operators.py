@@ -320,6 +320,25 @@ def test_suffix_dedup(spark, docs, raws, monkeypatch, shard_bytes):
     assert told == Counter((d, *x) for (d, _), x in zip(rows, repeats_brute([t for _, t in rows], 200), strict=True))
 
 
+def test_suffix_dedup_hot_core(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 8000)
+    seen, whole, rng = [], suffix_dedup.dealt, random.Random(9)
+
+    def watched(cut):
+        small, big = whole(cut)
+        largest = small.groupBy("shard").agg(F.sum(F.length("data")).alias("n")).agg(F.max("n")).first()[0]
+        seen.append((largest or 0, big.count()))
+        return small, big
+
+    monkeypatch.setattr(suffix_dedup, "dealt", watched)
+    passage = text(rng, 70)
+    rows = [(i, f"{text(rng, 60)}{passage}{text(rng, 60)}") for i in range(400)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    told = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in got)
+    assert told == Counter((d, *x) for (d, _), x in zip(rows, repeats_brute([t for _, t in rows], 200), strict=True))
+    assert seen[0][0] < 5 * 8000 and seen[0][1] > 0  # 400 regions share a core: some 90,000 bytes in one group
+
+
 def test_matching_statistics():
     rng = random.Random(1)
     for _ in range(150):
