@@ -49,6 +49,19 @@ def test_progress(spark, results, tmp_path):
     assert sorted(map(tuple, last.collect())) == sorted((r["batch_id"], r["done"], r["closed"]) for r in twin.collect())
 
 
+def test_progress_of_large_batches(spark, results, tmp_path):
+    rows = results[0].withColumn("batch_id", F.expr("result_id div 300"))
+    rows = rows.withColumn("item", F.expr("result_id % 300"))
+    path = str(tmp_path / "large")
+    rows.repartitionByRange(3, "result_id").write.parquet(path)
+    out = triage.stream_progress(stream(spark, rows, path), 300, "60 days")
+    drain(out.writeStream.format("memory").queryName("st2_large"), tmp_path, "st2-large", "update")
+    last = spark.table("st2_large").groupBy("batch_id").agg(F.max("done").alias("done"), F.max("closed").alias("closed"))
+    want = rows.groupBy("batch_id").agg(F.countDistinct("item").alias("done")).select("batch_id", "done", (F.col("done") == 300).alias("closed"))
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
+    assert last.filter("closed").count() > 0
+
+
 def test_latest(spark, results, tmp_path):
     rows, path = results
     out = str(tmp_path / "latest")
