@@ -805,6 +805,12 @@ def _(t):
     return t.pieces.select("piece_id", ids.name_norm(F.substring("text", 1, 200)).alias("norm"))
 
 
+@query("x5_name_norm_whole", """
+SELECT piece_id, trim(regexp_replace(translate(lower(text), 'áàâãäåéèêëíìîïóòôõöúùûüçñý', 'aaaaaaeeeeiiiiooooouuuucny'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS norm FROM pieces""")
+def _(t):
+    return t.pieces.select("piece_id", ids.name_norm(F.col("text")).alias("norm"))
+
+
 @query("x6_parse_analysis", """
 SELECT id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM ev""")
 def _(t):
