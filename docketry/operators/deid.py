@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.functions.ids import name_norm
+from docketry.functions.ids import ACCENTED, PLAIN, digits, name_norm
 from docketry.functions.patterns import IDENTIFIERS, MENTIONS, PRESERVED, RG, matches
 from docketry.schemas import ENTITY
 
@@ -39,16 +39,38 @@ def bounded(value: Column) -> Column:
     return F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted, F.lit(r"(?![\p{L}\p{N}])"))
 
 
+def name_forms(name: Column) -> Column:
+    """A pattern for a name whatever its case, accents and blanks."""
+    out = F.regexp_replace(name_norm(name), r"([^\p{L}\p{N} ])", r"\\$1")
+    for plain in sorted(set(PLAIN)):
+        forms = plain + "".join(a for a, p in zip(ACCENTED, PLAIN, strict=True) if p == plain)
+        out = F.replace(out, F.lit(plain), F.lit(f"[{forms}]"))
+    return F.concat(F.lit("(?iu)"), F.replace(out, F.lit(" "), F.lit(r"\s+")))
+
+
+def number_forms(number: Column) -> Column:
+    """A pattern for a number's digits, with or without blanks and punctuation between them."""
+    return F.regexp_replace(digits(number), "(?<=[0-9])(?=[0-9])", r"[\\s./-]{0,3}")
+
+
 def detect_register(texts: DataFrame, parties: DataFrame) -> DataFrame:
-    """Names and numbers of the case's known parties; the first place of each in a piece."""
+    """Names and numbers of the case's known parties, whatever their form: all their places in a piece.
+
+    value is what stands in the text. Names may differ in case, accents and blanks, numbers in their
+    punctuation; none is part of a longer word or number.
+    """
     values = parties.select("case_no", F.explode(F.array(
-        F.struct(F.lit("person").alias("kind"), F.col("name").alias("value")),
-        F.struct(F.lit("number").alias("kind"), F.col("cpf").alias("value")),
-    )).alias("v")).select("case_no", "v.*").filter("value <> ''").distinct()
-    rows = texts.join(values, "case_no").filter(F.contains("text", F.col("value")))
-    at = F.regexp_instr("text", bounded(F.col("value")))
-    rows = rows.withColumn("start", (at - 1).cast("long")).filter("start >= 0")
-    return rows.select(*PIECE, "kind", "value", "start", (F.col("start") + F.char_length("value")).alias("end"))
+        F.struct(F.lit("person").alias("kind"), name_norm(F.col("name")).alias("known"), name_forms(F.col("name")).alias("pattern")),
+        F.struct(F.lit("number").alias("kind"), digits(F.col("cpf")).alias("known"), number_forms(F.col("cpf")).alias("pattern")),
+    )).alias("v")).select("case_no", "v.*").filter("known <> ''").distinct()
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.col("pattern"), F.lit(r"(?![\p{L}\p{N}])"))
+    rows = texts.select(*PIECE, "text").join(values.withColumn("pattern", pattern), "case_no").filter(F.expr("text RLIKE pattern"))
+    zipped = F.arrays_zip(F.split("text", F.col("pattern"), -1).alias("gap"), F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("hit"))
+    found = rows.select(*PIECE, "kind", "known", F.posexplode(zipped).alias("i", "m"))
+    size = F.char_length("m.hit")
+    upto = F.sum(F.char_length("m.gap") + size).over(Window.partitionBy(*PIECE, "kind", "known").orderBy("i"))
+    out = found.filter("m.hit IS NOT NULL").withColumn("end", upto.cast("long"))
+    return out.select(*PIECE, "kind", F.col("m.hit").alias("value"), (F.col("end") - size).cast("long").alias("start"), "end")
 
 
 def detect_model(texts: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:

@@ -638,7 +638,24 @@ def _(t):
 SELECT s.case_no, s.piece_id, 'person' AS kind, name AS value, CAST(strpos(s.text, name) - 1 AS BIGINT) AS start,
        CAST(strpos(s.text, name) - 1 + length(name) AS BIGINT) AS "end" FROM sheets s JOIN parties p ON s.case_no = p.case_no""")
 def _(t):
-    return deid.detect_register(t.sheets, t.parties)
+    # this twin has the first place of each name; all kinds, forms and places are in d3_detect_register_all
+    first = F.min(F.struct("start", "value", "end")).alias("f")
+    found = deid.detect_register(t.sheets, t.parties).filter("kind = 'person'")
+    return found.groupBy("case_no", "piece_id", "kind").agg(first).select("case_no", "piece_id", "kind", "f.value", "f.start", "f.end")
+
+
+@query("d3_detect_register_all", """
+SELECT s.case_no, s.piece_id, 'person' AS kind, name AS value, CAST(strpos(s.text, name) - 1 AS BIGINT) AS start,
+       CAST(strpos(s.text, name) - 1 + length(name) AS BIGINT) AS "end" FROM sheets s JOIN parties p ON s.case_no = p.case_no
+UNION ALL
+SELECT s.case_no, s.piece_id, 'person', name, CAST(length(s.text) - 1 - length(name) AS BIGINT), CAST(length(s.text) - 1 AS BIGINT)
+FROM sheets s JOIN parties p ON s.case_no = p.case_no
+UNION ALL
+SELECT s.case_no, s.piece_id, 'number', substr(cpf, 1, 3) || '.' || substr(cpf, 4, 3) || '.' || substr(cpf, 7, 3) || '-' || substr(cpf, 10, 2),
+       CAST(strpos(s.text, ', CPF ') + 5 AS BIGINT), CAST(strpos(s.text, ', CPF ') + 19 AS BIGINT)
+FROM sheets s JOIN parties p ON s.case_no = p.case_no""")
+def _(t):
+    return deid.detect_register(t.sheets, t.parties.withColumn("name", F.concat(F.lit(" "), F.upper("name"))))
 
 
 KEPT = _found_sql("kept", "sheets", {k: MENTIONS[k] for k in ("date", "law", "deadline")})

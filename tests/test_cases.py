@@ -236,3 +236,14 @@ def test_empty_tables(spark):
     cases = spark.createDataFrame([], "tenant bigint, case_no bigint, queue string, tags array<string>, arrival date")
     assert sets.oldest_cases(cases, "x", 5).count() == 0
     assert aggregates.queue_counts(cases).count() == 0
+
+
+def test_register_finds_all_forms_and_places(spark):
+    text = "JOSÉ  da\tConceição (123.456.789-01), 12345678901; jose da conceicao. Josefa da Conceição, x12345678901, 123 456 789 - 01"
+    texts = spark.createDataFrame([(1, 1, text), (2, 2, text)], "case_no bigint, piece_id bigint, text string")
+    parties = spark.createDataFrame([(1, "José da Conceiçao", "12345678901"), (1, None, None), (2, "Ana (*)", "")], "case_no bigint, name string, cpf string")
+    got = deid.detect_register(texts, parties).collect()
+    assert all(text[r["start"] : r["end"]] == r["value"] for r in got)
+    assert sorted((r["case_no"], r["kind"], r["value"]) for r in got) == sorted(
+        [(1, "person", v) for v in ("JOSÉ  da\tConceição", "jose da conceicao")] + [(1, "number", v) for v in ("123.456.789-01", "12345678901", "123 456 789 - 01")]
+    )
