@@ -23,10 +23,13 @@ _OWN: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir, with its scheme.
 
-    Where it is unset, as in tests on one machine, the application gets a temporary folder.
+    Where it is unset an application on one machine, as in tests, gets a temporary folder; on a cluster
+    that is an error, for executors don't share such a folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         folder = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -38,9 +41,21 @@ def shared_folder(spark: SparkSession) -> str:
 BATCH_BYTES = 4 << 20
 
 
+#: Bytes of one side's partition up to which Spark may join it by a hash table instead of sorting both sides.
+HASHED_BYTES = 64 << 20
+
+
 def small_batches(spark: SparkSession) -> None:
-    """From now on batches of the session hold BATCH_BYTES at most, or one row."""
+    """From now on batches of the session hold BATCH_BYTES at most, or one row, and joins hash what was measured to be small."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", str(HASHED_BYTES))
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names below a folder of any store that Spark reads, sorted; none if there is no such folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in store.listStatus(path)) if store.exists(path) else []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -60,6 +75,24 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than one in so many rows is heavy.
+HEAVY = 1000
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str | list[str], n: str) -> DataFrame:
+    """left with right's columns, where right has one row a key and n tells how many rows of left hold it.
+
+    Keys with more than a HEAVY-th of these rows, HEAVY at most, are sent to left's tasks, so that none
+    of them is dealt to one task; the others meet by a shuffle. Both tables are read twice.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    heavy = F.col(n) * HEAVY > total
+    hot = right.filter(heavy).withColumn("__hot", F.lit(True))
+    known = left.join(F.broadcast(hot), key, "left")
+    rest = known.filter("__hot IS NULL").select(*left.columns).join(right.filter(~heavy), key)
+    return known.filter("__hot").drop("__hot").select(*rest.columns).unionByName(rest)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, UPPER, LOWER)

@@ -16,7 +16,7 @@ index holds the corpus: texts that share a span are first brought together.
    more regions than a shard can hold is dealt by longer cores around it, and a core with more than
    that has the hashes of its windows counted, which needs no group in one task.
 
-Bitmaps of fixed size, sent to the tasks, keep rows that cannot matter out of the shuffles; they
+Bitmaps of bounded size, sent to the tasks, keep rows that cannot matter out of the shuffles; they
 only ever let too much through, and joins decide.
 """
 
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import table, tasks, written
+from docketry.llm.common import skew_join, table, written
 from docketry.llm.fingerprint import BASE, POWERS
 
 GRAM = 32
@@ -38,8 +38,8 @@ GRAM = 32
 SHARD_BYTES = 1 << 19
 #: Windows that share a core, where a gram is too frequent for a shard.
 CELL = 32
-#: Bits of a bitmap, as a power of two: 4 MB.
-MAP_BITS = 25
+#: Bits of a bitmap, as powers of two: eight for each value, but 128 KB at least and 32 MB at most.
+MAP_BITS = (20, 28)
 #: Bytes of a text that are hashed at a time.
 PIECE = 1 << 22
 NO_ID = -(2**63)
@@ -80,18 +80,22 @@ def regions(text: str | None, span: int) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 class Bitmap:
-    """A set of longs by their lowest bits, of fixed size; says yes to more than it was given."""
+    """A set of longs by their lowest bits, sent to the tasks; says yes to more than it was given.
+
+    values is a written table. Its size is bounded: with more values than bits it says yes to most.
+    """
 
     def __init__(self, values: DataFrame, column: str):
-        low = f"({column} & {2**MAP_BITS - 1})"
+        self.bits = int(np.clip(values.count() * 8, 2 ** MAP_BITS[0], 2 ** MAP_BITS[1])).bit_length() - 1
+        low = f"({column} & {2**self.bits - 1})"
         cells = values.select(F.expr(f"CAST({low} div 64 AS INT)").alias("cell"), F.expr(f"shiftleft(1L, CAST({low} % 64 AS INT))").alias("b"))
-        held = np.zeros(2 ** (MAP_BITS - 6), np.int64)
+        held = np.zeros(2 ** (self.bits - 6), np.int64)
         found = cells.groupBy("cell").agg(F.bit_or("b").alias("b")).toPandas()
         held[found["cell"]] = found["b"]
         self.sent = values.sparkSession.sparkContext.broadcast(held.view(np.uint64))
 
     def has(self, values: np.ndarray) -> np.ndarray:
-        bit = values.astype(np.int64).view(np.uint64) & np.uint64(2**MAP_BITS - 1)
+        bit = values.astype(np.int64).view(np.uint64) & np.uint64(2**self.bits - 1)
         return ((self.sent.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
 
     def column(self, c: Column) -> Column:
@@ -302,7 +306,7 @@ def repeats(docs: DataFrame, span: int = 200) -> DataFrame:
     sure = found.filter("one_kind").select("did", "row_h", F.col("a").alias("start"), place.alias("end"))
     mixed = found.filter("NOT one_kind")
     kinds = written(mixed.groupBy("h", "rh").agg(F.count("*").alias("n"), F.min(F.struct("did", "row_h", "p", "a", "b")).alias("r")), "kinds")
-    again = mixed.join(kinds.filter("n > 1").select("h", "rh"), ["h", "rh"]).select("did", "row_h", F.col("a").alias("start"), place.alias("end"))
+    again = skew_join(mixed, kinds.filter("n > 1").select("h", "rh", "n"), ["h", "rh"], "n").select("did", "row_h", F.col("a").alias("start"), place.alias("end"))
     # grams with a single unresolved kind at least
     sizes = kinds.groupBy("h").agg(F.sum(F.col("r.b") - F.col("r.a") + span).alias("bytes"), F.min("n").alias("least")).filter("least = 1")
     sizes = written(sizes.select("h", "bytes", (F.col("bytes") > SHARD_BYTES).alias("hot")), "gram-sizes")
@@ -314,7 +318,7 @@ def repeats(docs: DataFrame, span: int = 200) -> DataFrame:
     wanted = written(wanted, "wanted")
     own = Bitmap(wanted, "row_h").column(F.col("row_h"))
     held = keyed(docs).filter("text IS NOT NULL").filter(own)
-    held = held.join(wanted.hint("shuffle_hash"), ["did", "row_h"]).select("did", "row_h", "text", "wanted")
+    held = held.join(wanted, ["did", "row_h"]).select("did", "row_h", "text", "wanted")
     cut = held.mapInPandas(pieces(span), f"key long, hot boolean, {ROW}, start long, data binary")
     small, big = dealt(written(cut, "pieces"))
     index = small.groupBy("shard").applyInPandas(lambda rows: marked(rows, span), f"{ROW}, start long, end long")
@@ -358,7 +362,7 @@ def remove_repeats(docs: DataFrame, span: int = 200) -> DataFrame:
     spans = written(spans, "repeats")
     rows, touched = keyed(docs), Bitmap(spans, "row_h").column(F.col("row_h"))
     rows = rows.withColumn("touched", touched)
-    changed = rows.filter("touched").join(spans.hint("shuffle_hash"), ["did", "row_h"], "left").select("did", "row_h", "text", "spans")
+    changed = rows.filter("touched").join(spans, ["did", "row_h"], "left").select("did", "row_h", "text", "spans")
     schema = "did long, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary"
     changed = changed.mapInPandas(removed, schema)
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
