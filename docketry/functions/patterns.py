@@ -6,7 +6,7 @@ digits only, classes of ASCII characters.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # public formats of the identifiers
@@ -32,26 +32,31 @@ MENTIONS = {
 PRESERVED = ("date", "law", "deadline")
 
 
+def spans(text: Column, pattern: Column, group: int = 0) -> Column:
+    """array<struct<value, start, end>> of the matches in a text: offsets in code points, end exclusive.
+
+    value is the match, or the given group of it; start and end are those of the whole match. Gaps and
+    matches alternate, so a running sum of their lengths inside of the row gives the offsets.
+    """
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
+    steps = F.zip_with(F.split(text, pattern, -1), hits, lambda gap, hit: F.char_length(gap) + F.char_length(hit))
+    none = F.array().cast("array<bigint>")
+    last = lambda done: F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0).cast("long"))
+    ends = F.aggregate(F.filter(steps, lambda n: n.isNotNull()), none, lambda done, n: F.array_append(done, last(done) + n))
+    found = F.arrays_zip(hits.alias("hit"), F.regexp_extract_all(text, pattern, F.lit(group)).alias("value"), ends.alias("end"))
+    return F.transform(found, lambda m: F.struct(m["value"].alias("value"), (m["end"] - F.char_length(m["hit"])).alias("start"), m["end"].alias("end")))
+
+
 def matches(texts: DataFrame, key: list[str], text: str, patterns: dict[str, str], group: int = 0) -> DataFrame:
-    """(key..., kind, value, start, end): a row for each match, offsets in code points, end exclusive.
+    """(key..., kind, value, start, end): a row for each match of each pattern, by one pass over the texts.
 
-    value is the match, or the given group of it; start and end are those of the whole match. The
-    text between matches and the matches alternate, so one running sum of lengths for each text
-    and kind gives the offsets.
+    Rows need no unique key. Null texts have no matches.
     """
-    parts = None
+    column = F.col(text)
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<kind: STRING, value: STRING, start: BIGINT, end: BIGINT>>)")
+    parts = []
     for kind, pattern in patterns.items():
-        found = texts.filter(F.col(text).rlike(pattern)).select(
-            *key, F.lit(kind).alias("kind"),
-            F.posexplode(F.arrays_zip(
-                F.split(text, pattern, -1).alias("gap"),
-                F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
-                F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
-            )).alias("i", "m"),
-        )
-        parts = found if parts is None else parts.unionByName(found)
-    size = F.char_length("m.hit")
-    upto = F.sum(F.char_length("m.gap") + size).over(Window.partitionBy(*key, "kind").orderBy("i"))
-    return parts.filter("m.hit IS NOT NULL").withColumn("end", upto.cast("long")).select(
-        *key, "kind", F.col("m.value").alias("value"), (F.col("end") - size).cast("long").alias("start"), "end"
-    )
+        of_kind = F.lit(kind).alias("kind")
+        told = F.transform(spans(column, F.lit(pattern), group), lambda m: F.struct(of_kind, m["value"].alias("value"), m["start"].alias("start"), m["end"].alias("end")))  # noqa: B023
+        parts.append(F.when(column.rlike(pattern), told).otherwise(none))
+    return texts.select(*key, F.inline(F.concat(*parts)))

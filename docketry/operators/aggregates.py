@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.schemas import CASE_KEY, PIECE_KEY
+
 
 def queue_counts(cases: DataFrame) -> DataFrame:
     return cases.groupBy("queue").agg(F.count("*").alias("n"))
@@ -21,24 +23,28 @@ def tag_names(cases: DataFrame, cap: int = 500, seen: str = "last_mov") -> DataF
     return names.orderBy(F.desc_nulls_last("seen"), "tag").limit(cap)
 
 
-def daily_totals(cases: DataFrame, boards: dict[str, Column], day: Column, view: str = "unit") -> DataFrame:
-    """(view, board, day, n): how many cases of the day each board's predicate holds; one pass for all boards."""
-    counted = cases.groupBy(day.alias("day")).agg(*[F.count_if(c).alias(name) for name, c in boards.items()])
-    rows = counted.unpivot("day", list(boards), "board", "n")
-    return rows.select(F.lit(view).alias("view"), "board", "day", "n")
+def daily_totals(cases: DataFrame, views: dict[str, dict[str, Column]], day: Column) -> DataFrame:
+    """(tenant, view, board, day, n): of how many of a tenant's cases of the day each board's predicate holds.
+
+    views: the boards of each view. One pass for all boards of all views.
+    """
+    names = [(view, board) for view, boards in views.items() for board in boards]
+    counted = cases.groupBy("tenant", day.alias("day")).agg(*[F.count_if(views[v][b]).alias(f"n{k}") for k, (v, b) in enumerate(names)])
+    told = F.array(*[F.struct(F.lit(v).alias("view"), F.lit(b).alias("board"), F.col(f"n{k}").alias("n")) for k, (v, b) in enumerate(names)])
+    return counted.select("tenant", "day", F.inline(told)).select("tenant", "view", "board", "day", "n")
 
 
 def board_share(daily: DataFrame) -> DataFrame:
-    """daily with share: the board as a percentage of its view on that day, one decimal; null for an empty view."""
-    total = F.sum("n").over(Window.partitionBy("view", "day"))
+    """daily with share: the board as a percentage of its tenant's view on that day, one decimal; null for an empty view."""
+    total = F.sum("n").over(Window.partitionBy("tenant", "view", "day"))
     return daily.withColumn("share", F.round(F.try_divide(F.col("n") * F.lit(100.0), total), 1))
 
 
 def case_bundle(cases: DataFrame, pieces: DataFrame, movements: DataFrame) -> DataFrame:
     """One record for each case to analyse: its pieces with their text, and its movements. Notes have no way in."""
-    texts = pieces.groupBy("case_no").agg(F.array_sort(F.collect_list(F.struct("piece_id", "title", "text"))).alias("pieces"))
-    moves = movements.groupBy("case_no").agg(F.array_sort(F.collect_list(F.struct("mov_ts", "mov_type"))).alias("movements"))
-    return cases.select("case_no", "class", "queue").join(texts, "case_no", "left").join(moves, "case_no", "left")
+    texts = pieces.groupBy(*CASE_KEY).agg(F.array_sort(F.collect_list(F.struct("piece_id", "title", "text"))).alias("pieces"))
+    moves = movements.groupBy(*CASE_KEY).agg(F.array_sort(F.collect_list(F.struct("mov_ts", "mov_type"))).alias("movements"))
+    return cases.select(*CASE_KEY, "class", "queue").join(texts, CASE_KEY, "left").join(moves, CASE_KEY, "left")
 
 
 def estimate_work(bundles: DataFrame, price: str = "0.0000005", max_cases: int = 10, max_cost: str = "0.50") -> DataFrame:
@@ -51,13 +57,13 @@ def estimate_work(bundles: DataFrame, price: str = "0.0000005", max_cases: int =
 
 
 def mask_counts(entities: DataFrame) -> DataFrame:
-    return entities.groupBy("case_no", "piece_id", "kind").agg(F.count("*").alias("n"))
+    return entities.groupBy(*PIECE_KEY, "kind").agg(F.count("*").alias("n"))
 
 
 def hearing_parties(hearings: DataFrame) -> DataFrame:
-    """(case_no, hearing_date, hour, type, parties) from one row for each party; no document comes out."""
+    """(case key, hearing_date, hour, type, parties) from one row for each party; no document comes out."""
     people = F.array_sort(F.collect_list(F.struct("name", "qualification")))
-    return hearings.groupBy("case_no", "hearing_date", "hour", "type").agg(people.alias("parties"))
+    return hearings.groupBy(*CASE_KEY, "hearing_date", "hour", "type").agg(people.alias("parties"))
 
 
 def batch_progress(items: DataFrame, results: DataFrame) -> DataFrame:

@@ -14,16 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.ids import ACCENTED, PLAIN, digits, name_norm
-from docketry.functions.patterns import IDENTIFIERS, MENTIONS, PRESERVED, RG, matches
-from docketry.schemas import ENTITY
+from docketry.functions.patterns import IDENTIFIERS, MENTIONS, PRESERVED, RG, matches, spans
+from docketry.schemas import CASE_KEY, ENTITY, PIECE_KEY
 
-PIECE = ["case_no", "piece_id"]
-#: Global values without a whole word inside that may be compared with every text.
+PIECE = PIECE_KEY
+#: Global values without a whole word inside that are sent to all texts at a time, about.
 MAX_SHORT = 1000
 
 
 def detect_patterns(texts: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
-    """Entities (case_no, piece_id, kind, value, start, end) of the identifiers' public formats."""
+    """Entities (case key, piece_id, kind, value, start, end) of the identifiers' public formats."""
     return matches(texts, PIECE, "text", patterns or IDENTIFIERS)
 
 
@@ -33,10 +33,9 @@ def detect_rg(texts: DataFrame) -> DataFrame:
     return found.withColumn("start", F.col("end") - F.char_length("value"))
 
 
-def bounded(value: Column) -> Column:
-    """A pattern for a value that isn't part of a longer word or number."""
-    quoted = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    return F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted, F.lit(r"(?![\p{L}\p{N}])"))
+def quoted(value: Column) -> Column:
+    """A pattern for a text as it stands."""
+    return F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
 def name_forms(name: Column) -> Column:
@@ -59,96 +58,114 @@ def detect_register(texts: DataFrame, parties: DataFrame) -> DataFrame:
     value is what stands in the text. Names may differ in case, accents and blanks, numbers in their
     punctuation; none is part of a longer word or number.
     """
-    values = parties.select("case_no", F.explode(F.array(
+    values = parties.select(*CASE_KEY, F.explode(F.array(
         F.struct(F.lit("person").alias("kind"), name_norm(F.col("name")).alias("known"), name_forms(F.col("name")).alias("pattern")),
         F.struct(F.lit("number").alias("kind"), digits(F.col("cpf")).alias("known"), number_forms(F.col("cpf")).alias("pattern")),
-    )).alias("v")).select("case_no", "v.*").filter("known <> ''").distinct()
+    )).alias("v")).select(*CASE_KEY, "v.*").filter("known <> ''").distinct()
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.col("pattern"), F.lit(r"(?![\p{L}\p{N}])"))
-    rows = texts.select(*PIECE, "text").join(values.withColumn("pattern", pattern), "case_no").filter(F.expr("text RLIKE pattern"))
-    zipped = F.arrays_zip(F.split("text", F.col("pattern"), -1).alias("gap"), F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("hit"))
-    found = rows.select(*PIECE, "kind", "known", F.posexplode(zipped).alias("i", "m"))
-    size = F.char_length("m.hit")
-    upto = F.sum(F.char_length("m.gap") + size).over(Window.partitionBy(*PIECE, "kind", "known").orderBy("i"))
-    out = found.filter("m.hit IS NOT NULL").withColumn("end", upto.cast("long"))
-    return out.select(*PIECE, "kind", F.col("m.hit").alias("value"), (F.col("end") - size).cast("long").alias("start"), "end")
+    rows = texts.select(*PIECE, "text").join(values.withColumn("pattern", pattern), CASE_KEY).filter(F.expr("text RLIKE pattern"))
+    return rows.select(*PIECE, "kind", F.inline(spans(F.col("text"), F.col("pattern"))))
 
 
 def detect_model(texts: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
-    """Entities that a user's own model finds: fn maps batches of (case_no, piece_id, text) to entities."""
+    """Entities that a user's own model finds: fn maps batches of (case key, piece_id, text) to entities."""
     return texts.select(*PIECE, "text").mapInPandas(fn, ENTITY)
 
 
-def mentions(texts: DataFrame) -> DataFrame:
-    """Values, dates, laws and deadlines in a piece, as rows."""
-    return matches(texts, PIECE, "text", MENTIONS)
+def mentions(texts: DataFrame, parties: DataFrame | None = None) -> DataFrame:
+    """Values, dates, laws, deadlines and, where given, the case's parties in a piece, as rows."""
+    found = matches(texts, PIECE, "text", MENTIONS)
+    return found if parties is None else found.unionByName(detect_register(texts, parties))
 
 
 def drop_preserved(entities: DataFrame, texts: DataFrame) -> DataFrame:
     """Entities that don't overlap a date, a deadline, a law or case law of their piece."""
     kept = matches(texts, PIECE, "text", {k: MENTIONS[k] for k in PRESERVED}).select(*PIECE, F.col("start").alias("s"), F.col("end").alias("e"))
     e, k = entities.alias("e"), kept.alias("k")
-    same = (F.col("e.case_no") == F.col("k.case_no")) & (F.col("e.piece_id") == F.col("k.piece_id"))
-    return e.join(k, same & (F.col("e.start") < F.col("k.e")) & (F.col("k.s") < F.col("e.end")), "left_anti")
+    same = (F.col("e.start") < F.col("k.e")) & (F.col("k.s") < F.col("e.end"))
+    for c in PIECE:
+        same = same & (F.col(f"e.{c}") == F.col(f"k.{c}"))
+    return e.join(k, same, "left_anti")
 
 
 def resolve_spans(entities: DataFrame) -> DataFrame:
-    """One winner among overlapping spans of a piece: the longest, then the earliest, then by kind and value."""
+    """One winner among overlapping spans of a piece: the longest, then the earliest, then by kind and value.
+
+    Spans are first cut into runs that overlap, so that a span is compared with its own run's winners only.
+    """
+    rows = entities.select(*PIECE, "kind", "value", "start", "end").distinct()
+    by = Window.partitionBy(*PIECE).orderBy("start", "end")
+    before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("fresh", F.when(before > F.col("start"), 0).otherwise(1))
+    rows = rows.withColumn("run", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     order = F.struct((F.col("start") - F.col("end")).alias("size"), "start", "kind", "value", "end")
-    sorted_spans = F.array_sort(F.collect_set(order))
     none = F.slice(F.col("spans"), 1, 0)
 
     def take(won, x):
         return F.when(F.exists(won, lambda w: (w["start"] < x["end"]) & (x["start"] < w["end"])), won).otherwise(F.array_append(won, x))
 
-    won = entities.groupBy(*PIECE).agg(sorted_spans.alias("spans")).select(*PIECE, F.explode(F.aggregate("spans", none, take)).alias("w"))
+    runs = rows.groupBy(*PIECE, "run").agg(F.array_sort(F.collect_list(order)).alias("spans"))
+    won = runs.select(*PIECE, F.explode(F.aggregate("spans", none, take)).alias("w"))
     return won.select(*PIECE, "w.kind", "w.value", "w.start", "w.end")
 
 
-def fold(text: Column, pairs: Column, one: Callable[[Column, Column], Column]) -> Column:
-    """text after one(text, pair) for each pair in turn."""
-    return F.aggregate(pairs, text, one)
+def any_of(values: Column) -> Column:
+    """A pattern for any of the texts, the first in order that fits."""
+    return F.array_join(F.transform(values, quoted), "|")
+
+
+def swapped(text: Column, pattern: Column, known: Column) -> Column:
+    """text with each match of the pattern replaced by what the map knows for it, in one pass: nothing is replaced twice."""
+    parts = F.zip_with(
+        F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)),
+        lambda gap, hit: F.concat(gap, F.coalesce(F.try_element_at(known, hit), F.lit(""))),
+    )
+    return F.array_join(parts, "")
 
 
 def longest_first(label_map: DataFrame) -> DataFrame:
-    """(case_no, pairs): a case's labels and values, the longest value first."""
+    """(case key, pairs): a case's labels and values, the longest value first; of two labels for a value the first one."""
+    one = label_map.filter("value <> ''").groupBy(*CASE_KEY, "value").agg(F.min("label").alias("label"))
     pair = F.struct((-F.char_length("value")).alias("size"), "value", "label")
-    return label_map.groupBy("case_no").agg(F.array_sort(F.collect_set(pair)).alias("pairs"))
+    return one.groupBy(*CASE_KEY).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
 
 
 def mask(texts: DataFrame, label_map: DataFrame, bounds: bool = True) -> DataFrame:
-    """texts with masked: each value of the case replaced by its label.
+    """texts with masked: each value of the case replaced by its label, the longest value at each place.
 
-    With bounds a value inside of a longer word or number stays. Cases without labels keep their text.
+    With bounds a value inside of a longer word or number stays. Labels are never masked themselves.
+    Cases without labels keep their text.
     """
-    rows = texts.join(longest_first(label_map), "case_no", "left")
-
-    def one(text: Column, p: Column) -> Column:
-        return F.regexp_replace(text, bounded(p["value"]), p["label"]) if bounds else F.replace(text, p["value"], p["label"])
-
-    masked = F.when(F.col("pairs").isNull(), F.col("text")).otherwise(fold(F.col("text"), F.col("pairs"), one))
+    rows = texts.join(longest_first(label_map), CASE_KEY, "left")
+    pattern = any_of(F.transform("pairs", lambda p: p["value"]))
+    if bounds:
+        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), pattern, F.lit(r")(?![\p{L}\p{N}])"))
+    known = F.map_from_entries(F.transform("pairs", lambda p: F.struct(p["value"], p["label"])))
+    masked = F.when(F.col("pairs").isNull(), F.col("text")).otherwise(swapped(F.col("text"), pattern, known))
     return rows.withColumn("masked", masked).drop("pairs")
 
 
 def mask_fields(fields: DataFrame, label_map: DataFrame, names: list[str], bounds: bool = True) -> DataFrame:
-    """(case_no, id, field, masked) of several text columns of (case_no, id, ...): title, sheet, thesis, ..."""
-    rows = fields.unpivot(["case_no", "id"], names, "field", "text")
-    return mask(rows, label_map, bounds).select("case_no", "id", "field", "masked")
+    """(case key, id, field, masked) of several text columns of (case key, id, ...): title, sheet, thesis, ..."""
+    rows = fields.unpivot([*CASE_KEY, "id"], names, "field", "text")
+    return mask(rows, label_map, bounds).select(*CASE_KEY, "id", "field", "masked")
 
 
 def unmask(texts: DataFrame, label_map: DataFrame) -> DataFrame:
     """texts with unmasked: labels turned back; brackets keep [X_1] and [X_10] apart."""
-    rows = texts.join(longest_first(label_map), "case_no", "left")
-    back = fold(F.col("masked"), F.col("pairs"), lambda text, p: F.replace(text, p["label"], p["value"]))
+    rows = texts.join(longest_first(label_map), CASE_KEY, "left")
+    known = F.map_from_entries(F.transform("pairs", lambda p: F.struct(p["label"], p["value"])))
+    back = swapped(F.col("masked"), any_of(F.transform("pairs", lambda p: p["label"])), known)
     return rows.withColumn("unmasked", F.when(F.col("pairs").isNull(), F.col("masked")).otherwise(back)).drop("pairs")
 
 
 def barrier_hits(outgoing: DataFrame, label_map: DataFrame, releases: DataFrame | None = None) -> DataFrame:
-    """(case_no, turn, value, at): protected values of the case in an outgoing text, with their place (from 1)."""
-    values = label_map.select("case_no", "value").filter("value <> ''").distinct()
+    """(case key, turn, value, at): protected values of the case in an outgoing text, with their place (from 1)."""
+    values = label_map.select(*CASE_KEY, "value").filter("value <> ''").distinct()
     if releases is not None:
         values = apply_releases(values, releases)
-    rows = outgoing.select("case_no", "turn", "text").join(values, "case_no").filter(F.contains("text", F.col("value")))
-    return rows.select("case_no", "turn", "value", F.position(F.col("value"), F.col("text")).cast("long").alias("at"))
+    rows = outgoing.select(*CASE_KEY, "turn", "text").join(values, CASE_KEY).filter(F.contains("text", F.col("value")))
+    return rows.select(*CASE_KEY, "turn", "value", F.position(F.col("value"), F.col("text")).cast("long").alias("at"))
 
 
 def global_hits(outgoing: DataFrame, values: DataFrame) -> DataFrame:
@@ -156,7 +173,7 @@ def global_hits(outgoing: DataFrame, values: DataFrame) -> DataFrame:
 
     A value of three words or more holds a whole word between two blanks, which a text that
     contains the value holds too: texts and values meet by the longest such word. Other values are
-    compared with all texts; more than MAX_SHORT of them raise ValueError.
+    compared with all texts, in blocks of about MAX_SHORT values, each of which is sent to the texts.
     """
     values = values.select("value").filter("value <> ''").distinct()
     inner = F.expr("slice(split(value, ' '), 2, greatest(size(split(value, ' ')) - 2, 0))")
@@ -169,10 +186,10 @@ def global_hits(outgoing: DataFrame, values: DataFrame) -> DataFrame:
     hits = outgoing.select("turn", "text").join(met, "turn")
     short = keyed.filter("word IS NULL").select("value")
     n = short.count()
-    if n > MAX_SHORT:
-        raise ValueError(f"{n} global values without an inner word; at most {MAX_SHORT} can be compared with all texts")
-    if n:
-        hits = hits.unionByName(outgoing.select("turn", "text").join(F.broadcast(short), F.contains("text", F.col("value"))))
+    blocks = -(-n // MAX_SHORT)
+    for k in range(blocks):
+        block = short.filter(F.pmod(F.xxhash64("value"), F.lit(blocks)) == k)
+        hits = hits.unionByName(outgoing.select("turn", "text").join(F.broadcast(block), F.contains("text", F.col("value"))))
     return hits.filter(F.contains("text", F.col("value"))).select("turn", "value", F.position(F.col("value"), F.col("text")).cast("long").alias("at"))
 
 
@@ -184,13 +201,13 @@ def barrier(outgoing: DataFrame, hits: DataFrame, key: list[str]) -> DataFrame:
 def apply_releases(entities: DataFrame, releases: DataFrame) -> DataFrame:
     """entities without the values released for their case, or for all cases (case_no null), by normal form."""
     rows = entities.withColumn("value_norm", name_norm(F.col("value")))
-    own = releases.filter("case_no IS NOT NULL").select("case_no", "value_norm").distinct()
+    own = releases.filter("case_no IS NOT NULL").select(*CASE_KEY, "value_norm").distinct()
     everywhere = releases.filter("case_no IS NULL").select("value_norm").distinct()
-    return rows.join(own, ["case_no", "value_norm"], "left_anti").join(everywhere, "value_norm", "left_anti").select(*entities.columns)
+    return rows.join(own, [*CASE_KEY, "value_norm"], "left_anti").join(everywhere, "value_norm", "left_anti").select(*entities.columns)
 
 
 def apply_overrides(entities: DataFrame, overrides: DataFrame) -> DataFrame:
-    """entities with a user's own changes: overrides (case_no, piece_id, action, kind, value, start, end).
+    """entities with a user's own changes: overrides (case key, piece_id, action, kind, value, start, end).
 
     mask adds a span, release takes away the spans of a value in the piece, drop takes the whole
     piece out of the conversation.
@@ -209,8 +226,8 @@ def edited_texts(texts: DataFrame, edits: DataFrame) -> DataFrame:
 
 def mask_audit(counts: DataFrame, masked: DataFrame, label_map: DataFrame) -> DataFrame:
     """The local view: counts by kind, the exact text of each piece, and the case's label table."""
-    labels = label_map.groupBy("case_no").agg(F.array_sort(F.collect_set(F.struct("label", "value"))).alias("labels"))
-    return counts.join(masked.select(*PIECE, "masked"), PIECE).join(labels, "case_no", "left")
+    labels = label_map.groupBy(*CASE_KEY).agg(F.array_sort(F.collect_set(F.struct("label", "value"))).alias("labels"))
+    return counts.join(masked.select(*PIECE, "masked"), PIECE).join(labels, CASE_KEY, "left")
 
 
 def approval_gate(pieces: DataFrame, sent: DataFrame, approvals: DataFrame, require: bool = True) -> DataFrame:
@@ -224,6 +241,6 @@ def approval_gate(pieces: DataFrame, sent: DataFrame, approvals: DataFrame, requ
 
 def purge_reasoning(turns: DataFrame, values: DataFrame, role: str = "assistant") -> DataFrame:
     """turns without the reasoning rows that carry one of their case's values."""
-    own = values.select("case_no", F.col("value").alias("__value")).filter("__value <> ''").distinct()
-    bad = turns.filter(F.col("role") == role).join(own, "case_no").filter(F.contains("text", F.col("__value"))).select("case_no", "turn").distinct()
-    return turns.join(bad, ["case_no", "turn"], "left_anti").select(*turns.columns)
+    own = values.select(*CASE_KEY, F.col("value").alias("__value")).filter("__value <> ''").distinct()
+    bad = turns.filter(F.col("role") == role).join(own, CASE_KEY).filter(F.contains("text", F.col("__value"))).select(*CASE_KEY, "turn").distinct()
+    return turns.join(bad, [*CASE_KEY, "turn"], "left_anti").select(*turns.columns)

@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from docketry.functions.ids import cpf_valid, name_norm
 from docketry.operators.windows import latest
-from docketry.schemas import CASE_KEY
+from docketry.schemas import CASE_KEY, PIECE_KEY
 
 
 def selected_only(pieces: DataFrame, selection: DataFrame) -> DataFrame:
     """Pieces that were marked in their case."""
-    return pieces.join(selection.select("case_no", "piece_id"), ["case_no", "piece_id"], "left_semi")
+    return pieces.join(selection.select(*PIECE_KEY), PIECE_KEY, "left_semi")
 
 
 def attach_children(pieces: DataFrame) -> DataFrame:
-    """(piece_id, case_no, title, children): main pieces with the sorted ids of what came with them."""
-    kids = pieces.filter("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("piece_id")).agg(F.array_sort(F.collect_list("piece_id")).alias("children"))
-    out = pieces.filter("parent_id IS NULL").select("piece_id", "case_no", "title").join(kids, "piece_id", "left")
+    """(case key, piece_id, title, children): main pieces with the sorted ids of what came with them."""
+    kids = pieces.filter("parent_id IS NOT NULL").groupBy(*CASE_KEY, F.col("parent_id").alias("piece_id")).agg(F.array_sort(F.collect_list("piece_id")).alias("children"))
+    out = pieces.filter("parent_id IS NULL").select(*PIECE_KEY, "title").join(kids, PIECE_KEY, "left")
     return out.withColumn("children", F.coalesce("children", F.array().cast("array<bigint>")))
 
 
@@ -32,14 +32,14 @@ def check_citations(citations: DataFrame, folios: DataFrame, selection: DataFram
 
 
 def referenced_not_selected(mentions: DataFrame, selection: DataFrame) -> DataFrame:
-    """(case_no, piece_id) of pieces that are mentioned and weren't marked."""
-    return mentions.select("case_no", "piece_id").distinct().join(selection, ["case_no", "piece_id"], "left_anti")
+    """(case key, piece_id) of pieces that are mentioned and weren't marked."""
+    return mentions.select(*PIECE_KEY).distinct().join(selection, PIECE_KEY, "left_anti")
 
 
 def with_last_analysis(cases: DataFrame, analyses: DataFrame) -> DataFrame:
     """cases with the day, situation and next act of their last analysis."""
-    last = latest(analyses, ["case_no"], "analysed", "situation").select("case_no", "analysed", "situation", "next_act")
-    return cases.join(last, "case_no", "left")
+    last = latest(analyses, CASE_KEY, "analysed", "situation").select(*CASE_KEY, "analysed", "situation", "next_act")
+    return cases.join(last, CASE_KEY, "left")
 
 
 def needs_analysis(cases: DataFrame, analyses: DataFrame) -> DataFrame:
@@ -47,15 +47,16 @@ def needs_analysis(cases: DataFrame, analyses: DataFrame) -> DataFrame:
 
     Moved: the last movement differs from the one that the analysis saw, nulls alike being equal.
     """
-    seen = analyses.select("case_no", F.col("last_mov_seen").alias("__seen"), F.lit(True).alias("__done"))
-    rows = cases.join(seen, "case_no", "left")
+    last = latest(analyses, CASE_KEY, "analysed", "last_mov_seen")
+    seen = last.select(*CASE_KEY, F.col("last_mov_seen").alias("__seen"), F.lit(True).alias("__done"))
+    rows = cases.join(seen, CASE_KEY, "left")
     return rows.filter(F.col("__done").isNull() | ~F.col("last_mov").eqNullSafe(F.col("__seen"))).drop("__seen", "__done")
 
 
 def missing_parties(found: DataFrame, register: DataFrame) -> DataFrame:
     """People in the texts that the case's register lacks, by normal name."""
-    known = register.select("case_no", name_norm(F.col("name")).alias("name_norm")).distinct()
-    return found.withColumn("name_norm", name_norm(F.col("name"))).join(known, ["case_no", "name_norm"], "left_anti")
+    known = register.select(*CASE_KEY, name_norm(F.col("name")).alias("name_norm")).distinct()
+    return found.withColumn("name_norm", name_norm(F.col("name"))).join(known, [*CASE_KEY, "name_norm"], "left_anti")
 
 
 def known_persons(proposed: DataFrame, persons: DataFrame) -> DataFrame:
@@ -81,20 +82,26 @@ def valid_tags(suggestions: DataFrame, register: DataFrame) -> DataFrame:
     return suggestions.join(known, "tag", "left").withColumn("outcome", outcome).drop("__configured")
 
 
+def gathered(changes: DataFrame) -> DataFrame:
+    """(case key, add, remove): all changes of a case in one row, so that none is lost and no case comes twice."""
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    return changes.groupBy(*CASE_KEY).agg(every("add").alias("add"), every("remove").alias("remove"))
+
+
 def preview(cases: DataFrame, changes: DataFrame) -> DataFrame:
-    """(case_no, before, after) of each case in changes (case_no, add, remove); nothing is written."""
-    after = F.array_sort(F.array_except(F.array_union("tags", F.coalesce("add", F.array().cast("array<string>"))), F.coalesce("remove", F.array().cast("array<string>"))))
-    rows = cases.select("case_no", "tags").join(changes, "case_no")
-    return rows.select("case_no", F.array_sort("tags").alias("before"), after.alias("after"))
+    """(case key, before, after) of each case in changes (case key, add, remove); nothing is written."""
+    after = F.array_sort(F.array_except(F.array_union("tags", "add"), "remove"))
+    rows = cases.select(*CASE_KEY, "tags").join(gathered(changes), CASE_KEY)
+    return rows.select(*CASE_KEY, F.array_sort("tags").alias("before"), after.alias("after"))
 
 
 def verify(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """(case_no, status) of every case in either table: ok, differs, missing or unexpected."""
-    a = expected.select("case_no", F.col("queue").alias("q1"), F.array_sort("tags").alias("t1"), F.lit(True).alias("in1"))
-    b = actual.select("case_no", F.col("queue").alias("q2"), F.array_sort("tags").alias("t2"), F.lit(True).alias("in2"))
+    """(case key, status) of every case in either table: ok, differs, missing or unexpected."""
+    a = expected.select(*CASE_KEY, F.col("queue").alias("q1"), F.array_sort("tags").alias("t1"), F.lit(True).alias("in1"))
+    b = actual.select(*CASE_KEY, F.col("queue").alias("q2"), F.array_sort("tags").alias("t2"), F.lit(True).alias("in2"))
     same = F.col("q1").eqNullSafe(F.col("q2")) & F.col("t1").eqNullSafe(F.col("t2"))
     status = F.when(F.col("in2").isNull(), "missing").when(F.col("in1").isNull(), "unexpected").when(same, "ok").otherwise("differs")
-    return a.join(b, "case_no", "full_outer").select("case_no", status.alias("status"))
+    return a.join(b, CASE_KEY, "full_outer").select(*CASE_KEY, status.alias("status"))
 
 
 def results_for(numbers: DataFrame, results: DataFrame) -> DataFrame:
@@ -117,8 +124,8 @@ def usable_uploads(files: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
 
 def with_reader_marks(pieces: DataFrame, marks: DataFrame) -> DataFrame:
     """pieces with read, favourite (boolean) and last_page (0 where none)."""
-    own = marks.select("piece_id", "read", "favourite", "last_page")
-    return pieces.join(own, "piece_id", "left").withColumns({
+    own = marks.select(*PIECE_KEY, "read", "favourite", "last_page")
+    return pieces.join(own, PIECE_KEY, "left").withColumns({
         "read": F.coalesce("read", F.lit(False)), "favourite": F.coalesce("favourite", F.lit(False)), "last_page": F.coalesce("last_page", F.lit(0)),
     })
 
@@ -126,13 +133,13 @@ def with_reader_marks(pieces: DataFrame, marks: DataFrame) -> DataFrame:
 def with_notes(pieces: DataFrame, notes: DataFrame) -> DataFrame:
     """pieces with the texts of their notes, oldest first."""
     told = F.transform(F.array_sort(F.collect_list(F.struct("created_ts", "note_id", "text"))), lambda x: x["text"])
-    own = notes.groupBy("piece_id").agg(told.alias("notes"))
-    return pieces.join(own, "piece_id", "left").withColumn("notes", F.coalesce("notes", F.array().cast("array<string>")))
+    own = notes.groupBy(*PIECE_KEY).agg(told.alias("notes"))
+    return pieces.join(own, PIECE_KEY, "left").withColumn("notes", F.coalesce("notes", F.array().cast("array<string>")))
 
 
 def with_favourites(cases: DataFrame, favourites: DataFrame) -> DataFrame:
-    stars = favourites.select("case_no").distinct().withColumn("__star", F.lit(True))
-    return cases.join(stars, "case_no", "left").withColumn("favourite", F.col("__star").isNotNull()).drop("__star")
+    stars = favourites.select(*CASE_KEY).distinct().withColumn("__star", F.lit(True))
+    return cases.join(stars, CASE_KEY, "left").withColumn("favourite", F.col("__star").isNotNull()).drop("__star")
 
 
 def egress_check(transfers: DataFrame, policy: DataFrame) -> DataFrame:

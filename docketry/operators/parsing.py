@@ -17,14 +17,14 @@ def parse_analysis(df: DataFrame, column: str, schema: str = schemas.ANALYSIS) -
 
 
 def suggestions_of(parsed: DataFrame) -> DataFrame:
-    """(case_no, kind, name): a row for each suggestion of an analysis."""
-    return parsed.select("case_no", F.inline("suggestions"))
+    """(case key, kind, name): a row for each suggestion of an analysis."""
+    return parsed.select(*schemas.CASE_KEY, F.inline("suggestions"))
 
 
 def check_notes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(notes, rejects) of JSON lines: notes need a case, a piece, an id, a text and a sender's code."""
     rows = lines.withColumn("n", F.from_json("line", schemas.NOTE, {"mode": "PERMISSIVE"}))
-    needed = [F.col(f"n.{c}").isNotNull() for c in ("case_no", "piece_id", "note_id", "text", "sender_code")]
+    needed = [F.col(f"n.{c}").isNotNull() for c in (*schemas.PIECE_KEY, "note_id", "text", "sender_code")]
     good = F.col("n").isNotNull()
     for c in needed:
         good = good & c
@@ -33,8 +33,8 @@ def check_notes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def analyse(bundles: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], at_once: int = 7) -> DataFrame:
-    """(case_no, answer) by a user's own function, on at most 1 to 7 tasks at once: its provider is the limit, not the data."""
-    return bundles.coalesce(max(1, min(7, at_once))).mapInPandas(fn, "case_no bigint, answer string")
+    """(case key, answer) by a user's own function, on at most 1 to 7 tasks at once: its provider is the limit, not the data."""
+    return bundles.coalesce(max(1, min(7, at_once))).mapInPandas(fn, "tenant bigint, degree bigint, case_no bigint, answer string")
 
 
 def age_bucket(cases: DataFrame, ruler: list[int], today: Column) -> DataFrame:

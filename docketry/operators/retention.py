@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.expiry import RULES, alive
 from docketry.operators.windows import keep_recent, latest
-from docketry.schemas import DENIED
+from docketry.schemas import CASE_KEY, LOGGED
 
 
 def retain(df: DataFrame, kind: str, now: Column, ts: str = "ts", tie: str = "id", owner: str = "tenant") -> DataFrame:
@@ -18,14 +18,15 @@ def retain(df: DataFrame, kind: str, now: Column, ts: str = "ts", tie: str = "id
         return df
     if not rule.per_case:
         return keep_recent(df, [owner], ts, tie, rule.cap)
-    newest = df.groupBy(owner, "case_no").agg(F.max(ts).alias("__ts"))
-    return df.join(keep_recent(newest, [owner], "__ts", "case_no", rule.cap).select(owner, "case_no"), [owner, "case_no"], "left_semi")
+    key = list(dict.fromkeys([owner, *CASE_KEY]))
+    newest = df.groupBy(*key).agg(F.max(ts).alias("__ts")).withColumn("__tie", F.struct("case_no", "degree"))
+    return df.join(keep_recent(newest, [owner], "__ts", "__tie", rule.cap).select(*key), key, "left_semi").select(*df.columns)
 
 
 def forget_case(tables: dict[str, DataFrame], cases: DataFrame) -> dict[str, DataFrame]:
-    """Each table without the given cases."""
-    gone = cases.select("case_no").distinct()
-    return {name: t.join(gone, "case_no", "left_anti").select(*t.columns) for name, t in tables.items()}
+    """Each table without the given cases; a case of the same number in another court or degree stays."""
+    gone = cases.select(*CASE_KEY).distinct()
+    return {name: t.join(gone, CASE_KEY, "left_anti").select(*t.columns) for name, t in tables.items()}
 
 
 def forget_all(tables: dict[str, DataFrame], tenant: int) -> dict[str, DataFrame]:
@@ -35,12 +36,12 @@ def forget_all(tables: dict[str, DataFrame], tenant: int) -> dict[str, DataFrame
 
 def merge_notes(mine: DataFrame, incoming: DataFrame) -> DataFrame:
     """Both tables' notes; of the same note of the same sender the later one stays. The code, not the name, is the sender."""
-    return latest(mine.unionByName(incoming), ["case_no", "piece_id", "sender_code", "note_id"], "created_ts", "text")
+    return latest(mine.unionByName(incoming), [*CASE_KEY, "piece_id", "sender_code", "note_id"], "created_ts", "text")
 
 
 def log_actions(changes: DataFrame, run_id: str, ts: Column, profile: Column) -> DataFrame:
-    """Rows for the action log: one for each action, without case content, cookies or documents."""
-    kept = [c for c in changes.columns if c.lower() not in DENIED | {"text", "cookie", "parties"}]
+    """Rows for the action log: one for each action, in the log's own fields and no others."""
+    kept = [c for c in LOGGED if c in changes.columns and c not in ("run_id", "ts", "profile")]
     return changes.select(*kept).withColumns({"run_id": F.lit(run_id), "ts": ts, "profile": profile})
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.ids import name_norm
-from docketry.schemas import DENIED, PRESETS
+from docketry.schemas import CASE_KEY, DENIED, PRESETS
 
 
 def project_allowed(df: DataFrame, preset: str) -> DataFrame:
@@ -56,7 +56,7 @@ def pages_needing_ocr(folios: DataFrame) -> DataFrame:
 def draft_allowed(requests: DataFrame, guarded: tuple[str, ...] = ("ruling", "decision")) -> DataFrame:
     """requests with allowed: rulings and decisions need a thesis and a disposition that aren't blank."""
     given = (F.trim(F.coalesce("thesis", F.lit(""))) != "") & (F.trim(F.coalesce("disposition", F.lit(""))) != "")
-    return requests.withColumn("allowed", ~F.col("kind").isin(*guarded) | given)
+    return requests.withColumn("allowed", F.coalesce(~F.col("kind").isin(*guarded), F.lit(True)) | given)
 
 
 def movements_of(movements: DataFrame, types: list[str]) -> DataFrame:
@@ -83,10 +83,10 @@ def natural_persons(found: DataFrame) -> DataFrame:
 
 
 def search_party(cases: DataFrame, parties: DataFrame, name: str) -> DataFrame:
-    """(case_no) of the cases with a party whose normal name contains the normal form of name."""
+    """Keys of the cases with a party whose normal name contains the normal form of name."""
     wanted = name_norm(F.lit(name))
-    hits = parties.filter(F.contains(name_norm(F.col("name")), wanted)).select("case_no")
-    return cases.select("case_no").join(hits, "case_no", "left_semi")
+    hits = parties.filter(F.contains(name_norm(F.col("name")), wanted)).select(*CASE_KEY)
+    return cases.select(*CASE_KEY).join(hits, CASE_KEY, "left_semi")
 
 
 def main_pieces(pieces: DataFrame, types: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.schemas import CASE_KEY
+
 
 def latest(df: DataFrame, key: list[str], ts: str, tie: str) -> DataFrame:
     """The last row of each key by ts, then by tie; nulls count as earliest."""
@@ -19,16 +21,16 @@ def keep_recent(df: DataFrame, group: list[str], ts: str, tie: str, n: int) -> D
 
 
 def number_labels(entities: DataFrame) -> DataFrame:
-    """(case_no, kind, value, label): [KIND_1], [KIND_2], ... inside a case, by first appearance."""
-    first = entities.groupBy("case_no", "kind", "value").agg(F.min(F.struct("piece_id", "start")).alias("at"))
-    n = F.row_number().over(Window.partitionBy("case_no", "kind").orderBy("at", "value"))
-    return first.select("case_no", "kind", "value", F.concat(F.lit("["), F.upper("kind"), F.lit("_"), n.cast("string"), F.lit("]")).alias("label"))
+    """(case key, kind, value, label): [KIND_1], [KIND_2], ... inside a case, by first appearance."""
+    first = entities.groupBy(*CASE_KEY, "kind", "value").agg(F.min(F.struct("piece_id", "start")).alias("at"))
+    n = F.row_number().over(Window.partitionBy(*CASE_KEY, "kind").orderBy("at", "value"))
+    return first.select(*CASE_KEY, "kind", "value", F.concat(F.lit("["), F.upper("kind"), F.lit("_"), n.cast("string"), F.lit("]")).alias("label"))
 
 
 def compare_days_ago(daily: DataFrame, n: int, max_gap: int = 0) -> DataFrame:
-    """daily (view, board, day, n) with before: the number n days earlier, or the nearest one up to max_gap days before that."""
+    """daily (tenant, view, board, day, n) with before: the number n days earlier, or the nearest one up to max_gap days before that."""
     day = F.unix_date("day")
-    w = Window.partitionBy("view", "board").orderBy(day).rangeBetween(-n - max_gap, -n)
+    w = Window.partitionBy("tenant", "view", "board").orderBy(day).rangeBetween(-n - max_gap, -n)
     return daily.withColumn("before", F.last("n", ignorenulls=True).over(w))
 
 
@@ -42,10 +44,13 @@ def pick_templates(templates: DataFrame, category: str | None, max_n: int, max_c
 
 
 def resent_bytes(turns: DataFrame, selection: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(case_no, turn, bytes, total): each turn sends the pieces marked so far again; total adds up over a conversation."""
-    sizes = selection.join(pieces.select("piece_id", "n_bytes"), "piece_id")
-    by_turn = sizes.groupBy("case_no", F.col("turn").alias("marked")).agg(F.sum("n_bytes").alias("added"))
-    rows = turns.select("case_no", "turn").distinct().join(by_turn.withColumnRenamed("marked", "turn"), ["case_no", "turn"], "left")
-    w = Window.partitionBy("case_no").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("bytes", F.sum(F.coalesce("added", F.lit(0))).over(w))
-    return rows.select("case_no", "turn", "bytes", F.sum("bytes").over(w).alias("total"))
+    """(case key, turn, bytes, total): each turn sends the pieces marked up to then again; total adds up over a conversation.
+
+    A piece may be marked at a turn that has no row of its own: it counts from the next turn on.
+    """
+    marked = selection.join(pieces.select(*CASE_KEY, "piece_id", "n_bytes"), [*CASE_KEY, "piece_id"])
+    marked = marked.groupBy(*CASE_KEY, "turn").agg(F.sum("n_bytes").alias("added")).withColumn("own", F.lit(False))
+    rows = turns.select(*CASE_KEY, "turn").distinct().withColumns({"added": F.lit(0).cast("long"), "own": F.lit(True)}).unionByName(marked)
+    w = Window.partitionBy(*CASE_KEY).orderBy("turn").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("bytes", F.sum("added").over(w)).filter("own")
+    return rows.select(*CASE_KEY, "turn", "bytes", F.sum("bytes").over(w).alias("total"))

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import ids
-from docketry.functions.expiry import expires_at
+from docketry.functions.expiry import RULES, expires_at
 from docketry.functions.patterns import IDENTIFIERS, MENTIONS, RG
 from docketry.operators import aggregates, deid, joins, parsing, retention, select, sets, windows
-from docketry.plans.inputs import NOW_EVENTS, NOW_ORDERS, SQL, Inputs
+from docketry.plans.inputs import KEY, NOW_EVENTS, NOW_ORDERS, SQL, Inputs
+from docketry.schemas import PIECE_KEY
 from docketry.sources import exports, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,10 +41,12 @@ def query(name: str, sql: str | None = None, ctes: str = ""):
 
 @query("s1_read_cases", "SELECT * FROM cases")
 def _(t):
-    return t.cases
+    path = t.place("cases")
+    t.cases.write.parquet(path)
+    return readers.read_cases(t.spark, path)
 
 
-@query("s2_read_case_list", "SELECT '0' || case_no AS case_no FROM cases WHERE case_no % 3 = 0")
+@query("s2_read_case_list", "SELECT DISTINCT '0' || case_no AS case_no FROM cases WHERE case_no % 3 = 0")
 def _(t):
     path = t.place("case-list")
     lines = F.when(F.expr("case_no % 3 = 0"), F.concat(F.lit("0-"), F.col("case_no").cast("string"))).otherwise(F.lit("no number"))
@@ -51,11 +54,11 @@ def _(t):
     return readers.read_case_list(t.spark, path)[0]
 
 
-@query("s4_read_plain", "SELECT title FROM pieces")
+@query("s4_read_plain", "SELECT title || ' ' || replace(coalesce(text, ''), chr(10), ' ') AS line FROM pieces")
 def _(t):
     path = t.place("plain")
-    t.pieces.select("title").write.text(path)
-    return readers.read_plain(t.spark, f"{path}/*.txt").select(F.explode(F.split("text", "\n")).alias("title")).filter("title <> ''")
+    t.pieces.select(F.concat("title", F.lit(" "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))).write.text(path)
+    return readers.read_plain(t.spark, f"{path}/*.txt").select(F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
 
 
 BARE = "coalesce(html, '')"
@@ -71,8 +74,8 @@ def _(t):
 
 
 @query("s5_export_case_text", """
-SELECT case_no, string_agg('## ' || title || chr(10) || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY piece_date, piece_id) AS text
-FROM pieces GROUP BY case_no""")
+SELECT tenant, degree, case_no, string_agg('## ' || title || chr(10) || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY piece_date, piece_id) AS text
+FROM pieces GROUP BY ALL""")
 def _(t):
     return exports.export_case_text(t.pieces)
 
@@ -83,10 +86,10 @@ def _(t):
 
 
 @query("s7_export_index", """
-SELECT c.case_no, CASE WHEN sealed THEN 'SEALED' ELSE '' END AS warning, class, queue, p.parties, i."index"
+SELECT c.tenant, c.degree, c.case_no, CASE WHEN sealed THEN 'SEALED' ELSE '' END AS warning, class, queue, p.parties, coalesce(i."index", '') AS "index"
 FROM cases c
-LEFT JOIN (SELECT case_no, string_agg(role || ', ' || name || ', ' || cpf, '; ' ORDER BY name) AS parties FROM parties GROUP BY case_no) p USING (case_no)
-JOIN (SELECT case_no, string_agg(piece_id || ' - ' || title, chr(10) ORDER BY piece_id) AS "index" FROM pieces GROUP BY case_no) i USING (case_no)""")
+LEFT JOIN (SELECT tenant, degree, case_no, string_agg(concat_ws(', ', role, name, cpf, oab), '; ' ORDER BY name) AS parties FROM parties GROUP BY ALL) p USING (tenant, degree, case_no)
+LEFT JOIN (SELECT tenant, degree, case_no, string_agg(piece_id || ' - ' || title, chr(10) ORDER BY piece_id) AS "index" FROM pieces GROUP BY ALL) i USING (tenant, degree, case_no)""")
 def _(t):
     return exports.export_index(t.cases, t.pieces, t.parties)
 
@@ -96,22 +99,22 @@ def _(t):
     return exports.export_list(t.cases)
 
 
-@query("s9_export_actions", "SELECT id AS action_id, ts, profile, case_no, outcome FROM ev")
+@query("s9_export_actions", "SELECT id AS action_id, ts, profile, tenant, degree, case_no, outcome FROM ev")
 def _(t):
-    actions = t.events.select(F.col("id").alias("action_id"), "ts", "profile", "case_no", "outcome", F.lit("x").alias("cookie"))
+    actions = t.events.select(F.col("id").alias("action_id"), "ts", "profile", "tenant", "degree", "case_no", "outcome", F.lit("x").alias("cookie"), F.col("props").alias("content"))
     return exports.export_actions(actions)
 
 
 @query("s10_export_notes", """
-SELECT '{"case_no":' || case_no || ',"piece_id":' || item || ',"note_id":' || id || ',"text":"' || outcome || '","sender_code":"s' || profile
-       || '","created_ts":"d' || batch_id || '","sender_name":"n' || profile || '"}' AS line FROM ev WHERE case_no % 5 = 0""")
+SELECT '{"tenant":' || e.tenant || ',"degree":' || e.degree || ',"case_no":' || case_no || ',"piece_id":' || item || ',"note_id":' || id || ',"text":"' || outcome || '","sender_code":"s' || profile
+       || '","created_ts":"d' || batch_id || '","sender_name":"n' || profile || '"}' AS line FROM ev e SEMI JOIN cases c ON c.tenant = e.tenant AND c.degree = e.degree AND c.case_no = e.case_no WHERE case_no % 5 = 0""")
 def _(t):
     return exports.export_notes(_notes(t), t.cases.filter("case_no % 5 = 0"))
 
 
 def _notes(t: Inputs) -> DataFrame:
     return t.events.select(
-        "case_no", F.col("item").alias("piece_id"), F.col("id").alias("note_id"), F.col("outcome").alias("text"),
+        *KEY, F.col("item").alias("piece_id"), F.col("id").alias("note_id"), F.col("outcome").alias("text"),
         F.concat(F.lit("s"), F.col("profile").cast("string")).alias("sender_code"), F.concat(F.lit("d"), F.col("batch_id").cast("string")).alias("created_ts"),
         F.concat(F.lit("n"), F.col("profile").cast("string")).alias("sender_name"),
     )
@@ -120,7 +123,7 @@ def _notes(t: Inputs) -> DataFrame:
 # projections, filters, predicates
 
 
-@query("p1_project_allowed", "SELECT case_no, class, queue, tags, priority, sealed, unit FROM cases")
+@query("p1_project_allowed", "SELECT degree, case_no, class, subject, queue, tags, priority, sealed, unit, arrival, last_mov FROM cases")
 def _(t):
     return select.project_allowed(t.cases, "triage")
 
@@ -141,19 +144,19 @@ def _(t):
 
 
 def _hearings(t: Inputs) -> DataFrame:
-    rows = t.parties.join(t.table("orders"), F.col("case_no") == F.col("o_orderkey"))
+    rows = t.parties.join(t.table("orders"), F.col("sheet_id") == F.col("o_orderkey"))
     return rows.select(
-        "case_no", F.col("o_orderdate").cast("date").alias("hearing_date"), F.expr("CAST(8 + case_no % 10 AS INT)").alias("hour"),
+        *KEY, F.col("o_orderdate").cast("date").alias("hearing_date"), F.expr("CAST(8 + case_no % 10 AS INT)").alias("hour"),
         F.col("o_orderpriority").alias("type"), "name", F.col("role").alias("qualification"), "cpf",
     )
 
 
 HEARINGS = """hearings AS (
-  SELECT case_no, CAST(o_orderdate AS DATE) AS hearing_date, CAST(8 + case_no % 10 AS INTEGER) AS hour, o_orderpriority AS type, name, role AS qualification
-  FROM parties JOIN orders ON case_no = o_orderkey)"""
+  SELECT tenant, degree, case_no, CAST(o_orderdate AS DATE) AS hearing_date, CAST(8 + case_no % 10 AS INTEGER) AS hour, o_orderpriority AS type, name, role AS qualification
+  FROM parties JOIN orders ON sheet_id = o_orderkey)"""
 
 
-@query("p5_hearings_between", "SELECT * FROM hearings WHERE hearing_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'", HEARINGS)
+@query("p5_hearings_between", "SELECT case_no, hearing_date, hour, type, name, qualification FROM hearings WHERE hearing_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'", HEARINGS)
 def _(t):
     import datetime as d
 
@@ -212,7 +215,7 @@ def _(t):
     return select.natural_persons(t.parties).select("case_no", "name")
 
 
-@query("p14_search_party", "SELECT case_no FROM cases WHERE case_no IN (SELECT case_no FROM parties WHERE contains(lower(name), 'customer#00000012'))")
+@query("p14_search_party", "SELECT tenant, degree, case_no FROM cases SEMI JOIN (SELECT * FROM parties WHERE contains(lower(name), 'customer#00000012')) USING (tenant, degree, case_no)")
 def _(t):
     return select.search_party(t.cases, t.parties, "CUSTOMER#00000012")
 
@@ -225,13 +228,13 @@ def _(t):
 # joins
 
 
-@query("j1_selected_only", "SELECT p.piece_id, p.case_no FROM pieces p SEMI JOIN selection s ON p.case_no = s.case_no AND p.piece_id = s.piece_id")
+@query("j1_selected_only", "SELECT p.piece_id, p.case_no FROM pieces p SEMI JOIN selection s USING (tenant, degree, case_no, piece_id)")
 def _(t):
     return joins.selected_only(t.pieces, t.selection).select("piece_id", "case_no")
 
 
 @query("j2_attach_children", """
-SELECT p.piece_id, p.case_no, p.title, coalesce(k.children, CAST([] AS BIGINT[])) AS children FROM pieces p
+SELECT p.tenant, p.degree, p.case_no, p.piece_id, p.title, coalesce(k.children, CAST([] AS BIGINT[])) AS children FROM pieces p
 LEFT JOIN (SELECT parent_id, list_sort(list(piece_id)) AS children FROM pieces WHERE parent_id IS NOT NULL GROUP BY 1) k ON k.parent_id = p.piece_id
 WHERE p.parent_id IS NULL""")
 def _(t):
@@ -247,30 +250,33 @@ def _(t):
 
 
 @query("j4_referenced_not_selected", """
-SELECT DISTINCT p.case_no, p.piece_id FROM pieces p JOIN pieces q ON q.parent_id = p.piece_id
-WHERE NOT EXISTS (SELECT 1 FROM selection s WHERE s.case_no = p.case_no AND s.piece_id = p.piece_id)""")
+SELECT DISTINCT p.tenant, p.degree, p.case_no, p.piece_id FROM pieces p JOIN pieces q ON q.parent_id = p.piece_id
+WHERE NOT EXISTS (SELECT 1 FROM selection s WHERE s.tenant = p.tenant AND s.degree = p.degree AND s.case_no = p.case_no AND s.piece_id = p.piece_id)""")
 def _(t):
-    return joins.referenced_not_selected(t.pieces.filter("parent_id IS NOT NULL").select("case_no", F.col("parent_id").alias("piece_id")), t.selection)
+    return joins.referenced_not_selected(t.pieces.filter("parent_id IS NOT NULL").select(*KEY, F.col("parent_id").alias("piece_id")), t.selection)
 
 
-@query("j5_with_last_analysis", "SELECT case_no, queue, analysed, situation, next_act FROM cases LEFT JOIN analyses USING (case_no)")
+LAST = "(SELECT * FROM analyses QUALIFY row_number() OVER (PARTITION BY tenant, degree, case_no ORDER BY analysed DESC NULLS LAST) = 1)"
+
+
+@query("j5_with_last_analysis", f"SELECT tenant, degree, case_no, queue, analysed, situation, next_act FROM cases LEFT JOIN {LAST} USING (tenant, degree, case_no)")
 def _(t):
-    return joins.with_last_analysis(t.cases, t.analyses).select("case_no", "queue", "analysed", "situation", "next_act")
+    return joins.with_last_analysis(t.cases, t.analyses).select(*KEY, "queue", "analysed", "situation", "next_act")
 
 
-@query("j6_needs_analysis", """
-SELECT c.case_no, c.last_mov FROM cases c LEFT JOIN analyses a USING (case_no)
+@query("j6_needs_analysis", f"""
+SELECT c.case_no, c.last_mov FROM cases c LEFT JOIN {LAST} a USING (tenant, degree, case_no)
 WHERE a.case_no IS NULL OR c.last_mov IS DISTINCT FROM a.last_mov_seen""")
 def _(t):
     return joins.needs_analysis(t.cases, t.analyses).select("case_no", "last_mov")
 
 
 @query("j7_missing_parties", """
-SELECT case_no, name, name_norm FROM (SELECT case_no + case_no % 2 AS case_no, name, lower(name) AS name_norm FROM parties) f
-WHERE NOT EXISTS (SELECT 1 FROM parties p WHERE p.case_no = f.case_no AND lower(p.name) = f.name_norm)""")
+SELECT tenant, degree, case_no, name, name_norm FROM (SELECT tenant, degree, case_no + case_no % 2 AS case_no, name, lower(name) AS name_norm FROM parties) f
+WHERE NOT EXISTS (SELECT 1 FROM parties p WHERE p.tenant = f.tenant AND p.degree = f.degree AND p.case_no = f.case_no AND lower(p.name) = f.name_norm)""")
 def _(t):
-    found = t.parties.select(F.expr("case_no + case_no % 2").alias("case_no"), "name")
-    return joins.missing_parties(found, t.parties).select("case_no", "name", "name_norm")
+    found = t.parties.select("tenant", "degree", F.expr("case_no + case_no % 2").alias("case_no"), "name")
+    return joins.missing_parties(found, t.parties).select(*KEY, "name", "name_norm")
 
 
 @query("j8_known_persons", """
@@ -290,16 +296,16 @@ def _exits(t: Inputs) -> DataFrame:
 
 
 def _moves(t: Inputs) -> DataFrame:
-    return t.cases.filter("case_no % 4 = 0").select("case_no", "queue", F.expr("CASE WHEN case_no % 8 = 0 THEN 'close' ELSE 'archive' END").alias("exit"))
+    return t.cases.filter("case_no % 4 = 0").select(*KEY, "queue", F.expr("CASE WHEN case_no % 8 = 0 THEN 'close' ELSE 'archive' END").alias("exit"))
 
 
 MOVES = """exits AS (SELECT queue, e AS exit, queue <> 'P' AS batch, queue || '-' || e AS to_queue
   FROM (SELECT DISTINCT queue FROM cases), (VALUES ('close'), ('review')) x(e)),
-moves AS (SELECT case_no, queue, CASE WHEN case_no % 8 = 0 THEN 'close' ELSE 'archive' END AS exit FROM cases WHERE case_no % 4 = 0)"""
+moves AS (SELECT tenant, degree, case_no, queue, CASE WHEN case_no % 8 = 0 THEN 'close' ELSE 'archive' END AS exit FROM cases WHERE case_no % 4 = 0)"""
 
 
 @query("j9_valid_exits", """
-SELECT case_no, queue, exit, EXISTS (SELECT 1 FROM exits e WHERE e.queue = m.queue AND e.exit = m.exit AND batch) AS valid FROM moves m""", MOVES)
+SELECT tenant, degree, case_no, queue, exit, EXISTS (SELECT 1 FROM exits e WHERE e.queue = m.queue AND e.exit = m.exit AND batch) AS valid FROM moves m""", MOVES)
 def _(t):
     valid, refused = joins.valid_exits(_moves(t), _exits(t))
     return valid.withColumn("valid", F.lit(True)).unionByName(refused.withColumn("valid", F.lit(False)))
@@ -314,22 +320,25 @@ def _(t):
 
 
 def _changes(t: Inputs) -> DataFrame:
-    return t.cases.filter("case_no % 3 = 0").select("case_no", F.expr("array('urgent', 'AF')").alias("add"), F.expr("array('RF', 'NO')").alias("remove"))
+    """Some cases are changed twice in one run."""
+    first = t.cases.filter("case_no % 3 = 0").select(*KEY, F.expr("array('urgent', 'AF')").alias("add"), F.expr("array('RF', 'NO')").alias("remove"))
+    return first.unionByName(first.filter("case_no % 6 = 0").select(*KEY, F.expr("array('late')").alias("add"), F.expr("array('AF')").alias("remove")))
 
 
-AFTER = "list_sort(list_filter(list_distinct(list_concat(coalesce(tags, CAST([] AS VARCHAR[])), ['urgent', 'AF'])), lambda x: x NOT IN ('RF', 'NO')))"
+AFTER = """list_sort(list_filter(list_distinct(list_concat(coalesce(tags, CAST([] AS VARCHAR[])), ['urgent', 'AF'], CASE WHEN case_no % 6 = 0 THEN ['late'] ELSE CAST([] AS VARCHAR[]) END)),
+  lambda x: x NOT IN ('RF', 'NO') AND NOT (case_no % 6 = 0 AND x = 'AF')))"""
 
 
-@query("j11_preview", "SELECT case_no, tags AS before, list_sort(list_filter(list_distinct(list_concat(tags, ['urgent', 'AF'])), lambda x: x NOT IN ('RF', 'NO'))) AS after FROM cases WHERE case_no % 3 = 0 AND tags IS NOT NULL")
+@query("j11_preview", f"SELECT tenant, degree, case_no, tags AS before, {AFTER} AS after FROM cases WHERE case_no % 3 = 0 AND tags IS NOT NULL")
 def _(t):
     return joins.preview(t.cases.filter("tags IS NOT NULL"), _changes(t))
 
 
 @query("j12_verify", """
-SELECT coalesce(a.case_no, b.case_no) AS case_no, CASE WHEN b.case_no IS NULL THEN 'missing' WHEN a.case_no IS NULL THEN 'unexpected'
+SELECT tenant, degree, case_no, CASE WHEN b.case_no IS NULL THEN 'missing' WHEN a.case_no IS NULL THEN 'unexpected'
   WHEN a.queue IS NOT DISTINCT FROM b.queue AND a.tags IS NOT DISTINCT FROM b.tags THEN 'ok' ELSE 'differs' END AS status
 FROM (SELECT * FROM cases WHERE case_no % 10 <> 0) a FULL JOIN
-     (SELECT case_no, CASE WHEN case_no % 4 = 0 THEN 'X' ELSE queue END AS queue, tags FROM cases WHERE case_no % 9 <> 0) b ON a.case_no = b.case_no""")
+     (SELECT tenant, degree, case_no, CASE WHEN case_no % 4 = 0 THEN 'X' ELSE queue END AS queue, tags FROM cases WHERE case_no % 9 <> 0) b USING (tenant, degree, case_no)""")
 def _(t):
     actual = t.cases.filter("case_no % 9 <> 0").withColumn("queue", F.expr("CASE WHEN case_no % 4 = 0 THEN 'X' ELSE queue END"))
     return joins.verify(t.cases.filter("case_no % 10 <> 0"), actual)
@@ -337,11 +346,11 @@ def _(t):
 
 @query("j13_results_for", """
 SELECT tenant, degree, case_no, ts, result_id FROM (
-  SELECT tenant, 1 + case_no % 2 AS degree, case_no, ts, id AS result_id,
-         row_number() OVER (PARTITION BY tenant, case_no ORDER BY ts DESC, id DESC) AS n FROM ev) r
+  SELECT tenant, degree, case_no, ts, id AS result_id,
+         row_number() OVER (PARTITION BY tenant, degree, case_no ORDER BY ts DESC, id DESC) AS n FROM ev) r
 WHERE n = 1 AND EXISTS (SELECT 1 FROM cases c WHERE c.tenant = r.tenant AND c.degree = r.degree AND c.case_no = r.case_no)""")
 def _(t):
-    results = t.events.select("tenant", F.expr("1 + case_no % 2").alias("degree"), "case_no", "ts", F.col("id").alias("result_id"))
+    results = t.events.select(*KEY, "ts", F.col("id").alias("result_id"))
     return joins.results_for(t.cases, results)
 
 
@@ -372,23 +381,23 @@ def _(t):
 SELECT piece_id, coalesce(quality = 1, false) AS read, coalesce(toxic = 1, false) AS favourite, coalesce(CAST(doc_id % 9 AS INTEGER), 0) AS last_page
 FROM pieces LEFT JOIN labels ON doc_id = piece_id""")
 def _(t):
-    marks = t.table("labels").select(F.col("doc_id").alias("piece_id"), (F.col("quality") == 1).alias("read"), (F.col("toxic") == 1).alias("favourite"), F.expr("CAST(doc_id % 9 AS INT)").alias("last_page"))
+    marks = t.table("labels").join(t.pieces, F.col("doc_id") == F.col("piece_id")).select(*KEY, "piece_id", (F.col("quality") == 1).alias("read"), (F.col("toxic") == 1).alias("favourite"), F.expr("CAST(doc_id % 9 AS INT)").alias("last_page"))
     return joins.with_reader_marks(t.pieces, marks).select("piece_id", "read", "favourite", "last_page")
 
 
 @query("j17_with_notes", """
 SELECT p.piece_id, coalesce(n.notes, CAST([] AS VARCHAR[])) AS notes FROM pieces p
-LEFT JOIN (SELECT item, list(outcome ORDER BY 'd' || batch_id, id) AS notes FROM ev GROUP BY item) n ON n.item = p.piece_id""")
+LEFT JOIN (SELECT tenant, degree, case_no, item AS piece_id, list(outcome ORDER BY 'd' || batch_id, id) AS notes FROM ev GROUP BY ALL) n USING (tenant, degree, case_no, piece_id)""")
 def _(t):
     return joins.with_notes(t.pieces, _notes(t)).select("piece_id", "notes")
 
 
 @query("j18_keyed_barrier", """
-SELECT s.case_no, s.case_no AS turn, v.value, CAST(strpos(s.text, v.value) AS BIGINT) AS at
-FROM sheets s JOIN (SELECT DISTINCT case_no, name AS value FROM parties) v ON s.case_no = v.case_no WHERE contains(s.text, v.value)""")
+SELECT s.tenant, s.degree, s.case_no, s.piece_id AS turn, v.value, CAST(strpos(s.text, v.value) AS BIGINT) AS at
+FROM sheets s JOIN (SELECT DISTINCT tenant, degree, case_no, name AS value FROM parties) v USING (tenant, degree, case_no) WHERE contains(s.text, v.value)""")
 def _(t):
-    outgoing = t.sheets.select("case_no", F.col("case_no").alias("turn"), "text")
-    return deid.barrier_hits(outgoing, t.parties.select("case_no", F.col("name").alias("value")))
+    outgoing = t.sheets.select(*KEY, F.col("piece_id").alias("turn"), "text")
+    return deid.barrier_hits(outgoing, t.parties.select(*KEY, F.col("name").alias("value")))
 
 
 @query("j19_with_favourites", "SELECT case_no, case_no % 13 = 0 AS favourite FROM cases")
@@ -422,14 +431,16 @@ def _(t):
 
 
 DAILY = """daily AS (
-  SELECT 'unit' AS view, board, day, CAST(n AS BIGINT) AS n FROM (
-    SELECT arrival AS day, count(*) AS "all", count(*) FILTER (priority) AS urgent, count(*) FILTER (sealed) AS sealed, count(*) FILTER (queue = 'O') AS "open"
-    FROM cases GROUP BY arrival) UNPIVOT (n FOR board IN ("all", urgent, sealed, "open")))"""
+  SELECT tenant, CASE WHEN board IN ('sealed', 'free') THEN 'secrecy' ELSE 'unit' END AS view, board, day, CAST(n AS BIGINT) AS n FROM (
+    SELECT tenant, arrival AS day, count(*) AS "all", count(*) FILTER (priority) AS urgent, count(*) FILTER (queue = 'O') AS "open",
+           count(*) FILTER (sealed) AS sealed, count(*) FILTER (NOT sealed) AS free
+    FROM cases GROUP BY ALL) UNPIVOT (n FOR board IN ("all", urgent, "open", sealed, free)))"""
 
 
 def _daily(t: Inputs) -> DataFrame:
-    boards = {"all": F.lit(True), "urgent": F.col("priority"), "sealed": F.col("sealed"), "open": F.col("queue") == "O"}
-    return aggregates.daily_totals(t.cases, boards, F.col("arrival"))
+    sealed = F.col("sealed")
+    views = {"unit": {"all": F.lit(True), "urgent": F.col("priority"), "open": F.col("queue") == "O"}, "secrecy": {"sealed": sealed, "free": ~sealed}}
+    return aggregates.daily_totals(t.cases, views, F.col("arrival"))
 
 
 @query("a4_daily_totals", "SELECT * FROM daily", DAILY)
@@ -437,15 +448,15 @@ def _(t):
     return _daily(t)
 
 
-@query("a5_board_share", "SELECT *, round(n * 100.0::DOUBLE / nullif(sum(n) OVER (PARTITION BY view, day), 0), 1) AS share FROM daily", DAILY)
+@query("a5_board_share", "SELECT *, round(n * 100.0::DOUBLE / nullif(sum(n) OVER (PARTITION BY tenant, view, day), 0), 1) AS share FROM daily", DAILY)
 def _(t):
     return aggregates.board_share(_daily(t))
 
 
 @query("a6_case_bundle", """
-SELECT c.case_no, class, queue, p.pieces, m.movements FROM cases c
-LEFT JOIN (SELECT case_no, list(piece_id || '|' || title || '|' || text ORDER BY piece_id) AS pieces FROM pieces GROUP BY case_no) p USING (case_no)
-LEFT JOIN (SELECT case_no, list(strftime(mov_ts, '%Y-%m-%d') || '|' || mov_type ORDER BY mov_ts, mov_type) AS movements FROM movements GROUP BY case_no) m USING (case_no)""")
+SELECT tenant, degree, case_no, class, queue, p.pieces, m.movements FROM cases c
+LEFT JOIN (SELECT tenant, degree, case_no, list(piece_id || '|' || title || '|' || text ORDER BY piece_id) AS pieces FROM pieces GROUP BY ALL) p USING (tenant, degree, case_no)
+LEFT JOIN (SELECT tenant, degree, case_no, list(strftime(mov_ts, '%Y-%m-%d') || '|' || mov_type ORDER BY mov_ts, mov_type) AS movements FROM movements GROUP BY ALL) m USING (tenant, degree, case_no)""")
 def _(t):
     out = aggregates.case_bundle(t.cases, t.pieces, t.movements)
     return out.withColumns({
@@ -457,9 +468,9 @@ def _(t):
 @query("a7_estimate_work", """
 SELECT count(*) AS n_cases, CAST(ceil(sum(n_bytes) / 4.0) * 0.0000005 AS DECIMAL(18, 6)) AS cost,
        count(*) > 10 OR CAST(ceil(sum(n_bytes) / 4.0) * 0.0000005 AS DECIMAL(18, 6)) > 0.50 AS confirm
-FROM (SELECT case_no, sum(n_bytes) AS n_bytes FROM pieces GROUP BY case_no)""")
+FROM (SELECT tenant, degree, case_no, sum(n_bytes) AS n_bytes FROM pieces GROUP BY ALL)""")
 def _(t):
-    return aggregates.estimate_work(t.pieces.groupBy("case_no").agg(F.sum("n_bytes").alias("n_chars")))
+    return aggregates.estimate_work(t.pieces.groupBy(*KEY).agg(F.sum("n_bytes").alias("n_chars")))
 
 
 def _found_sql(name: str, source: str, patterns: dict[str, str], group: int = 0) -> str:
@@ -468,9 +479,9 @@ def _found_sql(name: str, source: str, patterns: dict[str, str], group: int = 0)
     for kind, p in patterns.items():
         p = p.replace("'", "''")
         parts.append(f"""
-  SELECT case_no, piece_id, '{kind}' AS kind, value, CAST("end" - length(hit) AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM (
-    SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY case_no, piece_id ORDER BY i) AS "end" FROM (
-      SELECT case_no, piece_id, unnest(string_split_regex(text, '{p}')) AS gap, unnest(regexp_extract_all(text, '{p}')) AS hit,
+  SELECT tenant, degree, case_no, piece_id, '{kind}' AS kind, value, CAST("end" - length(hit) AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM (
+    SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY tenant, degree, case_no, piece_id ORDER BY i) AS "end" FROM (
+      SELECT tenant, degree, case_no, piece_id, unnest(string_split_regex(text, '{p}')) AS gap, unnest(regexp_extract_all(text, '{p}')) AS hit,
              unnest(regexp_extract_all(text, '{p}', {group})) AS value, generate_subscripts(string_split_regex(text, '{p}'), 1) AS i
       FROM {source} WHERE regexp_matches(text, '{p}')) WHERE hit IS NOT NULL)""")
     return f"{name} AS ({' UNION ALL '.join(parts)})"
@@ -479,13 +490,13 @@ def _found_sql(name: str, source: str, patterns: dict[str, str], group: int = 0)
 SHEET_ENTITIES = _found_sql("found", "sheets", IDENTIFIERS)
 
 
-@query("a8_mask_counts", "SELECT case_no, piece_id, kind, count(*) AS n FROM found GROUP BY ALL", SHEET_ENTITIES)
+@query("a8_mask_counts", "SELECT tenant, degree, case_no, piece_id, kind, count(*) AS n FROM found GROUP BY ALL", SHEET_ENTITIES)
 def _(t):
     return aggregates.mask_counts(deid.detect_patterns(t.sheets))
 
 
 @query("a9_hearing_parties", """
-SELECT case_no, hearing_date, hour, type, list(name || '|' || qualification ORDER BY name) AS parties FROM hearings GROUP BY ALL""", HEARINGS)
+SELECT tenant, degree, case_no, hearing_date, hour, type, list(name || '|' || qualification ORDER BY name) AS parties FROM hearings GROUP BY ALL""", HEARINGS)
 def _(t):
     return aggregates.hearing_parties(_hearings(t)).withColumn("parties", F.transform("parties", lambda p: F.concat_ws("|", p["name"], p["qualification"])))
 
@@ -512,11 +523,11 @@ def _(t):
 
 
 LABELS = f"""{SHEET_ENTITIES}, label_map AS (
-  SELECT case_no, kind, value, '[' || upper(kind) || '_' || row_number() OVER (PARTITION BY case_no, kind ORDER BY at_piece, at_start, value) || ']' AS label
-  FROM (SELECT case_no, kind, value, min(piece_id) AS at_piece, min(start) AS at_start FROM found GROUP BY ALL))"""
+  SELECT tenant, degree, case_no, kind, value, '[' || upper(kind) || '_' || row_number() OVER (PARTITION BY tenant, degree, case_no, kind ORDER BY at_piece, at_start, value) || ']' AS label
+  FROM (SELECT tenant, degree, case_no, kind, value, min(piece_id) AS at_piece, min(start) AS at_start FROM found GROUP BY ALL))"""
 
 
-@query("w2_number_labels", "SELECT case_no, kind, value, label FROM label_map", LABELS)
+@query("w2_number_labels", "SELECT tenant, degree, case_no, kind, value, label FROM label_map", LABELS)
 def _(t):
     return windows.number_labels(deid.detect_patterns(t.sheets))
 
@@ -527,7 +538,7 @@ def _(t):
 
 
 @query("w4_compare_days_ago", """
-SELECT *, last_value(n IGNORE NULLS) OVER (PARTITION BY view, board ORDER BY day RANGE BETWEEN INTERVAL 35 DAYS PRECEDING AND INTERVAL 30 DAYS PRECEDING) AS before FROM daily""", DAILY)
+SELECT *, last_value(n IGNORE NULLS) OVER (PARTITION BY tenant, view, board ORDER BY day RANGE BETWEEN INTERVAL 35 DAYS PRECEDING AND INTERVAL 30 DAYS PRECEDING) AS before FROM daily""", DAILY)
 def _(t):
     return windows.compare_days_ago(_daily(t), 30, 5)
 
@@ -541,53 +552,53 @@ def _(t):
 
 
 @query("w6_resent_bytes", """
-SELECT case_no, turn, CAST(bytes AS BIGINT) AS bytes, CAST(sum(bytes) OVER (PARTITION BY case_no ORDER BY turn) AS BIGINT) AS total FROM (
-  SELECT t.case_no, t.turn, sum(coalesce(m.added, 0)) OVER (PARTITION BY t.case_no ORDER BY t.turn) AS bytes
-  FROM (SELECT DISTINCT case_no, turn FROM turns) t
-  LEFT JOIN (SELECT case_no, piece_id % 4 AS turn, sum(n_bytes) AS added FROM pieces GROUP BY ALL) m ON m.case_no = t.case_no AND m.turn = t.turn)""")
+SELECT tenant, degree, case_no, turn, CAST(bytes AS BIGINT) AS bytes, CAST(sum(bytes) OVER (PARTITION BY tenant, degree, case_no ORDER BY turn) AS BIGINT) AS total FROM (
+  SELECT t.tenant, t.degree, t.case_no, t.turn, coalesce(sum(m.n_bytes), 0) AS bytes FROM (SELECT DISTINCT tenant, degree, case_no, turn FROM turns) t
+  LEFT JOIN pieces m ON m.tenant = t.tenant AND m.degree = t.degree AND m.case_no = t.case_no AND m.piece_id % 4 - 1 <= t.turn GROUP BY ALL)""")
 def _(t):
-    marked = t.pieces.select("case_no", F.expr("piece_id % 4").alias("turn"), "piece_id")
+    # some pieces are marked before the first turn
+    marked = t.pieces.select(*KEY, F.expr("piece_id % 4 - 1").alias("turn"), "piece_id")
     return windows.resent_bytes(t.turns, marked, t.pieces)
 
 
 # sorts, limits, sets
 
 
-@query("t1_oldest_cases", "SELECT case_no, arrival FROM cases WHERE queue = 'O' ORDER BY arrival, case_no LIMIT 5")
+@query("t1_oldest_cases", "SELECT case_no, arrival FROM cases WHERE queue = 'O' ORDER BY arrival, case_no, tenant, degree LIMIT 5")
 def _(t):
     return sets.oldest_cases(t.cases, "O", 5).select("case_no", "arrival")
 
 
-@query("t2_newest_cases_cap", "SELECT id, case_no, ts FROM ev WHERE case_no IN (SELECT case_no FROM ev GROUP BY case_no ORDER BY max(ts) DESC, case_no DESC LIMIT 100)")
+@query("t2_newest_cases_cap", "SELECT id, case_no, ts FROM ev SEMI JOIN (SELECT tenant, degree, case_no FROM ev GROUP BY ALL ORDER BY max(ts) DESC, case_no DESC, degree DESC, tenant DESC LIMIT 100) USING (tenant, degree, case_no)")
 def _(t):
     return sets.newest_cases_cap(t.events, 100).select("id", "case_no", "ts")
 
 
 TIMELINE = """timeline AS (
-  SELECT case_no, CAST(piece_date AS TIMESTAMP) AS ts, 'piece' AS kind, piece_id AS id, title AS what FROM pieces
-  UNION ALL SELECT case_no, mov_ts, 'movement', mov_id, mov_type FROM movements)"""
+  SELECT tenant, degree, case_no, CAST(piece_date AS TIMESTAMP) AS ts, 'piece' AS kind, piece_id AS id, title AS what FROM pieces
+  UNION ALL SELECT tenant, degree, case_no, mov_ts, 'movement', mov_id, mov_type FROM movements)"""
 
 
-@query("t3_order_timeline", "SELECT * FROM timeline ORDER BY case_no, ts, kind, id", TIMELINE)
+@query("t3_order_timeline", "SELECT * FROM timeline ORDER BY tenant, degree, case_no, ts, kind, id", TIMELINE)
 def _(t):
     return sets.order_timeline(sets.timeline(t.pieces, t.movements))
 
 
-@query("u1_scope", "SELECT DISTINCT tenant, degree, case_no FROM cases WHERE queue = 'P' OR list_contains(tags, 'RF') OR case_no IN (SELECT case_no FROM pieces)")
+@query("u1_scope", "SELECT DISTINCT tenant, degree, case_no FROM cases WHERE queue = 'P' OR list_contains(tags, 'RF') OR (tenant, degree, case_no) IN (SELECT (tenant, degree, case_no) FROM pieces)")
 def _(t):
     return sets.scope(t.cases, "P", "RF", t.pieces)
 
 
-@query("u2_apply_tags", f"SELECT case_no, CASE WHEN case_no % 3 = 0 THEN {AFTER} ELSE tags END AS tags FROM cases")
+@query("u2_apply_tags", f"SELECT tenant, degree, case_no, CASE WHEN case_no % 3 = 0 THEN {AFTER} ELSE tags END AS tags FROM cases")
 def _(t):
-    return sets.apply_tags(t.cases, _changes(t)).select("case_no", "tags")
+    return sets.apply_tags(t.cases, _changes(t)).select(*KEY, "tags")
 
 
-@query("u3_undo_tags", "SELECT case_no, tags FROM cases WHERE tags IS NOT NULL")
+@query("u3_undo_tags", "SELECT tenant, degree, case_no, tags FROM cases WHERE tags IS NOT NULL")
 def _(t):
     cases = t.cases.filter("tags IS NOT NULL")
     done = sets.apply_tags(cases, _changes(t))
-    return sets.undo_tags(done, sets.tag_changes(cases, _changes(t), "run 1"), "run 1").select("case_no", "tags")
+    return sets.undo_tags(done, sets.tag_changes(cases, _changes(t), "run 1"), "run 1").select(*KEY, "tags")
 
 
 @query("u4_exclude_queues", "SELECT case_no, queue FROM cases WHERE queue <> 'F'")
@@ -610,10 +621,10 @@ def _(t):
 
 
 @query("u7_move_cases", """
-SELECT c.case_no, coalesce(e.to_queue, c.queue) AS queue FROM cases c LEFT JOIN moves m USING (case_no)
+SELECT tenant, degree, case_no, coalesce(e.to_queue, c.queue) AS queue FROM cases c LEFT JOIN moves m USING (tenant, degree, case_no)
 LEFT JOIN exits e ON e.queue = c.queue AND e.exit = m.exit AND e.batch""", MOVES)
 def _(t):
-    return sets.move_cases(t.cases, _moves(t), _exits(t)).select("case_no", "queue")
+    return sets.move_cases(t.cases, _moves(t).unionByName(_moves(t)), _exits(t)).select(*KEY, "queue")
 
 
 # de-identification
@@ -624,36 +635,39 @@ def _(t):
     return deid.detect_patterns(t.sheets)
 
 
-@query("d1_detect_patterns_in_pieces", "SELECT * FROM found", _found_sql("found", "pieces", {"email": IDENTIFIERS["email"]}))
+@query("d1_detect_patterns_in_pieces", "SELECT * FROM found", _found_sql("found", "pieces", IDENTIFIERS))
 def _(t):
-    return deid.detect_patterns(t.pieces, {"email": IDENTIFIERS["email"]})
+    return deid.detect_patterns(t.pieces)
 
 
-@query("d2_detect_rg", 'SELECT case_no, piece_id, kind, value, "end" - length(value) AS start, "end" FROM found', _found_sql("found", "sheets", {"rg": RG}, 1))
+@query("d2_detect_rg", 'SELECT tenant, degree, case_no, piece_id, kind, value, "end" - length(value) AS start, "end" FROM found', _found_sql("found", "sheets", {"rg": RG}, 1))
 def _(t):
     return deid.detect_rg(t.sheets)
 
 
 @query("d3_detect_register", """
-SELECT s.case_no, s.piece_id, 'person' AS kind, name AS value, CAST(strpos(s.text, name) - 1 AS BIGINT) AS start,
-       CAST(strpos(s.text, name) - 1 + length(name) AS BIGINT) AS "end" FROM sheets s JOIN parties p ON s.case_no = p.case_no""")
+SELECT s.tenant, s.degree, s.case_no, s.piece_id, 'person' AS kind, name AS value, CAST(strpos(s.text, name) - 1 AS BIGINT) AS start,
+       CAST(strpos(s.text, name) - 1 + length(name) AS BIGINT) AS "end" FROM sheets s JOIN parties p USING (tenant, degree, case_no)""")
 def _(t):
     # this twin has the first place of each name; all kinds, forms and places are in d3_detect_register_all
     first = F.min(F.struct("start", "value", "end")).alias("f")
     found = deid.detect_register(t.sheets, t.parties).filter("kind = 'person'")
-    return found.groupBy("case_no", "piece_id", "kind").agg(first).select("case_no", "piece_id", "kind", "f.value", "f.start", "f.end")
+    return found.groupBy(*PIECE_KEY, "kind").agg(first).select(*PIECE_KEY, "kind", "f.value", "f.start", "f.end")
 
 
-@query("d3_detect_register_all", """
-SELECT s.case_no, s.piece_id, 'person' AS kind, name AS value, CAST(strpos(s.text, name) - 1 AS BIGINT) AS start,
-       CAST(strpos(s.text, name) - 1 + length(name) AS BIGINT) AS "end" FROM sheets s JOIN parties p ON s.case_no = p.case_no
+REGISTER = """
+SELECT s.tenant, s.degree, s.case_no, s.piece_id, 'person' AS kind, name AS value, CAST(strpos(s.text, name) - 1 AS BIGINT) AS start,
+       CAST(strpos(s.text, name) - 1 + length(name) AS BIGINT) AS "end" FROM sheets s JOIN parties p USING (tenant, degree, case_no)
 UNION ALL
-SELECT s.case_no, s.piece_id, 'person', name, CAST(length(s.text) - 1 - length(name) AS BIGINT), CAST(length(s.text) - 1 AS BIGINT)
-FROM sheets s JOIN parties p ON s.case_no = p.case_no
+SELECT s.tenant, s.degree, s.case_no, s.piece_id, 'person', name, CAST(length(s.text) - 1 - length(name) AS BIGINT), CAST(length(s.text) - 1 AS BIGINT)
+FROM sheets s JOIN parties p USING (tenant, degree, case_no)
 UNION ALL
-SELECT s.case_no, s.piece_id, 'number', substr(cpf, 1, 3) || '.' || substr(cpf, 4, 3) || '.' || substr(cpf, 7, 3) || '-' || substr(cpf, 10, 2),
+SELECT s.tenant, s.degree, s.case_no, s.piece_id, 'number', substr(cpf, 1, 3) || '.' || substr(cpf, 4, 3) || '.' || substr(cpf, 7, 3) || '-' || substr(cpf, 10, 2),
        CAST(strpos(s.text, ', CPF ') + 5 AS BIGINT), CAST(strpos(s.text, ', CPF ') + 19 AS BIGINT)
-FROM sheets s JOIN parties p ON s.case_no = p.case_no""")
+FROM sheets s JOIN parties p USING (tenant, degree, case_no)"""
+
+
+@query("d3_detect_register_all", REGISTER)
 def _(t):
     return deid.detect_register(t.sheets, t.parties.withColumn("name", F.concat(F.lit(" "), F.upper("name"))))
 
@@ -662,7 +676,7 @@ KEPT = _found_sql("kept", "sheets", {k: MENTIONS[k] for k in ("date", "law", "de
 
 
 @query("d4_detect_model", """
-SELECT case_no, piece_id, 'person' AS kind, regexp_extract(text, 'Autor ([^ ,]+),', 1) AS value, CAST(6 AS BIGINT) AS start,
+SELECT tenant, degree, case_no, piece_id, 'person' AS kind, regexp_extract(text, 'Autor ([^ ,]+),', 1) AS value, CAST(6 AS BIGINT) AS start,
        CAST(6 + length(regexp_extract(text, 'Autor ([^ ,]+),', 1)) AS BIGINT) AS "end" FROM sheets""")
 def _(t):
     return deid.detect_model(t.sheets, _name_after_label)
@@ -672,12 +686,12 @@ def _name_after_label(batches):
     """Stands for a user's model: the word after a label, with its place."""
     for b in batches:
         value = b["text"].str.extract("Autor ([^ ,]+),")[0]
-        yield b[["case_no", "piece_id"]].assign(kind="person", value=value, start=6, end=6 + value.str.len())
+        yield b[PIECE_KEY].assign(kind="person", value=value, start=6, end=6 + value.str.len())
 
 
 @query("d5_drop_preserved", """
 SELECT * FROM both_kinds e WHERE NOT EXISTS (
-  SELECT 1 FROM kept k WHERE k.case_no = e.case_no AND k.piece_id = e.piece_id AND e.start < k."end" AND k.start < e."end")""",
+  SELECT 1 FROM kept k WHERE k.piece_id = e.piece_id AND e.start < k."end" AND k.start < e."end")""",
     f"{_found_sql('found', 'sheets', {'cep': IDENTIFIERS['cep'], 'number': '[0-9]+'})}, both_kinds AS (SELECT * FROM found), {KEPT}")
 def _(t):
     return deid.drop_preserved(deid.detect_patterns(t.sheets, {"cep": IDENTIFIERS["cep"], "number": "[0-9]+"}), t.sheets)
@@ -685,15 +699,15 @@ def _(t):
 
 @query("d6_resolve_spans", """
 SELECT e.* FROM found e WHERE kind = 'cep' OR NOT EXISTS (
-  SELECT 1 FROM found c WHERE c.kind = 'cep' AND c.case_no = e.case_no AND c.piece_id = e.piece_id AND e.start < c."end" AND c.start < e."end")""",
+  SELECT 1 FROM found c WHERE c.kind = 'cep' AND c.piece_id = e.piece_id AND e.start < c."end" AND c.start < e."end")""",
     _found_sql("found", "sheets", {"cep": IDENTIFIERS["cep"], "number": "[0-9]+"}))
 def _(t):
     return deid.resolve_spans(deid.detect_patterns(t.sheets, {"cep": IDENTIFIERS["cep"], "number": "[0-9]+"}))
 
 
 MASKED = LABELS + """, masked AS (
-  SELECT case_no, piece_id, coalesce(list_reduce(list_prepend(text, labels), lambda a, x: replace(a, split_part(x, chr(1), 1), split_part(x, chr(1), 2))), text) AS masked
-  FROM sheets LEFT JOIN (SELECT case_no, list(value || chr(1) || label ORDER BY length(value) DESC, value) AS labels FROM label_map GROUP BY case_no) USING (case_no))"""
+  SELECT tenant, degree, case_no, piece_id, coalesce(list_reduce(list_prepend(text, labels), lambda a, x: replace(a, split_part(x, chr(1), 1), split_part(x, chr(1), 2))), text) AS masked
+  FROM sheets LEFT JOIN (SELECT tenant, degree, case_no, list(value || chr(1) || label ORDER BY length(value) DESC, value) AS labels FROM label_map GROUP BY ALL) USING (tenant, degree, case_no))"""
 
 
 def _masked(t: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -702,24 +716,24 @@ def _masked(t: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
     return found, labels, deid.mask(t.sheets, labels)
 
 
-@query("d7_mask", "SELECT case_no, piece_id, masked FROM masked", MASKED)
+@query("d7_mask", "SELECT tenant, degree, case_no, piece_id, masked FROM masked", MASKED)
 def _(t):
-    return _masked(t)[2].select("case_no", "piece_id", "masked")
+    return _masked(t)[2].select(*PIECE_KEY, "masked")
 
 
 @query("d7_mask_fields", """
-SELECT case_no, case_no AS id, 'title' AS field, 'Autor [PERSON_1]' AS masked FROM parties
-UNION ALL SELECT case_no, case_no, 'thesis', 'Defende [PERSON_1] em juízo' FROM parties""")
+SELECT tenant, degree, case_no, sheet_id AS id, 'title' AS field, 'Autor [PERSON_1]' AS masked FROM parties
+UNION ALL SELECT tenant, degree, case_no, sheet_id, 'thesis', 'Defende [PERSON_1] em juízo' FROM parties""")
 def _(t):
-    labels = t.parties.select("case_no", F.lit("person").alias("kind"), F.col("name").alias("value"), F.lit("[PERSON_1]").alias("label"))
-    rows = t.parties.select("case_no", F.col("case_no").alias("id"), F.concat(F.lit("Autor "), "name").alias("title"), F.concat(F.lit("Defende "), "name", F.lit(" em juízo")).alias("thesis"))
+    labels = t.parties.select(*KEY, F.lit("person").alias("kind"), F.col("name").alias("value"), F.lit("[PERSON_1]").alias("label"))
+    rows = t.parties.select(*KEY, F.col("sheet_id").alias("id"), F.concat(F.lit("Autor "), "name").alias("title"), F.concat(F.lit("Defende "), "name", F.lit(" em juízo")).alias("thesis"))
     return deid.mask_fields(rows, labels, ["title", "thesis"])
 
 
-@query("d8_unmask", "SELECT case_no, piece_id, text AS unmasked FROM sheets")
+@query("d8_unmask", "SELECT tenant, degree, case_no, piece_id, text AS unmasked FROM sheets")
 def _(t):
     _, labels, masked = _masked(t)
-    return deid.unmask(masked, labels).select("case_no", "piece_id", "unmasked")
+    return deid.unmask(masked, labels).select(*PIECE_KEY, "unmasked")
 
 
 @query("d9_barrier", "SELECT doc_id AS turn, n_chars FROM documents WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE item_id % 4 <> 0 AND contains(documents.text, b.text))")
@@ -734,35 +748,37 @@ def _(t):
     return deid.global_hits(t.table("documents").select(F.col("doc_id").alias("turn"), "text"), t.values)
 
 
-@query("d10_apply_releases", "SELECT case_no, piece_id, kind, value FROM found WHERE NOT (kind = 'cep' AND case_no % 2 = 0) AND value NOT IN (SELECT value FROM found WHERE kind = 'phone' AND case_no < 50)", SHEET_ENTITIES)
+@query("d10_apply_releases", """
+SELECT f.tenant, f.degree, f.case_no, f.piece_id, f.kind, f.value FROM once f ANTI JOIN (SELECT DISTINCT value FROM once WHERE kind = 'phone' AND case_no < 50) r ON r.value = f.value
+WHERE NOT (f.kind = 'cep' AND f.case_no % 2 = 0)""", f"{SHEET_ENTITIES}, once AS MATERIALIZED (SELECT * FROM found)")
 def _(t):
     found = deid.detect_patterns(t.sheets)
-    own = found.filter("kind = 'cep' AND case_no % 2 = 0").select("case_no", ids.name_norm(F.col("value")).alias("value_norm"))
-    everywhere = found.filter("kind = 'phone' AND case_no < 50").select(F.lit(None).cast("bigint").alias("case_no"), ids.name_norm(F.col("value")).alias("value_norm"))
-    return deid.apply_releases(found, own.unionByName(everywhere)).select("case_no", "piece_id", "kind", "value")
+    own = found.filter("kind = 'cep' AND case_no % 2 = 0").select(*KEY, ids.name_norm(F.col("value")).alias("value_norm"))
+    everywhere = found.filter("kind = 'phone' AND case_no < 50").select(*[F.lit(None).cast("bigint").alias(c) for c in KEY], ids.name_norm(F.col("value")).alias("value_norm"))
+    return deid.apply_releases(found, own.unionByName(everywhere)).select(*PIECE_KEY, "kind", "value")
 
 
 @query("d11_apply_overrides", """
 SELECT * FROM (SELECT * FROM found WHERE NOT (kind = 'cep' AND case_no % 3 = 0)
-  UNION ALL SELECT case_no, piece_id, 'manual', 'Autor', CAST(0 AS BIGINT), CAST(5 AS BIGINT) FROM sheets WHERE case_no % 5 = 0) WHERE case_no % 11 <> 0""", SHEET_ENTITIES)
+  UNION ALL SELECT tenant, degree, case_no, piece_id, 'manual', 'Autor', CAST(0 AS BIGINT), CAST(5 AS BIGINT) FROM sheets WHERE case_no % 5 = 0) WHERE case_no % 11 <> 0""", SHEET_ENTITIES)
 def _(t):
     found = deid.detect_patterns(t.sheets)
     none, manual = F.lit(None), t.sheets.filter("case_no % 5 = 0")
-    rows = manual.select("case_no", "piece_id", F.lit("mask").alias("action"), F.lit("manual").alias("kind"), F.lit("Autor").alias("value"), F.lit(0).cast("long").alias("start"), F.lit(5).cast("long").alias("end"))
-    rows = rows.unionByName(found.filter("kind = 'cep' AND case_no % 3 = 0").select("case_no", "piece_id", F.lit("release").alias("action"), "kind", "value", "start", "end"))
-    drop = t.sheets.filter("case_no % 11 = 0").select("case_no", "piece_id", F.lit("drop").alias("action"), none.cast("string").alias("kind"), none.cast("string").alias("value"), none.cast("long").alias("start"), none.cast("long").alias("end"))
+    rows = manual.select(*PIECE_KEY, F.lit("mask").alias("action"), F.lit("manual").alias("kind"), F.lit("Autor").alias("value"), F.lit(0).cast("long").alias("start"), F.lit(5).cast("long").alias("end"))
+    rows = rows.unionByName(found.filter("kind = 'cep' AND case_no % 3 = 0").select(*PIECE_KEY, F.lit("release").alias("action"), "kind", "value", "start", "end"))
+    drop = t.sheets.filter("case_no % 11 = 0").select(*PIECE_KEY, F.lit("drop").alias("action"), none.cast("string").alias("kind"), none.cast("string").alias("value"), none.cast("long").alias("start"), none.cast("long").alias("end"))
     return deid.apply_overrides(found, rows.unionByName(drop))
 
 
 @query("d11_edited_texts", "SELECT piece_id, CASE WHEN piece_id % 4 = 0 THEN 'edited ' || title ELSE text END AS text FROM pieces")
 def _(t):
-    edits = t.pieces.filter("piece_id % 4 = 0").select("case_no", "piece_id", F.concat(F.lit("edited "), "title").alias("edited"))
+    edits = t.pieces.filter("piece_id % 4 = 0").select(*PIECE_KEY, F.concat(F.lit("edited "), "title").alias("edited"))
     return deid.edited_texts(t.pieces, edits).select("piece_id", "text")
 
 
 @query("d12_mask_audit", """
-SELECT c.case_no, c.piece_id, c.kind, c.n, m.masked, l.labels FROM (SELECT case_no, piece_id, kind, count(*) AS n FROM found GROUP BY ALL) c
-JOIN masked m USING (case_no, piece_id) LEFT JOIN (SELECT case_no, list(label || '|' || value ORDER BY label) AS labels FROM label_map GROUP BY case_no) l ON l.case_no = c.case_no""", MASKED)
+SELECT tenant, degree, case_no, piece_id, c.kind, c.n, m.masked, l.labels FROM (SELECT tenant, degree, case_no, piece_id, kind, count(*) AS n FROM found GROUP BY ALL) c
+JOIN masked m USING (tenant, degree, case_no, piece_id) LEFT JOIN (SELECT tenant, degree, case_no, list(label || '|' || value ORDER BY label) AS labels FROM label_map GROUP BY ALL) l USING (tenant, degree, case_no)""", MASKED)
 def _(t):
     found, labels, masked = _masked(t)
     out = deid.mask_audit(aggregates.mask_counts(found), masked, labels)
@@ -770,7 +786,7 @@ def _(t):
 
 
 @query("s11_export_mask_report", """
-SELECT c.case_no, c.piece_id, c.kind, c.n, m.masked AS text FROM (SELECT case_no, piece_id, kind, count(*) AS n FROM found GROUP BY ALL) c JOIN masked m USING (case_no, piece_id)""", MASKED)
+SELECT tenant, degree, case_no, piece_id, c.kind, c.n, m.masked AS text FROM (SELECT tenant, degree, case_no, piece_id, kind, count(*) AS n FROM found GROUP BY ALL) c JOIN masked m USING (tenant, degree, case_no, piece_id)""", MASKED)
 def _(t):
     found, _, masked = _masked(t)
     return exports.export_mask_report(masked, aggregates.mask_counts(found))
@@ -784,12 +800,12 @@ def _(t):
 
 
 @query("d14_purge_reasoning", """
-SELECT case_no, turn, role FROM turns t WHERE NOT (role = 'assistant' AND EXISTS (
-  SELECT 1 FROM (SELECT case_no, regexp_extract(text, '[A-Za-z]{8,}') AS value FROM turns WHERE role = 'user') v
-  WHERE v.case_no = t.case_no AND v.value <> '' AND contains(t.text, v.value)))""")
+SELECT tenant, degree, case_no, turn, role FROM turns t WHERE NOT (role = 'assistant' AND EXISTS (
+  SELECT 1 FROM (SELECT tenant, degree, case_no, regexp_extract(text, '[A-Za-z]{8,}') AS value FROM turns WHERE role = 'user') v
+  WHERE v.tenant = t.tenant AND v.degree = t.degree AND v.case_no = t.case_no AND v.value <> '' AND contains(t.text, v.value)))""")
 def _(t):
-    values = t.turns.filter("role = 'user'").select("case_no", F.regexp_extract("text", "[A-Za-z]{8,}", 0).alias("value"))
-    return deid.purge_reasoning(t.turns, values).select("case_no", "turn", "role")
+    values = t.turns.filter("role = 'user'").select(*KEY, F.regexp_extract("text", "[A-Za-z]{8,}", 0).alias("value"))
+    return deid.purge_reasoning(t.turns, values).select(*KEY, "turn", "role")
 
 
 # scalar functions
@@ -801,9 +817,9 @@ def _(t):
     return t.persons.select("person_id", "cpf", ids.cpf_valid(F.col("cpf")).alias("good"), ids.cpf_valid(wrong).alias("bad"))
 
 
-@query("x2_mentions", "SELECT * FROM found", _found_sql("found", "sheets", MENTIONS))
+@query("x2_mentions", f"SELECT * FROM found UNION ALL ({REGISTER})", _found_sql("found", "sheets", MENTIONS))
 def _(t):
-    return deid.mentions(t.sheets)
+    return deid.mentions(t.sheets, t.parties)
 
 
 @query("x3_key_fingerprint", "SELECT id, substr(sha256(props), 1, 8) AS key_fp FROM ev")
@@ -817,12 +833,6 @@ def _(t):
 
 
 @query("x5_name_norm", """
-SELECT piece_id, trim(regexp_replace(translate(lower(substr(text, 1, 200)), 'áàâãäåéèêëíìîïóòôõöúùûüçñý', 'aaaaaaeeeeiiiiooooouuuucny'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS norm FROM pieces""")
-def _(t):
-    return t.pieces.select("piece_id", ids.name_norm(F.substring("text", 1, 200)).alias("norm"))
-
-
-@query("x5_name_norm_whole", """
 SELECT piece_id, trim(regexp_replace(translate(lower(text), 'áàâãäåéèêëíìîïóòôõöúùûüçñý', 'aaaaaaeeeeiiiiooooouuuucny'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS norm FROM pieces""")
 def _(t):
     return t.pieces.select("piece_id", ids.name_norm(F.col("text")).alias("norm"))
@@ -834,16 +844,16 @@ def _(t):
     return parsing.parse_analysis(t.events.select("id", "props"), "props", "k bigint").drop("props")
 
 
-@query("x6_parse_analysis_record", "SELECT case_no, situation, next_act, ['tag|' || situation] AS suggestions, CAST(NULL AS VARCHAR) AS answer FROM analyses")
+@query("x6_parse_analysis_record", "SELECT tenant, degree, case_no, situation, next_act, ['tag|' || situation] AS suggestions, CAST(NULL AS VARCHAR) AS answer FROM analyses")
 def _(t):
-    rows = t.analyses.select("case_no", F.to_json(F.struct("situation", "next_act", F.array(F.struct(F.lit("tag").alias("kind"), F.col("situation").alias("name"))).alias("suggestions"))).alias("json"))
+    rows = t.analyses.select(*KEY, F.to_json(F.struct("situation", "next_act", F.array(F.struct(F.lit("tag").alias("kind"), F.col("situation").alias("name"))).alias("suggestions"))).alias("json"))
     told = F.transform("suggestions", lambda x: F.concat_ws("|", x["kind"], x["name"])).alias("suggestions")
-    return parsing.parse_analysis(rows, "json").select("case_no", "situation", "next_act", told, "answer")
+    return parsing.parse_analysis(rows, "json").select(*KEY, "situation", "next_act", told, "answer")
 
 
 @query("x7_check_notes", "SELECT case_no, item AS piece_id, id AS note_id, outcome AS text FROM ev WHERE id % 10 <> 0")
 def _(t):
-    lines = exports.export_notes(_notes(t), t.events.select("case_no"))
+    lines = exports.export_notes(_notes(t), t.events.select(*KEY))
     broken = F.when(F.get_json_object("line", "$.note_id").cast("long") % 10 == 0, F.expr("substr(line, 1, 20)")).otherwise(F.col("line"))
     return parsing.check_notes(lines.select(broken.alias("line")))[0].select("case_no", "piece_id", "note_id", "text")
 
@@ -879,18 +889,32 @@ def _(t):
     return retention.retain(t.events, "drafts", now()).select("tenant", "id", "ts")
 
 
-@query("m1_retain_notes", """
+def _retained(kind: str) -> str:
+    """The DuckDB twin of a retention rule over the events."""
+    rule = RULES[kind]
+    alive = f"ts > TIMESTAMP '{NOW_EVENTS}' - INTERVAL {rule.hours} HOURS" if rule.hours else "true"
+    if rule.per_case:
+        return f"""
 SELECT e.tenant, e.id, e.case_no FROM ev e JOIN (
-  SELECT tenant, case_no, row_number() OVER (PARTITION BY tenant ORDER BY max(ts) DESC, case_no DESC) AS n FROM ev GROUP BY tenant, case_no) c
-  ON c.tenant = e.tenant AND c.case_no = e.case_no AND c.n <= 100""")
-def _(t):
-    return retention.retain(t.events, "notes", now()).select("tenant", "id", "case_no")
+  SELECT tenant, degree, case_no, row_number() OVER (PARTITION BY tenant ORDER BY max(ts) DESC, case_no DESC, degree DESC) AS n FROM ev WHERE {alive} GROUP BY tenant, degree, case_no) c
+  USING (tenant, degree, case_no) WHERE c.n <= {rule.cap} AND {alive}"""
+    return f"""
+SELECT tenant, id, case_no FROM (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY ts DESC, id DESC) AS n FROM ev WHERE {alive}) WHERE n <= {rule.cap or 2**31 - 1}"""
+
+
+def _retain(kind: str):
+    return lambda t: retention.retain(t.events, kind, now()).select("tenant", "id", "case_no")
+
+
+for _kind in RULES:  # the drafts' own query stands above
+    if _kind != "drafts":
+        query(f"m1_retain_{_kind}", _retained(_kind))(_retain(_kind))
 
 
-@query("m2_forget_case", "SELECT case_no, piece_id FROM pieces WHERE case_no % 10 <> 0")
+@query("m2_forget_case", "SELECT tenant, degree, case_no, piece_id FROM pieces WHERE NOT (case_no % 10 = 0 AND tenant % 2 = 0)")
 def _(t):
-    kept = retention.forget_case({"pieces": t.pieces, "turns": t.turns}, t.cases.filter("case_no % 10 = 0"))
-    return kept["pieces"].select("case_no", "piece_id")
+    kept = retention.forget_case({"pieces": t.pieces, "turns": t.turns}, t.cases.filter("case_no % 10 = 0 AND tenant % 2 = 0"))
+    return kept["pieces"].select(*PIECE_KEY)
 
 
 @query("m3_forget_all", "SELECT id, tenant FROM ev WHERE tenant <> 3")
@@ -899,19 +923,19 @@ def _(t):
 
 
 @query("m4_merge_notes", """
-SELECT case_no, piece_id, sender_code, note_id, created_ts, text FROM (
-  SELECT *, row_number() OVER (PARTITION BY case_no, piece_id, sender_code, note_id ORDER BY created_ts DESC, text DESC) AS n FROM (
-    SELECT case_no, item AS piece_id, 's' || profile AS sender_code, id AS note_id, 'd' || batch_id AS created_ts, outcome AS text FROM ev
-    UNION ALL SELECT case_no, item, 's' || profile, id, 'e' || batch_id, 'new ' || outcome FROM ev WHERE id % 4 = 0)) WHERE n = 1""")
+SELECT tenant, degree, case_no, piece_id, sender_code, note_id, created_ts, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant, degree, case_no, piece_id, sender_code, note_id ORDER BY created_ts DESC, text DESC) AS n FROM (
+    SELECT tenant, degree, case_no, item AS piece_id, 's' || profile AS sender_code, id AS note_id, 'd' || batch_id AS created_ts, outcome AS text FROM ev
+    UNION ALL SELECT tenant, degree, case_no, item, 's' || profile, id, 'e' || batch_id, 'new ' || outcome FROM ev WHERE id % 4 = 0)) WHERE n = 1""")
 def _(t):
     notes = _notes(t)
     newer = notes.filter("note_id % 4 = 0").withColumns({"created_ts": F.expr("concat('e', substr(created_ts, 2))"), "text": F.concat(F.lit("new "), "text")})
-    return retention.merge_notes(notes, newer).select("case_no", "piece_id", "sender_code", "note_id", "created_ts", "text")
+    return retention.merge_notes(notes, newer).select(*PIECE_KEY, "sender_code", "note_id", "created_ts", "text")
 
 
-@query("m5_log_actions", f"SELECT case_no, 'urgent' AS tag, 'placed' AS outcome, 'run 1' AS run_id, TIMESTAMP '{NOW_EVENTS}' AS ts, 'clerk' AS profile FROM parties WHERE case_no % 3 = 0")
+@query("m5_log_actions", f"SELECT tenant, degree, case_no, 'urgent' AS tag, 'placed' AS outcome, 'run 1' AS run_id, TIMESTAMP '{NOW_EVENTS}' AS ts, 'clerk' AS profile FROM parties WHERE case_no % 3 = 0")
 def _(t):
-    changes = t.parties.filter("case_no % 3 = 0").select("case_no", F.lit("urgent").alias("tag"), F.lit("placed").alias("outcome"), "cpf")
+    changes = t.parties.filter("case_no % 3 = 0").select(*KEY, F.lit("urgent").alias("tag"), F.lit("placed").alias("outcome"), "cpf", F.col("name").alias("content"))
     return retention.log_actions(changes, "run 1", now(), F.lit("clerk"))
 
 

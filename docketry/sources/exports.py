@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.schemas import DENIED
+from docketry.schemas import CASE_KEY, LOGGED, PIECE_KEY
 
 
 def export_case_text(pieces: DataFrame) -> DataFrame:
-    """(case_no, text): one Markdown text a case, its pieces by date and then by id.
+    """(case key, text): one Markdown text a case, its pieces by date and then by id.
 
     A case's text is one row, so its size is bounded by the case.
     """
     parts = F.array_sort(F.collect_list(F.struct("piece_date", "piece_id", "title", "text")))
     joined = F.array_join(F.transform(parts, lambda p: F.concat(F.lit("## "), p["title"], F.lit("\n\n"), F.coalesce(p["text"], F.lit("")))), "\n\n")
-    return pieces.groupBy("case_no").agg(joined.alias("text"))
+    return pieces.groupBy(*CASE_KEY).agg(joined.alias("text"))
 
 
 def export_piece_text(pieces: DataFrame, buckets: int = 64) -> DataFrame:
@@ -29,16 +29,17 @@ def write_piece_text(pieces: DataFrame, path: str, buckets: int = 64) -> None:
 
 
 def export_index(cases: DataFrame, pieces: DataFrame, parties: DataFrame) -> DataFrame:
-    """(case_no, warning, class, queue, parties, index): the case sheet and the list of its pieces.
+    """(case key, warning, class, queue, parties, index): the case sheet and the list of its pieces.
 
-    Sealed cases carry a warning; documents of the parties are shown, for this is the user's own copy.
+    Sealed cases carry a warning. The numbers of parties and the OAB of lawyers are shown where there are
+    any, for this is the user's own copy. Cases without pieces have an empty index.
     """
-    index = pieces.groupBy("case_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_id", "title"))), lambda p: F.concat_ws(" - ", p["piece_id"], p["title"])), "\n").alias("index")
-    )
-    people = parties.groupBy("case_no").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(", ", "role", "name", "cpf"))), "; ").alias("parties"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("piece_id", "title"))), lambda p: F.concat_ws(" - ", p["piece_id"], p["title"]))
+    index = pieces.groupBy(*CASE_KEY).agg(F.array_join(lines, "\n").alias("index"))
+    people = parties.groupBy(*CASE_KEY).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(", ", "role", "name", "cpf", "oab"))), "; ").alias("parties"))
     warning = F.when(F.col("sealed"), "SEALED").otherwise("")
-    return cases.select("case_no", warning.alias("warning"), "class", "queue").join(people, "case_no", "left").join(index, "case_no")
+    rows = cases.select(*CASE_KEY, warning.alias("warning"), "class", "queue").join(people, CASE_KEY, "left").join(index, CASE_KEY, "left")
+    return rows.withColumn("index", F.coalesce("index", F.lit("")))
 
 
 def export_list(cases: DataFrame) -> DataFrame:
@@ -52,19 +53,28 @@ def write_list(cases: DataFrame, path: str) -> None:
 
 
 def export_actions(actions: DataFrame) -> DataFrame:
-    """The action log in order, columns that may hold documents left out."""
-    kept = [c for c in actions.columns if c.lower() not in DENIED and c.lower() not in ("cookie", "text")]
-    return actions.select(*kept).orderBy("ts", "action_id")
+    """The action log in order, in the log's own fields and no others."""
+    return actions.select(*[c for c in LOGGED if c in actions.columns]).orderBy("ts", "action_id")
+
+
+def write_actions(actions: DataFrame, path: str) -> None:
+    """The action log as a sheet."""
+    export_actions(actions).write.mode("overwrite").option("header", True).csv(path)
 
 
 def export_notes(notes: DataFrame, marked: DataFrame, names: bool = True) -> DataFrame:
     """(line): the notes of the marked cases as JSON lines, with the sender's code and, if wanted, name."""
-    fields = ["case_no", "piece_id", "note_id", "text", "sender_code", "created_ts"] + ["sender_name"] * names
-    return notes.join(marked.select("case_no").distinct(), "case_no", "left_semi").select(F.to_json(F.struct(*fields)).alias("line"))
+    fields = [*PIECE_KEY, "note_id", "text", "sender_code", "created_ts"] + ["sender_name"] * names
+    return notes.join(marked.select(*CASE_KEY).distinct(), CASE_KEY, "left_semi").select(F.to_json(F.struct(*fields)).alias("line"))
+
+
+def write_notes(notes: DataFrame, marked: DataFrame, path: str, names: bool = True) -> None:
+    """The notes as a file of JSON lines, which check_notes reads."""
+    export_notes(notes, marked, names).write.mode("overwrite").text(path)
 
 
 def export_mask_report(masked: DataFrame, counts: DataFrame) -> DataFrame:
-    """(case_no, piece_id, kind, n, text): what was replaced and the text that left, without the label table."""
-    return counts.join(masked.select("case_no", "piece_id", F.col("masked").alias("text")), ["case_no", "piece_id"]).select(
-        "case_no", "piece_id", "kind", "n", "text"
+    """(case key, piece_id, kind, n, text): what was replaced and the text that left, without the label table."""
+    return counts.join(masked.select(*PIECE_KEY, F.col("masked").alias("text")), PIECE_KEY).select(
+        *PIECE_KEY, "kind", "n", "text"
     )

@@ -23,7 +23,12 @@ TEXTS = [
 
 @pytest.fixture
 def texts(spark):
-    return spark.createDataFrame(TEXTS, "case_no bigint, piece_id bigint, text string")
+    return of_case(spark.createDataFrame(TEXTS, "case_no bigint, piece_id bigint, text string"))
+
+
+def of_case(df, tenant=1, degree=1):
+    """df with a whole case key: the same court and degree for all its numbers."""
+    return df.withColumns({"tenant": F.lit(tenant).cast("bigint"), "degree": F.lit(degree).cast("bigint")})
 
 
 def rows(df, *cols):
@@ -50,7 +55,7 @@ def test_dates_laws_and_deadlines_are_preserved(texts):
 
 def test_resolve_spans(spark):
     spans = [(1, 1, "a", "v", 0, 10), (1, 1, "b", "v", 2, 5), (1, 1, "c", "v", 9, 20), (1, 1, "d", "v", 20, 22), (1, 2, "a", "v", 0, 4), (1, 2, "a", "v", 0, 4)]
-    df = spark.createDataFrame(spans, "case_no bigint, piece_id bigint, kind string, value string, start bigint, end bigint")
+    df = of_case(spark.createDataFrame(spans, "case_no bigint, piece_id bigint, kind string, value string, start bigint, end bigint"))
     assert rows(deid.resolve_spans(df), "piece_id", "start", "end") == [(1, 2, 5), (1, 20, 22), (1, 9, 20), (2, 0, 4)]
     assert deid.resolve_spans(df.limit(0)).count() == 0
 
@@ -59,9 +64,9 @@ LABELS = [(1, "p", "Ana", "[P_1]"), (1, "p", "Anabela", "[P_2]"), (1, "x", "a.b*
 
 
 def test_mask_and_unmask(spark):
-    labels = spark.createDataFrame(LABELS, "case_no bigint, kind string, value string, label string")
+    labels = of_case(spark.createDataFrame(LABELS, "case_no bigint, kind string, value string, label string"))
     text = [(1, 1, "Ana e Anabela viram Anabel; Ana Silva disse a.b*(c)$ hoje"), (2, 2, "Ana fica"), (1, 3, None)]
-    df = spark.createDataFrame(text, "case_no bigint, piece_id bigint, text string")
+    df = of_case(spark.createDataFrame(text, "case_no bigint, piece_id bigint, text string"))
     masked = deid.mask(df, labels)
     got = {r["piece_id"]: r["masked"] for r in masked.collect()}
     assert got == {1: "[P_1] e [P_2] viram Anabel; [X_10] disse [X_1] hoje", 2: "Ana fica", 3: None}
@@ -71,11 +76,13 @@ def test_mask_and_unmask(spark):
 
 def test_barrier_refuses_the_whole_turn(spark):
     out = spark.createDataFrame([(1, 1, "tudo bem"), (1, 2, "fala de Ana Silva aqui"), (2, 3, "Ana Silva")], "case_no bigint, turn bigint, text string")
-    labels = spark.createDataFrame(LABELS, "case_no bigint, kind string, value string, label string")
+    out = of_case(out)
+    labels = of_case(spark.createDataFrame(LABELS, "case_no bigint, kind string, value string, label string"))
     hits = deid.barrier_hits(out, labels)
     assert rows(hits, "turn", "value", "at") == [(2, "Ana Silva", 9), (2, "Ana", 9)]
     assert rows(deid.barrier(out, hits, ["turn"]), "turn") == [(1,), (3,)]
     free = spark.createDataFrame([(1, "ana silva"), (None, "ana")], "case_no bigint, value_norm string")
+    free = of_case(free)
     assert deid.barrier_hits(out, labels, free).count() == 0
 
 
@@ -90,7 +97,7 @@ def test_model_hook(spark, texts):
 
     def fn(batches):
         for b in batches:
-            yield pd.DataFrame({"case_no": b["case_no"], "piece_id": b["piece_id"], "kind": "org", "value": "X", "start": 0, "end": 1})
+            yield pd.DataFrame({"tenant": b["tenant"], "degree": b["degree"], "case_no": b["case_no"], "piece_id": b["piece_id"], "kind": "org", "value": "X", "start": 0, "end": 1})
 
     assert deid.detect_model(texts, fn).count() == 5
 
@@ -131,7 +138,9 @@ def test_retention_edges(spark):
 
 def test_tags_apply_then_undo(spark):
     cases = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None), (4, ["x"])], "case_no bigint, tags array<string>")
+    cases = of_case(cases)
     changes = spark.createDataFrame([(1, ["b", "c"], ["a"]), (2, ["c"], ["c"]), (3, ["c"], None)], "case_no bigint, add array<string>, remove array<string>")
+    changes = of_case(changes)
     done = sets.apply_tags(cases, changes)
     assert rows(done, "case_no", "tags") == [(1, ["b", "c"]), (2, []), (3, ["c"]), (4, ["x"])]
     log = sets.tag_changes(cases, changes, "r")
@@ -150,8 +159,8 @@ def test_auto_tag_bounds(spark):
 
 def test_compare_days_ago(spark):
     day = lambda n: d.date(2024, 1, 1) + d.timedelta(days=n - 1)
-    df = spark.createDataFrame([("v", "b", day(n), n) for n in (1, 2, 5, 31, 40, 70)], "view string, board string, day date, n bigint")
-    assert rows(windows.compare_days_ago(df, 30, 5), "n", "before") == [(1, None), (2, None), (31, 1), (40, 5), (5, None), (70, 40)]
+    df = spark.createDataFrame([(1, "v", "b", day(n), n) for n in (1, 2, 5, 31, 40, 70)] + [(2, "v", "b", day(9), 9)], "tenant int, view string, board string, day date, n bigint")
+    assert rows(windows.compare_days_ago(df, 30, 5), "n", "before") == [(1, None), (2, None), (31, 1), (40, 5), (5, None), (70, 40), (9, None)]
 
 
 def test_case_list_rejects(spark, tmp_path):
@@ -175,7 +184,7 @@ def test_html_to_text(spark):
 
 
 def test_notes_files(spark):
-    one = {"case_no": 1, "piece_id": 2, "note_id": 3, "text": "a", "sender_code": "s1", "created_ts": "2024-01-01"}
+    one = {"tenant": 1, "degree": 1, "case_no": 1, "piece_id": 2, "note_id": 3, "text": "a", "sender_code": "s1", "created_ts": "2024-01-01"}
     lines = [json.dumps(one), json.dumps(one | {"sender_name": "Ana"}), json.dumps(one | {"sender_code": None}), "{broken", "", None]
     good, bad = parsing.check_notes(spark.createDataFrame([(x,) for x in lines], "line string"))
     assert good.count() == 2 and bad.count() == 4
@@ -192,7 +201,7 @@ def test_parse_analysis_broken(spark):
 def test_citations(spark):
     folios = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "piece_id bigint, folio int")
     cited = spark.createDataFrame([(1, 1), (1, 9), (2, 0), (None, 0)], "piece_id bigint, folio int")
-    out = joins.check_citations(cited, folios, spark.createDataFrame([(1, 1)], "case_no bigint, piece_id bigint"))
+    out = joins.check_citations(cited, folios, of_case(spark.createDataFrame([(1, 1)], "case_no bigint, piece_id bigint")))
     assert rows(out, "piece_id", "folio", "status") == [(1, 1, "ok"), (1, 9, "unresolved"), (2, 0, "unselected"), (None, 0, "unresolved")]
 
 
@@ -224,26 +233,103 @@ def test_analyse_hook(spark):
 
     def fn(batches):
         for b in batches:
-            yield pd.DataFrame({"case_no": b["case_no"], "answer": "{}"})
+            yield pd.DataFrame({"tenant": b["tenant"], "degree": b["degree"], "case_no": b["case_no"], "answer": "{}"})
 
-    out = parsing.analyse(spark.range(20).withColumnRenamed("id", "case_no"), fn, at_once=99)
+    out = parsing.analyse(of_case(spark.range(20).withColumnRenamed("id", "case_no")), fn, at_once=99)
     assert out.count() == 20 and out.rdd.getNumPartitions() <= 7
 
 
 def test_empty_tables(spark):
-    none = spark.createDataFrame([], "case_no bigint, piece_id bigint, text string")
+    none = of_case(spark.createDataFrame([], "case_no bigint, piece_id bigint, text string"))
     assert deid.detect_patterns(none).count() == 0
-    cases = spark.createDataFrame([], "tenant bigint, case_no bigint, queue string, tags array<string>, arrival date")
+    cases = spark.createDataFrame([], "tenant bigint, degree bigint, case_no bigint, queue string, tags array<string>, arrival date")
     assert sets.oldest_cases(cases, "x", 5).count() == 0
     assert aggregates.queue_counts(cases).count() == 0
 
 
 def test_register_finds_all_forms_and_places(spark):
     text = "JOSÉ  da\tConceição (123.456.789-01), 12345678901; jose da conceicao. Josefa da Conceição, x12345678901, 123 456 789 - 01"
-    texts = spark.createDataFrame([(1, 1, text), (2, 2, text)], "case_no bigint, piece_id bigint, text string")
+    texts = of_case(spark.createDataFrame([(1, 1, text), (2, 2, text)], "case_no bigint, piece_id bigint, text string"))
     parties = spark.createDataFrame([(1, "José da Conceiçao", "12345678901"), (1, None, None), (2, "Ana (*)", "")], "case_no bigint, name string, cpf string")
+    parties = of_case(parties)
     got = deid.detect_register(texts, parties).collect()
     assert all(text[r["start"] : r["end"]] == r["value"] for r in got)
     assert sorted((r["case_no"], r["kind"], r["value"]) for r in got) == sorted(
         [(1, "person", v) for v in ("JOSÉ  da\tConceição", "jose da conceicao")] + [(1, "number", v) for v in ("123.456.789-01", "12345678901", "123 456 789 - 01")]
     )
+
+
+KEY = "tenant bigint, degree bigint, case_no bigint"
+
+
+def test_cases_of_one_number_stay_apart(spark):
+    both = [(1, 1, 7), (2, 1, 7), (1, 2, 7)]
+    cases = spark.createDataFrame([(*k, "q", ["a"]) for k in both], f"{KEY}, queue string, tags array<string>")
+    texts = spark.createDataFrame([(*k, i, "fala de Ana Silva") for i, k in enumerate(both)], f"{KEY}, piece_id bigint, text string")
+    first = cases.filter("tenant = 1 AND degree = 1")
+    left = retention.forget_case({"pieces": texts}, first)["pieces"]
+    assert rows(left, "tenant", "degree") == [(1, 2), (2, 1)]
+    labels = spark.createDataFrame([(1, 1, 7, "Ana Silva", "[P_1]")], f"{KEY}, value string, label string")
+    assert {(r["tenant"], r["degree"]): r["masked"] for r in deid.mask(texts, labels).collect()} == {(1, 1): "fala de [P_1]", (2, 1): "fala de Ana Silva", (1, 2): "fala de Ana Silva"}
+    assert deid.barrier_hits(texts.withColumnRenamed("piece_id", "turn"), labels).count() == 1
+    changes = first.select("tenant", "degree", "case_no", F.array(F.lit("b")).alias("add"), F.array(F.lit("a")).alias("remove"))
+    assert {(r["tenant"], r["degree"]): r["tags"] for r in sets.apply_tags(cases, changes).collect()} == {(1, 1): ["b"], (2, 1): ["a"], (1, 2): ["a"]}
+
+
+def test_two_changes_of_a_case_are_one(spark):
+    cases = of_case(spark.createDataFrame([(1, ["a"], "q")], "case_no bigint, tags array<string>, queue string"))
+    changes = of_case(spark.createDataFrame([(1, ["b"], None), (1, ["c"], ["a"])], "case_no bigint, add array<string>, remove array<string>"))
+    assert rows(sets.apply_tags(cases, changes), "tags") == [(["b", "c"],)]
+    assert rows(joins.preview(cases, changes), "before", "after") == [(["a"], ["b", "c"])]
+    exits = spark.createDataFrame([("q", "x", True, "to x"), ("q", "x", False, "nowhere"), ("q", "y", True, "to y"), ("q", "z", False, "to z")], "queue string, exit string, batch boolean, to_queue string")
+    moves = of_case(spark.createDataFrame([(1, "y"), (1, "x"), (1, "z")], "case_no bigint, exit string"))
+    assert rows(sets.move_cases(cases, moves, exits), "queue") == [("to x",)]
+
+
+def test_only_the_last_analysis_counts(spark):
+    day = d.date(2024, 1, 9)
+    cases = of_case(spark.createDataFrame([(1, day), (2, None)], "case_no bigint, last_mov date"))
+    seen = of_case(spark.createDataFrame([(1, d.date(2024, 1, 1), d.date(2024, 1, 2)), (1, day, d.date(2024, 1, 10)), (2, None, day)], "case_no bigint, last_mov_seen date, analysed date"))
+    assert joins.needs_analysis(cases, seen).count() == 0
+
+
+def test_matches_of_rows_with_one_key(spark):
+    df = of_case(spark.createDataFrame([(1, 1, "x 1234 y"), (1, 1, "a longer text with 99")], "case_no bigint, piece_id bigint, text string"))
+    assert rows(deid.detect_patterns(df, {"n": "[0-9]+"}), "value", "start", "end") == [("1234", 2, 6), ("99", 19, 21)]
+
+
+def test_labels_are_not_masked(spark):
+    labels = of_case(spark.createDataFrame([(1, "123.456.789-09", "[CPF_1]"), (1, "CPF", "[X_1]"), (1, "", "[Y_1]")], "case_no bigint, value string, label string"))
+    df = of_case(spark.createDataFrame([(1, 1, "CPF 123.456.789-09, CPF")], "case_no bigint, piece_id bigint, text string"))
+    masked = deid.mask(df, labels)
+    assert rows(masked, "masked") == [("[X_1] [CPF_1], [X_1]",)]
+    assert rows(deid.unmask(masked, labels), "unmasked") == [("CPF 123.456.789-09, CPF",)]
+
+
+def test_many_short_values_meet_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(deid, "MAX_SHORT", 3)
+    out = spark.createDataFrame([(1, "v07 v19"), (2, "none")], "turn bigint, text string")
+    values = spark.createDataFrame([(f"v{k:02}",) for k in range(20)], "value string")
+    assert rows(deid.global_hits(out, values), "turn", "value") == [(1, "v07"), (1, "v19")]
+
+
+def test_pieces_marked_before_the_first_turn(spark):
+    turns = of_case(spark.createDataFrame([(1, 2), (1, 4)], "case_no bigint, turn bigint"))
+    marked = of_case(spark.createDataFrame([(1, 1, 10), (1, 3, 11), (1, 9, 12)], "case_no bigint, turn bigint, piece_id bigint"))
+    pieces = of_case(spark.createDataFrame([(1, 10, 5), (1, 11, 7), (1, 12, 100)], "case_no bigint, piece_id bigint, n_bytes bigint"))
+    assert rows(windows.resent_bytes(turns, marked, pieces), "turn", "bytes", "total") == [(2, 5, 5), (4, 12, 17)]
+
+
+def test_the_log_has_its_own_fields_only(spark, tmp_path):
+    df = of_case(spark.createDataFrame([(1, "t", "placed", "the text", "1")], "case_no bigint, tag string, outcome string, content string, cpf string"))
+    log = retention.log_actions(df, "r", F.lit("2024-01-01").cast("timestamp_ntz"), F.lit("clerk"))
+    assert set(log.columns) == {"tenant", "degree", "case_no", "tag", "outcome", "run_id", "ts", "profile"}
+    exports.write_actions(df.withColumns({"ts": F.lit(1), "action_id": F.lit(1)}), str(tmp_path / "log"))
+    assert "the text" not in "".join(p.read_text() for p in (tmp_path / "log").glob("*.csv"))
+
+
+def test_index_of_a_case_without_pieces(spark):
+    cases = of_case(spark.createDataFrame([(1, True, "c", "q")], "case_no bigint, sealed boolean, class string, queue string"))
+    pieces = of_case(spark.createDataFrame([], "case_no bigint, piece_id bigint, title string"))
+    parties = of_case(spark.createDataFrame([(1, "lawyer", "Ana", None, "OAB/CE 1"), (1, "author", "Bia", "123", None)], "case_no bigint, role string, name string, cpf string, oab string"))
+    assert rows(exports.export_index(cases, pieces, parties), "warning", "parties", "index") == [("SEALED", "author, Bia, 123; lawyer, Ana, OAB/CE 1", "")]

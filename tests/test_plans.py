@@ -38,7 +38,7 @@ def test_barriers_are_no_nested_loops(spark, inputs, broadcast):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     try:
         outgoing = inputs.sheets.withColumnRenamed("piece_id", "turn")
-        keyed = deid.barrier_hits(outgoing, inputs.parties.selectExpr("case_no", "name AS value"))
+        keyed = deid.barrier_hits(outgoing, inputs.parties.selectExpr("tenant", "degree", "case_no", "name AS value"))
         everywhere = deid.global_hits(outgoing, inputs.values)
         for df in (keyed, everywhere):
             assert "NestedLoop" not in plan(df) and "Cartesian" not in plan(df)
