@@ -10,6 +10,7 @@ corrected count decides.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,6 +27,8 @@ GRAM = 4
 HASHES = 3
 #: Positions of the filters, as a power of two.
 BITS = 22
+#: Positions that one task fills.
+PART = 1 << 16
 #: Labelled documents of each language that the filters are filled from, at most.
 FIT_DOCS = 1500
 #: A language contains an n-gram if it uses it at least this often against the language that uses it most.
@@ -64,16 +67,22 @@ def positions(h: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
-    """masks[word, position]: bit b of word w is language 64 * w + b, in the order of langs."""
+    """masks[word, position]: bit b of word w is language 64 * w + b, in the order of langs.
+
+    With fewer than 64 languages the masks are of the smallest unsigned type that has a bit for each.
+    """
 
     langs: list[str]
     masks: np.ndarray
 
     def chance(self) -> np.ndarray:
         """For each language, the share of unknown n-grams that its filter says yes to."""
-        fill = [((self.masks[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(self.langs))]
+        fill = [np.count_nonzero(self.masks[k // 64] & self.bit(k % 64)) / self.masks.shape[1] for k in range(len(self.langs))]
         return np.array(fill) ** HASHES
 
+    def bit(self, b: int) -> np.unsignedinteger:
+        return self.masks.dtype.type(1 << b)
+
     def counts(self, h: np.ndarray) -> np.ndarray:
         """How many of the n-grams each language contains, as the filters say."""
         at = positions(h)
@@ -83,7 +92,7 @@ class Filters:
             for p in at[1:]:
                 mask &= self.masks[w][p]
             for b in range(min(64, len(self.langs) - 64 * w)):
-                out[64 * w + b] = np.count_nonzero(mask & np.uint64(1 << b))
+                out[64 * w + b] = np.count_nonzero(mask & self.bit(b))
         return out
 
 
@@ -119,14 +128,30 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Filters:
                 yield pd.DataFrame({"lang": lang, "gram": gram.view(np.int64), "n": n})
 
     n = sample.mapInPandas(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("lang"))
-    share = n.withColumn("share", F.col("n") / total).withColumn("most", F.max("share").over(Window.partitionBy("gram")))
-    known = share.filter(F.col("share") >= RELATIVE * F.col("most")).select("lang", "gram").toPandas()
-    masks = np.zeros((-(-len(langs) // 64), 2**BITS), np.uint64)
-    for k, lang in enumerate(langs):
-        h = known.loc[known["lang"] == lang, "gram"].to_numpy(np.int64).view(np.uint64)
-        for p in positions(h):
-            masks[k // 64][p] |= np.uint64(1 << k % 64)
+    total = n.groupBy("lang").agg(F.sum("n").alias("total"))  # a row for each language
+    n = n.join(F.broadcast(total), "lang")
+    share = n.withColumn("share", F.col("n") / F.col("total")).withColumn("most", F.max("share").over(Window.partitionBy("gram")))
+    known = share.filter(F.col("share") >= RELATIVE * F.col("most")).select("lang", "gram")
+    order = {lang: k for k, lang in enumerate(langs)}
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            k = b["lang"].map(order).to_numpy(np.int64)
+            at = np.concatenate(positions(b["gram"].to_numpy(np.int64).view(np.uint64))).astype(np.int64)
+            yield pd.DataFrame({"word": np.tile(k // 64, HASHES), "part": at // PART, "at": at % PART, "bit": np.tile(np.int64(1) << k % 64, HASHES)})
+
+    kind = next((t for t in (np.uint8, np.uint16, np.uint32) if len(langs) <= np.iinfo(t).bits), np.uint64)
+
+    def filled(rows: pd.DataFrame) -> pd.DataFrame:
+        mask = np.zeros(PART, np.int64)
+        mask[rows["at"].to_numpy()] = rows["bit"].to_numpy()  # a row for each position
+        return pd.DataFrame({"word": [rows["word"][0]], "part": [rows["part"][0]], "mask": [zlib.compress(mask.view(np.uint64).astype(kind).tobytes(), 1)]})
+
+    rows = known.mapInPandas(placed, "word long, part long, at long, bit long").groupBy("word", "part", "at").agg(F.bit_or("bit").alias("bit"))
+    masks = np.zeros((-(-len(langs) // 64), 2**BITS), kind)
+    # the filters themselves: of fixed size for each 64 languages
+    for r in rows.groupBy("word", "part").applyInPandas(filled, "word long, part long, mask binary").collect():
+        masks[r["word"], r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(zlib.decompress(r["mask"]), kind)
     return Filters(langs, masks)
 
 

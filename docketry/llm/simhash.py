@@ -12,25 +12,29 @@ A shard gives a spanning forest of its links and not all pairs, so the number of
 number of points. Groups are the components of the forests, found by distributed star contraction.
 
 With a similarity wanted, points are distinct word sequences, and links are the pairs whose sets of
-word shingles have that Jaccard index or more, exactly. Candidates come from prefixes: with the
-shingles of all texts in one order, the rarest first, two texts that are alike enough share one among
-the first of each, as many as either can lack and one more. First the points that share a shingle are
-compared with one of them, so that a group of near copies is linked without all its pairs; then the
-pairs between what is still apart. What decides on a pair is its whole sets of shingles.
+word shingles are that similar or more, exactly. No tree can prune there: at a similarity of 0.8 a
+fingerprint differs in 13 of 64 bits, more than any vantage point tells apart. Candidates share a
+band of min-hashes instead; so many bands are made that a pair at the threshold shares none in one
+case of a million. Of the points that share a band the one that meets most others leads, so a family
+of near copies comes together at its base, whatever the number of bands in which it meets. What a
+leader has brought together is compared in cells of bounded size, whole sets with whole sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import table, tasks, written
+from docketry.llm.common import skew_join, table, tasks, written
+from docketry.llm.decontam import gram_hashes, mixed
 from docketry.llm.suffix_dedup import Bitmap
 
 #: Distinct fingerprints that the tree is grown on, at most.
@@ -41,8 +45,10 @@ SHARD = 4096
 MAX_DEPTH = 12
 #: Levels are grown while at most this share of the sample would go to both sides of them.
 BOTH_SIDES = 0.5
-#: Frequent shingles that the order of shingles knows, at most: it shapes the work, and never what is found.
-FREQUENT = 1 << 17
+#: Min-hashes of a band, and the share of pairs at the threshold that may share no band.
+BAND, MISSED = 3, 1e-6
+#: Points and bytes of sets that a cell owns, at most about.
+CELL_POINTS, CELL_BYTES = 1024, 8 << 20
 
 
 def shingle_hashes(text: str | None, words: int) -> tuple[np.ndarray, bytes]:
@@ -82,47 +88,65 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(made, "doc_id long, fp long")
 
 
-def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the shingles that three or more of about SAMPLE rows hold, and their counts."""
+def shingle_sets(text: str | None, words: int) -> tuple[np.ndarray, bytes]:
+    """Sorted distinct hashes of the word shingles, made from the hashes of the words, and the words, lower-cased and joined."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    own = np.array([xxhash.xxh3_64_intdigest(w) for w in found], dtype=np.uint64)
+    return np.unique(gram_hashes(own, min(words, len(own)))) if found else own, b" ".join(found)
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [np.unique(shingle_hashes(t, words)[0]) for t in b["text"]]
-            yield pd.DataFrame({"s": np.concatenate([np.zeros(0, "<u8"), *found]).view(np.int64)})
 
-    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, docs.count() // SAMPLE))) == 0)
-    counts = some.select("text").mapInPandas(made, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 2")
-    held = counts.orderBy(F.desc("n"), "s").limit(FREQUENT).toPandas()
-    s, n = held["s"].to_numpy(np.int64).view(np.uint64), held["n"].to_numpy(np.int64)
-    by = np.argsort(s)
-    return s[by], n[by]
+def band_keys(hashes: np.ndarray, bands: int) -> np.ndarray:
+    """A key of each band of min-hashes of a set; none of an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    factors = np.random.default_rng(42).integers(0, 2**63, bands * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    low = np.full(bands * BAND, 2**64 - 1, np.uint64)
+    for k in range(0, len(hashes), 2048):
+        low = np.minimum(low, (hashes[k : k + 2048, None] * factors[None, :]).min(axis=0))
+    key = np.arange(bands, dtype=np.uint64)
+    for part in low.reshape(bands, BAND).T:
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + part)
+    return key.view(np.int64)
 
 
-def profiles(docs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """(doc_id, id, fp, n, prefix) of every row; id is a hash of the words, n counts distinct shingles.
+@dataclass(frozen=True)
+class Alike:
+    """When two sets are alike: a cosine or a Jaccard index of `least` or more, in whole numbers."""
 
-    prefix: the rarest of them, as many as a text that is alike enough can lack and one more.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
+    least: Fraction
+    measure: str = "cosine"
+
+    def __post_init__(self):
+        if self.measure not in ("cosine", "jaccard"):
+            raise ValueError(f"unknown measure: {self.measure}")
+
+    @property
+    def bands(self) -> int:
+        """So many that MISSED of the pairs at the threshold share none; a cosine of c has a Jaccard index of c * c or more."""
+        index = float(self.least) ** (2 if self.measure == "cosine" else 1)
+        return math.ceil(math.log(MISSED) / math.log1p(-(index**BAND))) if index < 1 else 1
+
+    def pairs(self, common: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """For sizes n of rows and m of columns, which pairs are alike, by the number of common members."""
+        c, t, u = common.astype(np.int64), self.least.numerator, self.least.denominator
+        if self.measure == "cosine":
+            return (c * u) ** 2 >= t * t * (n[:, None] * m[None, :])
+        return c * (t + u) >= t * (n[:, None] + m[None, :])
+
+
+def profiles(docs: DataFrame, words: int, alike: Alike) -> DataFrame:
+    """(doc_id, id, n, keys) of every row; id is a hash of the words, n counts distinct shingles, keys are those of the bands."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts = sent.value
         for b in batches:
             out = []
             for t in b["text"]:
-                hashes, joined = shingle_hashes(t, words)
-                distinct = np.unique(hashes)
-                n = len(distinct)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
-                    distinct = distinct[np.argsort(np.where(known[at] == distinct, counts[at], 0), kind="stable")]
-                least = -(-similarity.numerator * n // similarity.denominator)
-                prefix = distinct[: n - least + 1].view(np.int64)
-                out.append((name(joined), int(np.uint64(simhash(hashes)).view(np.int64)), n, prefix))
-            yield pd.DataFrame(out, columns=["id", "fp", "n", "prefix"]).assign(doc_id=b["doc_id"].astype("Int64").array)[["doc_id", "id", "fp", "n", "prefix"]]
+                hashes, joined = shingle_sets(t, words)
+                out.append((name(joined), len(hashes), band_keys(hashes, alike.bands)))
+            yield pd.DataFrame(out, columns=["id", "n", "keys"]).assign(doc_id=b["doc_id"].astype("Int64").array)[["doc_id", "id", "n", "keys"]]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(made, "doc_id long, id long, fp long, n long, prefix array<long>")
+    return rows.mapInPandas(made, "doc_id long, id long, n long, keys array<long>")
 
 
 def name(joined: bytes) -> int:
@@ -180,6 +204,20 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links a-b that connect what all of them connect, about one for each node, and the nodes' components."""
+    label, left, taken = np.arange(n), np.arange(len(a)), []
+    while True:
+        x, y = label[a[left]], label[b[left]]
+        apart = x != y
+        if not apart.any():
+            return np.concatenate([np.zeros(0, np.int64), *taken]), label
+        left, x, y = left[apart], x[apart], y[apart]
+        some = left[np.union1d(np.unique(x, return_index=True)[1], np.unique(y, return_index=True)[1])]  # one for each component
+        taken.append(some)
+        label = components(n, np.concatenate((np.arange(n), a[some])), np.concatenate((label, b[some])))
+
+
 def shard_links(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
     """Links of each (shard, chunk), whose rows come with the owned points first.
 
@@ -208,9 +246,9 @@ def shard_links(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.Dat
                 i, j = i[apart], j[apart]
                 if not len(i):
                     continue
-                i, j = np.unique(np.stack((i, label[j])), axis=1)  # one link from a guest to each group of owned points
-                yield pd.DataFrame({"a": names[i], "b": ids[j]})
-                joint = components(len(kept) + len(some), j, i + len(kept))
+                i, j = np.unique(np.stack((i, label[j])), axis=1)  # a guest and the groups of owned points
+                told, joint = forest(len(kept) + len(some), j, i + len(kept))
+                yield pd.DataFrame({"a": names[i[told]], "b": ids[j[told]]})
                 label = joint[: len(kept)][label]
 
 
@@ -249,57 +287,133 @@ def links(points: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInPandas(lambda it: shard_links(it, radius), "a long, b long")
 
 
-def could(n: str, p: str, m: str, q: str, similarity: Fraction) -> Column:
-    """Whether sets of n and m shingles whose first common one is at p and q (from 0) can be alike enough."""
-    t, u = similarity.numerator, similarity.denominator
-    sizes = F.expr(f"{u} * least({n}, {m}) >= {t} * greatest({n}, {m})")
-    return sizes & F.expr(f"{t + u} * least({n} - {p}, {m} - {q}) >= {t} * ({n} + {m})")
+class Cell:
+    """Points that a cell owns, with their sets by member, and the groups that they form so far."""
+
+    def __init__(self, ids: np.ndarray, sets: list[np.ndarray]):
+        self.ids, self.sets, self.sizes = ids, sets, np.array([len(x) for x in sets])
+        member, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        by = np.argsort(member, kind="stable")
+        self.members, self.start = np.unique(member[by], return_index=True)
+        self.start, self.owner = np.append(self.start, len(member)), owner[by]
+        self.label = np.arange(len(sets))
+
+    def owners(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in at, owner) of each owner of the members at."""
+        n = self.start[at + 1] - self.start[at]
+        return np.repeat(np.arange(len(at)), n), self.owner[np.repeat(self.start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+    def common(self, guests: list[np.ndarray]) -> np.ndarray:
+        """How many members each guest's set has in common with each owned one.
+
+        Members of few points are counted one by one, the others as products of small 0-1 matrices.
+        """
+        member, row = np.concatenate(guests), np.repeat(np.arange(len(guests)), [len(x) for x in guests])
+        at = np.minimum(np.searchsorted(self.members, member), len(self.members) - 1)
+        held = self.members[at] == member
+        at, row = at[held], row[held]
+        few = self.start[at + 1] - self.start[at] < 16
+        place, owner = self.owners(at[few])
+        shape = (len(guests), len(self.sets))
+        out = np.bincount(row[few][place] * shape[1] + owner, minlength=shape[0] * shape[1]).reshape(shape).astype(np.float32)
+        at, row = at[~few], row[~few]
+        shared = np.unique(at)
+        for k in range(0, len(shared), 2048):
+            part = shared[k : k + 2048]
+            ours, theirs = np.zeros((len(part), shape[1]), np.float32), np.zeros((shape[0], len(part)), np.float32)
+            ours[self.owners(part)] = 1
+            own = (at >= part[0]) & (at <= part[-1])
+            theirs[row[own], np.searchsorted(part, at[own])] = 1
+            out += theirs @ ours
+        return out
+
+    def met(self, ids: np.ndarray, guests: list[np.ndarray], alike: Alike) -> pd.DataFrame:
+        """(a, b): links that connect the guests with the groups of owned points in which they have one that is alike."""
+        i, j = np.nonzero(alike.pairs(self.common(guests), np.array([len(x) for x in guests]), self.sizes))
+        other = ids[i] != self.ids[j]
+        i, j = np.unique(np.stack((i[other], self.label[j[other]])), axis=1)
+        told, joint = forest(len(self.ids) + len(ids), j, i + len(self.ids))
+        self.label = joint[: len(self.ids)][self.label]
+        return pd.DataFrame({"a": ids[i[told]], "b": self.ids[j[told]]})
+
+
+def cell_links(batches: Iterator[pd.DataFrame], alike: Alike) -> Iterator[pd.DataFrame]:
+    """Links of each (leader, chunk), whose rows (leader, chunk, visits, id, held) come with the owned points first.
+
+    Held at a time: the owned points of one cell, and one batch of visitors.
+    """
+    key, owned, cell = None, [], None
+
+    def sets(rows: pd.DataFrame) -> list[np.ndarray]:
+        return [np.frombuffer(x, np.uint64) for x in rows["held"]]
+
+    def compared(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for k in range(0, len(rows), 256):
+            some = rows.iloc[k : k + 256]
+            yield cell.met(some["id"].to_numpy(), sets(some), alike)
+
+    def closed() -> Iterator[pd.DataFrame]:  # the owned points among each other
+        nonlocal cell
+        rows = pd.concat(owned)
+        cell = Cell(rows["id"].to_numpy(), sets(rows))
+        yield from compared(rows)
+
+    for batch in batches:
+        for at, rows in batch.groupby(["leader", "chunk"], sort=False):
+            if at != key:
+                if owned and cell is None:
+                    yield from closed()
+                key, owned, cell = at, [], None
+            own = rows["visits"].to_numpy() == 0
+            if own.any():
+                owned.append(rows[own])
+            guests = rows[~own]
+            if len(guests) and owned:
+                if cell is None:
+                    yield from closed()
+                yield from compared(guests)
+    if owned and cell is None:
+        yield from closed()
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """The pairs (a, b) of ids whose texts' sets of shingles have the Jaccard index or more."""
-    known = Bitmap(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id")
+def shingled(docs: DataFrame, words: int, wanted: Bitmap) -> DataFrame:
+    """(id, held) of the texts whose id may be wanted: their sets of shingles, once each."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told: set[int] = set()
         for b in batches:
-            ids = np.array([name(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in b["text"]], np.int64)
-            own = known.has(ids)
-            yield pd.DataFrame({"id": ids[own], "held": [np.unique(shingle_hashes(t, words)[0]).tobytes() for t in b["text"][own]]})
-
-    def decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            good = []
-            for x, y in zip(rows["x"], rows["y"], strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both * similarity.denominator >= similarity.numerator * (len(x) + len(y) - both))
-            yield rows.loc[np.array(good, bool), ["a", "b"]]
-
-    sets = written(docs.select("text").mapInPandas(made, "id long, held binary").groupBy("id").agg(F.first("held").alias("held")), "shingles")
-    rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("held").alias("y")), "b")
-    rows = rows.join(sets.select(F.col("id").alias("a"), F.col("held").alias("x")), "a")
-    return written(rows.select("a", "b", "x", "y").mapInPandas(decided, "a long, b long"), "confirmed")
-
-
-def similar(docs: DataFrame, points: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """(a, b) links of distinct points (id, n, prefix): the same components as all pairs that are alike enough."""
-    held = points.select("id", "n", F.posexplode("prefix").alias("p", "s"))
-    first = held.groupBy("s").agg(F.count("*").alias("points"), F.min(F.struct("id", "n", "p")).alias("f")).filter("points > 1")
-    met = written(held.join(first.select("s", "f"), "s"), "met")
-    tried = met.filter("id <> f.id").filter(could("n", "p", "f.n", "f.p", similarity)).select(F.col("f.id").alias("a"), F.col("id").alias("b"))
-    tried = written(tried.distinct(), "tried")
-    near = confirmed(docs, tried, words, similarity)
-    # then the pairs between groups: a shingle whose points are of one group is done
-    met = met.select("id", "n", "p", "s").join(connected(near), F.col("id") == F.col("node"), "left")
-    met = met.select("s", "id", "n", "p", F.coalesce("root", "id").alias("g"))
-    several = met.groupBy("s").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low < high")
-    met = written(met.join(several.select("s"), "s"), "apart")
-    groups = met.select("s", "g").distinct()
-    across = groups.join(groups.select("s", F.col("g").alias("h")), "s").filter("g < h")
-    left = met.join(across, ["s", "g"]).select("s", F.col("h").alias("g"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("p").alias("q"))
-    rest = left.join(met, ["s", "g"]).filter(could("n", "p", "m", "q", similarity)).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-    rest = written(rest.distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-    return near.union(confirmed(docs, rest, words, similarity))
+            out = []
+            for t in b["text"]:
+                joined = b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())
+                if (own := name(joined)) not in told and wanted.has(np.array([own]))[0]:
+                    told.add(own)
+                    out.append((own, shingle_sets(t, words)[0].tobytes()))
+            yield pd.DataFrame(out, columns=["id", "held"])
+
+    return docs.select("text").mapInPandas(made, "id long, held binary").groupBy("id").agg(F.first("held").alias("held"))
+
+
+def similar(docs: DataFrame, points: DataFrame, words: int, alike: Alike) -> DataFrame:
+    """(a, b) links of distinct points (id, n, keys): the same components as all pairs that are alike."""
+    spark = docs.sparkSession
+    held = points.select("id", F.col("n").alias("size"), F.explode("keys").alias("key"))
+    shared = held.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = written(skew_join(held, written(shared, "shared-keys"), "key", "n"), "met")
+    # the point that meets most others leads those that share a key
+    often = met.groupBy("id").agg(F.sum("n").alias("often"))
+    lead = met.join(often, "id").groupBy("key").agg(F.max(F.struct("often", "id")).alias("l"), F.first("n").alias("n"))
+    lead = written(lead.select("key", "n", F.col("l.id").alias("leader")), "leaders")
+    member = written(skew_join(met.drop("n"), lead, "key", "n").select("leader", "id", "size").distinct(), "members")
+    sizes = member.groupBy("leader").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / CELL_POINTS, F.sum("size") * 8 / CELL_BYTES)).alias("chunks"))
+    rows = skew_join(member, written(sizes, "cells"), "leader", "n")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "chunks"))
+    place = F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("chunk")
+    rows = written(rows.select("leader", place, "own", "id", "size").withColumn("visits", (F.col("chunk") < F.col("own")).cast("int")), "visits")
+    bytes_ = rows.agg(F.sum("size")).first()[0] or 0
+    sets = shingled(docs, words, Bitmap(member.select("id").distinct(), "id"))
+    dealt = rows.select("leader", "chunk", "visits", "id").join(sets, "id")
+    dealt = dealt.repartition(max(tasks(spark), 8 * bytes_ >> 25), "leader", "chunk").sortWithinPartitions("leader", "chunk", "visits")
+    return dealt.select("leader", "chunk", "visits", "id", "held").mapInPandas(lambda it: cell_links(it, alike), "a long, b long")
 
 
 def connected(found: DataFrame) -> DataFrame:
@@ -326,31 +440,38 @@ def connected(found: DataFrame) -> DataFrame:
         before = (mark["n"], mark["s"])
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, similarity: float | None = None, measure: str = "cosine") -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs, which needs doc_id and text.
 
     fp: the SimHash of word shingles of the lower-cased text as a long. component_id: the smallest
-    doc_id reachable over fingerprints at `radius` or fewer differing bits, itself included; with a
-    similarity, whatever the radius, over texts of the same words or with sets of shingles as alike
-    as that (Jaccard index, exactly). A text that is null, empty or blank has fingerprint 0 and
-    links like any other. Repeated rows come out repeated. Null ids have their text linked, but
-    are no candidates for component_id, which is null where a component has no other. Other columns
+    doc_id reachable over fingerprints at `radius` or fewer differing bits, itself included. A text
+    that is null, empty or blank has fingerprint 0 and links like any other.
+
+    With a similarity, whatever the radius, there is no fp, and texts link that have the same words
+    or whose sets of shingles have that cosine (what a SimHash estimates) or, as the measure says,
+    that Jaccard index. A text without words is then like those without words only.
+
+    Repeated rows come out repeated. Null ids have their text linked, but are no candidates for
+    component_id, which is null where a component has no other. No rows give no rows. Other columns
     are ignored.
     """
-    alike = None if similarity is None else Fraction(str(similarity))
+    alike = None if similarity is None else Alike(Fraction(str(similarity)), measure)
     if alike is None:
-        rows = fingerprints(docs, words).select("doc_id", F.col("fp").alias("id"), "fp")
+        rows = fingerprints(docs, words).select("doc_id", F.col("fp").alias("id"))
     else:
         rows = profiles(docs, words, alike)
     rows = written(rows, "fingerprints")
     same = [F.first(c).alias(c) for c in rows.columns if c not in ("doc_id", "id")]
     points = written(rows.groupBy("id").agg(F.min("doc_id").alias("first_id"), *same), "points")
-    roots = connected(links(points, radius) if alike is None else similar(docs, points, words, alike))
+    roots = connected(links(points.select("id", F.col("id").alias("fp")), radius) if alike is None else similar(docs, points, words, alike))
     named = points.join(roots, points["id"] == roots["node"], "left").select("id", "first_id", F.coalesce("root", "id").alias("root"))
     named = written(named, "named")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(smallest, "root").select("id", "component_id")
-    return rows.select("doc_id", "id", "fp").join(named, "id").select("doc_id", "fp", "component_id")
+    # groups of copies may be large on both sides: what has one member is most of it, and needs no join
+    named = skew_join(named, written(smallest.join(named.groupBy("root").agg(F.count("*").alias("n")), "root"), "groups"), "root", "n").select("id", "component_id")
+    counts = rows.groupBy("id").agg(F.count("*").alias("n"))
+    out = skew_join(rows.select("doc_id", "id"), written(named.join(counts, "id"), "classes"), "id", "n")
+    return out.select("doc_id", *([] if alike else [F.col("id").alias("fp")]), "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -387,3 +387,208 @@ def test_empty_tables(spark):
     assert secrets.scan_secrets(none).count() == 0
     assert suffix_dedup.remove_repeats(none).count() == 0
     assert html_text.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_line_runs_are_opened_again(spark):
+    lines = lambda *rows: spark.createDataFrame(rows, "doc_id long, h1 long, h2 long")
+    folder = common.scratch(spark, "runs")
+    runs = line_dedup.LineRuns(spark, folder, fanout=2)
+    runs.add(lines((1, 1, 1), (1, 2, 2)))
+    runs.add(lines((2, 1, 1), (2, 3, 3)))
+    runs.close()
+    later = line_dedup.LineRuns(spark.newSession(), folder, fanout=2)
+    assert (later.batches, later.levels, later.updates, later.buckets) == (2, runs.levels, runs.updates, runs.buckets)
+    later.add(later.spark.createDataFrame([(3, 1, 1), (3, 4, 4), (3, 3, 3)], "doc_id long, h1 long, h2 long"))
+    assert {tuple(r) for r in later.totals(2).collect()} == {(1, 1, 3, 3), (3, 3, 2, 3)}
+    assert sum(r.count() for r in later.runs()) == 4  # every key is in one run
+    plan = later.unseen(later.spark.createDataFrame([(9, 9)], "h1 long, h2 long"))._jdf.queryExecution().executedPlan().toString()
+    runs_side = [x for x in plan.split("\n") if "Exchange" in x]
+    assert plan.count("SortMergeJoin") == 2 and len(runs_side) == 1  # the batch alone is shuffled
+
+
+def test_long_document_of_dropped_lines(spark):
+    shared = "\n".join(f"the same line number {k} in all" for k in range(20_000))
+    rows = spark.createDataFrame([(k, f"{shared}\nown {k}") for k in range(4)], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.dedup_lines(rows).collect()}
+    assert got[0] == (20_001, 20_000, "own 0") and got[3] == (20_001, 0, f"{shared}\nown 3")
+
+
+def test_secrets_of_rows_without_an_id(spark):
+    rows = spark.createDataFrame([(None, "password=hunter2hunter2"), (None, "password=hunter2hunter2"), (None, None), (1, "x")], "doc_id bigint, text string")
+    got = sorted((len(r["spans"]), r["text"] or "") for r in secrets.scan_secrets(rows).collect())
+    assert got == [(0, ""), (0, "x"), (1, "password=hunter2hunter2"), (1, "password=hunter2hunter2")]
+
+
+def test_secret_ledger_is_opened_again(spark):
+    rows = spark.createDataFrame([(1, SECRET), (2, "nothing")], "doc_id bigint, text string")
+    folder = common.scratch(spark, "ledger")
+    first = secrets.scan_secrets(rows, secrets.BlobLedger(spark, folder=folder)).collect()
+    later = secrets.BlobLedger(spark.newSession(), folder=folder)
+    before = len(later.pairs)
+    again = later.spark.createDataFrame([(1, SECRET), (2, "nothing"), (3, "token=abcdefghij")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(again, later).collect()}
+    assert {r["doc_id"]: r["spans"] for r in first} == {k: got[k] for k in (1, 2)} and len(got[3]) == 1
+    assert sum(spark.read.parquet(p).count() for p in later.pairs[before:]) == len(secrets.RULES)  # the one new text
+
+
+@pytest.mark.parametrize("html, want", [
+    ('<body><article class="post comments-open"><p>The post itself is here.</p></article></body>', "The post itself is here."),
+    ('<body><main><article class="discussion"><h1>T</h1><p>The post itself is here.</p></article></main></body>', "T\nThe post itself is here."),
+    ("<body><article><p title=Bob's>I don't know this.</p><p>Second</p></article></body>", "I don't know this.\nSecond"),
+    ('<body><div class="sidebar-layout"><article><p>Inside of a layout.</p></article></div></body>', "Inside of a layout."),
+    ('<article><p>The text that counts, with some length to it.</p></article><section class=comments><article id=c1><p>So true, and much longer than all that was said above by them.</p></article></section>',
+     "The text that counts, with some length to it."),
+    ('<article class=post><p>Short.</p></article><article class=comment><p>A reader who says far more than the writer did, and at length.</p></article>', "Short."),
+])
+def test_html_names_only_help(html, want):
+    assert html_text.main_text(html) == want
+
+
+PLAIN_PAGE = """<html><body><div><a href=/>Home</a> <a href=/b>Blog</a> <a href=/c>Contact us</a></div>
+<div><p>We value your time.</p><a href=/x>Fine</a></div>
+<div><h1>A title</h1><div><p>{0}</p><p>Short one.</p><ul><li>one</li><li>two</li></ul></div></div>
+<div><p>{0}</p><p>{0}</p></div>
+<div><a href=/1>More to read here</a><a href=/2>And even more of it</a><a href=/3>The last of them</a></div><div>All rights reserved</div></body></html>"""
+
+
+def test_html_density_decides_without_names(monkeypatch):
+    long = "Some sentence of the article that goes on for a while, with commas, and then ends."
+    want = "\n".join(["A title", long, "Short one.", "one", "two", long, long])
+    page = PLAIN_PAGE.format(long)
+    assert html_text.main_text(page) == want
+    monkeypatch.setattr(html_text, "core", lambda order: order[0])  # without densities all of the page comes out
+    assert "All rights reserved" in html_text.main_text(page) and "Home" in html_text.main_text(page)
+
+
+def test_html_threshold_rejects():
+    long = "Some sentence of the article that goes on for a while, with commas, and then ends."
+    teasers = "".join(f"<a href=/{k}>Read number {k} too</a> " for k in range(5))
+    page = f"<body><article><h1>T</h1><div><p>{long}</p><p>{long}</p></div><div>{teasers}</div><p>End.</p></article></body>"
+    assert html_text.main_text(page) == f"T\n{long}\n{long}\nEnd."
+
+
+def test_html_is_linear_in_depth():
+    import time
+
+    began = time.perf_counter()
+    assert html_text.main_text("<body><article><p>text</p>" + "<b><h1>" * 40_000 + "</article>") is not None
+    assert html_text.main_text("<div>" * 40_000 + "deep" + "</div>" * 40_000) == "deep"
+    assert html_text.main_text('<div class="sidebar">' * 20_000 + "deep" + "</div>" * 20_000) == "deep"
+    assert time.perf_counter() - began < 20
+
+
+def language_brute(rows, fit_docs=langid.FIT_DOCS):
+    """(lang_pred, score) by sets of n-grams and Python's own counting; the filters' chance hits by their share of set bits."""
+    def shares(texts):
+        n = Counter(g for t in texts for g in langid.grams(t).tolist())
+        return {g: c / sum(n.values()) for g, c in n.items()}
+
+    known = [(d, t, lang) for d, t, lang in rows if lang and t is not None and d is not None and zlib.crc32(str(d).encode()) % 4 != 2]
+    langs = [x for x, _ in sorted(Counter(lang for *_, lang in known).items(), key=lambda x: (-x[1], x[0]))]
+    share = {x: shares([t for _, t, lang in known if lang == x]) for x in langs}
+    most = Counter()
+    for s in share.values():
+        most |= Counter(s)
+    bits = {}
+    for x in langs:
+        grams = np.array([g for g, s in share[x].items() if s >= langid.RELATIVE * most[g]], np.uint64)
+        bits[x] = [set(p.tolist()) for p in [np.concatenate(langid.positions(grams))]][0]
+    out = {}
+    for d, t, _ in rows:
+        h = langid.grams(t or "").tolist()
+        if not h:
+            out[d] = ("und", 0.0)
+            continue
+        right = []
+        for x in langs:
+            yes = sum(all(int(p[0]) in bits[x] for p in langid.positions(np.array([g], np.uint64))) for g in h)
+            chance = (len(bits[x]) / 2**langid.BITS) ** langid.HASHES
+            right.append(min(max((yes - len(h) * chance) / max(1 - chance, 1e-9), 0), len(h)))
+        best = right.index(max(right))
+        out[d] = (langs[best], right[best] / max(sum(right), 1e-9))
+    return out
+
+
+def test_language_against_sets(spark):
+    rng = random.Random(11)
+    words = {"a": ["the", "of", "and", "thing"], "b": ["der", "und", "ding", "the"], "c": ["élan", "que", "chose"]}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(1, 30))), lang) for k, lang in enumerate(rng.choice("abc") for _ in range(60))]
+    rows += [(100, None, "a"), (101, "", None), (102, "12 !", "b"), (103, "the der que", None)]
+    got = {r["doc_id"]: (r["lang_pred"], pytest.approx(r["score"])) for r in langid.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert got == language_brute(rows)
+
+
+def test_language_coverage_bounds_what_stays(spark):
+    rows = [(k, "plain words of a language that is known here", "en") for k in range(40)] + [(90, "xyzzy qwrtp zzgrk", None), (91, "plain words xyzzy", None), (92, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = {r["doc_id"] for r in langid.keep_known(docs, langid.fit(docs), 0.25).collect()}
+    assert kept == {*range(40), 91}
+    assert 91 not in {r["doc_id"] for r in langid.keep_known(docs, langid.fit(docs), 0.9).collect()}
+
+
+def test_decontaminate_frequent_grams(spark):
+    # every item and document holds the same frequent words, and few of them share a whole span
+    rng = random.Random(2)
+    frequent = "in the end of the day it was"
+    make = lambda: " ".join(text(rng, 6) + " " + frequent for _ in range(6))
+    items = [(k, make()) for k in range(30)]
+    docs = [(k, f"{make()} {items[k % 30][1][:90] if k % 3 == 0 else ''} {make()}") for k in range(60)]
+    windows = defaultdict(set)
+    for k, t in items:
+        w = words(t)
+        for a in range(len(w) - 12):
+            windows[tuple(w[a : a + 13])].add(str(k))
+    want = {}
+    for d, t in docs:
+        w, hit, ids = words(t), set(), set()
+        for p in range(len(w) - 12):
+            if found := windows.get(tuple(w[p : p + 13])):
+                hit |= set(range(p, p + 13))
+                ids |= found
+        want[d] = (len(hit), sorted(ids))
+    got = decontam.decontaminate(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id int, text string"))
+    assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in got.collect()} == want and any(n for n, _ in want.values())
+
+
+def test_mixing_bounds_the_cycle(spark):
+    with pytest.raises(Exception, match="slots"):
+        mixing.cycle(spark.createDataFrame([("a", mixing.MAX_SLOTS), ("b", 1)], "source string, quota bigint")).collect()
+
+
+CLASH = ("h", "d", "n", "key", "spans", "items", "row_h", "did", "n_words", "blob", "fingerprint", "lang_pred", "score", "slot", "block", "bucket")
+
+
+def test_columns_of_any_name(spark, docs):
+    wide = docs.withColumns({c: F.lit("x") for c in CLASH})
+    bench = spark.createDataFrame([(1, "no such words here at all ever", "x")], "item_id int, text string, h string")
+    assert decontam.decontaminate(wide, bench).count() == docs.count()
+    assert langid.identify(wide).count() == docs.count()
+    assert secrets.scan_secrets(wide).filter("size(spans) > 0").count() == 1
+    assert fingerprint.compared(wide).count() == docs.count()
+    assert suffix_dedup.remove_repeats(wide).count() == docs.count()
+    assert set(CLASH) <= set(mixing.mix(wide).columns)
+
+
+def test_empty_documents(spark):
+    none = spark.createDataFrame([], DOC)
+    assert decontam.decontaminate(none, spark.createDataFrame([(1, "a b")], "item_id int, text string")).count() == 0
+    assert simhash.near_duplicates(none, words=5, similarity=0.8).count() == 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    long = text(rng, 120_000)
+    rows = spark.createDataFrame([(1, long), (2, long[:-100]), (3, "short")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(rows, words=5, similarity=0.8).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r["doc_id"]: r["n_hit"] > 0 for r in decontam.decontaminate(rows, spark.createDataFrame([(1, long[500_000:500_300])], "item_id int, text string")).collect()} == {1: True, 2: True, 3: False}
+    assert [r["n_chars"] for r in fingerprint.compared(rows).orderBy("doc_id").collect()] == [len(long), len(long) - 100, 5]
+
+
+def test_a_group_of_alike_points_gives_few_links():
+    import pandas as pd
+
+    sets = np.arange(300, dtype=np.uint64)
+    rows = pd.DataFrame({"leader": 1, "chunk": 0, "visits": 0, "id": np.arange(700), "held": [np.delete(sets, k % 300).tobytes() for k in range(700)]})
+    alike = simhash.Alike(simhash.Fraction("0.8"))
+    found = pd.concat(simhash.cell_links(iter([rows[:400], rows[400:]]), alike))
+    assert len(found) < 3 * 700 and set(simhash.components(700, found["a"].to_numpy(), found["b"].to_numpy())) == {0}

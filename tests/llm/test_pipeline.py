@@ -1,11 +1,16 @@
 """The pipeline against a brute-force version, stage by stage, and its queries' registration."""
 
+import random
 import re
 from collections import defaultdict
 
+import pytest
+
 import corpus_pipeline as pipeline
 import __spark_entry__ as entry
+from docketry.llm import simhash
 from docketry.llm.common import table, written
+from docketry.llm.simhash import near_duplicates
 
 
 def lower(t):
@@ -37,7 +42,7 @@ def without_lines(docs):
     return {d: "\n".join(x for x in t.split("\n") if len(key(x)) < 20 or len(held[key(x)]) < 3 or max(held[key(x)]) == d) for d, t in docs.items()}
 
 
-def without_near(docs, similarity):
+def without_near(docs, similarity=0.8, measure="cosine"):
     sets, low = {d: shingles(t) for d, t in docs.items()}, {d: d for d in docs}
 
     def root(d):
@@ -47,7 +52,8 @@ def without_near(docs, similarity):
 
     for a in docs:
         for b in docs:
-            if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+            both, n, m = len(sets[a] & sets[b]), len(sets[a]), len(sets[b])
+            if a < b and (both**2 >= similarity**2 * n * m if measure == "cosine" else both >= similarity * (n + m - both)):
                 x, y = sorted((root(a), root(b)))
                 low[y] = x
     return {d: t for d, t in docs.items() if root(d) == d}
@@ -77,35 +83,49 @@ def test_stages(spark, sf_dir):
     for name, stage in pipeline.STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
         got = {r["doc_id"]: r["text"] for r in docs.collect()}
-        if name == "near_dedup":  # sketches estimate the similarity to within about 0.03
-            assert without_near(before, 0.7).items() <= got.items() <= without_near(before, 0.9).items()
-        else:
-            want = {"language": with_letters, "lines": without_lines, "decontaminated": lambda x: clean(x, items), "mixed": dict}[name](before)
-            assert got == want, name
+        brute = {"language": with_letters, "lines": without_lines, "near_dedup": without_near, "decontaminated": lambda x: clean(x, items), "mixed": dict}
+        assert got == brute[name](before), name
         assert docs.columns[:5] == columns and (docs.columns == columns or name == "mixed")
         before = got
     assert docs.filter("n_chars <> char_length(text)").count() == 0
 
 
-def test_near_dedup_decides_exactly(spark, sf_dir):
-    word = [f"w{k}" for k in range(400)]
-    texts, at = {}, 1
-    for n in (4, 8, 12, 240):  # pairs of n and n / 0.8 shingles, all of the shorter text's among them: exactly 0.8, and one shingle below it
-        for more in (n // 4, n // 4 + 1):
+def pairs_at_the_edge(longer):
+    """Pairs of texts of n and more shingles, all of the shorter text's among them: at the threshold, and one shingle below it."""
+    word, texts, at = [f"w{k}" for k in range(900)], {}, 1
+    for n in (16, 32, 48, 240):
+        for m in (longer(n), longer(n) + 1):
             texts[at] = " ".join(f"{at}{w}" for w in word[: n + 4])
-            texts[at + 1] = " ".join(f"{at}{w}" for w in word[: n + 4 + more])
+            texts[at + 1] = " ".join(f"{at}{w}" for w in word[: m + 4])
             at += 2
+    return texts
+
+
+@pytest.mark.parametrize("measure", ["cosine", "jaccard"])
+def test_near_duplicates_are_decided_exactly(spark, sf_dir, measure):
+    def kept(docs):
+        groups = near_duplicates(docs, words=5, similarity=0.8, measure=measure)
+        return {r["doc_id"] for r in groups.filter("doc_id = component_id").collect()}
+
+    texts = pairs_at_the_edge((lambda n: n * 25 // 16) if measure == "cosine" else (lambda n: n * 5 // 4))
+    assert kept(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")) == set(texts) - {2, 6, 10, 14}
+    docs = table(spark, sf_dir, "documents")
+    assert kept(docs) == set(without_near({r["doc_id"]: r["text"] for r in docs.collect()}, 0.8, measure))
+
+
+def test_near_duplicates_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_POINTS", 8)  # a family of near copies is then cut into many cells
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = {k: " ".join(w if rng.random() > 0.03 else f"x{rng.randrange(9999)}" for w in base) for k in range(150)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    got = {r["doc_id"] for r in pipeline.near_dedup(spark, docs, sf_dir).collect()}
-    assert got == set(texts) - {2, 6, 10, 14}
-    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    before = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert {r["doc_id"]: r["text"] for r in pipeline.near_dedup(spark, docs, sf_dir).collect()} == without_near(before, 0.8)
+    got = {r["doc_id"] for r in near_duplicates(docs, words=5, similarity=0.8).filter("doc_id = component_id").collect()}
+    assert got == set(without_near(texts))
 
 
 def test_odd_rows_survive(spark, sf_dir):
     rows = [(None, None, None, None, None), (None, "again and the same text", "en", None, 3), (1, "", "en", "s", 0), (2, "the same text again and again", "en", "s", 1), (2, "the same text again and again", "en", "s", 1), (3, "the same text again and again", None, None, 2), (4, "12 34", "fr", "s", 5)]
-    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, slot string, component_id string")
+    docs = spark.createDataFrame([(*r, "x", "y", 1, 2) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, slot string, component_id string, h int, d int")
     for name, stage in pipeline.STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
     assert sorted((r["doc_id"] or 0, r["text"]) for r in docs.collect()) == [(0, "again and the same text")] + [(2, "the same text again and again")] * 2
