@@ -1,25 +1,29 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a Parquet table of (h1, h2, n_docs, max_doc), sorted by hash inside its files: for each
-line key of one batch of documents, how many documents hold it and the largest of their ids.
-Every batch adds a run at level 0; a level that has `fanout` runs is merged into one run of the
-next level, so that a key is rewritten once a level and reads merge few tables. Batches share no
-document, so counts of a key add up over the runs.
+A run is a table of (h1, h2, n_docs, max_doc), bucketed and sorted by hash: for each line key that was
+new in one batch of documents, how many documents of the batch hold it and the largest of their ids.
+A batch is merge-anti-joined with all runs: the keys that no run has yet become its own run at level
+0, and what it adds to known keys goes to the updates, which are small, for most lines never come
+again. A level that has `fanout` runs is merged into one run of the next level. Runs are disjoint, so
+a merge adds nothing up, and neither merges nor joins shuffle or sort a run again. Batches share no
+document, so counts of a key add up over its run and its updates.
 
 Keys are compared by two 64-bit hashes. Everything is DataFrame code.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.common import lower_ascii, scratch, table, without, written
+from docketry.llm.common import listed, lower_ascii, scratch, skew_join, table, tasks, without, written
 
 BLANK = " \t\n\x0b\f\r"
 RUN = "h1 long, h2 long, n_docs long, max_doc long"
+STATE = "level int, path string, buckets int"
 
 
 def line_key(line: Column) -> Column:
@@ -30,25 +34,58 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-@dataclass
 class LineRuns:
-    """The levels of runs below one folder."""
+    """The levels of runs and the updates below one folder, which a later session can open again.
 
-    spark: SparkSession
-    folder: str
-    fanout: int = 4
-    levels: list[list[str]] = field(default_factory=list)
-    made: int = 0
+    state-<n> below the folder tells the runs and updates after n batches. It is written last, so a
+    batch that was cut off leaves nothing behind but files that no state names.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, fanout: int = 4):
+        self.spark, self.folder, self.fanout, self.buckets = spark, folder, fanout, tasks(spark)
+        self.levels: list[list[str]] = []
+        self.updates: list[str] = []
+        # a bucket of one sorted file needs no sort
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        done = [int(x.split("-")[1]) for x in listed(spark, folder) if x.startswith("state-") and "_SUCCESS" in listed(spark, f"{folder}/{x}")]
+        self.batches = max(done, default=0)
+        if self.batches:
+            rows = sorted(tuple(r) for r in spark.read.schema(STATE).parquet(f"{folder}/state-{self.batches}").collect())
+            self.buckets, self.updates = rows[0][2], [path for level, path, _ in rows if level < 0]
+            for level, path, _ in rows:
+                if level >= 0:
+                    self.levels += [[] for _ in range(level + 1 - len(self.levels))]
+                    self.levels[level].append(path)
 
     def _write(self, run: DataFrame) -> str:
-        self.made += 1
-        path = f"{self.folder}/run-{self.made}"
-        run.select("h1", "h2", "n_docs", "max_doc").sortWithinPartitions("h1", "h2").write.parquet(path)
+        path, name = f"{self.folder}/run-{uuid.uuid4().hex}", f"docketry_{uuid.uuid4().hex}"
+        rows = run.select("h1", "h2", "n_docs", "max_doc").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        rows.option("path", path).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the catalog's name only: the files stay, and a later session opens them in the same way
         return path
 
+    def _read(self, path: str) -> DataFrame:
+        name = f"docketry_{path.rsplit('-', 1)[1]}"
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({RUN}) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{path}'"
+        )
+        return self.spark.table(name)
+
+    def runs(self) -> list[DataFrame]:
+        return [self._read(path) for level in self.levels for path in level]
+
+    def unseen(self, rows: DataFrame) -> DataFrame:
+        """The rows whose key is in no run yet: one merge with each run, without a shuffle of any."""
+        return reduce(lambda left, run: left.join(run.hint("merge"), ["h1", "h2"], "left_anti"), self.runs(), rows)
+
     def _merged(self, paths: list[str]) -> DataFrame:
-        runs = self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
-        return runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+        """Disjoint sorted runs as one."""
+
+        def two(a: DataFrame, b: DataFrame) -> DataFrame:
+            rows = a.alias("a").join(b.hint("merge").alias("b"), (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2")), "full_outer")
+            return rows.select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("h1", "h2", "n_docs", "max_doc")])
+
+        return reduce(two, [self._read(p) for p in paths])
 
     def add(self, lines: DataFrame) -> None:
         """Adds a batch of (doc_id, h1, h2), repeats allowed, and compacts the levels that are full.
@@ -56,25 +93,38 @@ class LineRuns:
         A document must not come in two batches.
         """
         held = lines.select("h1", "h2", "doc_id").distinct()
-        run = held.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        path, level = self._write(run), 0
+        batch = written(held.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc")), "batch")
+        path = self._write(self.unseen(batch))
+        if self.levels:
+            again = f"{self.folder}/updates-{uuid.uuid4().hex}"
+            batch.join(self._read(path).hint("merge"), ["h1", "h2"], "left_anti").write.parquet(again)
+            self.updates.append(again)
+        level = 0
         while True:
             if level == len(self.levels):
                 self.levels.append([])
             self.levels[level].append(path)
             if len(self.levels[level]) < self.fanout:
-                return
+                break
             path = self._write(self._merged(self.levels[level]))
             self.levels[level] = []
             level += 1
+        self.batches += 1
+        rows = [(k, p, self.buckets) for k, level in enumerate(self.levels) for p in level] + [(-1, p, self.buckets) for p in self.updates]
+        self.spark.createDataFrame(rows, STATE).coalesce(1).write.parquet(f"{self.folder}/state-{self.batches}")
 
-    def totals(self) -> DataFrame:
-        """(h1, h2, n_docs, max_doc) over all runs."""
-        return self._merged([p for level in self.levels for p in level])
+    def totals(self, min_docs: int = 1) -> DataFrame:
+        """(h1, h2, n_docs, max_doc) over all batches, of the keys that min_docs documents hold."""
+        more = self.spark.read.schema(RUN).parquet(*self.updates) if self.updates else self.spark.createDataFrame([], RUN)
+        more = more.groupBy("h1", "h2").agg(F.sum("n_docs").alias("more"), F.max("max_doc").alias("later"))
+        n, last = F.col("n_docs") + F.coalesce("more", F.lit(0)), F.greatest("max_doc", "later")
+        rows = [run.join(more, ["h1", "h2"], "left").select("h1", "h2", n.alias("n_docs"), last.alias("max_doc")) for run in self.runs()]
+        return reduce(DataFrame.unionByName, rows or [self.spark.createDataFrame([], RUN)]).filter(F.col("n_docs") >= min_docs)
 
-    def unseen(self, lines: DataFrame) -> DataFrame:
-        """The rows of lines whose key is in no run yet."""
-        return lines.join(self.totals().select("h1", "h2"), ["h1", "h2"], "left_anti")
+    def close(self) -> None:
+        """Takes the runs' names out of the session's catalog; the files stay."""
+        for path in [p for level in self.levels for p in level]:
+            self.spark.sql(f"DROP TABLE IF EXISTS docketry_{path.rsplit('-', 1)[1]}")
 
 
 def hashed_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
@@ -105,21 +155,23 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     runs = LineRuns(spark, scratch(spark, "line-runs"), fanout)
     for b in range(batches):
         runs.add(lines.filter(F.col("batch") == b))
-    # written, so that both sides of the join are shuffled for it and Spark can split a frequent line's rows
-    common = written(runs.totals().filter(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc"), "common-lines")
+    common = written(runs.totals(min_docs).select("h1", "h2", "n_docs", "max_doc"), "common-lines")
+    runs.close()
     gone = (
-        lines.join(common, ["h1", "h2"])
+        skew_join(lines, common, ["h1", "h2"], "n_docs")
         .filter(F.col("doc_id") < F.col("max_doc"))
         .groupBy("doc_id", "row_h")
-        .agg(F.collect_set("pos").alias("__gone"))
+        .agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
         .withColumnsRenamed({"doc_id": "__doc", "row_h": "__row"})
     )
     docs = without(docs, "n_lines", "n_dropped")
     same = (docs["doc_id"] == F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__row"))
     every = lines_of(F.col("text"))
-    kept = F.filter(every, lambda _, i: ~F.array_contains("__gone", i))
+    # what stays lies between the dropped places: each line is touched once
+    first, last = F.concat(F.array(F.lit(-1)), "__gone"), F.concat("__gone", F.array(F.size(every)))
+    kept = F.flatten(F.zip_with(first, last, lambda a, b: F.slice(every, a + 2, b - a - 1)))
     whole = F.col("__gone").isNull()
-    out = docs.join(gone.hint("shuffle_hash"), same, "left").withColumns({
+    out = docs.join(gone, same, "left").withColumns({
         "n_lines": F.size(every).cast("long"),
         "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
         "__kept": F.when(whole, F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")),
