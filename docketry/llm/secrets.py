@@ -10,12 +10,13 @@ Offsets are code points, end exclusive. DataFrame and SQL functions only.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import scratch, table, without, written
+from docketry.llm.common import listed, scratch, table, without, written
 
 
 def either_case(word: str) -> str:
@@ -73,14 +74,16 @@ def spans(texts: DataFrame, rule: Rule) -> DataFrame:
 
 
 class BlobLedger:
-    """What was scanned, and what was found, in the shared folder.
+    """What was scanned, and what was found, below a folder that a later session can open again.
 
     Each call of scan() adds a table of findings and then one of pairs. A crash between the two
     leaves pairs out, never findings; they are then scanned again, and equal findings count once.
     """
 
-    def __init__(self, spark: SparkSession, rules: tuple[Rule, ...] = RULES):
-        self.spark, self.rules, self.pairs, self.tables = spark, rules, [], []
+    def __init__(self, spark: SparkSession, rules: tuple[Rule, ...] = RULES, folder: str | None = None):
+        self.spark, self.rules, self.folder = spark, rules, folder or scratch(spark, "blob-ledger")
+        whole = lambda kind: [p for x in listed(spark, f"{self.folder}/{kind}") if "_SUCCESS" in listed(spark, p := f"{self.folder}/{kind}/{x}")]
+        self.pairs, self.tables = whole("pairs"), whole("findings")
 
     def _read(self, paths: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
@@ -93,14 +96,15 @@ class BlobLedger:
 
     def with_rules(self, *rules: Rule) -> BlobLedger:
         """The same ledger under other rules or rule versions."""
-        other = BlobLedger(self.spark, rules)
-        other.pairs, other.tables = list(self.pairs), list(self.tables)
-        return other
+        return BlobLedger(self.spark, rules, self.folder)
 
     def scan(self, versions: DataFrame, key: str = "doc_id") -> DataFrame:
-        """Scans the unseen (blob, rule version) pairs of (key, text); returns versions with blob."""
+        """Scans the unseen (blob, rule version) pairs of (key, text); returns versions with blob.
+
+        One path stands for each blob, the smallest key that holds it; null if none has a key.
+        """
         addressed = versions.select(F.col(key).alias("key"), "text", blob_of(F.col("text")).alias("blob"))
-        one = addressed.groupBy("blob").agg(F.min("key").alias("key")).filter("key IS NOT NULL")
+        one = addressed.groupBy("blob").agg(F.min("key").alias("key"))
         wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in self.rules])
         pairs = one.select("key", "blob", F.explode(wanted).alias("r")).select("key", "blob", "r.kind", "r.version")
         if self.pairs:
@@ -108,8 +112,8 @@ class BlobLedger:
         pairs = written(pairs, "unseen")
         # the text of one path for each blob that has an unseen pair
         todo = pairs.groupBy("key", "blob").agg(F.collect_set("kind").alias("kinds"))
-        todo = todo.select(F.col("key").alias("k"), F.col("blob").alias("b"), "kinds").hint("shuffle_hash")
-        texts = addressed.join(todo, (F.col("key") == F.col("k")) & (F.col("blob") == F.col("b")))
+        todo = todo.select(F.col("key").alias("k"), F.col("blob").alias("b"), "kinds")
+        texts = addressed.join(todo, F.col("key").eqNullSafe(F.col("k")) & (F.col("blob") == F.col("b")))
         texts = texts.select("blob", "text", "kinds")
         first = self.rules[0]
         hits = F.array(*[
@@ -121,23 +125,25 @@ class BlobLedger:
         found = spans(texts.filter(F.array_contains("hits", first.kind)), first)
         for r in self.rules[1:]:
             found = found.unionByName(spans(texts.filter(F.array_contains("hits", r.kind)), r))
-        self.tables.append(scratch(self.spark, "findings"))
+        at = f"{len(self.pairs):06d}-{uuid.uuid4().hex}"
+        self.tables.append(f"{self.folder}/findings/{at}")
         found.write.parquet(self.tables[-1])
-        self.pairs.append(scratch(self.spark, "pairs"))
+        self.pairs.append(f"{self.folder}/pairs/{at}")
         pairs.select("blob", "kind", "version").write.parquet(self.pairs[-1])
         return addressed.drop("text").withColumnRenamed("key", key)
 
 
-def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None, batches: int = 2) -> DataFrame:
     """docs with spans: array<struct<start, end, kind>> of each text, in order, from the ledger.
 
-    Rows with null ids get spans too if another row with an id holds the same text; else they
-    come back with none, since a version without a path is not addressed. Null text counts as
-    empty. Copies and repeated rows are scanned once and all get the findings. A column of docs
-    named spans is replaced.
+    The rows come to the ledger in batches, dealt by a hash of doc_id, as new versions come day by day:
+    a text that an earlier batch or session has brought is not scanned again. Null ids and null texts,
+    which count as empty, are scanned like any other. Copies and repeated rows are scanned once and
+    all get the findings. No rows give no rows. A column of docs named spans is replaced.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
-    ledger.scan(docs)
+    for b in range(batches):
+        ledger.scan(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
     rank = F.array_position(F.array(*[F.lit(r.kind) for r in ledger.rules]), F.col("kind"))
     now = F.array(*[F.concat_ws(":", F.lit(r.kind), F.lit(str(r.version))) for r in ledger.rules])
     found = ledger.findings().filter(F.array_contains(now, F.concat_ws(":", "kind", F.col("version").cast("string"))))
