@@ -1,17 +1,21 @@
 """Main text of HTML pages by composite text density.
 
-A page becomes a tree of elements. Scripts, forms, menus and other parts that their tag, role or
-class tells apart are taken out. Each remaining node has a density: its characters for each tag
-below it, scaled down by the share of its characters and tags that are links. The node whose
-children's densities have the largest sum is the core of the article. Going up from the core
-towards the body, a parent is taken for as long as its density holds the threshold, which is the
-smallest density on the path to the body, and what it adds reads like the article and not like links.
+A page becomes a tree of elements without scripts, forms and what markup itself sets apart. Each node
+has a density: its characters for each tag below it, scaled down by the share of its characters and
+tags that are links. The node whose children's densities have the largest sum is the core of the
+article. The threshold is the smallest density on the path from the core to the body. Going up that
+path, the parts beside it are marked by their density: what holds the threshold and isn't made of
+links belongs to the article, the rest doesn't, and where nothing more belongs the article ends.
+
+Words of classes only help: a part that is named like a menu, an advert or comments is left out,
+unless it is what the page is made of. Which of several articles that is, is told by density.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -23,7 +27,8 @@ from docketry.llm.common import table
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)""",
+    # quotes count after an equals sign only, as in HTML
+    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*(?:"[^"]*"|'[^']*')|[^>=]|=(?!\s*["']))*+)>|</?[a-zA-Z][^>]*(?:>|\Z)""",
     re.DOTALL,
 )
 ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -40,6 +45,8 @@ CLOSES = {
     "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"},
 }
 WITHIN = frozenset("ul ol dl table select body article section div".split())
+SCOPE = WITHIN | CLOSES.keys()
+BARRIER = BLOCK - {"p"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OUT_TAGS = frozenset(
     "head script style noscript template textarea title iframe noframes nav footer aside form button select input svg canvas object "
@@ -55,64 +62,89 @@ OUT_WORDS = frozenset(
 )
 COMMENT_WORDS = frozenset("comment comments commentlist commentbox disqus respond response responses reply replies discussion guestbook".split())
 ROOTS = frozenset(("article", "main"))
-#: Share of links among the characters that a parent adds, up to which it is taken.
+#: Parts of running text, which a core's parent may hold beside it whatever their length.
+FLOW = frozenset("p blockquote pre ul ol dl table figure figcaption h1 h2 h3 h4 h5 h6 header hr br".split())
+#: Share of links among the characters of a part, up to which it may belong to an article.
 LINKED = 0.3
+#: A part of the body beside the core has this share of the core's sum of densities at least, in some part of its own.
+BESIDE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "words", "out", "chars", "tags", "linked", "links", "density", "total")
+    __slots__ = ("tag", "attrs", "parent", "kids", "hints", "out", "named", "root", "heading", "chars", "tags", "linked", "links", "density", "total", "peak")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.kids, self.out = tag, attrs, parent, [], False
+        self.tag, self.attrs, self.parent, self.kids, self.hints = tag, attrs, parent, [], None
+        self.out = self.named = self.root = self.heading = False
         self.chars = self.tags = self.linked = self.links = 0
-        self.density = self.total = 0.0
+        self.density = self.total = self.peak = 0.0
+
+
+class Open:
+    """The open elements, with the places of those that are looked for, so that none is looked for one by one."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        """Closes all from place at on; the root stays."""
+        while len(self.stack) > max(at, 1):
+            self.places[self.stack.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of these tags, or 0."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def first_after(self, tags, at: int) -> int:
+        """The place of the outermost one after a place, or 0."""
+        found = [p[k] for t in tags if (p := self.places.get(t)) and (k := bisect_right(p, at)) < len(p)]
+        return min(found, default=0)
 
 
 def tree(html: str) -> Node:
     """The element tree; kids are nodes and strings. Unclosed and misplaced tags do no harm."""
     root = Node("html", "", None)
-    at, pos, n = root, 0, len(html)
+    up, pos, n, body = Open(root), 0, len(html), False
     while pos < n:
         m = TOKEN.search(html, pos)
         if m is None:
-            at.kids.append(html[pos:])
+            up.stack[-1].kids.append(html[pos:])
             break
         if m.start() > pos:
-            at.kids.append(html[pos : m.start()])
+            up.stack[-1].kids.append(html[pos : m.start()])
         pos = m.end()
         tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
         if m["end"]:
-            up = at
-            while up is not None and up.tag != tag and not (tag not in BLOCK and up.tag in BLOCK and up.tag != "p"):
-                up = up.parent
-            if up is not None and up.tag == tag and up.parent is not None:
-                at = up.parent
+            at = up.last((tag,))
+            if at and (tag in BLOCK or at > up.last(BARRIER)):  # an inline end tag reaches no further than its block
+                up.cut(at)
             continue
-        if tag == "html" or tag == "body" and any(isinstance(k, Node) and k.tag == "body" for k in root.kids):
+        if tag == "html" or tag == "body" and body:
             continue
         if tag == "body":
-            at = root
+            up.cut(1)
+            body = True
         elif tag in BLOCK and tag != "br":
-            up = at
-            while up is not None and up.tag != "p" and up.tag not in WITHIN and up.tag not in CLOSES:
-                up = up.parent
-            if up is not None and up.tag == "p":
-                at = up.parent
-            shut, up = CLOSES.get(tag), at
-            while shut and up is not None and up.tag not in WITHIN:
-                if up.tag in shut:
-                    at = up.parent
-                up = up.parent
-        node = Node(tag, m["attrs"] or "", at)
-        at.kids.append(node)
+            p = up.last(("p",))
+            if p > up.last(SCOPE):
+                up.cut(p)
+            if shut := CLOSES.get(tag):
+                if at := up.first_after(shut, up.last(WITHIN)):
+                    up.cut(at)
+        node = Node(tag, m["attrs"] or "", up.stack[-1])
+        up.stack[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, pos)
             pos = end.end() if end else n
         elif tag not in VOID and not (m["attrs"] or "").endswith("/"):
-            at = node
+            up.push(node)
     return root
 
 
@@ -135,36 +167,47 @@ def hints(node: Node) -> tuple[set[str], str, bool]:
     return words, role, hidden
 
 
-def below(node: Node) -> Iterator[Node]:
-    """All elements below a node."""
-    rest = [node]
+def in_order(root: Node, all_parts: bool = False) -> list[Node]:
+    """The elements of a subtree, parents first and in page order; those that are out only if all are wanted."""
+    order, rest = [], [root]
     while rest:
-        for k in rest.pop().kids:
-            if isinstance(k, Node):
-                yield k
-                rest.append(k)
+        node = rest.pop()
+        order.append(node)
+        rest += [k for k in reversed(node.kids) if isinstance(k, Node) and (all_parts or not k.out)]
+    return order
 
 
-def strip(root: Node) -> None:
-    """Marks the subtrees that aren't part of an article."""
-    rest = [(root, False)]
-    while rest:
-        node, inside = rest.pop()
-        words, role, hidden = hints(node)
+def strip(root: Node) -> list[Node]:
+    """Marks what isn't part of an article by markup, or by name; the parts that are out by name alone."""
+    order = in_order(root, all_parts=True)
+    for node in reversed(order):
+        node.hints = hints(node)
+        words, role, hidden = node.hints
+        node.named = bool(words & (OUT_WORDS | COMMENT_WORDS))
         if node.parent is None or node.tag == "body":
-            pass
-        elif node.tag in OUT_TAGS or role in OUT_ROLES or hidden or words & COMMENT_WORDS:
+            node.named = False
+        elif node.tag in OUT_TAGS or role in OUT_ROLES or hidden or node.tag in ("ul", "ol") and menu(node):
             node.out = True
-        elif words & OUT_WORDS:  # a wrapper named after its layout isn't one of the parts
-            node.out = node.tag not in ROOTS and not any(k.tag in ROOTS and not hints(k)[0] & (OUT_WORDS | COMMENT_WORDS) for k in below(node))
-        elif node.tag == "header" or "header" in words and node.tag not in HEADINGS:  # an article's own head holds its heading
-            if not any(k.tag in ROOTS for k in below(node)):
-                node.out = not (inside and any(k.tag in HEADINGS for k in below(node)))
-        if node.tag in ("ul", "ol") and not node.out:
-            node.out = menu(node)
-        if not node.out:
+        if node.parent is not None and not node.out:  # whether there is an article, or a heading, below
+            up = node.parent
+            up.root |= node.root or node.tag in ROOTS and not node.named
+            up.heading |= node.heading or node.tag in HEADINGS
+    named, rest = [], [(root, False)]
+    while rest:
+        node, inside = rest.pop()
+        words = node.hints[0]
+        if node.named and not node.out:
+            # a wrapper named after its layout isn't one of the parts
+            wraps = (node.tag in ROOTS or node.root) and not words & COMMENT_WORDS
+            node.out = not wraps
+        elif not node.out and (node.tag == "header" or "header" in words and node.tag not in HEADINGS) and node.parent is not None:
+            node.out = not node.root and not (inside and node.heading)  # an article's own head holds its heading
+        if node.out:
+            named += [node] if node.named else []
+        else:
             inside = inside or node.tag in ROOTS
             rest += [(k, inside) for k in node.kids if isinstance(k, Node)]
+    return named
 
 
 def menu(node: Node) -> bool:
@@ -185,20 +228,22 @@ def menu(node: Node) -> bool:
 
 def measure(root: Node) -> list[Node]:
     """Sets counts, densities and sums of densities; the nodes that are kept, in page order."""
-    order, rest = [], [(root, False)]
-    while rest:
-        node, linked = rest.pop()
-        order.append(node)
-        linked = linked or node.tag == "a"
-        for k in reversed(node.kids):
-            if not isinstance(k, Node):
+    order = in_order(root)
+    for node in order:
+        node.chars = node.tags = node.linked = node.links = 0
+        node.density = node.total = node.peak = 0.0
+    linked = {id(root): False}
+    for node in order:
+        own = linked[id(node)] or node.tag == "a"
+        for k in node.kids:
+            if isinstance(k, Node):
+                linked[id(k)] = own
+            else:
                 n = len("".join(unescape(k).split()))
                 node.chars += n
-                node.linked += n * linked
-            elif not k.out:
-                rest.append((k, linked))
+                node.linked += n * own
     for node in reversed(order):
-        if (up := node.parent) is not None:
+        if (up := node.parent) is not None and node is not root:
             up.chars += node.chars
             up.linked += node.linked
             up.tags += node.tags + 1
@@ -206,36 +251,60 @@ def measure(root: Node) -> list[Node]:
     share = root.linked / max(1, root.chars)
     for node in order:
         if node.chars:
-            tags, linked, links = max(1, node.tags), max(1, node.linked), max(1, node.links)
-            plain = node.chars / linked * tags / links
+            tags, links_in, links = max(1, node.tags), max(1, node.linked), max(1, node.links)
+            plain = node.chars / links_in * tags / links
             base = math.log(node.chars / max(1, node.chars - node.linked) * node.linked + share * node.chars + math.e)
             node.density = node.chars / tags * math.log(max(plain, 1.0001)) / max(math.log(base), 1.0)
-        if node.parent is not None:
+        if node.parent is not None and node is not root:
             node.parent.total += node.density
+    for node in reversed(order):
+        node.peak = max(node.peak, weight(node))
+        if node.parent is not None and node is not root:
+            node.parent.peak = max(node.parent.peak, node.peak)
     return order
 
 
+def weight(node: Node) -> float:
+    """The sum of densities below a node, or its own where it holds its text itself."""
+    return node.total or node.density * 0.999
+
+
 def core(order: list[Node]) -> Node | None:
-    """The root of the article."""
+    """The root of the article; parts below it that don't belong to it are marked as out."""
     full = [x for x in order if x.chars]
     if not full:
         return None
-    best = max(full, key=lambda x: x.total if x.total else x.density * 0.999)
+    best = max(full, key=weight)
     path = [best]
-    while path[-1].parent is not None:
+    while path[-1].parent is not None and path[-1].tag != "body":
         path.append(path[-1].parent)
-    threshold = min(x.density for x in path if x.chars)
-    taken = best
+    threshold = min(x.density for x in path)
+
+    def dense(x: Node) -> bool:
+        return x.density >= threshold and x.linked <= LINKED * x.chars
+
+    taken, outermost = best, max((k for k, x in enumerate(path) if x.tag in ROOTS), default=0)
     for k, up in enumerate(path[1:], 1):
-        if up.tag in ("body", "html"):
-            break
-        added, links = up.chars - taken.chars, up.linked - taken.linked
-        kin = all(not isinstance(x, Node) or x.out or not x.chars or x is path[k - 1] or x.tag in HEADINGS or x.tag == path[k - 1].tag or x.tag == "header" for x in up.kids)
-        if up.density >= threshold and links <= LINKED * max(1, added) and (not added or kin or any(x.tag in ROOTS for x in path[k:])):
-            taken = up
-            if up.tag == "article":
-                break
+        inside = k <= outermost
+        top = up.tag in ("body", "html")
+        beside = [x for x in up.kids if isinstance(x, Node) and not x.out and x.chars and x is not path[k - 1]]
+        if inside:  # all of an article belongs to it, but for parts of links
+            kept = [x for x in beside if x.linked <= LINKED * x.chars or x.density >= threshold]
+        elif top:
+            kept = [x for x in beside if dense(x) and x.peak >= BESIDE * best.peak]
         else:
+            kept = [x for x in beside if dense(x) or x.tag in FLOW and x.linked <= LINKED * x.chars]
+        loose = any(isinstance(x, str) and x.strip() for x in up.kids) and not top
+        if top and not kept:
+            break
+        if not top and beside and not kept and not loose:
+            break
+        for x in beside:
+            x.out = x not in kept and not (top and x.tag == "h1" and up.kids.index(x) < up.kids.index(path[k - 1]))
+        if top:  # text between the parts of a body is no part of an article
+            up.kids = [x for x in up.kids if isinstance(x, Node)]
+        taken = up
+        if up.tag == "article":
             break
     return taken
 
@@ -261,13 +330,30 @@ def blocks(node: Node) -> Iterator[str]:
         yield text
 
 
+def article(root: Node) -> Node | None:
+    """The article of a page; what is out below it doesn't belong to it."""
+    named = strip(root)
+    order = measure(root)
+    roots = any(x.tag in ROOTS and x.chars for x in order)
+    found = [x for x in named if x.tag in ROOTS and not roots]
+    if not found and not root.chars:
+        found = named  # nothing else has any text
+    if found:  # of what is out by name alone, the part with the densest text is what the page is made of
+        for x in found:
+            x.out = False
+            measure(x)
+        best = max(found, key=weight)
+        for x in found:
+            x.out = x is not best or not x.chars
+        order = measure(root)
+    return core(order)
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the article, one a line; empty if the page has no text."""
     if not html:
         return ""
-    root = tree(html)
-    strip(root)
-    node = core(measure(root))
+    node = article(tree(html))
     if node is None:
         return ""
     found = list(blocks(node))
@@ -286,7 +372,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty html, and pages without any text, give an empty text. Repeated rows come out
     repeated, null ids and urls stay null; other columns are ignored. Character references are
-    decoded, white space inside a block is one space, and blocks are joined by one line end.
+    decoded, white space inside a block is one space, and blocks are joined by one line end. The work
+    is linear in the html, however deep its elements lie.
     """
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
