@@ -2,8 +2,9 @@
 
 Texts become word sequences. Of every `span` consecutive words the k-gram with the smallest hash
 is kept (rightmost on ties), so two texts that share a span keep the same k-gram inside of it, at
-the same offset. Kept k-grams of documents and items are joined by hash and each hit is extended
-word by word to both sides: a run of `span` equal words or more is a shared span, and all of its
+the same offset. Kept k-grams of documents and items are joined by hash and by half of what a shared
+span has beside the k-gram, on the one side or the other, so that a k-gram that many texts share is
+no group of its own; each hit is extended word by word to both sides: a run of `span` equal words or more is a shared span, and all of its
 words are hit. Items shorter than a span are matched whole, by a hash of all their words.
 
 A filter of fixed size, filled with the items' hashes, drops document k-grams that no item can
@@ -142,8 +143,18 @@ def shared_spans(docs: DataFrame, items: DataFrame, span: int = 13, k: int = 5)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_h"), "text")
     rows = written(rows.mapInPandas(made, f"doc_id long, row_h long, n_words long, anchors {ANCHORS}"), "doc-anchors")
     ours = rows.select("doc_id", "row_h", F.explode("anchors").alias("d")).select("doc_id", "row_h", F.col("d.h").alias("h"), F.col("d.len").alias("len"), "d")
-    theirs = held.select("h", "len", "item_id", F.struct("pos", "left", "words").alias("i"))
-    both = ours.join(theirs, ["h", "len"])
+    theirs = held.select("h", "len", "item_id", F.struct("left", "words").alias("i"))
+    # a span that is shared has, left or right of its k-gram, half of its other words: equal there, or no pair
+    half = -(-(span - k) // 2)
+    sides = F.expr(f"""explode(filter(array(
+        IF(len < 0, xxhash64('whole'), NULL),
+        IF(len > 0 AND g.left >= {half}, xxhash64('left', slice(g.words, g.left - {half} + 1, len + {half})), NULL),
+        IF(len > 0 AND size(g.words) - g.left - len >= {half}, xxhash64('right', slice(g.words, g.left + 1, len + {half})), NULL)
+    ), x -> x IS NOT NULL))""").alias("side")
+    ours = ours.withColumnRenamed("d", "g").select("*", sides).withColumnRenamed("g", "d")
+    # items that hold a gram among the same words are one until the spans are known
+    theirs = theirs.groupBy("h", "len", "i").agg(F.collect_set("item_id").alias("ids")).withColumnRenamed("i", "g").select("*", sides).withColumnRenamed("g", "i")
+    both = ours.join(theirs, ["h", "len", "side"])
     # extend to both sides of the gram, which must itself be equal
     same = "slice(d.words, d.left + 1, abs(len)) = slice(i.words, i.left + 1, abs(len))"
     back = "least(d.left, i.left)"
@@ -154,7 +165,7 @@ def shared_spans(docs: DataFrame, items: DataFrame, span: int = 13, k: int = 5)
     })
     long = (F.col("l") + F.col("len") + F.col("r") >= span) | (F.col("len") < 0)
     start = F.col("d.pos") - F.col("l")
-    found = both.filter(long).select("doc_id", "row_h", "item_id", start.alias("start"), (F.col("d.pos") + F.abs("len") + F.col("r")).alias("end"))
+    found = both.filter(long).select("doc_id", "row_h", F.explode("ids").alias("item_id"), start.alias("start"), (F.col("d.pos") + F.abs("len") + F.col("r")).alias("end"))
     return rows.select("doc_id", "row_h", "n_words"), found.distinct()
 
 

@@ -7,6 +7,9 @@ schedule of one cycle repeats, so it is folded once over N slots, in one row, an
 blocks of all cycles. At every slot a source that has blocks left has received its share of the
 slots so far to within less than one block.
 
+The fold goes by stretches of the square root of N slots, so that what has run is copied once a stretch.
+A cycle has at most MAX_SLOTS slots; quotas that sum up to more are an error, for one row holds a cycle.
+
 DataFrame and SQL functions only.
 """
 
@@ -21,6 +24,8 @@ from docketry.llm.common import table, without
 
 #: Rows of a source that one window task ranks, about.
 BUCKET_ROWS = 20_000
+#: Slots of a cycle, at most: the bound of what one row and one fold hold. Weights in smaller numbers mix in the same way.
+MAX_SLOTS = 20_000
 ADDED = ("block", "release", "deadline", "slot")
 
 
@@ -46,8 +51,12 @@ def cycle(quotas: DataFrame) -> DataFrame:
     step = f"""transform(array({free.replace("done[", "acc.done[")}), e -> struct(
         transform(acc.done, (d, k) -> d + IF(k = e.k, 1L, 0L)) AS done,
         concat(acc.ran, array(coalesce(e.k, -1))) AS ran))[0]"""
-    ran = F.expr(f"""aggregate(sequence(0L, n_slots - 1),
-        struct(transform(s, x -> 0L) AS done, CAST(array() AS ARRAY<INT>) AS ran), (acc, t) -> {step}).ran""")
+    none = "CAST(array() AS ARRAY<INT>) AS ran"
+    stretch = f"""aggregate(sequence(c * width, least((c + 1) * width, n_slots) - 1), struct(all.done AS done, {none}), (acc, t) -> {step})"""
+    ran = F.expr(f"""flatten(aggregate(sequence(0L, (n_slots - 1) div width), struct(transform(s, x -> 0L) AS done, CAST(array() AS ARRAY<ARRAY<INT>>) AS ran),
+        (all, c) -> transform(array({stretch}), x -> struct(x.done AS done, concat(all.ran, array(x.ran)) AS ran))[0]).ran)""")
+    checked = F.when(F.col("n_slots") > MAX_SLOTS, F.raise_error(F.format_string(f"the quotas sum up to %d slots; a cycle has {MAX_SLOTS} at most", "n_slots"))).otherwise(F.col("n_slots"))
+    one = one.withColumn("n_slots", checked.cast("long")).withColumn("width", F.ceil(F.sqrt("n_slots")))
     slots = one.filter("size(s) > 0").select("s", "n_slots", F.posexplode(ran).alias("pos", "k")).filter("k >= 0")
     i = (F.row_number().over(Window.partitionBy("k").orderBy("pos")) - 1).cast("long")
     rows = slots.select("n_slots", "pos", F.expr("s[k].source").alias("source"), F.expr("s[k].quota").alias("quota"), i.alias("i"))
@@ -94,10 +103,10 @@ def mix(docs: DataFrame, quotas: DataFrame | None = None, block_docs: int = 32)
     rows = rows.withColumn("block", (F.col("__rank") / block_docs).cast("long"))
     plan = cycle(quotas).withColumnsRenamed({c: f"__{c}" for c in ("i", "quota", "n_slots", "release", "deadline", "pos")})
     quota = plan.groupBy(F.col("source").alias("__source")).agg(F.first("__quota").alias("__q"))
-    # both have at most one row for each slot of a cycle, a bound set by the quotas
-    rows = rows.join(F.broadcast(quota), "__source").withColumn("__i", F.expr("block % __q"))
+    # both have at most one row for each slot of a cycle: Spark sends them where they are small
+    rows = rows.join(quota, "__source").withColumn("__i", F.expr("block % __q"))
     plan = plan.withColumnRenamed("source", "__source")
-    rows = rows.join(F.broadcast(plan), ["__source", "__i"])
+    rows = rows.join(plan, ["__source", "__i"])
     begun = F.expr("block div __quota * __n_slots")
     rows = rows.withColumns({"release": begun + F.col("__release"), "deadline": begun + F.col("__deadline"), "slot": begun + F.col("__pos")})
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *ADDED)

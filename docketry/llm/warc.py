@@ -172,7 +172,7 @@ def with_first(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     long = rows.filter((F.octet_length("html") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "same")
     first = long.groupBy("same").agg(F.min("page_id").alias("refers_to"))
     later = long.join(first, "same").filter("page_id <> refers_to").distinct()
-    later = later.withColumnsRenamed({"page_id": "p", "same": "s"}).hint("shuffle_hash")
+    later = later.withColumnsRenamed({"page_id": "p", "same": "s"})
     out = rows.join(later, (F.col("page_id") == F.col("p")) & (F.col("same") == F.col("s")), "left")
     return out.select("page_id", "url", "html", "refers_to")
 
