@@ -5,8 +5,9 @@ A tree of vantage points, grown on a bounded sample, cuts Hamming space into sha
 a point lies inside or outside of the node's median distance. By the triangle inequality a point
 within `radius` of p can be on the other side only if p's own distance is within `radius` of the
 median; p then visits that side too. Every pair within the radius therefore meets in the shard
-that owns one of the two, where distances are computed exactly. The sample shapes the shards, and
-never what is found.
+that owns one of the two, where distances are computed exactly. Shards that are still large get a
+subtree each, grown by tasks on the shard's own sample, so that the depth follows the number of points
+while the driver holds the top only. Samples shape the shards, and never what is found.
 
 A shard gives a spanning forest of its links and not all pairs, so the number of links follows the
 number of points. Groups are the components of the forests, found by distributed star contraction.
@@ -30,19 +31,23 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.llm.common import skew_join, table, tasks, written
 from docketry.llm.decontam import gram_hashes, mixed
 from docketry.llm.suffix_dedup import Bitmap
 
-#: Distinct fingerprints that the tree is grown on, at most.
+#: Distinct fingerprints that the top of the tree is grown on, at most; a quarter of them for each subtree.
 SAMPLE = 8192
 #: Points that a shard owns, about; beyond twice that it is cut into chunks that are queried apart.
 SHARD = 4096
-#: Levels of the tree, at most: its size is bounded whatever the number of points.
-MAX_DEPTH = 12
+#: Levels of the top of the tree, which the driver grows: its size is bounded whatever the number of points.
+TOP = 10
+#: Levels of the subtrees that tasks grow inside of large shards, round by round until the tree is deep enough.
+LEVELS = 8
+#: Rows of a large shard that one task deals anew, about.
+SALTED = 1 << 16
 #: Levels are grown while at most this share of the sample would go to both sides of them.
 BOTH_SIDES = 0.5
 #: Min-hashes of a band, and the share of pairs at the threshold that may share no band.
@@ -252,38 +257,89 @@ def shard_links(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.Dat
                 label = joint[: len(kept)][label]
 
 
+def places(rows: pd.DataFrame, tree: tuple[np.ndarray, np.ndarray], depth: int, radius: int) -> Iterator[pd.DataFrame]:
+    """rows (visits, id, fp) with the shard of the tree that owns them, and once more for each that they visit.
+
+    Of two owned points, the one whose shard has the lower number visits the other, so each pair meets
+    once; rows that visit the whole tree go to all shards within the radius.
+    """
+    for k in range(0, len(rows), 4096):
+        some = rows.iloc[k : k + 4096]
+        owner, row, shard = route(some["fp"].to_numpy(np.int64).view(np.uint64), tree, depth, radius)
+        guest = some["visits"].to_numpy() == 1
+        later = guest[row] | (shard > owner[row])
+        for at, place, visits in ((np.flatnonzero(~guest), owner[~guest], 0), (row[later], shard[later], 1)):
+            yield some.iloc[at].assign(place=place, visits=visits)
+
+
+def regrown(batches: Iterator[pd.DataFrame], levels: int, radius: int) -> Iterator[pd.DataFrame]:
+    """Rows of shards dealt anew by a subtree of each, grown on the shard's sample, which comes first.
+
+    Held at a time: one sample, one subtree and one batch.
+    """
+    key, sample, tree = None, [], None
+    for batch in batches:
+        for at, rows in batch.groupby(["shard", "salt"], sort=False):
+            if at != key:
+                key, sample, tree = at, [], None
+            sampled = rows["visits"].to_numpy() < 0
+            if sampled.any():
+                sample.append(rows["fp"].to_numpy(np.int64)[sampled])
+            rest = rows[~sampled]
+            if not len(rest):
+                continue
+            if tree is None:
+                tree, depth = grow(np.concatenate(sample).view(np.uint64), levels, radius)
+            for out in places(rest, tree, depth, radius):
+                yield out.assign(shard=out["shard"] * 2**levels + out["place"])[["shard", "visits", "id", "fp"]]
+
+
+def shard_sizes(rows: DataFrame) -> DataFrame:
+    """(shard, own, n): the points that each shard owns, and all of its rows."""
+    return written(rows.groupBy("shard").agg(F.count_if(F.col("visits") == 0).alias("own"), F.count("*").alias("n")), "shards")
+
+
+def split(rows: DataFrame, levels: int, radius: int) -> DataFrame:
+    """rows (shard, visits, id, fp) with shards of twice SHARD points and more cut by subtrees of so many levels."""
+    spark, out = rows.sparkSession, ["shard", "visits", "id", "fp"]
+    sizes = shard_sizes(rows).withColumn("salts", F.when(F.col("own") > 2 * SHARD, F.ceil(F.col("n") / SALTED)))
+    rows = written(skew_join(rows, sizes, "shard", "n"), "sized")
+    kept = rows.filter("salts IS NULL").withColumn("shard", F.shiftleft("shard", levels)).select(*out)
+    rows = rows.filter("salts IS NOT NULL")
+    first = Window.partitionBy("shard").orderBy(F.xxhash64("id"), "id")
+    sample = rows.filter("visits = 0").withColumn("at", F.row_number().over(first)).filter(F.col("at") <= SAMPLE // 4)
+    sample = sample.withColumns({"salt": F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)), "visits": F.lit(-1)})
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).select("salt", *out).unionByName(sample.select("salt", *out))
+    dealt = dealt.repartition(tasks(spark), "shard", "salt").sortWithinPartitions("shard", "salt", "visits", "id")
+    return kept.unionByName(dealt.mapInPandas(lambda it: regrown(it, levels, radius), kept.schema))
+
+
 def links(points: DataFrame, radius: int) -> DataFrame:
     """(a, b) links of distinct points (fp, which is also their name): the same components as all pairs that link."""
     spark = points.sparkSession
     n = points.count()
-    depth = max(0, min(MAX_DEPTH, int(np.log2(max(1, n / SHARD)) + 0.999)))
+    levels = max(0, int(np.log2(max(1, n / SHARD)) + 0.999))
+    depth = min(levels, TOP)
     rows = points.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(SAMPLE).collect() if depth else []
     tree, depth = grow(np.array([r["fp"] for r in rows], dtype=np.int64).view(np.uint64), depth, radius)
-    carried = ["id", "fp"]
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k in range(0, len(b), 4096):
-                some = b.iloc[k : k + 4096]
-                owner, row, shard = route(some["fp"].to_numpy(np.int64).view(np.uint64), tree, depth, radius)
-                # of two points, the one whose shard has the lower number visits the other: each pair meets once
-                later = shard >= owner[row]
-                parts = [(np.arange(len(some)), owner, 0), (row[later], shard[later], 1)]
-                for at, place, visits in parts:
-                    yield some[carried].iloc[at].assign(shard=place, visits=visits)[["shard", "visits", *carried]]
-
-    points = points.select(F.col("fp").alias("id"), "fp")
-    rows = points.mapInPandas(routed, "shard long, visits long, id long, fp long")
-    if n > SHARD:
-        rows = written(rows, "routed")
-    # shards: the leaves of a tree of bounded depth
-    sizes = rows.filter("visits = 0").groupBy("shard").agg(F.ceil(F.count("*") / (2 * SHARD)).alias("chunks"))
-    rows = rows.join(F.broadcast(sizes), "shard")
-    chunk = F.when(F.col("visits") == 0, F.array(F.pmod(F.xxhash64("id"), F.col("chunks")))).otherwise(
-        F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
-    )
-    dealt = rows.select("shard", "visits", *carried, F.explode(chunk).alias("chunk"))
-    dealt = dealt.repartition(max(tasks(spark), 2**depth // 4), "shard", "chunk").sortWithinPartitions("shard", "chunk", "visits")
+            for out in places(b.assign(visits=0), tree, depth, radius):
+                yield out.rename(columns={"place": "shard"})[["shard", "visits", "id", "fp"]]
+
+    rows = points.select(F.col("fp").alias("id"), "fp").mapInPandas(routed, "shard long, visits int, id long, fp long")
+    rows = written(rows, "routed")
+    for _ in range(-(-max(0, levels - TOP) // LEVELS)):
+        rows = written(split(rows, LEVELS, radius), "routed")
+    sizes = shard_sizes(rows).withColumn("chunks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("own") / (2 * SHARD))))
+    rows = skew_join(rows, sizes, "shard", "n").withColumn("own", F.pmod(F.xxhash64("id"), "chunks"))
+    # owned points come to their own chunk and, like visitors of all, compare themselves with that and the later ones
+    start = F.when(F.col("visits") == 0, F.col("own")).otherwise(F.lit(0).cast("long"))
+    met = F.transform(F.sequence(start, F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), F.lit(1).alias("visits")))
+    held = F.array(F.struct(F.col("own").alias("chunk"), F.lit(0).alias("visits")))
+    dealt = rows.select("shard", "id", "fp", F.inline(F.when(F.col("visits") == 0, F.concat(held, met)).otherwise(met)))
+    dealt = dealt.repartition(max(tasks(spark), n // (4 * SHARD)), "shard", "chunk").sortWithinPartitions("shard", "chunk", "visits")
     return dealt.mapInPandas(lambda it: shard_links(it, radius), "a long, b long")
 
 

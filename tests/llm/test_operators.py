@@ -57,8 +57,10 @@ def test_simhash(docs, raws):
     assert got == {r[0]: (int(f), rows[k][0]) for r, f, k in zip(rows, fps, label, strict=True)}
 
 
-def test_simhash_deep_tree(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SHARD", 64)
+@pytest.mark.parametrize(("top", "levels", "salted"), [(10, 8, 1 << 16), (2, 2, 300), (1, 1, 50), (0, 3, 1000)])
+def test_simhash_deep_tree(spark, monkeypatch, top, levels, salted):
+    for name, value in {"SHARD": 64, "TOP": top, "LEVELS": levels, "SALTED": salted}.items():
+        monkeypatch.setattr(simhash, name, value)  # small tops: most levels are grown by tasks, in rounds
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 700, dtype=np.int64).view(np.uint64)
     near = [base[k % 700] ^ np.uint64(1 << int(i)) ^ np.uint64(1 << int(j)) for k, (i, j) in enumerate(rng.integers(0, 63, (900, 2)))]
