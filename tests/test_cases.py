@@ -183,6 +183,18 @@ def test_html_to_text(spark):
     assert spark.range(1).select(readers.html_to_text(F.lit(None).cast("string"))).first()[0] == ""
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("caf&#233; caf&#xE9; caf&#Xe9; caf&eacute; a&ccedil;&atilde;o", "café café café café ação"),
+    ("&amp;#233; &#38;lt; &#38;amp; &amp;amp;", "&#233; &lt; &amp; &amp;"),
+    ("&#128220; &#x1F4DC; &#8212;", "📜 📜 —"),
+    ("[&#0;] [&#xD800;] [&#x110000;] [&#99999999999999999999;] [&#00065;]", "[\ufffd] [\ufffd] [\ufffd] [\ufffd] [A]"),
+    ("a & b &unknown; &#; &#xg; AT&T; a&nbsp;&nbsp;b", "a & b &unknown; &#; &#xg; AT&T; a b"),
+    ("&lt;p&gt;", "<p>"),
+])
+def test_html_references(spark, html, want):
+    assert spark.createDataFrame([(html,)], "html string").select(readers.html_to_text(F.col("html"))).first()[0] == want
+
+
 def test_notes_files(spark):
     one = {"tenant": 1, "degree": 1, "case_no": 1, "piece_id": 2, "note_id": 3, "text": "a", "sender_code": "s1", "created_ts": "2024-01-01"}
     lines = [json.dumps(one), json.dumps(one | {"sender_name": "Ana"}), json.dumps(one | {"sender_code": None}), "{broken", "", None]
