@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import table, without
 
-#: Rows of a source that one window task ranks, about.
-BUCKET_ROWS = 20_000
+#: Rows that one task ranks, about; rows of a source that are ranked together, at most, unless their ids are the same.
+TASK_ROWS, BUCKET_ROWS = 10_000, 2_500
 #: Slots of a cycle, at most: the bound of what one row and one fold hold. Weights in smaller numbers mix in the same way.
 MAX_SLOTS = 20_000
 ADDED = ("block", "release", "deadline", "slot")
@@ -66,18 +66,21 @@ def cycle(quotas: DataFrame) -> DataFrame:
     })
 
 
-def ranked(docs: DataFrame, order: Column, levels: int) -> DataFrame:
-    """docs with __rank: 0, 1, ... inside each __source in the order of the hex digest `order`.
+def ranked(docs: DataFrame, order: Column, n: int) -> DataFrame:
+    """docs, n rows, with __rank: 0, 1, ... inside each __source in the order of the hex digest `order`.
 
-    A source is cut by the first digits of the digest into 16**levels buckets, which are numbered
-    apart; the sizes of the buckets before a bucket are added. So no task gets a whole source.
+    A source is cut by the first digits of the digest into buckets of BUCKET_ROWS rows at most, which
+    are numbered apart; the sizes of the buckets before a bucket are added. So no task gets a whole
+    source, and tasks grow in number with the rows, not in size.
     """
+    levels = max(1, math.ceil(math.log(max(1, n) / BUCKET_ROWS, 16)))
     docs = docs.withColumns({"__h": order, "__bucket": F.substring(order, 1, levels)})
+    dealt = docs.repartition(n // TASK_ROWS + 1, "__source", "__bucket")
     sizes = docs.groupBy("__source", "__bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("__source", "__bucket", F.coalesce(before, F.lit(0)).alias("__before"))
     own = F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__h", "doc_id", "__tie"))
-    return docs.withColumn("__own", own).join(sizes, ["__source", "__bucket"]).withColumn("__rank", F.col("__before") + F.col("__own") - 1)
+    return dealt.withColumn("__own", own).join(sizes, ["__source", "__bucket"]).withColumn("__rank", F.col("__before") + F.col("__own") - 1)
 
 
 def mix(docs: DataFrame, quotas: DataFrame | None = None, block_docs: int = 32) -> DataFrame:
@@ -85,7 +88,7 @@ def mix(docs: DataFrame, quotas: DataFrame | None = None, block_docs: int = 32)
 
     quotas: (source, quota), slots of a cycle for each source; by default root_weights(docs).
     Sources without a quota, or with one below 1, get one slot. block counts the blocks of a
-    source from 0, in the order of md5(doc_id). The weights hold until a source has run out; the
+    source from 0, in the order of md5(doc_id), or of a hash of the text where that is null. The weights hold until a source has run out; the
     slots of its further blocks stay empty. A null source counts as ''; its column stays null.
     Null ids, texts and repeated rows are kept and ranked like any other row; ties in doc_id are
     ordered by a hash of the text. Columns of docs with the added names are replaced.
@@ -97,9 +100,8 @@ def mix(docs: DataFrame, quotas: DataFrame | None = None, block_docs: int = 32)
     else:
         given = quotas.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.max("quota").cast("long").alias("q"))
         quotas = names.join(given, "source", "left").select("source", F.greatest(F.lit(1), F.coalesce("q", F.lit(1))).alias("quota"))
-    levels = max(1, math.ceil(math.log(max(1, docs.count()) / BUCKET_ROWS, 16)))
     named = docs.withColumns({"__source": F.coalesce("source", F.lit("")), "__tie": F.xxhash64("text")})
-    rows = ranked(named, F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), levels)
+    rows = ranked(named, F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("__tie").cast("string"))), docs.count())
     rows = rows.withColumn("block", (F.col("__rank") / block_docs).cast("long"))
     plan = cycle(quotas).withColumnsRenamed({c: f"__{c}" for c in ("i", "quota", "n_slots", "release", "deadline", "pos")})
     quota = plan.groupBy(F.col("source").alias("__source")).agg(F.first("__quota").alias("__q"))
