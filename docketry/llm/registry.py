@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.llm import decontam, fingerprint, html_text, langid, line_dedup, mixing, secrets, simhash, suffix_dedup, warc
+from docketry.llm import chat, decontam, fingerprint, html_text, langid, line_dedup, mixing, phrases, secrets, simhash, suffix_dedup, variants, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_mixing": mixing.op10_mixing,
+        "op11_chat_format": chat.op11_chat_format,
+        "op12_spelling_variants": variants.op12_spelling_variants,
+        "op13_phrases": phrases.op13_phrases,
     }
 
 
@@ -27,4 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": warc.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
         "op10_mixing": mixing.ORACLE,
+        "op11_chat_format": chat.ORACLE,
+        "op13_phrases": phrases.ORACLE,
     }
