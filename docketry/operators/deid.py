@@ -1,8 +1,8 @@
 """De-identification: detection, labels, masking, and the barrier in front of what goes out.
 
-Work stays by piece; labels are joined by case. The barrier and the releases compare by case with
-an equi-join and test containment on what has met. Values that hold everywhere have no case: they
-are met by a whole word from their inside, and only those without one are compared with all texts.
+Work stays by piece; labels and parties are brought to the texts of their case as one dictionary. The barrier and
+the releases compare by case with an equi-join and test containment on what has met. Values that hold everywhere
+have no case: texts and values meet by a rare piece of the value.
 """
 
 from __future__ import annotations
@@ -10,16 +10,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, _parse_datatype_string
 
-from docketry.functions.ids import ACCENTED, PLAIN, digits, name_norm
-from docketry.functions.patterns import IDENTIFIERS, MENTIONS, PRESERVED, RG, matches, spans
-from docketry.schemas import CASE_KEY, ENTITY, PIECE_KEY
+from docketry.functions.forms import Labels, Register
+from docketry.functions.ids import digits, name_norm
+from docketry.functions.patterns import IDENTIFIERS, MENTIONS, PRESERVED, RG, matches
+from docketry.operators.containing import containing
+from docketry.operators.dictionary import looked_up
+from docketry.schemas import CASE_KEY, ENTITY, PIECE_KEY, TURN_KEY
 
-PIECE = PIECE_KEY
-#: Global values without a whole word inside that are sent to all texts at a time, about.
-MAX_SHORT = 1000
+PIECE, TURN = PIECE_KEY, TURN_KEY
+SPAN = "kind: string, value: string, start: bigint, `end`: bigint"
 
 
 def detect_patterns(texts: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
@@ -33,38 +36,18 @@ def detect_rg(texts: DataFrame) -> DataFrame:
     return found.withColumn("start", F.col("end") - F.char_length("value"))
 
 
-def quoted(value: Column) -> Column:
-    """A pattern for a text as it stands."""
-    return F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-
-
-def name_forms(name: Column) -> Column:
-    """A pattern for a name whatever its case, accents and blanks."""
-    out = F.regexp_replace(name_norm(name), r"([^\p{L}\p{N} ])", r"\\$1")
-    for plain in sorted(set(PLAIN)):
-        forms = plain + "".join(a for a, p in zip(ACCENTED, PLAIN, strict=True) if p == plain)
-        out = F.replace(out, F.lit(plain), F.lit(f"[{forms}]"))
-    return F.concat(F.lit("(?iu)"), F.replace(out, F.lit(" "), F.lit(r"\s+")))
-
-
-def number_forms(number: Column) -> Column:
-    """A pattern for a number's digits, with or without blanks and punctuation between them."""
-    return F.regexp_replace(digits(number), "(?<=[0-9])(?=[0-9])", r"[\\s./-]{0,3}")
-
-
 def detect_register(texts: DataFrame, parties: DataFrame) -> DataFrame:
     """Names and numbers of the case's known parties, whatever their form: all their places in a piece.
 
-    value is what stands in the text. Names may differ in case, accents and blanks, numbers in their
-    punctuation; none is part of a longer word or number.
+    value is what stands in the text. Names may differ in case, accents (composed or not), ligatures, blanks and
+    a cut at the end of a line, numbers in their punctuation; none is part of a longer word or number. A text is
+    brought to its normal form once, with the place of every letter, and met with a dictionary of the case.
     """
-    values = parties.select(*CASE_KEY, F.explode(F.array(
-        F.struct(F.lit("person").alias("kind"), name_norm(F.col("name")).alias("known"), name_forms(F.col("name")).alias("pattern")),
-        F.struct(F.lit("number").alias("kind"), digits(F.col("cpf")).alias("known"), number_forms(F.col("cpf")).alias("pattern")),
-    )).alias("v")).select(*CASE_KEY, "v.*").filter("known <> ''").distinct()
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.col("pattern"), F.lit(r"(?![\p{L}\p{N}])"))
-    rows = texts.select(*PIECE, "text").join(values.withColumn("pattern", pattern), CASE_KEY).filter(F.expr("text RLIKE pattern"))
-    return rows.select(*PIECE, "kind", F.inline(spans(F.col("text"), F.col("pattern"))))
+    entries = parties.select(*CASE_KEY, F.explode(F.array(
+        F.struct(F.lit("person").alias("a"), F.col("name").alias("b")), F.struct(F.lit("number").alias("a"), digits(F.col("cpf")).alias("b")),
+    )).alias("v")).select(*CASE_KEY, "v.*").filter("b <> ''").distinct()
+    rows = looked_up(texts.select(*PIECE, "text"), "text", entries, lambda own: Register(own).found, "found", _parse_datatype_string(f"array<struct<{SPAN}>>"))
+    return rows.select(*PIECE, F.inline("found"))
 
 
 def detect_model(texts: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
@@ -79,13 +62,19 @@ def mentions(texts: DataFrame, parties: DataFrame | None = None) -> DataFrame:
 
 
 def drop_preserved(entities: DataFrame, texts: DataFrame) -> DataFrame:
-    """Entities that don't overlap a date, a deadline, a law or case law of their piece."""
-    kept = matches(texts, PIECE, "text", {k: MENTIONS[k] for k in PRESERVED}).select(*PIECE, F.col("start").alias("s"), F.col("end").alias("e"))
-    e, k = entities.alias("e"), kept.alias("k")
-    same = (F.col("e.start") < F.col("k.e")) & (F.col("k.s") < F.col("e.end"))
-    for c in PIECE:
-        same = same & (F.col(f"e.{c}") == F.col(f"k.{c}"))
-    return e.join(k, same, "left_anti")
+    """Entities that don't overlap a date, a deadline, a law or case law of their piece.
+
+    Of all preserved spans of a piece that begin before an entity ends, the one that ends last tells: so a
+    piece is sorted once, whatever the number of its spans.
+    """
+    kept = matches(texts, PIECE, "text", {k: MENTIONS[k] for k in PRESERVED}).dropna(subset=PIECE)
+    kept = kept.select(*PIECE, F.lit(None).alias("__row"), F.col("start").alias("__at"), F.col("end").alias("__until"))
+    rows = entities.select(*PIECE, F.struct(*[F.col(f"`{c}`") for c in entities.columns]).alias("__row"), F.col("end").alias("__at"), F.lit(None).cast("long").alias("__until"))
+    # at one place entities end before spans begin
+    before = Window.partitionBy(*PIECE).orderBy("__at", F.col("__until").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    both = rows.unionByName(kept.withColumn("__row", F.lit(None).cast(rows.schema["__row"].dataType)))
+    both = both.withColumn("__last", F.max("__until").over(before)).filter("__row IS NOT NULL")
+    return both.filter("__last IS NULL OR __last <= __row.start").select("__row.*")
 
 
 def resolve_spans(entities: DataFrame) -> DataFrame:
@@ -109,40 +98,19 @@ def resolve_spans(entities: DataFrame) -> DataFrame:
     return won.select(*PIECE, "w.kind", "w.value", "w.start", "w.end")
 
 
-def any_of(values: Column) -> Column:
-    """A pattern for any of the texts, the first in order that fits."""
-    return F.array_join(F.transform(values, quoted), "|")
-
-
-def swapped(text: Column, pattern: Column, known: Column) -> Column:
-    """text with each match of the pattern replaced by what the map knows for it, in one pass: nothing is replaced twice."""
-    parts = F.zip_with(
-        F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)),
-        lambda gap, hit: F.concat(gap, F.coalesce(F.try_element_at(known, hit), F.lit(""))),
-    )
-    return F.array_join(parts, "")
-
-
-def longest_first(label_map: DataFrame) -> DataFrame:
-    """(case key, pairs): a case's labels and values, the longest value first; of two labels for a value the first one."""
-    one = label_map.filter("value <> ''").groupBy(*CASE_KEY, "value").agg(F.min("label").alias("label"))
-    pair = F.struct((-F.char_length("value")).alias("size"), "value", "label")
-    return one.groupBy(*CASE_KEY).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+def label_entries(label_map: DataFrame) -> DataFrame:
+    return label_map.select(*CASE_KEY, F.col("label").alias("a"), F.col("value").alias("b")).filter("a <> '' AND b <> ''").distinct()
 
 
 def mask(texts: DataFrame, label_map: DataFrame, bounds: bool = True) -> DataFrame:
     """texts with masked: each value of the case replaced by its label, the longest value at each place.
 
-    With bounds a value inside of a longer word or number stays. Labels are never masked themselves.
-    Cases without labels keep their text.
+    With bounds a value inside of a longer word or number stays. Labels are never masked themselves. Labels are
+    made one to one: a value with several takes the smallest, and of several values under one label all but the
+    first get a new one, [P_1~2]. A label in brackets that a text holds by itself gets a backslash behind its bracket.
+    Cases without labels and null texts keep their text.
     """
-    rows = texts.join(longest_first(label_map), CASE_KEY, "left")
-    pattern = any_of(F.transform("pairs", lambda p: p["value"]))
-    if bounds:
-        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), pattern, F.lit(r")(?![\p{L}\p{N}])"))
-    known = F.map_from_entries(F.transform("pairs", lambda p: F.struct(p["value"], p["label"])))
-    masked = F.when(F.col("pairs").isNull(), F.col("text")).otherwise(swapped(F.col("text"), pattern, known))
-    return rows.withColumn("masked", masked).drop("pairs")
+    return looked_up(texts, "text", label_entries(label_map), lambda own: Labels(own, bounds).mask, "masked", StringType())
 
 
 def mask_fields(fields: DataFrame, label_map: DataFrame, names: list[str], bounds: bool = True) -> DataFrame:
@@ -152,11 +120,11 @@ def mask_fields(fields: DataFrame, label_map: DataFrame, names: list[str], bound
 
 
 def unmask(texts: DataFrame, label_map: DataFrame) -> DataFrame:
-    """texts with unmasked: labels turned back; brackets keep [X_1] and [X_10] apart."""
-    rows = texts.join(longest_first(label_map), CASE_KEY, "left")
-    known = F.map_from_entries(F.transform("pairs", lambda p: F.struct(p["label"], p["value"])))
-    back = swapped(F.col("masked"), any_of(F.transform("pairs", lambda p: p["label"])), known)
-    return rows.withColumn("unmasked", F.when(F.col("pairs").isNull(), F.col("masked")).otherwise(back)).drop("pairs")
+    """texts with unmasked: all labels of the case turned back, whichever of a value's they are.
+
+    unmask(mask(texts)) gives the texts, for labels in brackets without brackets inside; brackets keep [X_1] and [X_10] apart.
+    """
+    return looked_up(texts, "masked", label_entries(label_map), lambda own: Labels(own).unmask, "unmasked", StringType())
 
 
 def barrier_hits(outgoing: DataFrame, label_map: DataFrame, releases: DataFrame | None = None) -> DataFrame:
@@ -168,34 +136,18 @@ def barrier_hits(outgoing: DataFrame, label_map: DataFrame, releases: DataFrame
     return rows.select(*CASE_KEY, "turn", "value", F.position(F.col("value"), F.col("text")).cast("long").alias("at"))
 
 
-def global_hits(outgoing: DataFrame, values: DataFrame) -> DataFrame:
-    """(turn, value, at): values that are protected in every case, in an outgoing text.
+def global_hits(outgoing: DataFrame, values: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """(key..., value, at): values that are protected in every case, in an outgoing text of (key..., text).
 
-    A value of three words or more holds a whole word between two blanks, which a text that
-    contains the value holds too: texts and values meet by the longest such word. Other values are
-    compared with all texts, in blocks of about MAX_SHORT values, each of which is sent to the texts.
+    key tells the turns apart, (case key, turn) by default. Short values and long ones are met alike, in one
+    pass over the texts, whatever their number: see containing().
     """
-    values = values.select("value").filter("value <> ''").distinct()
-    inner = F.expr("slice(split(value, ' '), 2, greatest(size(split(value, ' ')) - 2, 0))")
-    word = F.array_sort(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w"))))
-    keyed = values.withColumn("word", F.try_element_at(word, F.lit(1))["w"])
-    # a word before the last blank of a value and after its first stands between blanks in the text too
-    words = outgoing.select("turn", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    long = keyed.filter("word IS NOT NULL")
-    met = words.select("turn", "word").join(long, "word").select("turn", "value").distinct()
-    hits = outgoing.select("turn", "text").join(met, "turn")
-    short = keyed.filter("word IS NULL").select("value")
-    n = short.count()
-    blocks = -(-n // MAX_SHORT)
-    for k in range(blocks):
-        block = short.filter(F.pmod(F.xxhash64("value"), F.lit(blocks)) == k)
-        hits = hits.unionByName(outgoing.select("turn", "text").join(F.broadcast(block), F.contains("text", F.col("value"))))
-    return hits.filter(F.contains("text", F.col("value"))).select("turn", "value", F.position(F.col("value"), F.col("text")).cast("long").alias("at"))
-
-
-def barrier(outgoing: DataFrame, hits: DataFrame, key: list[str]) -> DataFrame:
-    """outgoing texts of the turns without any hit: one hit refuses the whole turn."""
-    return outgoing.join(hits.select(*key).distinct(), key, "left_anti")
+    return containing(outgoing, key or TURN, values.select("value"))
+
+
+def barrier(outgoing: DataFrame, hits: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """outgoing texts of the turns without any hit: one hit refuses the whole turn of its case."""
+    return outgoing.join(hits.select(*(key or TURN)).distinct(), key or TURN, "left_anti")
 
 
 def apply_releases(entities: DataFrame, releases: DataFrame) -> DataFrame:
@@ -231,12 +183,14 @@ def mask_audit(counts: DataFrame, masked: DataFrame, label_map: DataFrame) -> Da
 
 
 def approval_gate(pieces: DataFrame, sent: DataFrame, approvals: DataFrame, require: bool = True) -> DataFrame:
-    """(turn, passes): a turn passes if each of its pieces was sent before or is approved, or nothing is required."""
-    before = sent.select("piece_id").distinct()
-    fresh = pieces.join(before, "piece_id", "left_anti").join(approvals.select("piece_id").distinct(), "piece_id", "left_anti")
-    waiting = fresh.groupBy("turn").agg(F.count("*").alias("n_waiting"))
-    rows = pieces.select("turn").distinct().join(waiting, "turn", "left")
-    return rows.select("turn", (F.lit(not require) | F.col("n_waiting").isNull()).alias("passes"))
+    """(case key, turn, passes): a turn passes if each of its pieces was sent before or is approved, or nothing is required.
+
+    pieces: (case key, turn, piece_id); what another case or account has sent or approved counts for nothing.
+    """
+    known = sent.select(*PIECE).unionByName(approvals.select(*PIECE)).distinct()
+    waiting = pieces.join(known, PIECE, "left_anti").select(*TURN).distinct().withColumn("__waits", F.lit(True))
+    rows = pieces.select(*TURN).distinct().join(waiting, TURN, "left")
+    return rows.select(*TURN, (F.lit(not require) | F.col("__waits").isNull()).alias("passes"))
 
 
 def purge_reasoning(turns: DataFrame, values: DataFrame, role: str = "assistant") -> DataFrame:

@@ -23,10 +23,10 @@ def attach_children(pieces: DataFrame) -> DataFrame:
 
 
 def check_citations(citations: DataFrame, folios: DataFrame, selection: DataFrame) -> DataFrame:
-    """citations with status: ok, unresolved (no such page) or unselected (the piece wasn't marked)."""
-    pages = folios.select("piece_id", "folio").distinct().withColumn("__page", F.lit(True))
-    marked = selection.select("piece_id").distinct().withColumn("__marked", F.lit(True))
-    rows = citations.join(pages, ["piece_id", "folio"], "left").join(marked, "piece_id", "left")
+    """citations (case key, piece_id, folio, ...) with status: ok, unresolved (no such page) or unselected (the piece wasn't marked in its case)."""
+    pages = folios.select(*PIECE_KEY, "folio").distinct().withColumn("__page", F.lit(True))
+    marked = selection.select(*PIECE_KEY).distinct().withColumn("__marked", F.lit(True))
+    rows = citations.join(pages, [*PIECE_KEY, "folio"], "left").join(marked, PIECE_KEY, "left")
     status = F.when(F.col("__page").isNull(), "unresolved").when(F.col("__marked").isNull(), "unselected").otherwise("ok")
     return rows.withColumn("status", status).drop("__page", "__marked")
 

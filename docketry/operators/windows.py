@@ -21,9 +21,12 @@ def keep_recent(df: DataFrame, group: list[str], ts: str, tie: str, n: int) -> D
 
 
 def number_labels(entities: DataFrame) -> DataFrame:
-    """(case key, kind, value, label): [KIND_1], [KIND_2], ... inside a case, by first appearance."""
+    """(case key, kind, value, label): [KIND_1], [KIND_2], ... inside a case, by first appearance.
+
+    Kinds that differ by case alone share their numbers, so no two values share a label.
+    """
     first = entities.groupBy(*CASE_KEY, "kind", "value").agg(F.min(F.struct("piece_id", "start")).alias("at"))
-    n = F.row_number().over(Window.partitionBy(*CASE_KEY, "kind").orderBy("at", "value"))
+    n = F.row_number().over(Window.partitionBy(*CASE_KEY, F.upper("kind")).orderBy("at", "kind", "value"))
     return first.select(*CASE_KEY, "kind", "value", F.concat(F.lit("["), F.upper("kind"), F.lit("_"), n.cast("string"), F.lit("]")).alias("label"))
 
 
@@ -46,9 +49,10 @@ def pick_templates(templates: DataFrame, category: str | None, max_n: int, max_c
 def resent_bytes(turns: DataFrame, selection: DataFrame, pieces: DataFrame) -> DataFrame:
     """(case key, turn, bytes, total): each turn sends the pieces marked up to then again; total adds up over a conversation.
 
-    A piece may be marked at a turn that has no row of its own: it counts from the next turn on.
+    A piece counts from the first turn that marks it, once; that may be a turn without a row of its own.
     """
-    marked = selection.join(pieces.select(*CASE_KEY, "piece_id", "n_bytes"), [*CASE_KEY, "piece_id"])
+    first = selection.groupBy(*CASE_KEY, "piece_id").agg(F.min("turn").alias("turn"))
+    marked = first.join(pieces.select(*CASE_KEY, "piece_id", "n_bytes"), [*CASE_KEY, "piece_id"])
     marked = marked.groupBy(*CASE_KEY, "turn").agg(F.sum("n_bytes").alias("added")).withColumn("own", F.lit(False))
     rows = turns.select(*CASE_KEY, "turn").distinct().withColumns({"added": F.lit(0).cast("long"), "own": F.lit(True)}).unionByName(marked)
     w = Window.partitionBy(*CASE_KEY).orderBy("turn").rangeBetween(Window.unboundedPreceding, Window.currentRow)

@@ -101,8 +101,13 @@ class Inputs:
 
     @cached_property
     def sheets(self) -> DataFrame:
-        """A case sheet for each case: a text with the identifiers of its party."""
+        """A case sheet for each case: a text with the identifiers of its party.
+
+        Dealt by the case key, so that what works by case or by piece needs no other shuffle, to a number of
+        tasks that the small size of the tables joined can't lower: texts cost more than their bytes tell.
+        """
         rows = self.parties.join(self.table("orders"), F.col("sheet_id") == F.col("o_orderkey"))
+        rows = rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *KEY)
         return rows.select(*KEY, F.col("sheet_id").alias("piece_id"), F.expr("""concat(
             'Autor ', name, ', CPF ', substr(cpf, 1, 3), '.', substr(cpf, 4, 3), '.', substr(cpf, 7, 3), '-', substr(cpf, 10, 2),
             ', RG nº ', CAST(1000000 + person_id * 37 AS STRING), ', CEP ', lpad(CAST(person_id % 100000 AS STRING), 5, '0'), '-',

@@ -128,6 +128,11 @@ def _(t):
     return select.project_allowed(t.cases, "triage")
 
 
+@query("p1_project_allowed_register", "SELECT tenant, degree, case_no, name, role, status FROM parties")
+def _(t):
+    return select.project_allowed(t.parties, "party_register")
+
+
 @query("p2_filter_cases", "SELECT case_no, arrival, tags FROM cases WHERE queue = 'O' AND list_contains(tags, 'RF')")
 def _(t):
     return select.filter_cases(t.cases, "O", "RF").select("case_no", "arrival", "tags")
@@ -156,7 +161,7 @@ HEARINGS = """hearings AS (
   FROM parties JOIN orders ON sheet_id = o_orderkey)"""
 
 
-@query("p5_hearings_between", "SELECT case_no, hearing_date, hour, type, name, qualification FROM hearings WHERE hearing_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'", HEARINGS)
+@query("p5_hearings_between", "SELECT tenant, degree, case_no, hearing_date, hour, type, name, qualification FROM hearings WHERE hearing_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'", HEARINGS)
 def _(t):
     import datetime as d
 
@@ -241,12 +246,24 @@ def _(t):
     return joins.attach_children(t.pieces)
 
 
+#: Pieces, pages and marks whose piece ids are numbered inside of each case, so that cases share them.
+LOCAL = """own_folios AS (
+  SELECT tenant, degree, case_no, f.piece_id % 5 AS piece_id, folio FROM folios f JOIN pieces USING (piece_id)),
+own_marks AS (SELECT tenant, degree, case_no, piece_id % 5 AS piece_id FROM selection),
+own_cited AS (SELECT tenant, degree, case_no, piece_id % 5 AS piece_id, CAST(piece_id % 4 AS INTEGER) AS folio FROM pieces)"""
+
+
+def _local(df: DataFrame) -> DataFrame:
+    return df.withColumn("piece_id", F.expr("piece_id % 5"))
+
+
 @query("j3_check_citations", """
-SELECT c.piece_id, c.folio, CASE WHEN f.piece_id IS NULL THEN 'unresolved' WHEN s.piece_id IS NULL THEN 'unselected' ELSE 'ok' END AS status
-FROM (SELECT piece_id, CAST(piece_id % 4 AS INTEGER) AS folio FROM pieces) c
-LEFT JOIN folios f ON f.piece_id = c.piece_id AND f.folio = c.folio LEFT JOIN selection s ON s.piece_id = c.piece_id""")
+SELECT c.*, CASE WHEN f.piece_id IS NULL THEN 'unresolved' WHEN s.piece_id IS NULL THEN 'unselected' ELSE 'ok' END AS status
+FROM own_cited c LEFT JOIN own_folios f USING (tenant, degree, case_no, piece_id, folio) LEFT JOIN own_marks s USING (tenant, degree, case_no, piece_id)""", LOCAL)
 def _(t):
-    return joins.check_citations(t.pieces.select("piece_id", F.expr("CAST(piece_id % 4 AS INT)").alias("folio")), t.folios, t.selection)
+    folios = t.folios.join(t.pieces.select(*PIECE_KEY), "piece_id")
+    cited = t.pieces.select(*PIECE_KEY, F.expr("CAST(piece_id % 4 AS INT)").alias("folio"))
+    return joins.check_citations(_local(cited), _local(folios), _local(t.selection))
 
 
 @query("j4_referenced_not_selected", """
@@ -556,9 +573,10 @@ SELECT tenant, degree, case_no, turn, CAST(bytes AS BIGINT) AS bytes, CAST(sum(b
   SELECT t.tenant, t.degree, t.case_no, t.turn, coalesce(sum(m.n_bytes), 0) AS bytes FROM (SELECT DISTINCT tenant, degree, case_no, turn FROM turns) t
   LEFT JOIN pieces m ON m.tenant = t.tenant AND m.degree = t.degree AND m.case_no = t.case_no AND m.piece_id % 4 - 1 <= t.turn GROUP BY ALL)""")
 def _(t):
-    # some pieces are marked before the first turn
+    # some pieces are marked before the first turn, and some once more later on
     marked = t.pieces.select(*KEY, F.expr("piece_id % 4 - 1").alias("turn"), "piece_id")
-    return windows.resent_bytes(t.turns, marked, t.pieces)
+    again = marked.filter("piece_id % 2 = 0").withColumn("turn", F.expr("turn + 2"))
+    return windows.resent_bytes(t.turns, marked.unionByName(again), t.pieces)
 
 
 # sorts, limits, sets
@@ -645,16 +663,6 @@ def _(t):
     return deid.detect_rg(t.sheets)
 
 
-@query("d3_detect_register", """
-SELECT s.tenant, s.degree, s.case_no, s.piece_id, 'person' AS kind, name AS value, CAST(strpos(s.text, name) - 1 AS BIGINT) AS start,
-       CAST(strpos(s.text, name) - 1 + length(name) AS BIGINT) AS "end" FROM sheets s JOIN parties p USING (tenant, degree, case_no)""")
-def _(t):
-    # this twin has the first place of each name; all kinds, forms and places are in d3_detect_register_all
-    first = F.min(F.struct("start", "value", "end")).alias("f")
-    found = deid.detect_register(t.sheets, t.parties).filter("kind = 'person'")
-    return found.groupBy(*PIECE_KEY, "kind").agg(first).select(*PIECE_KEY, "kind", "f.value", "f.start", "f.end")
-
-
 REGISTER = """
 SELECT s.tenant, s.degree, s.case_no, s.piece_id, 'person' AS kind, name AS value, CAST(strpos(s.text, name) - 1 AS BIGINT) AS start,
        CAST(strpos(s.text, name) - 1 + length(name) AS BIGINT) AS "end" FROM sheets s JOIN parties p USING (tenant, degree, case_no)
@@ -667,11 +675,29 @@ SELECT s.tenant, s.degree, s.case_no, s.piece_id, 'number', substr(cpf, 1, 3) ||
 FROM sheets s JOIN parties p USING (tenant, degree, case_no)"""
 
 
+@query("d3_detect_register", REGISTER)
+def _(t):
+    return deid.detect_register(t.sheets, t.parties)
+
+
 @query("d3_detect_register_all", REGISTER)
 def _(t):
     return deid.detect_register(t.sheets, t.parties.withColumn("name", F.concat(F.lit(" "), F.upper("name"))))
 
 
+DECOMPOSED = "A\u0301u\u0303o"
+
+
+@query("d3_detect_register_decomposed", f"""
+SELECT tenant, degree, case_no, sheet_id AS piece_id, 'person' AS kind, '{DECOMPOSED} ' || name AS value, CAST(unnest([4, 15 + length(name)]) AS BIGINT) AS start,
+       CAST(unnest([10 + length(name), 21 + 2 * length(name)]) AS BIGINT) AS "end" FROM parties""")
+def _(t):
+    # accents are marks of their own in the texts, as PDFs have them, and part of the letter in the register
+    text = F.concat(F.lit(f"Réu {DECOMPOSED} "), "name", F.lit(f"; c/c {DECOMPOSED} ").substr(F.lit(2), F.lit(99)), "name", F.lit("."))
+    texts = t.parties.select(*KEY, F.col("sheet_id").alias("piece_id"), text.alias("text"))
+    return deid.detect_register(texts, t.parties.withColumns({"name": F.concat(F.lit("ÁŨO "), "name"), "cpf": F.lit("")}))
+
+
 KEPT = _found_sql("kept", "sheets", {k: MENTIONS[k] for k in ("date", "law", "deadline")})
 
 
@@ -736,16 +762,33 @@ def _(t):
     return deid.unmask(masked, labels).select(*PIECE_KEY, "unmasked")
 
 
-@query("d9_barrier", "SELECT doc_id AS turn, n_chars FROM documents WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE item_id % 4 <> 0 AND contains(documents.text, b.text))")
+#: Texts whose turns are numbered inside of each case, so that cases share the numbers.
+OUTGOING = "outgoing AS (SELECT tenant, degree, case_no, piece_id % 5 AS turn, piece_id, n_bytes, text FROM pieces)"
+
+
+def _outgoing(t: Inputs) -> DataFrame:
+    return t.pieces.select(*KEY, F.expr("piece_id % 5").alias("turn"), "piece_id", "n_bytes", "text")
+
+
+@query("d9_barrier", """
+SELECT tenant, degree, case_no, turn, n_bytes FROM outgoing o WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE item_id % 4 <> 0 AND contains(o.text, b.text))""", OUTGOING)
+def _(t):
+    outgoing = _outgoing(t)
+    return deid.barrier(outgoing, deid.global_hits(outgoing, t.values.filter("NOT released"))).select(*KEY, "turn", "n_bytes")
+
+
+@query("d9_barrier_hits", "SELECT tenant, degree, case_no, turn, b.text AS value, CAST(strpos(o.text, b.text) AS BIGINT) AS at FROM outgoing o JOIN benchmark b ON contains(o.text, b.text)", OUTGOING)
 def _(t):
-    outgoing = t.table("documents").select(F.col("doc_id").alias("turn"), "n_chars", "text")
-    hits = deid.global_hits(outgoing, t.values.filter("NOT released"))
-    return deid.barrier(outgoing, hits, ["turn"]).select("turn", "n_chars")
+    return deid.global_hits(_outgoing(t), t.values)
 
 
-@query("d9_barrier_hits", "SELECT doc_id AS turn, b.text AS value, CAST(strpos(d.text, b.text) AS BIGINT) AS at FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+@query("d9_barrier_short_values", """
+SELECT DISTINCT tenant, degree, case_no, turn, v.value, CAST(strpos(o.text, v.value) AS BIGINT) AS at
+FROM outgoing o JOIN (SELECT DISTINCT substr(props, 1, 4) AS value FROM ev UNION SELECT DISTINCT regexp_extract(text, '[A-Za-z]{6,}') FROM turns) v ON v.value <> '' AND contains(o.text, v.value)""", OUTGOING)
 def _(t):
-    return deid.global_hits(t.table("documents").select(F.col("doc_id").alias("turn"), "text"), t.values)
+    short = t.events.select(F.substring("props", 1, 4).alias("value"))
+    words = t.turns.select(F.regexp_extract("text", "[A-Za-z]{6,}", 0).alias("value"))
+    return deid.global_hits(_outgoing(t), short.unionByName(words))
 
 
 @query("d10_apply_releases", """
@@ -793,10 +836,13 @@ def _(t):
 
 
 @query("d13_approval_gate", """
-SELECT case_no AS turn, count(*) FILTER (piece_id % 5 <> 0 AND piece_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)) = 0 AS passes FROM pieces GROUP BY case_no""")
+SELECT tenant, degree, case_no, piece_id % 2 AS turn, count(*) FILTER (piece_id % 5 <> 0 AND piece_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)) = 0 AS passes
+FROM pieces GROUP BY ALL""")
 def _(t):
-    approvals = t.table("labels").filter("quality = 1").select(F.col("doc_id").alias("piece_id"))
-    return deid.approval_gate(t.pieces.select(F.col("case_no").alias("turn"), "piece_id"), t.pieces.filter("piece_id % 5 = 0"), approvals)
+    # piece ids are numbered inside of each case here: what another case has sent must not count
+    approved = t.pieces.join(t.table("labels").filter("quality = 1").select(F.col("doc_id").alias("piece_id")), "piece_id", "left_semi")
+    pieces = _local(t.pieces.select(*PIECE_KEY, F.expr("piece_id % 2").alias("turn")))
+    return deid.approval_gate(pieces, _local(t.pieces.filter("piece_id % 5 = 0")), _local(approved))
 
 
 @query("d14_purge_reasoning", """

@@ -9,6 +9,7 @@ CASES = (
 #: The whole key of a case: numbers are only unique inside of a court and degree.
 CASE_KEY = ["tenant", "degree", "case_no"]
 PIECE_KEY = [*CASE_KEY, "piece_id"]
+TURN_KEY = [*CASE_KEY, "turn"]
 CASE_LIST = "case_no string, rejected string"
 ANALYSIS = (
     "situation string, next_act string, suggestions array<struct<kind: string, name: string>>, "
@@ -22,8 +23,8 @@ PRESETS = {
     "triage": ("degree", "case_no", "class", "subject", "queue", "tags", "priority", "sealed", "unit", "arrival", "last_mov"),
     "panel": ("tenant", "degree", "case_no", "class", "subject", "queue", "tags", "priority", "sealed", "unit", "arrival", "last_mov"),
     "agent_list": ("degree", "case_no", "class", "queue", "tags", "arrival", "last_mov"),
-    "hearing": ("case_no", "hearing_date", "hour", "type", "name", "qualification"),
-    "party_register": ("case_no", "name", "role", "status"),
+    "hearing": ("tenant", "degree", "case_no", "hearing_date", "hour", "type", "name", "qualification"),
+    "party_register": ("tenant", "degree", "case_no", "name", "role", "status"),
 }
 #: The fields of the action log; nothing else is logged.
 LOGGED = ("action_id", *CASE_KEY, "tag", "exit", "outcome", "included", "run_id", "ts", "profile")

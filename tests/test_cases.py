@@ -2,14 +2,20 @@
 
 import datetime as d
 import json
+import random
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docketry.functions import ids
 from docketry.functions.expiry import RULES, alive
-from docketry.operators import aggregates, deid, joins, parsing, retention, select, sets, windows
-from docketry.schemas import PRESETS
+from docketry.functions.patterns import running
+from docketry.functions.forms import Labels, aligned
+from docketry.operators import aggregates, containing, deid, dictionary, joins, parsing, retention, select, sets, windows
+from docketry.schemas import PIECE_KEY, PRESETS
 from docketry.sources import exports, readers
 
 TEXTS = [
@@ -89,7 +95,7 @@ def test_barrier_refuses_the_whole_turn(spark):
 def test_global_barrier(spark):
     out = spark.createDataFrame([(1, "x dois três quatro y"), (2, "abc"), (3, "doistrês quatro"), (4, None), (5, "xum dois três")], "turn bigint, text string")
     values = spark.createDataFrame([("dois três quatro",), ("b",), ("um dois trê",), ("",), (None,)], "value string")
-    assert rows(deid.global_hits(out, values), "turn", "value", "at") == [(1, "dois três quatro", 3), (2, "b", 2), (5, "um dois trê", 2)]
+    assert rows(deid.global_hits(out, values, ["turn"]), "turn", "value", "at") == [(1, "dois três quatro", 3), (2, "b", 2), (5, "um dois trê", 2)]
 
 
 def test_model_hook(spark, texts):
@@ -103,10 +109,12 @@ def test_model_hook(spark, texts):
 
 
 def test_approval_gate(spark):
-    pieces = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (3, 4)], "turn bigint, piece_id bigint")
-    sent, approved = pieces.filter("piece_id = 1").select("piece_id"), pieces.filter("piece_id IN (2, 4)").select("piece_id")
-    assert rows(deid.approval_gate(pieces, sent, approved), "turn", "passes") == [(1, True), (2, False), (3, True)]
-    assert rows(deid.approval_gate(pieces, sent, approved, require=False), "passes") == [(True,)] * 3
+    pieces = of_case(spark.createDataFrame([(1, 1, 1), (1, 1, 2), (1, 2, 3), (1, 3, 4), (2, 1, 1), (2, 3, 4)], "case_no bigint, turn bigint, piece_id bigint"))
+    sent, approved = pieces.filter("piece_id = 1 AND case_no = 1"), pieces.filter("piece_id IN (2, 4) AND case_no = 1")
+    other = of_case(spark.createDataFrame([(2, 1), (2, 4)], "case_no bigint, piece_id bigint"), tenant=9)  # another account's
+    gate = deid.approval_gate(pieces, sent.select(*PIECE_KEY).unionByName(other), approved)
+    assert rows(gate, "case_no", "turn", "passes") == [(1, 1, True), (1, 2, False), (1, 3, True), (2, 1, False), (2, 3, False)]
+    assert rows(deid.approval_gate(pieces, sent, approved, require=False), "passes") == [(True,)] * 5
 
 
 def test_cpf(spark):
@@ -211,10 +219,14 @@ def test_parse_analysis_broken(spark):
 
 
 def test_citations(spark):
-    folios = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "piece_id bigint, folio int")
-    cited = spark.createDataFrame([(1, 1), (1, 9), (2, 0), (None, 0)], "piece_id bigint, folio int")
-    out = joins.check_citations(cited, folios, of_case(spark.createDataFrame([(1, 1)], "case_no bigint, piece_id bigint")))
-    assert rows(out, "piece_id", "folio", "status") == [(1, 1, "ok"), (1, 9, "unresolved"), (2, 0, "unselected"), (None, 0, "unresolved")]
+    folios = of_case(spark.createDataFrame([(1, 1, 0), (1, 1, 1), (1, 2, 0), (2, 1, 1)], "case_no bigint, piece_id bigint, folio int"))
+    cited = of_case(spark.createDataFrame([(1, 1, 1), (1, 1, 9), (1, 2, 0), (1, None, 0), (2, 1, 1)], "case_no bigint, piece_id bigint, folio int"))
+    marked = of_case(spark.createDataFrame([(1, 1), (1, 1)], "case_no bigint, piece_id bigint"))
+    marked = marked.unionByName(of_case(spark.createDataFrame([(2, 1)], "case_no bigint, piece_id bigint"), tenant=2))  # marked by another account
+    out = joins.check_citations(cited, folios, marked)
+    assert rows(out, "case_no", "piece_id", "folio", "status") == [
+        (1, 1, 1, "ok"), (1, 1, 9, "unresolved"), (1, 2, 0, "unselected"), (1, None, 0, "unresolved"), (2, 1, 1, "unselected"),
+    ]
 
 
 def test_estimate_gate(spark):
@@ -318,11 +330,31 @@ def test_labels_are_not_masked(spark):
     assert rows(deid.unmask(masked, labels), "unmasked") == [("CPF 123.456.789-09, CPF",)]
 
 
-def test_many_short_values_meet_all_texts(spark, monkeypatch):
-    monkeypatch.setattr(deid, "MAX_SHORT", 3)
-    out = spark.createDataFrame([(1, "v07 v19"), (2, "none")], "turn bigint, text string")
-    values = spark.createDataFrame([(f"v{k:02}",) for k in range(20)], "value string")
-    assert rows(deid.global_hits(out, values), "turn", "value") == [(1, "v07"), (1, "v19")]
+def test_global_hits_know_the_case(spark):
+    out = spark.createDataFrame([(1, 1, 1, 1, "the secret word"), (2, 1, 9, 1, "clean"), (1, 1, 1, 2, "clean"), (1, 1, None, 1, "secret")], f"{KEY}, turn bigint, text string")
+    hits = deid.global_hits(out, spark.createDataFrame([("secret",)], "value string"))
+    assert rows(hits, "tenant", "turn", "value", "at") == [(1, 1, "secret", 5)]
+    assert rows(deid.barrier(out, hits).dropna(), "tenant", "turn") == [(1, 2), (2, 1)]
+
+
+def test_many_short_values_in_one_pass(spark):
+    values = spark.range(100_000).select(F.format_string("v%06d", "id").alias("value"))
+    texts = [(k, "x " + " ".join(f"v{i * 7:06d}!" for i in range(k, k + 40)) + " v99 é") for k in range(50)]
+    out = of_case(spark.createDataFrame([(1, k, t) for k, t in texts], "case_no bigint, turn bigint, text string"))
+    want = sorted((k, f"v{i * 7:06d}", t.index(f"v{i * 7:06d}") + 1) for k, t in texts for i in range(k, k + 40))
+    assert sorted((r["turn"], r["value"], r["at"]) for r in deid.global_hits(out, values).collect()) == want
+
+
+@pytest.mark.parametrize("gram", [1, 2, 6])
+def test_containing_by_brute_force(spark, monkeypatch, gram):
+    monkeypatch.setattr(containing, "GRAM", gram)
+    rng = random.Random(gram)
+    word = lambda n: "".join(rng.choice("abé😀 ") for _ in range(rng.randint(0, n)))
+    texts = [(k, word(40)) for k in range(60)] + [(60, None), (61, "")]
+    values = [word(9) for _ in range(80)] + [None, "a", "a", "a" * 30]
+    got = containing.containing(spark.createDataFrame(texts, "k long, text string"), ["k"], spark.createDataFrame([(v,) for v in values], "value string"))
+    want = sorted((k, v, t.index(v) + 1) for k, t in texts for v in {v for v in values if v} if t and v in t)
+    assert sorted(map(tuple, got.collect())) == want
 
 
 def test_pieces_marked_before_the_first_turn(spark):
@@ -330,6 +362,8 @@ def test_pieces_marked_before_the_first_turn(spark):
     marked = of_case(spark.createDataFrame([(1, 1, 10), (1, 3, 11), (1, 9, 12)], "case_no bigint, turn bigint, piece_id bigint"))
     pieces = of_case(spark.createDataFrame([(1, 10, 5), (1, 11, 7), (1, 12, 100)], "case_no bigint, piece_id bigint, n_bytes bigint"))
     assert rows(windows.resent_bytes(turns, marked, pieces), "turn", "bytes", "total") == [(2, 5, 5), (4, 12, 17)]
+    again = marked.unionByName(marked.withColumn("turn", F.col("turn") + 1)).unionByName(marked)
+    assert rows(windows.resent_bytes(turns, again, pieces), "turn", "bytes", "total") == [(2, 5, 5), (4, 12, 17)]  # a piece counts once
 
 
 def test_the_log_has_its_own_fields_only(spark, tmp_path):
@@ -345,3 +379,100 @@ def test_index_of_a_case_without_pieces(spark):
     pieces = of_case(spark.createDataFrame([], "case_no bigint, piece_id bigint, title string"))
     parties = of_case(spark.createDataFrame([(1, "lawyer", "Ana", None, "OAB/CE 1"), (1, "author", "Bia", "123", None)], "case_no bigint, role string, name string, cpf string, oab string"))
     assert rows(exports.export_index(cases, pieces, parties), "warning", "parties", "index") == [("SEALED", "author, Bia, 123; lawyer, Ana, OAB/CE 1", "")]
+
+
+def test_a_text_with_80000_matches(spark):
+    text = "CEP 60000-000, fone (85) 99999-1234; " * 40_000
+    df = of_case(spark.createDataFrame([(1, 1, text)], "case_no bigint, piece_id bigint, text string")).cache()
+    df.count()
+    deid.detect_patterns(df.limit(0)).count()
+    began = time.perf_counter()
+    found = deid.detect_patterns(df).agg(F.count("*"), F.sum("start"), F.sum("end"), F.max("end")).first()
+    took = time.perf_counter() - began
+    step = len(text) // 40_000
+    starts = 40_000 * (4 + 20) + 2 * step * sum(range(40_000))
+    assert tuple(found) == (80_000, starts, starts + 40_000 * (9 + 15), len(text) - 2)
+    assert took < 15  # 70 s where sums copy their array
+
+
+def test_running_sums(spark):
+    cases = [[], [5], [1, 2, 3], list(range(10)), [1] * 1000]
+    df = spark.createDataFrame([(c,) for c in cases], "x array<bigint>")
+    assert [r[0] for r in df.select(running(F.col("x"))).collect()] == [[sum(c[: k + 1]) for k in range(len(c))] for c in cases]
+
+
+def test_preserved_spans_by_brute_force(spark):
+    rng = random.Random(1)
+    bits = ["01/02/2020 ", "15 dias ", "Lei 9.099 ", "12345 ", "x ", "7"]
+    texts = [(1, k, "".join(rng.choice(bits) for _ in range(30))) for k in range(20)]
+    df = of_case(spark.createDataFrame(texts, "case_no bigint, piece_id bigint, text string"))
+    numbers = deid.detect_patterns(df, {"number": "[0-9]+", "wide": "[0-9]+ [0-9x]"})
+    kept = deid.matches(df, PIECE_KEY, "text", {k: deid.MENTIONS[k] for k in deid.PRESERVED}).collect()
+    want = [r for r in numbers.collect() if not any(k["piece_id"] == r["piece_id"] and r["start"] < k["end"] and k["start"] < r["end"] for k in kept)]
+    assert want and sorted(map(tuple, deid.drop_preserved(numbers, df).collect())) == sorted(map(tuple, want))
+
+
+def test_labels_are_one_to_one(spark):
+    labels = of_case(spark.createDataFrame([(1, "Ana", "[P_1]"), (1, "Bia", "[P_1]"), (2, "Ana", "[PERSON_1]"), (2, "Ana", "[ORG_1]")], "case_no bigint, value string, label string"))
+    df = of_case(spark.createDataFrame([(1, 1, "Ana, Bia e [P_1]"), (2, 2, "Ana")], "case_no bigint, piece_id bigint, text string"))
+    masked = deid.mask(df, labels)
+    assert rows(masked, "masked") == [("[ORG_1]",), ("[P_1], [P_1~2] e [\\P_1]",)]
+    assert rows(deid.unmask(masked, labels), "unmasked") == [("Ana",), ("Ana, Bia e [P_1]",)]
+    sent = of_case(spark.createDataFrame([(2, 2, "[PERSON_1] [ORG_1] [PERSON_10]")], "case_no bigint, piece_id bigint, masked string"))
+    assert rows(deid.unmask(sent, labels), "unmasked") == [("Ana Ana [PERSON_10]",)]
+
+
+PARTS = st.sampled_from(["a", "b", "[", "]", "\\", " ", "_", "1", "P", "é", "[P_1]", "[P_2]", "[P_1~2]", "[\\P_1]"])
+VALUE = st.lists(st.sampled_from(["a", "b", " ", "1", "é", ".", "[", "P"]), min_size=1, max_size=4).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(PARTS, max_size=15).map("".join), st.lists(st.tuples(st.sampled_from(["[P_1]", "[P_2]", "[X_1]"]), VALUE), max_size=5), st.booleans())
+def test_unmask_undoes_mask(text, entries, bounds):
+    labels = Labels(entries, bounds)
+    assert labels.unmask(labels.mask(text)) == text
+
+
+def test_large_cases_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(dictionary, "TEXTS_A_TASK", 7)
+    many = [(1, k, f"fala de Ana {k}") for k in range(100)] + [(2, 1, "Ana"), (None, 2, "Ana"), (1, 5, "fala de Ana 5")]
+    df = of_case(spark.createDataFrame(many, "case_no bigint, piece_id bigint, text string")).withColumn("__n", F.array(F.lit(1)))
+    labels = of_case(spark.createDataFrame([(1, "Ana", "[P_1]"), (None, "Ana", "[P_9]"), (3, "x", "[P_1]")], "case_no bigint, value string, label string"))
+    got = deid.mask(df, labels)
+    assert got.columns == [*df.columns, "masked"]
+    assert rows(got, "piece_id", "masked") == sorted(((p, t.replace("Ana", "[P_1]") if c == 1 else t) for c, p, t in many), key=repr)
+
+
+@pytest.mark.parametrize(("text", "name", "want"), [
+    ("Réu Jose\u0301 da Conceic\u0327a\u0303o.", "JOSÉ DA CONCEIÇÃO", "Jose\u0301 da Conceic\u0327a\u0303o"),
+    ("Réu José da Conceição.", "Jose\u0301 da Conceica\u0303o", "José da Conceição"),
+    ("o\ufb03cial", "Official", "o\ufb03cial"),
+    ("a Ana-\n  bela\u0301 disse", "anabela", "Ana-\n  bela\u0301"),
+    ("da sil\u00ad\nva.", "Silva", "sil\u00ad\nva"),
+    ("Josefa", "José", None),
+    ("Weiß &\u00a0\u00a0Söhne", "WEISS & SOHNE", "Weiß &\u00a0\u00a0Söhne"),
+])
+def test_names_in_any_normal_form(spark, text, name, want):
+    df = of_case(spark.createDataFrame([(1, 1, text)], "case_no bigint, piece_id bigint, text string"))
+    found = deid.detect_register(df, of_case(spark.createDataFrame([(1, name, None)], "case_no bigint, name string, cpf string"))).collect()
+    assert [r["value"] for r in found] == ([] if want is None else [want])
+    assert all(text[r["start"] : r["end"]] == want for r in found)
+
+
+@given(st.text(alphabet="aáA\u0301 \n-ﬁß\u00ad\t", max_size=20))
+def test_aligned_positions(text):
+    form, starts, ends = aligned(text)
+    assert len(form) == len(starts) == len(ends) and starts == sorted(starts) and all(a < b <= len(text) for a, b in zip(starts, ends, strict=True))
+
+
+def test_presets_keep_the_whole_case_key(spark):
+    df = of_case(spark.createDataFrame([(1, "Ana", "author", "active", "1", "x", 8)], "case_no bigint, name string, role string, status string, cpf string, qualification string, hour int"))
+    for preset in ("party_register", "hearing"):
+        assert set(select.project_allowed(df, preset).columns) >= {"tenant", "degree", "case_no"}
+    register = select.project_allowed(df, "party_register")
+    assert joins.missing_parties(df.select("tenant", "degree", "case_no", "name"), register).count() == 0
+
+
+def test_labels_of_kinds_that_differ_by_case(spark):
+    found = of_case(spark.createDataFrame([(1, 1, "a", "x", 0), (1, 1, "A", "y", 5)], "case_no bigint, piece_id bigint, kind string, value string, start bigint"))
+    assert rows(windows.number_labels(found), "value", "label") == [("x", "[A_1]"), ("y", "[A_2]")]

@@ -49,5 +49,11 @@ def test_barriers_are_no_nested_loops(spark, inputs, broadcast):
 def test_no_python_in_the_case_operators(spark, sf_dir):
     from docketry.plans.queries import QUERIES
 
-    for name in ("a4_daily_totals", "d1_detect_patterns", "d7_mask", "m1_retain_drafts", "w5_pick_templates", "x1_cpf_valid"):
+    for name in ("a4_daily_totals", "d1_detect_patterns", "d5_drop_preserved", "w2_number_labels", "m1_retain_drafts", "w5_pick_templates", "x1_cpf_valid"):
         assert not re.search("Python|Pandas|Arrow", plan(QUERIES[name](spark, sf_dir)))
+
+
+def test_detection_and_labels_take_one_shuffle_of_the_texts(inputs):
+    p = plan(windows.number_labels(deid.detect_patterns(inputs.sheets)))
+    above = p[: p.index("Generate inline")]
+    assert "Exchange" not in above  # the sheets are dealt by case, which serves the labels too
