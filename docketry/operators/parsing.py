@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry import schemas
 
+ANSWER = "tenant bigint, degree bigint, case_no bigint, answer string"
+ANSWERED = f"{ANSWER}, content string"
+ANSWERED_ARROW = pa.schema([*[(c, pa.int64()) for c in schemas.CASE_KEY], ("answer", pa.string()), ("content", pa.string())])
+#: Cases that a task asks for before it keeps their answers.
+AT_A_TIME = 7
+
 
 def parse_analysis(df: DataFrame, column: str, schema: str = schemas.ANALYSIS) -> DataFrame:
     """df with the fields of a structured result; fields that are absent, or all of a broken text, are null."""
@@ -32,9 +42,42 @@ def check_notes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(good).select("n.*"), rows.filter(~good).select("line")
 
 
-def analyse(bundles: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], at_once: int = 7) -> DataFrame:
-    """(case key, answer) by a user's own function, on at most 1 to 7 tasks at once: its provider is the limit, not the data."""
-    return bundles.coalesce(max(1, min(7, at_once))).mapInPandas(fn, "tenant bigint, degree bigint, case_no bigint, answer string")
+def analyse(bundles: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], at_once: int = 7, ledger: str | None = None) -> DataFrame:
+    """(case key, answer) by a user's own function, on at most 1 to 7 tasks at once: its provider is the limit, not the data.
+
+    With a ledger, a folder that all tasks reach through pyarrow.fs, answers are kept by case and content as they come:
+    a case whose bundle has not changed is not asked again, in a later run or after a task was lost. A task calls
+    fn for AT_A_TIME cases and writes their answers before it goes on. Cases that fn leaves out are asked again.
+    """
+    tasks = max(1, min(7, at_once))
+    if ledger is None:
+        return bundles.coalesce(tasks).mapInPandas(fn, ANSWER)
+    spark, key = bundles.sparkSession, schemas.CASE_KEY
+    store, folder = fs.FileSystem.from_uri(ledger.rstrip("/"))
+    store.create_dir(folder)
+    content = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in bundles.columns if c not in key])), 256)
+    told = bundles.withColumn("__content", content)
+    known = lambda: spark.read.schema(ANSWERED).parquet(ledger).dropDuplicates([*key, "content"])
+    todo = told.join(known().select(*key, F.col("content").alias("__content")), [*key, "__content"], "left_anti").coalesce(tasks)
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, folder = fs.FileSystem.from_uri(ledger.rstrip("/"))
+        for b in batches:
+            for k in range(0, len(b), AT_A_TIME):
+                some = b.iloc[k : k + AT_A_TIME]
+                answers = [a for a in fn(iter([some.drop(columns="__content")])) if len(a)]
+                if not answers:
+                    continue
+                kept = pd.concat(answers).merge(some[[*key, "__content"]], on=key).rename(columns={"__content": "content"})
+                rows = pa.Table.from_pandas(kept[ANSWERED_ARROW.names], schema=ANSWERED_ARROW, preserve_index=False)
+                name = uuid.uuid4().hex  # Spark sees no file whose name begins with a dot: half an answer is none
+                pq.write_table(rows, f"{folder}/.{name}", filesystem=store)
+                store.move(f"{folder}/.{name}", f"{folder}/{name}.parquet")
+                yield pd.DataFrame({"n": [len(kept)]})
+
+    todo.mapInPandas(asked, "n long").agg(F.sum("n")).collect()
+    own = told.select(*key, F.col("__content").alias("content")).distinct()
+    return known().join(own, [*key, "content"]).select(*key, "answer")
 
 
 def age_bucket(cases: DataFrame, ruler: list[int], today: Column) -> DataFrame:

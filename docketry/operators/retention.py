@@ -1,4 +1,4 @@
-"""Table changes: retention, erasure, merge, log and snapshots. Tables are rewritten to a new path, never in place."""
+"""Table changes: retention, erasure, merge, log and snapshots. Stored tables change by a manifest, never in place."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketry.functions.expiry import RULES, alive
 from docketry.operators.windows import keep_recent, latest
 from docketry.schemas import CASE_KEY, LOGGED
+from docketry.sources.manifest import Manifest
 
 
 def retain(df: DataFrame, kind: str, now: Column, ts: str = "ts", tie: str = "id", owner: str = "tenant") -> DataFrame:
@@ -45,9 +46,20 @@ def log_actions(changes: DataFrame, run_id: str, ts: Column, profile: Column) ->
     return changes.select(*kept).withColumns({"run_id": F.lit(run_id), "ts": ts, "profile": profile})
 
 
-def replace_snapshot(cases: DataFrame, path: str) -> None:
-    """The last reading replaces the tenants' earlier ones; other tenants' files stay."""
-    cases.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant").parquet(path)
+def retain_table(table: Manifest, kind: str, now: Column, **columns: str) -> None:
+    """Applies a rule to a stored table: it holds the kept rows from one moment to the next, or all of them if the write fails."""
+    table.replace(retain(table.read(), kind, now, **columns))
+
+
+def replace_snapshot(cases: DataFrame, table: Manifest) -> None:
+    """The last reading replaces its tenants' earlier ones, all at once; other tenants' parts stay as they are.
+
+    A reading without a row of a tenant changes nothing of that tenant's.
+    """
+    new = table.write_by(cases, "tenant")
+    owners = {p["owner"] for p in new}
+    table.commit([*[p for p in table.parts() if p["owner"] not in owners], *new], cases.schema)
+    table.clear()
 
 
 def snapshot(readings: DataFrame) -> DataFrame:

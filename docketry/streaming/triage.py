@@ -6,10 +6,24 @@ batch twins don't do: they see all rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from typing import Any
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from docketry.operators.windows import latest
+from docketry.sources.manifest import Manifest
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Parts of a level of a table of latest rows that are merged into one of the next level.
+FANOUT = 4
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """State in RocksDB, for streams that are started from now on: it may be larger than memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
 def dedupe_submissions(stream: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -22,26 +36,96 @@ def first_submissions(rows: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["submission_id"])
 
 
-def stream_progress(results: DataFrame, expected: int, delay: str = "1 day") -> DataFrame:
-    """(batch_id, done, closed) in update mode, as results come in; items of a batch are numbered 0 to expected - 1."""
-    rows = results.withWatermark("ts", delay).groupBy("batch_id").agg(F.size(F.collect_set("item")).cast("long").alias("done"))
-    return rows.withColumn("closed", F.col("done") == expected)
+class Progress(StatefulProcessor):
+    """The items of a batch that are in, until all are.
 
+    State: a row an item, how many there are, whether the closing row went out, and the last time seen. A timer at
+    that time removes it all: once the watermark has passed it, any repeat is late and dropped ahead of the state.
+    """
 
-def merge_latest(batch: DataFrame, epoch: int, path: str, key: list[str], ts: str, tie: str) -> None:
-    """One micro-batch of stream_latest: the table's next version is written beside the last one.
+    def __init__(self, expected: int, patience_ms: int):
+        self.expected, self.patience = expected, patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.items = handle.getMapState("items", "item string", "seen boolean")
+        self.told = handle.getValueState("told", "done long, closed boolean, last long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        done, closed, last = self.told.get() if self.told.exists() else (0, False, 0)
+        before, was = done, last
+        for row in rows:
+            last = max(last, int(row["ms"]))
+            # a null item is none; after closing all repeats are ignored
+            if not closed and row["item"] is not None and not self.items.containsKey((row["item"],)):
+                self.items.updateValue((row["item"],), (True,))
+                done += 1
+        if last != was or not was:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+        if not closed and done >= self.expected:
+            closed = True
+            self.items.clear()  # what is left is a line that says that the batch is closed
+        self.handle.registerTimer(last + (0 if closed else self.patience))
+        self.told.update((done, closed, last))
+        if done > before:
+            yield Row(batch_id=key[0], done=done, closed=closed)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        self.items.clear()
+        self.told.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_progress(results: DataFrame, expected: int, delay: str = "1 day", patience_days: int = 30) -> DataFrame:
+    """(batch_id, done, closed) as results (batch_id, item, ts) come in: how many different items a batch has.
+
+    One row a batch and micro-batch that brings new items, in append or update mode. The row with closed = true comes
+    exactly once, with the expected-th item: repeats and replays after it give none. State goes once repeats would be
+    late; a batch that is never complete is forgotten patience_days after its last result. Null items are none.
+    """
+    keep_state_on_disk(results.sparkSession)
+    rows = results.withWatermark("ts", delay).select("batch_id", F.col("item").cast("string").alias("item"), "ts", F.unix_millis("ts").alias("ms"))
+    schema = f"batch_id {results.schema['batch_id'].dataType.simpleString()}, done long, closed boolean"
+    return rows.groupBy("batch_id").transformWithState(Progress(expected, patience_days * 86_400_000), schema, "Append", "EventTime")
 
-    A version belongs to its epoch, so a batch that is run again writes the same version anew.
+
+def read_latest(table: Manifest, key: list[str], ts: str = "ts", tie: str = "result_id") -> DataFrame:
+    """The latest row of each key of a table that stream_latest keeps."""
+    return latest(table.read(), key, ts, tie)
+
+
+def merge_latest(batch: DataFrame, table: Manifest, key: list[str], ts: str, tie: str) -> None:
+    """One micro-batch of stream_latest: its latest rows become a part, and full levels are merged.
+
+    A row is written once for each level, so a batch costs its own rows and a share of merges that grows with the
+    logarithm of the table. A batch that is run again adds rows that are there already, and latest() takes one of them.
+    """
+    new = table.write(latest(batch, key, ts, tie), level=0)
+    parts = [*table.parts(), new]
+    table.commit(parts, batch.schema)
+    level = 0
+    while len(full := [p for p in parts if p["level"] == level]) >= FANOUT:
+        merged = table.write(latest(table.read(full), key, ts, tie), level=level + 1)
+        parts = [*[p for p in parts if p["level"] != level], merged]
+        table.commit(parts, batch.schema)
+        level += 1
+    table.clear(versions=level + 2)
+
+
+def stream_latest(results: DataFrame, path: str, key: list[str], ts: str = "ts", tie: str = "result_id") -> DataStreamWriter:
+    """A writer that keeps the latest result of each key in the table at path; read it with read_latest().
+
+    The table is its own: a stream that starts anew, with a new checkpoint, adds to it.
     """
-    spark = batch.sparkSession
-    before = spark.read.schema(batch.schema).parquet(f"{path}/v{epoch - 1}") if epoch else None
-    rows = batch if before is None else before.unionByName(batch)
-    latest(rows, key, ts, tie).write.mode("overwrite").parquet(f"{path}/v{epoch}")
 
+    def merged(batch: DataFrame, epoch: int) -> None:
+        merge_latest(batch, Manifest(batch.sparkSession, path), key, ts, tie)
 
-def stream_latest(results: DataFrame, path: str, key: list[str], ts: str = "ts", tie: str = "result_id"):
-    """A writer that keeps the latest result of each key in path/v<epoch>."""
-    return results.writeStream.foreachBatch(lambda batch, epoch: merge_latest(batch, epoch, path, key, ts, tie))
+    return results.writeStream.foreachBatch(merged)
 
 
 def stream_auto_tag(results: DataFrame, authorizations: DataFrame, delay: str = "1 day", hours: int = 48) -> DataFrame:
