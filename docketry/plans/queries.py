@@ -14,6 +14,8 @@ from docketry.operators import aggregates, deid, joins, parsing, retention, sele
 from docketry.plans.inputs import KEY, NOW_EVENTS, NOW_ORDERS, SQL, Inputs
 from docketry.schemas import PIECE_KEY
 from docketry.sources import exports, readers
+from docketry.sources.manifest import Manifest
+from docketry.streaming import triage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -990,37 +992,142 @@ def _(t):
     return retention.snapshot(t.events.select("tenant", "id", F.col("batch_id").alias("read_ts")))
 
 
+@query("m1_retain_table", _retained("actions"))
+def _(t):
+    table = Manifest(t.spark, t.place("actions"))
+    table.replace(t.events.select("tenant", "id", "ts", "case_no"))
+    retention.retain_table(table, "actions", now())
+    return table.read().select("tenant", "id", "case_no")
+
+
+@query("m6_replace_snapshot_table", "SELECT tenant, id, batch_id AS read_ts FROM ev WHERE batch_id % 3 = CASE WHEN tenant % 2 = 0 THEN 1 ELSE 0 END")
+def _(t):
+    # a reading of all tenants, then one of some of them
+    rows = t.events.select("tenant", "id", F.col("batch_id").alias("read_ts"))
+    table = Manifest(t.spark, t.place("snapshot"))
+    retention.replace_snapshot(rows.filter("read_ts % 3 = 0"), table)
+    retention.replace_snapshot(rows.filter("read_ts % 3 = 1 AND tenant % 2 = 0"), table)
+    return table.read()
+
+
+def _answers(batches):
+    """Stands for a user's model."""
+    for b in batches:
+        yield b[list(KEY)].assign(answer="about " + b["situation"])
+
+
+@query("analyse", "SELECT DISTINCT tenant, degree, case_no, 'about ' || situation AS answer FROM analyses WHERE situation <> 'old'")
+def _(t):
+    bundles = t.analyses.filter("situation <> 'old'").select(*KEY, "situation").distinct()
+    ledger = t.place("answers")
+    # a first run answers some cases, the second one asks for the rest only
+    parsing.analyse(bundles.filter("tenant % 2 = 0"), _answers, ledger=ledger)
+    return parsing.analyse(bundles, _answers, ledger=ledger)
+
+
 @query("m7_discard", "SELECT id, outcome FROM ev WHERE id % 100 <> 0")
 def _(t):
     return retention.discard(t.events, t.events.filter("id % 100 = 0").select("id"), "id").select("id", "outcome")
 
 
-# batch twins of the streams
+# streams: from a file source to a sink, to the end; and their batch twins
+
+
+def _stream(t: Inputs, rows: DataFrame, name: str, per_batch: int = 1) -> DataFrame:
+    """rows as a stream of files, some of them a micro-batch."""
+    path = t.place(name)
+    rows.repartitionByRange(4, "ts").write.parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+
+
+def _drained(t: Inputs, writer, name: str) -> None:
+    writer.option("checkpointLocation", t.place(f"{name}-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+
+
+def _sunk(t: Inputs, out: DataFrame, name: str) -> DataFrame:
+    path = t.place(f"{name}-sink")
+    _drained(t, out.writeStream.format("parquet").option("path", path), name)
+    return t.spark.read.schema(out.schema).parquet(path)
+
+
+def _stream_rows(t: Inputs) -> DataFrame:
+    """Events with a time that watermarks take."""
+    return t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+#: Later than any row of the events: nothing is dropped.
+DELAY = "60 days"
 
 
 @query("st1_dedupe_submissions", "SELECT DISTINCT id AS submission_id FROM ev")
 def _(t):
-    from docketry.streaming.triage import first_submissions
+    rows = _stream_rows(t).select(F.col("id").alias("submission_id"), "ts")
+    return _sunk(t, triage.dedupe_submissions(_stream(t, rows.unionByName(rows), "st1"), DELAY).select("submission_id"), "st1")
+
 
+@query("st1_first_submissions", "SELECT DISTINCT id AS submission_id FROM ev")
+def _(t):
     rows = t.events.select(F.col("id").alias("submission_id"), "ts")
-    return first_submissions(rows.unionByName(rows)).select("submission_id")
+    return triage.first_submissions(rows.unionByName(rows)).select("submission_id")
+
+
+PROGRESS = "SELECT batch_id, count(DISTINCT item) AS done, count(DISTINCT item) = 20 AS closed FROM ev WHERE outcome <> 'error' OR batch_id % 2 = 0 GROUP BY batch_id"
+
+
+@query("st2_stream_progress", PROGRESS)
+def _(t):
+    rows = _stream_rows(t).filter("outcome <> 'error' OR batch_id % 2 = 0").select("batch_id", "item", "ts")
+    told = _sunk(t, triage.stream_progress(_stream(t, rows.unionByName(rows), "st2"), 20, DELAY), "st2")
+    return windows.latest(told, ["batch_id"], "done", "closed")
+
+
+@query("st2_closing_rows", "SELECT batch_id, count(DISTINCT item) AS done, CAST(1 AS BIGINT) AS n FROM ev GROUP BY batch_id HAVING count(DISTINCT item) = 20")
+def _(t):
+    # every result comes twice: a batch still closes once
+    rows = _stream_rows(t).select("batch_id", "item", "ts")
+    told = _sunk(t, triage.stream_progress(_stream(t, rows.unionByName(rows), "st2"), 20, DELAY), "st2")
+    return told.filter("closed").groupBy("batch_id", "done").agg(F.count("*").alias("n"))
 
 
-@query("st2_stream_progress", "SELECT batch_id, count(DISTINCT item) AS done, count(DISTINCT item) = 20 AS closed FROM ev WHERE outcome <> 'error' OR batch_id % 2 = 0 GROUP BY batch_id")
+@query("st2_batch_progress", PROGRESS)
 def _(t):
     rows = t.events.filter("outcome <> 'error' OR batch_id % 2 = 0")
     items = t.events.select("batch_id").distinct().select("batch_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("item"))
     return aggregates.batch_progress(items, rows).filter("done > 0").select("batch_id", "done", "closed")
 
 
-@query("st3_stream_latest", "SELECT case_no, ts, result_id FROM (SELECT case_no, ts, id AS result_id, row_number() OVER (PARTITION BY case_no ORDER BY ts DESC, id DESC) AS n FROM ev) WHERE n = 1")
+LATEST = """
+SELECT tenant, degree, case_no, result_id FROM (
+  SELECT tenant, degree, case_no, id AS result_id, row_number() OVER (PARTITION BY tenant, degree, case_no ORDER BY ts DESC, id DESC) AS n FROM ev) WHERE n = 1"""
+
+
+@query("st3_stream_latest", LATEST)
+def _(t):
+    rows = _stream_rows(t).select(*KEY, "ts", F.col("id").alias("result_id"))
+    table = Manifest(t.spark, t.place("st3"))
+    _drained(t, triage.stream_latest(_stream(t, rows, "st3"), table.path, list(KEY)), "st3")
+    return triage.read_latest(table, list(KEY)).select(*KEY, "result_id")
+
+
+@query("st3_batch_latest", LATEST)
+def _(t):
+    return windows.latest(t.events.select(*KEY, "ts", F.col("id").alias("result_id")), list(KEY), "ts", "result_id").select(*KEY, "result_id")
+
+
+TAGGED = "SELECT ev.batch_id, id FROM ev JOIN grants ON ev.batch_id = grants.batch_id AND ts BETWEEN granted_ts AND granted_ts + INTERVAL 48 HOURS"
+
+
+@query("st4_stream_auto_tag", TAGGED, GRANTS)
 def _(t):
-    return windows.latest(t.events.select("case_no", "ts", F.col("id").alias("result_id")), ["case_no"], "ts", "result_id")
+    grants = _grants(t).withColumn("granted_ts", F.col("granted_ts").cast("timestamp"))
+    results = _stream(t, _stream_rows(t).select("batch_id", "id", "ts"), "st4", 4)
+    out = triage.stream_auto_tag(results, _stream(t, grants.withColumn("ts", F.col("granted_ts")), "st4-grants", 4).drop("ts"), DELAY)
+    return _sunk(t, out.select("batch_id", "id"), "st4")
 
 
-@query("st4_stream_auto_tag", "SELECT ev.batch_id, id, ts FROM ev JOIN grants ON ev.batch_id = grants.batch_id AND ts BETWEEN granted_ts AND granted_ts + INTERVAL 48 HOURS", GRANTS)
+@query("st4_batch_auto_tag", TAGGED, GRANTS)
 def _(t):
-    return joins.auto_tag(t.events.select("batch_id", "id", "ts"), _grants(t)).select("batch_id", "id", "ts")
+    return joins.auto_tag(t.events.select("batch_id", "id", "ts"), _grants(t)).select("batch_id", "id")
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

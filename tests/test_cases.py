@@ -17,6 +17,7 @@ from docketry.functions.forms import Labels, aligned
 from docketry.operators import aggregates, containing, deid, dictionary, joins, parsing, retention, select, sets, windows
 from docketry.schemas import PIECE_KEY, PRESETS
 from docketry.sources import exports, readers
+from docketry.sources.manifest import Manifest
 
 TEXTS = [
     (1, 1, "CPF 123.456.789-09, CNPJ 12.345.678/0001-95, OAB/CE 12345, processo 0001234-56.2020.8.06.0001."),
@@ -245,11 +246,81 @@ def test_exports_hold_no_party(spark, tmp_path):
 
 
 def test_snapshot_overwrites_one_tenant(spark, tmp_path):
-    path = str(tmp_path / "cases")
+    table = Manifest(spark, str(tmp_path / "cases"))
     schema = "case_no int, tenant int"
-    retention.replace_snapshot(spark.createDataFrame([(1, 1), (2, 2)], schema), path)
-    retention.replace_snapshot(spark.createDataFrame([(3, 1)], schema), path)
-    assert rows(spark.read.parquet(path), "case_no", "tenant") == [(2, 2), (3, 1)]
+    retention.replace_snapshot(spark.createDataFrame([(1, 1), (2, 2), (9, None)], schema), table)
+    retention.replace_snapshot(spark.createDataFrame([(3, 1)], schema), table)
+    assert rows(table.read(), "case_no", "tenant") == [(2, 2), (3, 1), (9, None)]
+    retention.replace_snapshot(spark.createDataFrame([], schema), table)
+    assert table.read().count() == 3
+
+
+def broken(spark, df):
+    """df whose write fails halfway, in some tasks only."""
+    fails = F.udf(lambda x: 1 // (x % 5 - 4) if x % 5 == 4 else x, "int")
+    return df.repartition(4).withColumn("id", fails("id"))
+
+
+def test_a_write_that_fails_leaves_the_old_table(spark, tmp_path):
+    table = Manifest(spark, str(tmp_path / "actions"))
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    ts = F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_interval(0, 0, 0, id)")
+    old = spark.range(20).select(F.lit(1).alias("tenant"), F.col("id").cast("int").alias("id"), ts.alias("ts"))
+    table.replace(old)
+    before = rows(table.read(), "id", "ts")
+    with pytest.raises(Exception, match="(?i)zero"):
+        table.replace(broken(spark, old))
+    with pytest.raises(Exception, match="(?i)zero"):
+        retention.replace_snapshot(broken(spark, old), table)
+    assert rows(table.read(), "id", "ts") == before and table.version() == 1
+    retention.retain_table(table, "drafts", F.lit("2024-01-12").cast("timestamp_ntz"))
+    assert rows(table.read(), "id") == sorted([(i,) for i in range(10, 20)], key=repr)  # ten newest of a week
+    table.replace(table.read())
+    assert len([p for p in (tmp_path / "actions").iterdir() if p.name.startswith("part-")]) == 2  # a reader's, and the newest
+
+
+def test_a_second_writer_is_refused(spark, tmp_path):
+    table = Manifest(spark, str(tmp_path / "t"))
+    table.replace(spark.range(3))
+    part = table.write(spark.range(5))
+    version = table.version
+    Manifest(spark, table.path).replace(spark.range(4))
+    table.version = lambda: version() - 1  # as it was when this writer began
+    with pytest.raises(RuntimeError, match="another writer"):
+        table.commit([part], spark.range(1).schema)
+    assert Manifest(spark, table.path).read().count() == 4
+
+
+def test_answers_are_asked_once(spark, tmp_path):
+    import pandas as pd
+
+    asked, ledger = tmp_path / "asked", f"file://{tmp_path}/ledger"
+    asked.mkdir()
+
+    def fn(batches):
+        for b in batches:
+            for n, what in zip(b["case_no"], b["what"], strict=True):
+                (asked / f"{n}-{what}-{random.random()}").touch()
+                if what == "fatal":
+                    raise ValueError("the provider is down")
+            yield pd.DataFrame({"tenant": b["tenant"], "degree": b["degree"], "case_no": b["case_no"], "answer": "on " + b["what"]})
+
+    def bundles(n, what="a"):
+        return of_case(spark.range(n).select(F.col("id").alias("case_no"), F.lit(what).alias("what"))).coalesce(1)
+
+    with pytest.raises(Exception, match="provider is down"):
+        parsing.analyse(bundles(30).unionByName(bundles(1, "fatal").withColumn("case_no", F.lit(99).cast("long"))).coalesce(1), fn, ledger=ledger).count()
+    first = len(list(asked.iterdir()))
+    assert first == 31  # in one task: 28 answers are kept, the last ones are lost with the failure
+    assert rows(parsing.analyse(bundles(30), fn, ledger=ledger), "case_no", "answer") == sorted([(n, "on a") for n in range(30)], key=repr)
+    assert len(list(asked.iterdir())) == first + 2
+    assert parsing.analyse(bundles(30), fn, ledger=ledger).count() == 30
+    assert len(list(asked.iterdir())) == first + 2  # nothing new, nothing asked
+    changed = parsing.analyse(bundles(3, "b"), fn, ledger=ledger)
+    assert rows(changed, "case_no", "answer") == [(0, "on b"), (1, "on b"), (2, "on b")]
+    assert len(list(asked.iterdir())) == first + 5
+    assert parsing.analyse(bundles(0), fn, ledger=ledger).count() == 0
 
 
 def test_analyse_hook(spark):
@@ -476,3 +547,14 @@ def test_presets_keep_the_whole_case_key(spark):
 def test_labels_of_kinds_that_differ_by_case(spark):
     found = of_case(spark.createDataFrame([(1, 1, "a", "x", 0), (1, 1, "A", "y", 5)], "case_no bigint, piece_id bigint, kind string, value string, start bigint"))
     assert rows(windows.number_labels(found), "value", "label") == [("x", "[A_1]"), ("y", "[A_2]")]
+
+
+def test_written_texts_and_notes(spark, tmp_path):
+    pieces = of_case(spark.createDataFrame([(1, 1, "a", "text one"), (1, 2, "b", None)], "case_no bigint, piece_id bigint, title string, text string"))
+    exports.write_piece_text(pieces, str(tmp_path / "pieces"))
+    assert spark.read.parquet(str(tmp_path / "pieces")).count() == exports.export_piece_text(pieces).count()
+    note = {"tenant": 1, "degree": 1, "case_no": 1, "piece_id": 2, "note_id": 3, "text": "a", "sender_code": "s1", "sender_name": None, "created_ts": "2024-01-01"}
+    notes = spark.createDataFrame([tuple(note.values())], "tenant long, degree long, case_no long, piece_id long, note_id long, text string, sender_code string, sender_name string, created_ts string")
+    exports.write_notes(notes, notes, str(tmp_path / "notes"))
+    good, bad = parsing.check_notes(spark.read.text(str(tmp_path / "notes")).withColumnRenamed("value", "line"))
+    assert rows(good, "note_id", "text") == [(3, "a")] and bad.count() == 0
