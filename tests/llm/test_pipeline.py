@@ -133,5 +133,5 @@ def test_odd_rows_survive(spark, sf_dir):
 
 def test_registered():
     names = entry.queries()
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in names
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
