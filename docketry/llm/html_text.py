@@ -1,14 +1,16 @@
 """Main text of HTML pages by composite text density.
 
-A page becomes a tree of elements without scripts, forms and what markup itself sets apart. Each node
-has a density: its characters for each tag below it, scaled down by the share of its characters and
-tags that are links. The node whose children's densities have the largest sum is the core of the
-article. The threshold is the smallest density on the path from the core to the body. Going up that
-path, the parts beside it are marked by their density: what holds the threshold and isn't made of
-links belongs to the article, the rest doesn't, and where nothing more belongs the article ends.
-
-Words of classes only help: a part that is named like a menu, an advert or comments is left out,
-unless it is what the page is made of. Which of several articles that is, is told by density.
+A page becomes a tree of elements, of which only what is no text by its markup is taken out: scripts,
+styles, controls, hidden parts. Each node has a density: its characters for each tag below it, scaled
+down by the share of its characters and tags that are links. The node whose children's densities have
+the largest sum is the core of the article. The threshold is the smallest density on the path from the
+core to the body. Going up that path, the parts beside it are marked by their density: what holds the
+threshold and isn't made of links belongs to the article, the rest doesn't, and where nothing more
+belongs the article ends.
+
+Density can't tell a notice or a reader's comment from a paragraph. So tags and names raise a doubt:
+menus, adverts, notices and comments by their names don't add to the sums, aren't the core, and of
+what density has taken they are left out. What a page is made of is taken whatever its name.
 """
 
 from __future__ import annotations
@@ -48,19 +50,30 @@ WITHIN = frozenset("ul ol dl table select body article section div".split())
 SCOPE = WITHIN | CLOSES.keys()
 BARRIER = BLOCK - {"p"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-OUT_TAGS = frozenset(
-    "head script style noscript template textarea title iframe noframes nav footer aside form button select input svg canvas object "
-    "dialog menu map audio video fieldset".split()
-)
-OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
+#: No text of any part by its markup.
+OUT_TAGS = frozenset("head script style noscript template textarea title iframe noframes button select input svg canvas object map audio video".split())
+#: Parts that are no article by their markup, as a rule.
+DOUBT_TAGS = frozenset("nav footer aside dialog menu fieldset".split())
+DOUBT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
+#: A name with one of these words raises a doubt,
 OUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion banner cookie "
-    "cookies consent gdpr notice notices alert alerts popup popover modal overlay newsletter subscribe subscription signup login paywall "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer masthead topbar toolbar share "
-    "sharing social related recommended recommendations pagination pager skip disclaimer announcement announcements adbox adslot adunit "
-    "adspace adcontainer adwrapper adsbygoogle".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos cookie cookies consent gdpr "
+    "popup popover modal newsletter subscribe signup login paywall nav navbar navigation breadcrumb breadcrumbs sidebar sidebars footer "
+    "masthead topbar toolbar pagination pager adbox adslot adunit adspace adcontainer adwrapper adsbygoogle".split()
+)
+#: one with these words if it has no others but LAYOUT: a share bar does, a share price does not.
+PART_WORDS = frozenset(
+    "promotion banner notice notices alert alerts overlay subscription menu menus aside asides widget widgets share sharing social related "
+    "recommended recommendations skip disclaimer announcement announcements".split()
 )
-COMMENT_WORDS = frozenset("comment comments commentlist commentbox disqus respond response responses reply replies discussion guestbook".split())
+LAYOUT = frozenset(
+    "area bar block body bottom box btn button buttons center column container content entry field fixed form group header icon icons inner item items left "
+    "line link links list main message module more outer page panel part posts row section site small sticky strip text this title to tools top right wrap wrapper".split()
+)
+COMMENT_WORDS = frozenset("comment comments commentlist commentbox disqus guestbook".split())
+#: Readers' replies, if something below looks like them; a paper has a discussion too.
+REPLY_WORDS = frozenset("respond response responses reply replies discussion".split())
+REPLY_SIGNS = COMMENT_WORDS | frozenset("author avatar vcard says byline commenter username user reader timestamp reply".split())
 ROOTS = frozenset(("article", "main"))
 #: Parts of running text, which a core's parent may hold beside it whatever their length.
 FLOW = frozenset("p blockquote pre ul ol dl table figure figcaption h1 h2 h3 h4 h5 h6 header hr br".split())
@@ -71,11 +84,11 @@ BESIDE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "hints", "out", "named", "root", "heading", "chars", "tags", "linked", "links", "density", "total", "peak")
+    __slots__ = ("tag", "attrs", "parent", "kids", "hints", "out", "doubt", "named", "root", "heading", "chars", "tags", "linked", "links", "density", "total", "peak")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.kids, self.hints = tag, attrs, parent, [], None
-        self.out = self.named = self.root = self.heading = False
+        self.out = self.doubt = self.named = self.root = self.heading = False
         self.chars = self.tags = self.linked = self.links = 0
         self.density = self.total = self.peak = 0.0
 
@@ -93,15 +106,18 @@ class Open:
     def cut(self, at: int) -> None:
         """Closes all from place at on; the root stays."""
         while len(self.stack) > max(at, 1):
-            self.places[self.stack.pop().tag].pop()
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if not self.places[tag]:
+                del self.places[tag]
 
     def last(self, tags) -> int:
         """The place of the innermost open element of these tags, or 0."""
-        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        return max((p[-1] for t, p in self.places.items() if t in tags), default=0)
 
     def first_after(self, tags, at: int) -> int:
         """The place of the outermost one after a place, or 0."""
-        found = [p[k] for t in tags if (p := self.places.get(t)) and (k := bisect_right(p, at)) < len(p)]
+        found = [p[k] for t, p in self.places.items() if t in tags and (k := bisect_right(p, at)) < len(p)]
         return min(found, default=0)
 
 
@@ -148,23 +164,38 @@ def tree(html: str) -> Node:
     return root
 
 
-def hints(node: Node) -> tuple[set[str], str, bool]:
-    """Words of class and id, the role, and whether the element is hidden."""
+def words_of(name: str) -> list[str]:
+    """The words of a class or an id."""
+    name = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", name)
+    return [w for w in (x.rstrip("0123456789") for x in re.split(r"[^a-z0-9]+", name.lower())) if w]
+
+
+def hints(node: Node) -> tuple[list[list[str]], str, bool]:
+    """Words of each class and of the id, the role, and whether the element is hidden."""
     if not node.attrs.strip():
-        return set(), "", False
-    words, role, hidden = set(), "", False
+        return [], "", False
+    names, role, hidden = [], "", False
     for name, a, b, c in ATTR.findall(node.attrs):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            value = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", value)
-            words |= {w.rstrip("0123456789") for w in re.split(r"[^a-z0-9]+", value.lower())} - {""}
+            names += [words_of(x) for x in value.split()]
         elif name == "role":
             role = value.lower().strip()
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             hidden = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
             hidden = True
-    return words, role, hidden
+    return names, role, hidden
+
+
+def named_out(names: list[list[str]], signs: bool) -> bool:
+    """Whether a name raises a doubt; signs: something below looks like readers' replies."""
+    for words in names:
+        if any(w in OUT_WORDS or w in COMMENT_WORDS or signs and w in REPLY_WORDS for w in words):
+            return True
+        if any(w in PART_WORDS for w in words) and all(w in PART_WORDS or w in LAYOUT for w in words):
+            return True
+    return False
 
 
 def in_order(root: Node, all_parts: bool = False) -> list[Node]:
@@ -178,31 +209,37 @@ def in_order(root: Node, all_parts: bool = False) -> list[Node]:
 
 
 def strip(root: Node) -> list[Node]:
-    """Marks what isn't part of an article by markup, or by name; the parts that are out by name alone."""
-    order = in_order(root, all_parts=True)
+    """Marks what is no text as out, and what raises a doubt; the outermost parts in doubt by their name alone."""
+    order, signs, sizes = in_order(root, all_parts=True), {}, {}
     for node in reversed(order):
-        node.hints = hints(node)
-        words, role, hidden = node.hints
-        node.named = bool(words & (OUT_WORDS | COMMENT_WORDS))
-        if node.parent is None or node.tag == "body":
-            node.named = False
-        elif node.tag in OUT_TAGS or role in OUT_ROLES or hidden or node.tag in ("ul", "ol") and menu(node):
-            node.out = True
-        if node.parent is not None and not node.out:  # whether there is an article, or a heading, below
+        node.hints = names, role, hidden = hints(node)
+        below = [k for k in node.kids if isinstance(k, Node)]
+        size = sum(len(k) if not isinstance(k, Node) else sizes[id(k)] for k in node.kids)
+        sizes[id(node)] = 0 if node.tag in OUT_TAGS else size
+        signs[id(node)] = any(signs[id(k)] or k.tag in ("form", "textarea") or any(w in REPLY_SIGNS for x in k.hints[0] for w in x) for k in below)
+        top = node.parent is None or node.tag == "body"
+        node.named = not top and named_out(names, signs[id(node)])
+        node.out = not top and (node.tag in OUT_TAGS or hidden)
+        node.doubt = not top and (node.tag in DOUBT_TAGS or role in DOUBT_ROLES or node.tag in ("ul", "ol") and menu(node))
+        if node.parent is not None and not node.out and not node.doubt:  # whether there is an article, or a heading, below
             up = node.parent
             up.root |= node.root or node.tag in ROOTS and not node.named
             up.heading |= node.heading or node.tag in HEADINGS
     named, rest = [], [(root, False)]
     while rest:
         node, inside = rest.pop()
-        words = node.hints[0]
-        if node.named and not node.out:
+        names = node.hints[0]
+        if node.tag == "form" and not node.doubt:  # a form around the page is one of its wrappers
+            node.doubt = not node.root and 2 * sizes[id(node)] < sizes[id(root)]
+        if node.named and not node.doubt:
             # a wrapper named after its layout isn't one of the parts
-            wraps = (node.tag in ROOTS or node.root) and not words & COMMENT_WORDS
-            node.out = not wraps
-        elif not node.out and (node.tag == "header" or "header" in words and node.tag not in HEADINGS) and node.parent is not None:
-            node.out = not node.root and not (inside and node.heading)  # an article's own head holds its heading
+            wraps = (node.tag in ROOTS or node.root) and not any(w in COMMENT_WORDS for x in names for w in x)
+            node.doubt = not wraps
+        elif not node.doubt and (node.tag == "header" or ["header"] in names and node.tag not in HEADINGS) and node.parent is not None:
+            node.doubt = not node.root and not (inside and node.heading)  # an article's own head holds its heading
         if node.out:
+            continue
+        if node.doubt:
             named += [node] if node.named else []
         else:
             inside = inside or node.tag in ROOTS
@@ -255,11 +292,11 @@ def measure(root: Node) -> list[Node]:
             plain = node.chars / links_in * tags / links
             base = math.log(node.chars / max(1, node.chars - node.linked) * node.linked + share * node.chars + math.e)
             node.density = node.chars / tags * math.log(max(plain, 1.0001)) / max(math.log(base), 1.0)
-        if node.parent is not None and node is not root:
+        if node.parent is not None and node is not root and not node.doubt:
             node.parent.total += node.density
     for node in reversed(order):
         node.peak = max(node.peak, weight(node))
-        if node.parent is not None and node is not root:
+        if node.parent is not None and node is not root and not node.doubt:
             node.parent.peak = max(node.parent.peak, node.peak)
     return order
 
@@ -269,12 +306,22 @@ def weight(node: Node) -> float:
     return node.total or node.density * 0.999
 
 
-def core(order: list[Node]) -> Node | None:
-    """The root of the article; parts below it that don't belong to it are marked as out."""
-    full = [x for x in order if x.chars]
-    if not full:
+def believed(root: Node) -> list[Node]:
+    """The elements of a subtree that are in no part in doubt, parents first."""
+    order, rest = [], [root]
+    while rest:
+        node = rest.pop()
+        order.append(node)
+        rest += [k for k in reversed(node.kids) if isinstance(k, Node) and not k.out and not k.doubt]
+    return order
+
+
+def core(root: Node) -> Node | None:
+    """The root of the article of a measured page; parts below it that don't belong to it are marked as out."""
+    full = [x for x in believed(root) if x.chars]
+    best = max(full, key=weight, default=None)
+    if best is None or not weight(best):
         return None
-    best = max(full, key=weight)
     path = [best]
     while path[-1].parent is not None and path[-1].tag != "body":
         path.append(path[-1].parent)
@@ -294,10 +341,11 @@ def core(order: list[Node]) -> Node | None:
             kept = [x for x in beside if dense(x) and x.peak >= BESIDE * best.peak]
         else:
             kept = [x for x in beside if dense(x) or x.tag in FLOW and x.linked <= LINKED * x.chars]
+        kept = [x for x in kept if not x.doubt]
         loose = any(isinstance(x, str) and x.strip() for x in up.kids) and not top
         if top and not kept:
             break
-        if not top and beside and not kept and not loose:
+        if not top and not kept and not loose and any(not x.doubt for x in beside):
             break
         for x in beside:
             x.out = x not in kept and not (top and x.tag == "h1" and up.kids.index(x) < up.kids.index(path[k - 1]))
@@ -306,6 +354,8 @@ def core(order: list[Node]) -> Node | None:
         taken = up
         if up.tag == "article":
             break
+    for x in in_order(taken):
+        x.out |= x.doubt and x is not taken
     return taken
 
 
@@ -333,20 +383,22 @@ def blocks(node: Node) -> Iterator[str]:
 def article(root: Node) -> Node | None:
     """The article of a page; what is out below it doesn't belong to it."""
     named = strip(root)
-    order = measure(root)
+    order = believed(root)
+    measure(root)
+    own = max((weight(x) for x in order if x.chars), default=0.0)
     roots = any(x.tag in ROOTS and x.chars for x in order)
-    found = [x for x in named if x.tag in ROOTS and not roots]
-    if not found and not root.chars:
-        found = named  # nothing else has any text
-    if found:  # of what is out by name alone, the part with the densest text is what the page is made of
-        for x in found:
-            x.out = False
-            measure(x)
-        best = max(found, key=weight)
-        for x in found:
-            x.out = x is not best or not x.chars
-        order = measure(root)
-    return core(order)
+    # a part in doubt by its name alone may be what the page is made of: an article where there is no other, or most of the text
+    comments = [x for x in named if any(w in COMMENT_WORDS | REPLY_WORDS for words in x.hints[0] for w in words)]
+    heavy = [x for x in named if x.tag in ROOTS and not roots or x not in comments and not roots and BESIDE * x.peak > own]
+    if not heavy and not own:
+        heavy = named
+    if heavy:
+        best = max(heavy, key=lambda x: x.peak)
+        while best.parent is not None:  # what is around it can't be in doubt either
+            best.doubt = False
+            best = best.parent
+        measure(root)
+    return core(root)
 
 
 def main_text(html: str | None) -> str:

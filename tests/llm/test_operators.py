@@ -458,10 +458,92 @@ def test_html_density_decides_without_names(monkeypatch):
     want = "\n".join(["A title", long, "Short one.", "one", "two", long, long])
     page = PLAIN_PAGE.format(long)
     assert html_text.main_text(page) == want
-    monkeypatch.setattr(html_text, "core", lambda order: order[0])  # without densities all of the page comes out
+    monkeypatch.setattr(html_text, "core", lambda root: root)  # without densities all of the page comes out
     assert "All rights reserved" in html_text.main_text(page) and "Home" in html_text.main_text(page)
 
 
+SENTENCES = "".join(f"<p>Sentence number {k} of the discussion, with some words in it.</p>" for k in range(30))
+SAID = "\n".join(f"Sentence number {k} of the discussion, with some words in it." for k in range(30))
+
+
+@pytest.mark.parametrize("html, want", [
+    (f'<article><h1>Paper</h1><p>An abstract of some length stands here, before all.</p><section class="discussion"><h2>Discussion</h2>{SENTENCES}</section></article>',
+     f"Paper\nAn abstract of some length stands here, before all.\nDiscussion\n{SAID}"),
+    ('<article><p>First of all, a question that is long enough.</p><p class="response">And the response to it.</p><div class="share-price">Shares closed at 12.</div></article>',
+     "First of all, a question that is long enough.\nAnd the response to it.\nShares closed at 12."),
+    (f'<body><div><p>Short intro</p></div><div class="discussion">{SENTENCES}</div></body>', SAID),
+    (f'<body><form action=/><div><a href=/>Home</a></div><div>{SENTENCES}</div><input name=x><div>All rights reserved</div></form></body>', SAID),
+    (f'<body><form id=aspnetForm><article><h1>T</h1>{SENTENCES}</article></form></body>', f"T\n{SAID}"),
+    (f'<body><div>{SENTENCES}</div><section class="discussion"><div class=comment><span class=author>Ann</span><p>So true, says a reader at some length here.</p></div></section></body>', SAID),
+    (f'<body><div>{SENTENCES}</div><form><p>Leave your address and we will send you a letter every week.</p><input></form></body>', SAID),
+    (f'<body><article>{SENTENCES}<div class="share-bar">Share this with all of your friends today</div><div class="related-posts">Read this as well, it is long</div></article></body>', SAID),
+    (f'<body><p>x</p><div class="announcement">{SENTENCES}</div></body>', SAID),
+    (f'<body><nav>Some words of a menu without any links in it at all</nav><div>{SENTENCES}</div><footer>Made by somebody, somewhere, for someone, in some year</footer></body>', SAID),
+])
+def test_html_doubts_are_settled(html, want):
+    assert html_text.main_text(html) == want
+
+
+def densities_brute(html):
+    """The densities of all elements that are kept, each from its own subtree."""
+    import html as h
+    import math
+
+    root = html_text.tree(html)
+    html_text.strip(root)
+    html_text.measure(root)
+
+    def below(node):
+        return [x for k in node.kids if isinstance(k, html_text.Node) and not k.out for x in (k, *below(k))]
+
+    def texts(node, link):
+        for k in node.kids:
+            if not isinstance(k, html_text.Node):
+                yield len("".join(h.unescape(k).split())), link
+            elif not k.out:
+                yield from texts(k, link or k.tag == "a")
+
+    def up(node):
+        return node is not None and (node.tag == "a" or up(node.parent))
+
+    whole = list(texts(root, False))
+    share = sum(n for n, link in whole if link) / max(1, sum(n for n, _ in whole))
+    for node in (root, *below(root)):
+        own, under = list(texts(node, up(node))), below(node)
+        c, lc = sum(n for n, _ in own), sum(n for n, link in own if link)
+        t, lt = max(1, len(under)), max(1, sum(x.tag == "a" for x in under))
+        want = 0.0
+        if c:
+            base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+            want = c / t * math.log(max(c / max(1, lc) * t / lt, 1.0001)) / max(math.log(base), 1.0)
+        yield node.density, want
+        kids = [k for k in node.kids if isinstance(k, html_text.Node) and not k.out and not k.doubt]
+        yield node.total, sum(k.density for k in kids)
+
+
+def test_html_densities_by_brute_force():
+    rng = random.Random(9)
+    tags = ["div", "p", "a", "ul", "li", "section", "b", "nav", "form", "script", "h2", 'div class="comments"', 'p class="ad"']
+    for _ in range(60):
+        html = "".join(rng.choice([f"<{(t := rng.choice(tags))}>", f"</{t.split()[0]}>", "some words here ", "x &amp; y "]) for _ in range(90))
+        for got, want in densities_brute(html):
+            assert got == pytest.approx(want)
+
+
+def test_html_density_decides_on_given_pages(monkeypatch, sf_dir):
+    """Without the densities' choice all pages come out with their menus and footers; without any names nearly none changes."""
+    import pandas as pd
+
+    pages = pd.read_parquet(f"{sf_dir}/pages.parquet")["html"].tolist()
+    told = [html_text.main_text(h) for h in pages]
+    for name in ("OUT_WORDS", "PART_WORDS", "COMMENT_WORDS", "REPLY_WORDS"):
+        monkeypatch.setattr(html_text, name, frozenset())
+    bare = [html_text.main_text(h) for h in pages]
+    assert sum(a == b for a, b in zip(told, bare, strict=True)) >= 0.9 * len(pages)
+    monkeypatch.setattr(html_text, "core", lambda root: root)
+    assert not any(html_text.main_text(h) == t for h, t in zip(pages, told, strict=True))
+
+
 def test_html_threshold_rejects():
     long = "Some sentence of the article that goes on for a while, with commas, and then ends."
     teasers = "".join(f"<a href=/{k}>Read number {k} too</a> " for k in range(5))
