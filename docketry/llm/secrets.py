@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -99,29 +100,31 @@ class BlobLedger:
         return BlobLedger(self.spark, rules, self.folder)
 
     def scan(self, versions: DataFrame, key: str = "doc_id") -> DataFrame:
-        """Scans the unseen (blob, rule version) pairs of (key, text); returns versions with blob.
+        """Scans the unseen (blob, rule version) pairs of (key, text); returns (key, text_h, blob) of all versions, as a table.
 
-        One path stands for each blob, the smallest key that holds it; null if none has a key.
+        One path stands for each blob, the smallest key that holds it; null if none has a key. Texts are hashed once. Where
+        most of them are unseen all are searched where they lie, and only those with a match meet the unseen pairs;
+        where few are, these alone are fetched and searched.
         """
-        addressed = versions.select(F.col(key).alias("key"), "text", blob_of(F.col("text")).alias("blob"))
-        one = addressed.groupBy("blob").agg(F.min("key").alias("key"))
+        told = versions.select(F.col(key).alias("key"), F.xxhash64("text").alias("text_h"), "text")
+        addressed = written(told.select("key", "text_h", blob_of(F.col("text")).alias("blob")), "addressed")
+        one = addressed.groupBy("blob").agg(F.min(F.struct("key", "text_h")).alias("p"))
         wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in self.rules])
-        pairs = one.select("key", "blob", F.explode(wanted).alias("r")).select("key", "blob", "r.kind", "r.version")
+        pairs = one.select("p.key", "p.text_h", "blob", F.explode(wanted).alias("r")).select("key", "text_h", "blob", "r.kind", "r.version")
         if self.pairs:
             pairs = pairs.join(self.ledger(), ["blob", "kind", "version"], "left_anti")
         pairs = written(pairs, "unseen")
-        # the text of one path for each blob that has an unseen pair
-        todo = pairs.groupBy("key", "blob").agg(F.collect_set("kind").alias("kinds"))
-        todo = todo.select(F.col("key").alias("k"), F.col("blob").alias("b"), "kinds")
-        texts = addressed.join(todo, F.col("key").eqNullSafe(F.col("k")) & (F.col("blob") == F.col("b")))
-        texts = texts.select("blob", "text", "kinds")
+        todo = pairs.groupBy(F.col("key").alias("k"), F.col("text_h").alias("h"), "blob").agg(F.collect_set("kind").alias("kinds"))
+        same = F.col("key").eqNullSafe(F.col("k")) & (F.col("text_h") == F.col("h"))
+        hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(r.pattern), F.lit(r.kind)) for r in self.rules]))
         first = self.rules[0]
-        hits = F.array(*[
-            F.when(F.array_contains("kinds", r.kind) & F.col("text").rlike(r.pattern), F.lit(r.kind)) for r in self.rules
-        ])
+        if 2 * pairs.filter((F.col("kind") == first.kind) & (F.col("version") == first.version)).count() > addressed.count():
+            told = told.withColumn("hits", hits).filter("size(hits) > 0").join(todo, same)
+        else:
+            told = told.join(todo, same).withColumn("hits", hits)
         # most texts have no match at all: only those that do are written for the passes by rule
-        texts = written(texts.withColumn("hits", F.array_compact(hits)).filter("size(hits) > 0"), "to-scan")
-        texts = texts.dropDuplicates(["blob"])
+        texts = told.select("blob", "text", F.array_intersect("hits", "kinds").alias("hits")).filter("size(hits) > 0")
+        texts = written(texts, "to-scan").dropDuplicates(["blob"])
         found = spans(texts.filter(F.array_contains("hits", first.kind)), first)
         for r in self.rules[1:]:
             found = found.unionByName(spans(texts.filter(F.array_contains("hits", r.kind)), r))
@@ -130,7 +133,7 @@ class BlobLedger:
         found.write.parquet(self.tables[-1])
         self.pairs.append(f"{self.folder}/pairs/{at}")
         pairs.select("blob", "kind", "version").write.parquet(self.pairs[-1])
-        return addressed.drop("text").withColumnRenamed("key", key)
+        return addressed.withColumnRenamed("key", key)
 
 
 def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None, batches: int = 2) -> DataFrame:
@@ -142,19 +145,21 @@ def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None, batches: int
     all get the findings. No rows give no rows. A column of docs named spans is replaced.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
-    for b in range(batches):
-        ledger.scan(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
+    seen = [ledger.scan(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b)) for b in range(batches)]
     rank = F.array_position(F.array(*[F.lit(r.kind) for r in ledger.rules]), F.col("kind"))
     now = F.array(*[F.concat_ws(":", F.lit(r.kind), F.lit(str(r.version))) for r in ledger.rules])
     found = ledger.findings().filter(F.array_contains(now, F.concat_ws(":", "kind", F.col("version").cast("string"))))
-    by_blob = found.groupBy(F.col("blob").alias("__blob")).agg(
+    by_blob = found.groupBy("blob").agg(
         F.transform(
             F.array_sort(F.collect_set(F.struct("start", rank.alias("rank"), "end", "kind"))),
             lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")),
         ).alias("spans")
     )
+    # findings go back to all paths of their blob, and paths are known by their key and a hash of their text
+    paths = reduce(DataFrame.unionByName, seen).join(by_blob, "blob").select(F.col("doc_id").alias("__key"), F.col("text_h").alias("__h"), "spans")
+    paths = written(paths.dropDuplicates(["__key", "__h"]), "findings-by-path")
     docs = without(docs, "spans")
-    out = docs.join(by_blob, blob_of(docs["text"]) == F.col("__blob"), "left").drop("__blob")
+    out = docs.join(paths, docs["doc_id"].eqNullSafe(F.col("__key")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left").drop("__key", "__h")
     none = F.expr("CAST(array() AS ARRAY<STRUCT<start: BIGINT, end: BIGINT, kind: STRING>>)")
     return out.withColumn("spans", F.coalesce("spans", none))
 
