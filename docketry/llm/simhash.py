@@ -333,8 +333,12 @@ def links(points: DataFrame, radius: int) -> DataFrame:
     rows = written(rows, "routed")
     for _ in range(-(-max(0, levels - TOP) // LEVELS)):
         rows = written(split(rows, LEVELS, radius), "routed")
-    sizes = shard_sizes(rows).withColumn("chunks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("own") / (2 * SHARD))))
-    rows = skew_join(rows, sizes, "shard", "n").withColumn("own", F.pmod(F.xxhash64("id"), "chunks"))
+    # few shards are larger than a task likes, as a rule none: only these are cut
+    large = shard_sizes(rows).filter(F.col("own") > 2 * SHARD).select("shard", F.ceil(F.col("own") / (2 * SHARD)).alias("chunks"))
+    large = written(large, "large-shards")
+    one = F.lit(1).cast("long")
+    rows = rows.withColumn("chunks", one) if large.isEmpty() else rows.join(large, "shard", "left").withColumn("chunks", F.coalesce("chunks", one))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "chunks"))
     # owned points come to their own chunk and, like visitors of all, compare themselves with that and the later ones
     start = F.when(F.col("visits") == 0, F.col("own")).otherwise(F.lit(0).cast("long"))
     met = F.transform(F.sequence(start, F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), F.lit(1).alias("visits")))
