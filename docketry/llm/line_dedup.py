@@ -140,7 +140,7 @@ def hashed_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 2, fanout: int = 2) -> DataFrame:
     """docs with repeated lines taken out of text, and the columns n_lines and n_dropped (long).
 
     A key of min_chars code points or more that at least min_docs documents hold loses all its
