@@ -44,7 +44,8 @@ def running(steps: Column) -> Column:
     starts = F.when(F.size(steps) > 0, F.sequence(F.lit(1), F.size(steps), width)).otherwise(F.array().cast("array<int>"))
     inner = F.transform(starts, lambda s: F.aggregate(F.slice(steps, s, width), none, add))
     before = F.aggregate(F.transform(inner, lambda b: F.element_at(b, -1)), F.array(zero), add)
-    return F.flatten(F.zip_with(inner, F.slice(before, F.lit(1), F.size(inner)), lambda b, t: F.transform(b, lambda x: x + t)))
+    many = F.flatten(F.zip_with(inner, F.slice(before, F.lit(1), F.size(inner)), lambda b, t: F.transform(b, lambda x: x + t)))
+    return F.when(F.size(steps) > 1, many).otherwise(steps)
 
 
 def matches(texts: DataFrame, key: list[str], text: str, patterns: dict[str, str], group: int = 0) -> DataFrame:
@@ -63,11 +64,12 @@ def matches(texts: DataFrame, key: list[str], text: str, patterns: dict[str, str
         F.when(F.size(n) > 0, F.zip_with(F.slice(F.split("__text", p, -1), F.lit(1), F.size(n)), F.col(n), size)).otherwise(none).alias(f"__steps{i}")
         for i, (n, (_, p)) in enumerate(zip(hits, kinds, strict=True))
     ]
-    values = [F.col(n) if group == 0 else F.regexp_extract_all("__text", F.lit(p), F.lit(group)) for n, (_, p) in zip(hits, kinds, strict=True)]
+    values = [F.when(F.size(n) > 0, F.col(n) if group == 0 else F.regexp_extract_all("__text", F.lit(p), F.lit(group))) for n, (_, p) in zip(hits, kinds, strict=True)]
     found = found.select(*key, *hits, *steps, *[v.alias(f"__values{i}") for i, v in enumerate(values)])
     found = found.select(*key, *hits, *[f"__values{i}" for i in range(len(kinds))], *[running(F.col(f"__steps{i}")).alias(f"__ends{i}") for i in range(len(kinds))])
-    told = []
+    told, nothing = [], F.expr("CAST(array() AS ARRAY<STRUCT<kind: STRING, value: STRING, start: BIGINT, end: BIGINT>>)")
     for i, (kind, _) in enumerate(kinds):
         rows = F.arrays_zip(F.col(f"__values{i}").alias("value"), F.transform(f"__hits{i}", lambda h: F.char_length(h)).alias("size"), F.col(f"__ends{i}").alias("end"))
-        told.append(F.transform(rows, lambda m: F.struct(F.lit(kind).alias("kind"), m["value"].alias("value"), (m["end"] - m["size"]).alias("start"), m["end"].alias("end"))))  # noqa: B023
+        spans = F.transform(rows, lambda m: F.struct(F.lit(kind).alias("kind"), m["value"].alias("value"), (m["end"] - m["size"]).alias("start"), m["end"].alias("end")))  # noqa: B023
+        told.append(F.when(F.size(f"__hits{i}") > 0, spans).otherwise(nothing))
     return found.select(*key, F.inline(F.concat(*told)))

@@ -25,13 +25,15 @@ def points(text: str) -> np.ndarray:
 
 
 def cells(text: np.ndarray, n: int) -> np.ndarray:
-    """The bit of each piece of n code points."""
-    h = np.full(max(0, len(text) - n + 1), n, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            h = (h ^ text[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-    return h >> np.uint64(64 - BITS)
+    """The bit of each piece of n code points, by joining hashes of halves, which may overlap."""
+    h, size = (text + np.uint32(n)) * np.uint32(0x9E3779B1), 1
+    while size < n and len(h):
+        step = min(size, n - size)
+        left = h[: max(0, len(h) - step)]
+        h = left * np.uint32(0x85EBCA77) ^ h[step:] ^ left >> np.uint32(15)
+        size += step
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0xC2B2AE3D)
+    return h >> np.uint32(32 - BITS)
 
 
 def indexed(values: DataFrame) -> DataFrame:
@@ -58,12 +60,12 @@ def containing(texts: DataFrame, key: list[str], values: DataFrame) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([int(cells(points(g), len(g))[0]) for g in grams], pa.int64()), pa.array(list(map(len, grams)), pa.int32())], names=["bit", "size"])
 
     at = index.select("gram").distinct().mapInArrow(placed, "bit long, size int")
-    # 2 ** (BITS - 6) rows at most
-    rows = at.groupBy(F.expr("bit div 64").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("b"), F.collect_set("size").alias("sizes")).collect()
-    bitmap, sizes = np.zeros(2 ** (BITS - 6), np.int64), sorted({n for r in rows for n in r["sizes"]})
+    # 2 ** (BITS - 5) rows at most
+    rows = at.groupBy(F.expr("bit div 32").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")).alias("b"), F.collect_set("size").alias("sizes")).collect()
+    bitmap, sizes = np.zeros(2 ** (BITS - 5), np.uint32), sorted({n for r in rows for n in r["sizes"]})
     for r in rows:
         bitmap[r["cell"]] = r["b"]
-    sent = texts.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+    sent = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
@@ -74,7 +76,7 @@ def containing(texts: DataFrame, key: list[str], values: DataFrame) -> DataFrame
                 met = set()
                 for n in sizes:
                     bit = cells(code, n)
-                    yes = np.flatnonzero(known[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
+                    yes = np.flatnonzero(known[bit >> np.uint32(5)] >> (bit & np.uint32(31)) & np.uint32(1))
                     met.update(text[i : i + n] for i in yes.tolist())
                 own += [k] * len(met)
                 grams += met

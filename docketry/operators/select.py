@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.ids import name_norm
-from docketry.schemas import CASE_KEY, DENIED, PRESETS
+from docketry.schemas import CASE_KEY, DENIED, PIECE_KEY, PRESETS
 
 
 def project_allowed(df: DataFrame, preset: str) -> DataFrame:
@@ -42,10 +42,10 @@ def hearings_between(hearings: DataFrame, first, last) -> DataFrame:
 
 
 def pages_needing_image(folios: DataFrame, requests: DataFrame, min_conf: float, model_reads_images: bool = True) -> DataFrame:
-    """Folios to send as images: read with low confidence or asked for, if the model reads images."""
-    asked = requests.select("piece_id", "folio").distinct().withColumn("asked", F.lit(True))
+    """Folios (case key, piece_id, folio, ...) to send as images: read with low confidence or asked for, if the model reads images."""
+    asked = requests.select(*PIECE_KEY, "folio").distinct().withColumn("asked", F.lit(True))
     low = ~F.col("has_text_layer") & (F.col("ocr_conf") < min_conf)
-    rows = folios.join(asked, ["piece_id", "folio"], "left").filter(low | F.col("asked"))
+    rows = folios.join(asked, [*PIECE_KEY, "folio"], "left").filter(low | F.col("asked"))
     return rows.filter(F.lit(model_reads_images)).drop("asked")
 
 

@@ -79,9 +79,9 @@ class Inputs:
 
     @cached_property
     def folios(self) -> DataFrame:
-        rows = self.pieces.filter("text <> ''").select("piece_id", "text", F.explode(F.expr("sequence(0, (char_length(text) - 1) div 1500)")).alias("folio"))
+        rows = self.pieces.filter("text <> ''").select(*KEY, "piece_id", "text", F.explode(F.expr("sequence(0, (char_length(text) - 1) div 1500)")).alias("folio"))
         return rows.select(
-            "piece_id", F.col("folio").cast("int").alias("folio"), F.expr("substring(text, CAST(folio AS INT) * 1500 + 1, 1500)").alias("text"),
+            *KEY, "piece_id", F.col("folio").cast("int").alias("folio"), F.expr("substring(text, CAST(folio AS INT) * 1500 + 1, 1500)").alias("text"),
             F.expr("((piece_id * 37 + folio * 11) % 100) / 100.0D").alias("ocr_conf"), F.expr("(piece_id + folio) % 4 <> 0").alias("has_text_layer"),
         )
 
@@ -168,9 +168,9 @@ pieces AS (
          'piece ' || doc_id AS title, lang AS doc_type, DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS piece_date, text,
          (doc_id // 5) % 7 AS tenant, 1 + doc_id // 5 // 7 % 2 AS degree FROM documents),
 folios AS (
-  SELECT piece_id, CAST(folio AS INTEGER) AS folio, substr(text, folio * 1500 + 1, 1500) AS text,
+  SELECT tenant, degree, case_no, piece_id, CAST(folio AS INTEGER) AS folio, substr(text, folio * 1500 + 1, 1500) AS text,
          ((piece_id * 37 + folio * 11) % 100) / 100.0 AS ocr_conf, (piece_id + folio) % 4 <> 0 AS has_text_layer
-  FROM (SELECT piece_id, text, unnest(range(0, (length(text) - 1) // 1500 + 1)) AS folio FROM pieces WHERE text <> '')),
+  FROM (SELECT tenant, degree, case_no, piece_id, text, unnest(range(0, (length(text) - 1) // 1500 + 1)) AS folio FROM pieces WHERE text <> '')),
 nine AS (SELECT c_custkey, c_name, lpad(CAST((c_custkey * 7919 + 123456789) % 1000000000 AS VARCHAR), 9, '0') AS b FROM customer),
 ten AS (
   SELECT *, b || CAST((list_sum(list_transform(range(1, 10), lambda i: CAST(substr(b, i, 1) AS INTEGER) * (11 - i))) * 10 % 11) % 10 AS INTEGER) AS b10 FROM nine),

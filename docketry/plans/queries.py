@@ -96,7 +96,7 @@ def _(t):
     return exports.export_index(t.cases, t.pieces, t.parties)
 
 
-@query("s8_export_list", "SELECT case_no, class, queue, unit, priority, arrival, last_mov, array_to_string(tags, ', ') AS tags FROM cases")
+@query("s8_export_list", "SELECT tenant, degree, case_no, class, queue, unit, priority, arrival, last_mov, array_to_string(tags, ', ') AS tags FROM cases")
 def _(t):
     return exports.export_list(t.cases)
 
@@ -171,11 +171,11 @@ def _(t):
 
 
 @query("p6_pages_needing_image", """
-SELECT piece_id, folio, ocr_conf FROM folios
+SELECT tenant, degree, case_no, piece_id % 5 AS piece_id, folio, ocr_conf FROM folios
 WHERE NOT has_text_layer AND ocr_conf < 0.6 OR (folio = 1 AND piece_id % 10 = 0)""")
 def _(t):
     asked = t.folios.filter("folio = 1 AND piece_id % 10 = 0")
-    return select.pages_needing_image(t.folios, asked, 0.6).select("piece_id", "folio", "ocr_conf")
+    return select.pages_needing_image(_local(t.folios), _local(asked), 0.6).select(*PIECE_KEY, "folio", "ocr_conf")
 
 
 @query("p7_pages_needing_ocr", "SELECT piece_id, folio FROM folios WHERE NOT has_text_layer")
@@ -250,7 +250,7 @@ def _(t):
 
 #: Pieces, pages and marks whose piece ids are numbered inside of each case, so that cases share them.
 LOCAL = """own_folios AS (
-  SELECT tenant, degree, case_no, f.piece_id % 5 AS piece_id, folio FROM folios f JOIN pieces USING (piece_id)),
+  SELECT tenant, degree, case_no, piece_id % 5 AS piece_id, folio FROM folios),
 own_marks AS (SELECT tenant, degree, case_no, piece_id % 5 AS piece_id FROM selection),
 own_cited AS (SELECT tenant, degree, case_no, piece_id % 5 AS piece_id, CAST(piece_id % 4 AS INTEGER) AS folio FROM pieces)"""
 
@@ -263,9 +263,8 @@ def _local(df: DataFrame) -> DataFrame:
 SELECT c.*, CASE WHEN f.piece_id IS NULL THEN 'unresolved' WHEN s.piece_id IS NULL THEN 'unselected' ELSE 'ok' END AS status
 FROM own_cited c LEFT JOIN own_folios f USING (tenant, degree, case_no, piece_id, folio) LEFT JOIN own_marks s USING (tenant, degree, case_no, piece_id)""", LOCAL)
 def _(t):
-    folios = t.folios.join(t.pieces.select(*PIECE_KEY), "piece_id")
     cited = t.pieces.select(*PIECE_KEY, F.expr("CAST(piece_id % 4 AS INT)").alias("folio"))
-    return joins.check_citations(_local(cited), _local(folios), _local(t.selection))
+    return joins.check_citations(_local(cited), _local(t.folios), _local(t.selection))
 
 
 @query("j4_referenced_not_selected", """

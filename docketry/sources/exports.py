@@ -44,7 +44,7 @@ def export_index(cases: DataFrame, pieces: DataFrame, parties: DataFrame) -> Dat
 
 def export_list(cases: DataFrame) -> DataFrame:
     """A list of cases: allowed columns only, tags joined, no party and no document."""
-    kept = [c for c in ("case_no", "class", "queue", "unit", "priority", "arrival", "last_mov") if c in cases.columns]
+    kept = [c for c in (*CASE_KEY, "class", "queue", "unit", "priority", "arrival", "last_mov") if c in cases.columns]
     return cases.select(*kept, F.array_join("tags", ", ").alias("tags"))
 
 
