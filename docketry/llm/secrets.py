@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,6 +73,11 @@ def spans(texts: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
+def addresses(versions: DataFrame, key: str, *more: Column) -> DataFrame:
+    """(key, text_h, blob, ...): a version is known by its key and a hash of its text."""
+    return versions.select(F.col(key).alias("key"), F.xxhash64("text").alias("text_h"), blob_of(F.col("text")).alias("blob"), *more)
+
+
 class BlobLedger:
     """What was scanned, and what was found, below a folder that a later session can open again.
 
@@ -99,15 +103,15 @@ class BlobLedger:
         """The same ledger under other rules or rule versions."""
         return BlobLedger(self.spark, rules, self.folder)
 
-    def scan(self, versions: DataFrame, key: str = "doc_id") -> DataFrame:
-        """Scans the unseen (blob, rule version) pairs of (key, text); returns (key, text_h, blob) of all versions, as a table.
+    def scan(self, versions: DataFrame, key: str = "doc_id", addressed: DataFrame | None = None) -> None:
+        """Scans the unseen (blob, rule version) pairs of (key, text); addressed: their addresses, where they are known.
 
-        One path stands for each blob, the smallest key that holds it; null if none has a key. Texts are hashed once. Where
-        most of them are unseen all are searched where they lie, and only those with a match meet the unseen pairs;
-        where few are, these alone are fetched and searched.
+        One path stands for each blob, the smallest key that holds it; null if none has a key. Where most texts
+        are unseen all are searched where they lie, and only those with a match meet the unseen pairs; where
+        few are, these alone are fetched and searched.
         """
         told = versions.select(F.col(key).alias("key"), F.xxhash64("text").alias("text_h"), "text")
-        addressed = written(told.select("key", "text_h", blob_of(F.col("text")).alias("blob")), "addressed")
+        addressed = written(addresses(versions, key), "addressed") if addressed is None else addressed
         one = addressed.groupBy("blob").agg(F.min(F.struct("key", "text_h")).alias("p"))
         wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in self.rules])
         pairs = one.select("p.key", "p.text_h", "blob", F.explode(wanted).alias("r")).select("key", "text_h", "blob", "r.kind", "r.version")
@@ -117,13 +121,14 @@ class BlobLedger:
         todo = pairs.groupBy(F.col("key").alias("k"), F.col("text_h").alias("h"), "blob").agg(F.collect_set("kind").alias("kinds"))
         same = F.col("key").eqNullSafe(F.col("k")) & (F.col("text_h") == F.col("h"))
         hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(r.pattern), F.lit(r.kind)) for r in self.rules]))
+        any_rule = "|".join(f"(?:{r.pattern})" for r in self.rules)
         first = self.rules[0]
         if 2 * pairs.filter((F.col("kind") == first.kind) & (F.col("version") == first.version)).count() > addressed.count():
-            told = told.withColumn("hits", hits).filter("size(hits) > 0").join(todo, same)
+            told = told.filter(F.col("text").rlike(any_rule)).join(todo, same)
         else:
-            told = told.join(todo, same).withColumn("hits", hits)
+            told = told.join(todo, same).filter(F.col("text").rlike(any_rule))
         # most texts have no match at all: only those that do are written for the passes by rule
-        texts = told.select("blob", "text", F.array_intersect("hits", "kinds").alias("hits")).filter("size(hits) > 0")
+        texts = told.withColumn("hits", hits).select("blob", "text", F.array_intersect("hits", "kinds").alias("hits")).filter("size(hits) > 0")
         texts = written(texts, "to-scan").dropDuplicates(["blob"])
         found = spans(texts.filter(F.array_contains("hits", first.kind)), first)
         for r in self.rules[1:]:
@@ -133,7 +138,6 @@ class BlobLedger:
         found.write.parquet(self.tables[-1])
         self.pairs.append(f"{self.folder}/pairs/{at}")
         pairs.select("blob", "kind", "version").write.parquet(self.pairs[-1])
-        return addressed.withColumnRenamed("key", key)
 
 
 def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None, batches: int = 2) -> DataFrame:
@@ -145,7 +149,10 @@ def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None, batches: int
     all get the findings. No rows give no rows. A column of docs named spans is replaced.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
-    seen = [ledger.scan(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b)) for b in range(batches)]
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
+    seen = written(addresses(docs, "doc_id", batch.alias("batch")), "addressed", "batch")  # texts are hashed once
+    for b in range(batches):
+        ledger.scan(docs.filter(batch == b), addressed=seen.filter(F.col("batch") == b))
     rank = F.array_position(F.array(*[F.lit(r.kind) for r in ledger.rules]), F.col("kind"))
     now = F.array(*[F.concat_ws(":", F.lit(r.kind), F.lit(str(r.version))) for r in ledger.rules])
     found = ledger.findings().filter(F.array_contains(now, F.concat_ws(":", "kind", F.col("version").cast("string"))))
@@ -156,7 +163,7 @@ def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None, batches: int
         ).alias("spans")
     )
     # findings go back to all paths of their blob, and paths are known by their key and a hash of their text
-    paths = reduce(DataFrame.unionByName, seen).join(by_blob, "blob").select(F.col("doc_id").alias("__key"), F.col("text_h").alias("__h"), "spans")
+    paths = seen.join(by_blob, "blob").select(F.col("key").alias("__key"), F.col("text_h").alias("__h"), "spans")
     paths = written(paths.dropDuplicates(["__key", "__h"]), "findings-by-path")
     docs = without(docs, "spans")
     out = docs.join(paths, docs["doc_id"].eqNullSafe(F.col("__key")) & (F.xxhash64(docs["text"]) == F.col("__h")), "left").drop("__key", "__h")

@@ -644,12 +644,15 @@ CLASH = ("h", "d", "n", "key", "spans", "items", "row_h", "did", "n_words", "blo
 
 def test_columns_of_any_name(spark, docs):
     wide = docs.withColumns({c: F.lit("x") for c in CLASH})
-    bench = spark.createDataFrame([(1, "no such words here at all ever", "x")], "item_id int, text string, h string")
-    assert decontam.decontaminate(wide, bench).count() == docs.count()
-    assert langid.identify(wide).count() == docs.count()
-    assert secrets.scan_secrets(wide).filter("size(spans) > 0").count() == 1
-    assert fingerprint.compared(wide).count() == docs.count()
-    assert suffix_dedup.remove_repeats(wide).count() == docs.count()
+    bench = spark.createDataFrame([(1, "no such words here at all ever", "x"), (2, "da la", "y")], "item_id int, text string, h string")
+    same = lambda work, *cols: sorted(map(repr, work(wide).select(*cols).collect())) == sorted(map(repr, work(docs).select(*cols).collect()))
+    assert same(lambda d: decontam.decontaminate(d, bench), "doc_id", "n_words", "n_hit", "items", "contaminated")
+    assert same(langid.identify, "doc_id", "lang_pred", "score")
+    assert same(secrets.scan_secrets, "doc_id", "text", "spans")
+    assert same(fingerprint.compared, "doc_id", "fingerprint", "edited_fingerprint", "near_next")
+    assert same(suffix_dedup.remove_repeats, "doc_id", "n_bytes", "n_removed", "kept")
+    assert same(simhash.near_duplicates, "doc_id", "fp", "component_id")
+    assert same(mixing.mix, "doc_id", "slot")
     assert set(CLASH) <= set(mixing.mix(wide).columns)
 
 
@@ -668,6 +671,21 @@ def test_very_long_texts(spark):
     assert [r["n_chars"] for r in fingerprint.compared(rows).orderBy("doc_id").collect()] == [len(long), len(long) - 100, 5]
 
 
+def test_very_long_texts_of_the_others(spark):
+    rng = random.Random(8)
+    long = text(rng, 120_000)
+    rows = spark.createDataFrame([(1, f"{long} {SECRET}", "en", "a"), (2, long, "en", "a"), (3, "short", "en", None)], "doc_id bigint, text string, lang string, source string")
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(rows).collect()}
+    assert groups[3] == 3 and groups[1] == groups[2] == 1
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(rows).collect()}[1] == "en"
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(rows).collect()}
+    assert min(s["start"] for s in found[1]) >= len(long) and not found[2]
+    n = len(long.encode())
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(rows).collect()}
+    assert got[2] == (n, n) and got[1][1] == n and got[3] == (5, 0)
+    assert mixing.mix(rows).filter("slot IS NOT NULL").count() == 3
+
+
 def test_a_group_of_alike_points_gives_few_links():
     import pandas as pd
 
