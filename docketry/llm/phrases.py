@@ -245,9 +245,12 @@ def collocations(docs: DataFrame, most: int = MOST, least: int = LEAST, top: int
     inside = phrases.filter(size > 2).select("lang", F.explode(inner).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = lowest.join(inside, ["lang", "phrase"], "left").filter("longer IS NULL OR 100 * CAST(longer AS DECIMAL(20, 0)) < 80 * CAST(a AS DECIMAL(20, 0))")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    rows = kept.select("lang", "phrase", "a", "x.l", "x.r", F.col("x.score").cast("long").alias("score")).withColumn("rank", F.row_number().over(order).cast("long"))
-    rows = rows if top is None else rows.filter(F.col("rank") <= top)
-    return rows.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    rows = kept.select("lang", "phrase", "a", "x.l", "x.r", F.col("x.score").cast("long").alias("score")).withColumn("rank", F.row_number().over(order))
+    if top is not None:  # each task keeps its own best ones ahead of the shuffle by language, which Spark does up to this limit
+        limit = "spark.sql.optimizer.windowGroupLimitThreshold"
+        docs.sparkSession.conf.set(limit, str(max(top, int(docs.sparkSession.conf.get(limit)))))
+        rows = rows.filter(F.col("rank") <= top)
+    return rows.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,6 +223,11 @@ def test_phrases(spark, prose, monkeypatch):
     assert told(phrases.collocations(rows, most=3, least=5, top=9)) == mined(prose, 3, 5, 9)
 
 
+def test_ranks_are_limited_before_the_shuffle(spark, prose):
+    plan = phrases.collocations(spark.createDataFrame(prose, DOC))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # partial and final
+
+
 def test_no_phrases(spark):
     assert phrases.collocations(spark.createDataFrame([], DOC)).collect() == []
     assert phrases.collocations(spark.createDataFrame([(1, "a b c", "en")], DOC)).collect() == []
