@@ -738,9 +738,12 @@ MASKED = LABELS + """, masked AS (
 
 
 def _masked(t: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
-    found = deid.detect_patterns(t.sheets)
+    path = t.place("sheets")  # texts lie in a table, as a rule; without one each step would make the sheets again
+    t.sheets.write.parquet(path)
+    sheets = t.spark.read.schema(t.sheets.schema).parquet(path)
+    found = deid.detect_patterns(sheets)
     labels = windows.number_labels(found)
-    return found, labels, deid.mask(t.sheets, labels)
+    return found, labels, deid.mask(sheets, labels)
 
 
 @query("d7_mask", "SELECT tenant, degree, case_no, piece_id, masked FROM masked", MASKED)
