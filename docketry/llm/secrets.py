@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -121,12 +123,13 @@ class BlobLedger:
         todo = pairs.groupBy(F.col("key").alias("k"), F.col("text_h").alias("h"), "blob").agg(F.collect_set("kind").alias("kinds"))
         same = F.col("key").eqNullSafe(F.col("k")) & (F.col("text_h") == F.col("h"))
         hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(r.pattern), F.lit(r.kind)) for r in self.rules]))
-        any_rule = "|".join(f"(?:{r.pattern})" for r in self.rules)
+        # faster rule by rule than as one alternation, which is tried in full at each place
+        any_rule = reduce(or_, [F.col("text").rlike(r.pattern) for r in self.rules])
         first = self.rules[0]
         if 2 * pairs.filter((F.col("kind") == first.kind) & (F.col("version") == first.version)).count() > addressed.count():
-            told = told.filter(F.col("text").rlike(any_rule)).join(todo, same)
+            told = told.filter(any_rule).join(todo, same)
         else:
-            told = told.join(todo, same).filter(F.col("text").rlike(any_rule))
+            told = told.join(todo, same).filter(any_rule)
         # most texts have no match at all: only those that do are written for the passes by rule
         texts = told.withColumn("hits", hits).select("blob", "text", F.array_intersect("hits", "kinds").alias("hits")).filter("size(hits) > 0")
         texts = written(texts, "to-scan").dropDuplicates(["blob"])
