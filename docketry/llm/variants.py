@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,14 +53,14 @@ def word_counts(docs: DataFrame, typos: bool = False) -> DataFrame:
     typos: apply misspelt() by the crc32 of <doc_id>:<word>; a null doc_id is empty there.
     """
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
 
-        def flushed() -> pd.DataFrame:
-            return pd.DataFrame({"word": list(n.keys()), "n": list(n.values())})
+        def flushed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
         for rows in batches:
-            for did, text in zip(rows["did"], rows["text"], strict=True):
+            for did, text in zip(rows.column("did").to_pylist(), rows.column("text").to_pylist(), strict=True):
                 if not text:
                     continue
                 # bytes.lower() knows A-Z only
@@ -76,7 +77,7 @@ def word_counts(docs: DataFrame, typos: bool = False) -> DataFrame:
         yield flushed()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("did"), "text")
-    return rows.mapInPandas(made, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(made, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def window(size: Column, lo: Column, hi: Column, word: Column) -> Column:
@@ -189,6 +190,16 @@ def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from joined(done(kept.reset_index(drop=True)))
 
 
+NEAR = "word string, n_near long, best_n long, best string"
+
+
+def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """tiles() from and to Arrow: joined columns of texts in pandas may come in chunks, which Spark doesn't take."""
+    kinds = {"word": pa.string(), "n_near": pa.int64(), "best_n": pa.int64(), "best": pa.string()}
+    for found in tiles(b.to_pandas() for b in batches):
+        yield pa.RecordBatch.from_arrays([pa.array(found[c].tolist(), kind) for c, kind in kinds.items()], names=list(kinds))
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """(word, n_near, best_n, best) from (word, n), words distinct and not empty: how many are one edit away, and the most frequent of these.
 
@@ -212,7 +223,7 @@ def near_words(words: DataFrame) -> DataFrame:
     for part in parts[1:]:
         every = every.unionByName(part.select(every.columns))
     dealt = every.repartition(*key).sortWithinPartitions(*key)
-    found = dealt.mapInPandas(tiles, "word string, n_near long, best_n long, best string")
+    found = dealt.mapInArrow(tiled, NEAR)
     best = F.min(F.struct((-F.col("best_n")).alias("n"), "best"))
     found = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("b"))
     return found.select("word", "n_near", (-F.col("b.n")).alias("best_n"), "b.best")
