@@ -57,3 +57,10 @@ def test_detection_and_labels_take_one_shuffle_of_the_texts(inputs):
     p = plan(windows.number_labels(deid.detect_patterns(inputs.sheets)))
     above = p[: p.index("Generate inline")]
     assert "Exchange" not in above  # the sheets are dealt by case, which serves the labels too
+
+
+def test_a_cpf_is_made_once(spark, sf_dir):
+    from docketry.plans.queries import QUERIES
+
+    # where each digit names the whole number, filters that move below it make it again for each of their digits
+    assert plan(QUERIES["j8_known_persons"](spark, sf_dir)).count("lpad(") < 10
