@@ -15,9 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.operators.batches import small_batches
+
 GRAM = 6
 #: Bits of the bitmap, as a power of two: 2 MB.
 BITS = 24
+#: Pieces met that a task holds before it hands them on, about.
+HELD = 20_000
 
 
 def points(text: str) -> np.ndarray:
@@ -52,6 +56,7 @@ def containing(texts: DataFrame, key: list[str], values: DataFrame) -> DataFrame
 
     texts: (key..., text). Null and empty texts and values meet nothing; of texts with one key each is searched.
     """
+    small_batches(texts.sparkSession)
     index = indexed(values)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,9 +75,10 @@ def containing(texts: DataFrame, key: list[str], values: DataFrame) -> DataFrame
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for b in batches:
-            own, grams = [], []
-            for k, text in enumerate(b.column("__text").to_pylist()):
-                code = points(text or "")
+            keys, own, grams = b.select(key), [], []
+            for k, text in enumerate(b.column("__text")):
+                text = text.as_py() or ""  # noqa: PLW2901
+                code = points(text)
                 met = set()
                 for n in sizes:
                     bit = cells(code, n)
@@ -80,9 +86,16 @@ def containing(texts: DataFrame, key: list[str], values: DataFrame) -> DataFrame
                     met.update(text[i : i + n] for i in yes.tolist())
                 own += [k] * len(met)
                 grams += met
+                if len(own) >= HELD:
+                    yield told(keys, own, grams)
+                    own, grams = [], []
             if own:
-                rows = b.take(pa.array(own))
-                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in key], pa.array(grams, pa.string())], names=[*key, "gram"])
+                yield told(keys, own, grams)
+
+    def told(keys: pa.RecordBatch, own: list[int], grams: list[str]) -> pa.RecordBatch:
+        """A row a piece that was met: with its text's key, and without the text."""
+        rows = keys.take(pa.array(own))
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(grams, pa.string())], names=[*key, "gram"])
 
     searched_in = texts.select(*key, F.col("text").alias("__text"))
     schema = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in key)

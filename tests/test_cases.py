@@ -558,3 +558,12 @@ def test_written_texts_and_notes(spark, tmp_path):
     exports.write_notes(notes, notes, str(tmp_path / "notes"))
     good, bad = parsing.check_notes(spark.read.text(str(tmp_path / "notes")).withColumnRenamed("value", "line"))
     assert rows(good, "note_id", "text") == [(3, "a")] and bad.count() == 0
+
+
+def test_texts_met_are_not_copied_for_each_value(spark, monkeypatch):
+    monkeypatch.setattr(containing, "HELD", 10)
+    values = spark.range(300).select(F.format_string("v%05d", "id").alias("value"))
+    text = " ".join(f"v{i:05d}" for i in range(300)) + "x" * 2_000_000
+    texts = spark.range(1, 5).select(F.col("id").alias("k"), F.concat(F.lit(text), F.col("id").cast("string")).alias("text")).coalesce(1)
+    taken = containing.containing(texts, ["k"], values)  # 4 GB, and offsets beyond 32 bits, where each hit takes its text along
+    assert taken.count() == 1200
