@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,8 +18,12 @@ from docketry import schemas
 ANSWER = "tenant bigint, degree bigint, case_no bigint, answer string"
 ANSWERED = f"{ANSWER}, content string"
 ANSWERED_ARROW = pa.schema([*[(c, pa.int64()) for c in schemas.CASE_KEY], ("answer", pa.string()), ("content", pa.string())])
-#: Cases that a task asks for before it keeps their answers.
+#: Cases that a task asks for before it keeps their answers, at first and where answers take their time.
 AT_A_TIME = 7
+#: Calls in a row, of at most so many seconds each, after which twice as many cases are asked for at a time.
+QUICK_CALLS, QUICK = 16, 0.25
+#: Cases that are asked for at a time at most.
+MOST = 10_000
 
 
 def parse_analysis(df: DataFrame, column: str, schema: str = schemas.ANALYSIS) -> DataFrame:
@@ -47,7 +52,8 @@ def analyse(bundles: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[
 
     With a ledger, a folder that all tasks reach through pyarrow.fs, answers are kept by case and content as they come:
     a case whose bundle has not changed is not asked again, in a later run or after a task was lost. A task calls
-    fn for AT_A_TIME cases and writes their answers before it goes on. Cases that fn leaves out are asked again.
+    fn for AT_A_TIME cases and writes their answers before it goes on; for more, as long as answers come at once, so
+    that files grow with the time spent, not with the cases. Cases that fn leaves out are asked again.
     """
     tasks = max(1, min(7, at_once))
     if ledger is None:
@@ -62,10 +68,18 @@ def analyse(bundles: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, folder = fs.FileSystem.from_uri(ledger.rstrip("/"))
+        size, quick = AT_A_TIME, 0
         for b in batches:
-            for k in range(0, len(b), AT_A_TIME):
-                some = b.iloc[k : k + AT_A_TIME]
+            k = 0
+            while k < len(b):
+                some = b.iloc[k : k + size]
+                k, began = k + size, time.monotonic()
                 answers = [a for a in fn(iter([some.drop(columns="__content")])) if len(a)]
+                quick = quick + 1 if time.monotonic() - began <= QUICK else 0
+                if not quick:
+                    size = max(AT_A_TIME, size // 2)
+                elif quick % QUICK_CALLS == 0:
+                    size = min(2 * size, MOST)
                 if not answers:
                     continue
                 kept = pd.concat(answers).merge(some[[*key, "__content"]], on=key).rename(columns={"__content": "content"})

@@ -560,6 +560,16 @@ def test_written_texts_and_notes(spark, tmp_path):
     assert rows(good, "note_id", "text") == [(3, "a")] and bad.count() == 0
 
 
+def test_quick_answers_make_few_files(spark, tmp_path):
+    def fn(batches):
+        for b in batches:
+            yield b[["tenant", "degree", "case_no"]].assign(answer="yes")
+
+    cases = of_case(spark.range(20_000).select(F.col("id").alias("case_no"), F.lit("a").alias("what"))).coalesce(1)
+    assert parsing.analyse(cases, fn, ledger=f"file://{tmp_path}/ledger").count() == 20_000
+    assert len(list((tmp_path / "ledger").glob("*.parquet"))) < 300  # 2,858 where each call asks for seven
+
+
 def test_texts_met_are_not_copied_for_each_value(spark, monkeypatch):
     monkeypatch.setattr(containing, "HELD", 10)
     values = spark.range(300).select(F.format_string("v%05d", "id").alias("value"))
