@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from typing import Any
+from zlib import crc32
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -39,41 +40,60 @@ def first_submissions(rows: DataFrame) -> DataFrame:
 class Progress(StatefulProcessor):
     """The items of a batch that are in, until all are.
 
-    State: a row an item, how many there are, whether the closing row went out, and the last time seen. A timer at
-    that time removes it all: once the watermark has passed it, any repeat is late and dropped ahead of the state.
+    State: the items, in as many rows as keep each to some BUCKET of them, and a row that tells how many there are, whether
+    the closing row went out, the last time seen and when the timer goes off. So a micro-batch reads and writes each row of
+    state that it touches once, however many results it brings. The timer is set once and moves on when it goes off too
+    early; at the last time seen it removes it all: once the watermark has passed it, any repeat is late and dropped.
     """
 
+    BUCKET = 64
+
     def __init__(self, expected: int, patience_ms: int):
         self.expected, self.patience = expected, patience_ms
+        self.buckets = max(1, -(-expected // self.BUCKET))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.items = handle.getMapState("items", "item string", "seen boolean")
-        self.told = handle.getValueState("told", "done long, closed boolean, last long")
+        self.items = handle.getMapState("items", "bucket int", "seen array<string>")
+        self.told = handle.getValueState("told", "done long, closed boolean, last long, due long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        done, closed, last = self.told.get() if self.told.exists() else (0, False, 0)
-        before, was = done, last
+        done, closed, last, due = self.told.get() or (0, False, 0, None)
+        before, was = done, (closed, last)
+        new: dict[int, set[str]] = {}
         for row in rows:
             last = max(last, int(row["ms"]))
             # a null item is none; after closing all repeats are ignored
-            if not closed and row["item"] is not None and not self.items.containsKey((row["item"],)):
-                self.items.updateValue((row["item"],), (True,))
-                done += 1
-        if last != was or not was:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
+            if not closed and row["item"] is not None:
+                new.setdefault(crc32(row["item"].encode("utf-8", "surrogatepass")) % self.buckets, set()).add(row["item"])
+        for bucket, items in new.items():
+            held = list((before and self.items.getValue((bucket,)) or [[]])[0])
+            fresh = items.difference(held)
+            if fresh:
+                self.items.updateValue((bucket,), ([*held, *sorted(fresh)],))
+                done += len(fresh)
         if not closed and done >= self.expected:
             closed = True
             self.items.clear()  # what is left is a line that says that the batch is closed
-        self.handle.registerTimer(last + (0 if closed else self.patience))
-        self.told.update((done, closed, last))
+        if due is None or closed and not was[0]:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            due = last + (0 if closed else self.patience)
+            self.handle.registerTimer(due)
+        if done > before or was != (closed, last):
+            self.told.update((done, closed, last, due))
         if done > before:
             yield Row(batch_id=key[0], done=done, closed=closed)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        self.items.clear()
-        self.told.clear()
+        done, closed, last, due = self.told.get() or (0, True, 0, 0)
+        until = last + (0 if closed else self.patience)
+        if until > expiredTimerInfo.getExpiryTimeInMs():
+            self.told.update((done, closed, last, until))
+            self.handle.registerTimer(until)
+        else:
+            self.items.clear()
+            self.told.clear()
         return iter(())
 
     def close(self) -> None:

@@ -152,3 +152,31 @@ def test_auto_tag(spark, results, tmp_path):
     twin = joins.auto_tag(rows, grants, 6)
     assert twin.count() > 0
     assert sorted(r[0] for r in spark.table("st4").select("result_id").collect()) == sorted(r[0] for r in twin.select("result_id").collect())
+
+
+def test_a_micro_batch_touches_its_state_once():
+    from docketry.streaming.triage import Progress
+
+    calls = []
+
+    class State(dict):
+        def getValue(self, k): calls.append("get"); return self.get(k)  # noqa: E702
+        def updateValue(self, k, v): calls.append("put"); self[k] = v  # noqa: E702
+
+    class Told(list):
+        def get(self): calls.append("get"); return self[-1] if self else None  # noqa: E702
+        def exists(self): calls.append("exists"); return bool(self)  # noqa: E702
+        def update(self, v): calls.append("put"); self.append(v)  # noqa: E702
+
+    class Handle:
+        def getMapState(self, *a): return State()  # noqa: E704
+        def getValueState(self, *a): return Told()  # noqa: E704
+        def registerTimer(self, at): calls.append("timer")  # noqa: E704
+        def deleteTimer(self, at): calls.append("timer")  # noqa: E704
+        def listTimers(self): calls.append("timer"); return []  # noqa: E702, E704
+
+    p = Progress(20, 1000)
+    p.init(Handle())
+    told = [list(p.handleInputRows((1,), iter([{"ms": 5, "item": str(k % 10 + n)} for k in range(20)]), None)) for n in (0, 5, 10)]
+    assert [(r.done, r.closed) for (r,) in told] == [(10, False), (15, False), (20, True)]
+    assert len(calls) <= 16  # each result asked for itself before
