@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType
 
+from docketry.operators.batches import small_batches
 from docketry.schemas import CASE_KEY
 
 #: Texts of a case that one task works on, about.
@@ -29,8 +30,10 @@ def looked_up(
     entries: (case key, a, b), two texts each. Texts of cases without entries, or with a null in the key, get
     what build([]) makes of them. Every row stays, repeated ones too.
     """
+    small_batches(texts.sparkSession)
     many = texts.groupBy(*CASE_KEY).agg(F.count("*").alias("__n")).filter(F.col("__n") > TEXTS_A_TASK)
     many = many.select(*CASE_KEY, F.ceil(F.col("__n") / TEXTS_A_TASK).cast("int").alias("__tasks"))
+    many = F.broadcast(many)  # one row for each TEXTS_A_TASK texts at most, so the texts need no shuffle to meet it
     fields = [F.col(f"`{c}`") for c in texts.columns]
     hashed = [F.col(f"`{f.name}`") for f in texts.schema if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     share = F.when(F.col("__tasks").isNull(), 0).otherwise(F.pmod(F.xxhash64(*hashed), F.col("__tasks")).cast("int"))
@@ -42,19 +45,18 @@ def looked_up(
     columns, arrow = texts.columns, to_arrow_type(kind)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        case, held, work = None, [], build([])
+        case, held, work = None, [], None
         for batch in batches:
             keys = zip(*[batch.column(c).to_pylist() for c in CASE_KEY], strict=True)
-            is_text, at = batch.column("__text").to_pylist(), batch.schema.get_field_index(column)
             out = []
-            for k, (key, text, a, b) in enumerate(zip(keys, is_text, batch.column("__a").to_pylist(), batch.column("__b").to_pylist(), strict=True)):
+            for key, is_text, a, b, text in zip(keys, *[batch.column(c).to_pylist() for c in ("__text", "__a", "__b", column)], strict=True):
                 if key != case:
                     case, held, work = key, [], None
-                if not text:
+                if not is_text:
                     held.append((a, b))
                     continue
                 work = work or build(held)
-                out.append(work(batch.column(at)[k].as_py()))
+                out.append(work(text))
             if out:
                 rows = batch.filter(batch.column("__text").cast(pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in columns], pa.array(out, arrow)], names=[*columns, name])

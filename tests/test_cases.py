@@ -577,3 +577,18 @@ def test_texts_met_are_not_copied_for_each_value(spark, monkeypatch):
     texts = spark.range(1, 5).select(F.col("id").alias("k"), F.concat(F.lit(text), F.col("id").cast("string")).alias("text")).coalesce(1)
     taken = containing.containing(texts, ["k"], values)  # 4 GB, and offsets beyond 32 bits, where each hit takes its text along
     assert taken.count() == 1200
+
+
+def test_few_and_many_entries_find_the_same(monkeypatch):
+    from docketry.functions import forms
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("aAbé12 .-/[]\n_\ufb01\u0301") for _ in range(rng.randint(0, n)))
+    for _ in range(3000):
+        text, names = word(40), [(rng.choice(["person", "number"]), word(5)) for _ in range(6)]
+        labels, got = [(rng.choice(["[a]", "[b]", "[a_1]", "L"]), word(4)) for _ in range(6)], []
+        for few in (16, 0):
+            monkeypatch.setattr(forms, "FEW", few)
+            found = sorted(map(tuple, (x.values() for x in forms.Register(names).found(text))))
+            got.append((found, forms.Labels(labels).mask(text), forms.Labels(labels, bounds=False).mask(text)))
+        assert got[0] == got[1]

@@ -64,3 +64,13 @@ def test_a_cpf_is_made_once(spark, sf_dir):
 
     # where each digit names the whole number, filters that move below it make it again for each of their digits
     assert plan(QUERIES["j8_known_persons"](spark, sf_dir)).count("lpad(") < 10
+
+
+def test_texts_are_dealt_once_to_their_dictionary(spark, inputs):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = inputs.pieces.select("tenant", "degree", "case_no", "piece_id", "text")
+        p = plan(deid.mask(texts, texts.selectExpr("tenant", "degree", "case_no", "'x' AS label", "'y' AS value")))
+        assert "SortMergeJoin" not in p and "ShuffledHashJoin" not in p
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
