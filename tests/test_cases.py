@@ -15,6 +15,7 @@ from docketry.functions.expiry import RULES, alive
 from docketry.functions.patterns import running
 from docketry.functions.forms import Labels, aligned
 from docketry.operators import aggregates, containing, deid, dictionary, joins, parsing, retention, select, sets, windows
+from docketry.plans.queries import QUERIES
 from docketry.schemas import PIECE_KEY, PRESETS
 from docketry.sources import exports, readers
 from docketry.sources.manifest import Manifest
@@ -600,3 +601,23 @@ def test_a_long_word_is_not_searched_for_addresses(spark):
     began = time.perf_counter()
     assert rows(deid.detect_patterns(df), "value", "start", "end") == [("60000-000", 2, 11), ("60000-000", 200_001, 200_010), ("60000-111", 14, 23)]
     assert time.perf_counter() - began < 20  # a search for @ tries each rest of the word: 20 billion steps
+
+
+def test_items_of_batches_are_dealt_to_all_tasks(spark, sf_dir):
+    # few ids come to one task; their items must not
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    context.setJobGroup("progress", "progress")
+    try:
+        QUERIES["st2_batch_progress"](spark, sf_dir).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in tracker.getJobIdsForGroup("progress") for s in tracker.getJobInfo(j).stageIds}
+    tasks = [info.numTasks for s in stages if (info := tracker.getStageInfo(s))]
+    assert tasks.count(int(spark.conf.get("spark.sql.shuffle.partitions"))) >= 2  # where ids are spread out, and where items meet results
+
+
+def test_progress_of_odd_batches(spark):
+    items = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (1, None), (2, 1), (None, 1)], "batch_id bigint, item bigint")
+    results = spark.createDataFrame([(1, 1), (1, 1), (1, None), (1, 9), (2, 1), (3, 1), (None, 1)], "batch_id bigint, item bigint")
+    got = {r["batch_id"]: (r["expected"], r["done"], r["closed"]) for r in aggregates.batch_progress(items, results).collect()}
+    assert got == {1: (3, 1, False), 2: (1, 1, True), None: (1, 0, False)}
