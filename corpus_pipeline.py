@@ -40,7 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id; rows with null ids stay.
 
     Near-duplicates: texts of the same words, or whose sets of five-word shingles have a cosine of 0.8
-    or more, exactly. Null, empty and blank texts are copies of each other. Rows that share an id go together.
+    or more. The vantage-point tree over fingerprints finds the closest, bands of min-hashes all but one in a
+    million of those right at 0.8; whole sets decide. Null, empty and blank texts are copies of each other. Rows that share an id go together.
     """
     groups = near_duplicates(docs, words=5, similarity=0.8)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()

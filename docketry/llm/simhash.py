@@ -13,10 +13,11 @@ A shard gives a spanning forest of its links and not all pairs, so the number of
 number of points. Groups are the components of the forests, found by distributed star contraction.
 
 With a similarity wanted, points are distinct word sequences, and links are the pairs whose sets of
-word shingles are that similar or more, exactly. No tree can prune there: at a similarity of 0.8 a
-fingerprint differs in 13 of 64 bits, more than any vantage point tells apart. Candidates share a
-band of min-hashes instead; so many bands are made that a pair at the threshold shares none in one
-case of a million. Of the points that share a band the one that meets most others leads, so a family
+word shingles are that similar or more, exactly. The tree finds the closest of them: what it links is
+compared by whole sets, and gives the components to begin with. It can't find all: at a similarity of
+0.8 a fingerprint differs in 13 of 64 bits, more than any vantage point tells apart. So points of
+different components meet once more, where they share a band of min-hashes; so many bands are made that
+a pair at the threshold shares none in one case of a million. Of the points that share a band the one that meets most others leads, so a family
 of near copies comes together at its base, whatever the number of bands in which it meets. Whole sets
 are compared with whole sets: a large group first with its leader, for those alike to it are one
 component already; only the others are compared with all of the group, in cells of bounded size.
@@ -141,18 +142,18 @@ class Alike:
 
 
 def profiles(docs: DataFrame, words: int, alike: Alike) -> DataFrame:
-    """(doc_id, id, n, keys) of every row; id is a hash of the words, n counts distinct shingles, keys are those of the bands."""
+    """(doc_id, id, fp, n, keys) of every row; id is a hash of the words, fp and n are of distinct shingles, keys of the bands."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for t in b["text"]:
                 hashes, joined = shingle_sets(t, words)
-                out.append((name(joined), len(hashes), band_keys(hashes, alike.bands)))
-            yield pd.DataFrame(out, columns=["id", "n", "keys"]).assign(doc_id=b["doc_id"].astype("Int64").array)[["doc_id", "id", "n", "keys"]]
+                out.append((name(joined), np.uint64(simhash(hashes)).astype(np.int64), len(hashes), band_keys(hashes, alike.bands)))
+            yield pd.DataFrame(out, columns=["id", "fp", "n", "keys"]).assign(doc_id=b["doc_id"].astype("Int64").array)[["doc_id", "id", "fp", "n", "keys"]]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(made, "doc_id long, id long, n long, keys array<long>")
+    return rows.mapInPandas(made, "doc_id long, id long, fp long, n long, keys array<long>")
 
 
 def name(joined: bytes) -> int:
@@ -252,8 +253,9 @@ def shard_links(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.Dat
                 i, j = i[apart], j[apart]
                 if not len(i):
                     continue
-                i, j = np.unique(np.stack((i, label[j])), axis=1)  # a guest and the groups of owned points
-                told, joint = forest(len(kept) + len(some), j, i + len(kept))
+                first = np.unique(i * len(kept) + label[j], return_index=True)[1]  # a guest and one point of each group near it
+                i, j = i[first], j[first]
+                told, joint = forest(len(kept) + len(some), label[j], i + len(kept))
                 yield pd.DataFrame({"a": names[i[told]], "b": ids[j[told]]})
                 label = joint[: len(kept)][label]
 
@@ -316,7 +318,7 @@ def split(rows: DataFrame, levels: int, radius: int) -> DataFrame:
 
 
 def links(points: DataFrame, radius: int) -> DataFrame:
-    """(a, b) links of distinct points (fp, which is also their name): the same components as all pairs that link."""
+    """(a, b) links of points (id, fp) of distinct fingerprints: pairs that link, with the same components as all of them."""
     spark = points.sparkSession
     n = points.count()
     levels = max(0, int(np.log2(max(1, n / SHARD)) + 0.999))
@@ -329,7 +331,7 @@ def links(points: DataFrame, radius: int) -> DataFrame:
             for out in places(b.assign(visits=0), tree, depth, radius):
                 yield out.rename(columns={"place": "shard"})[["shard", "visits", "id", "fp"]]
 
-    rows = points.select(F.col("fp").alias("id"), "fp").mapInPandas(routed, "shard long, visits int, id long, fp long")
+    rows = points.select("id", "fp").mapInPandas(routed, "shard long, visits int, id long, fp long")
     rows = written(rows, "routed")
     for _ in range(-(-max(0, levels - TOP) // LEVELS)):
         rows = written(split(rows, LEVELS, radius), "routed")
@@ -470,10 +472,34 @@ def shingled(docs: DataFrame, words: int, wanted: Bitmap) -> DataFrame:
     return docs.select("text").mapInPandas(made, "id long, held binary").groupBy("id").agg(F.first("held").alias("held"))
 
 
-def similar(docs: DataFrame, points: DataFrame, words: int, alike: Alike) -> DataFrame:
-    """(a, b) links of distinct points (id, n, keys): the same components as all pairs that are alike and share a band.
+def near(points: DataFrame, radius: int) -> DataFrame:
+    """(leader, id, size): pairs of points (id, fp, n) within the radius, by the tree, and each leader with itself."""
+    held = points.filter("n > 0").select("id", "fp", F.col("n").alias("size"))
+    shown = written(held.groupBy("fp").agg(F.min("id").alias("leader"), F.count("*").alias("n")), "shown")
+    found = links(shown.select(F.col("leader").alias("id"), "fp"), radius).select(F.col("b").alias("leader"), F.col("a").alias("id"))
+    # texts of one fingerprint are one point of the tree
+    same = skew_join(held.select("id", "fp"), shown.filter("n > 1"), "fp", "n").filter("id <> leader").select("leader", "id")
+    pairs = written(found.unionByName(same).distinct(), "near")
+    return pairs.unionByName(pairs.select("leader", F.col("leader").alias("id")).distinct()).join(held.select("id", "size"), "id").select("leader", "id", "size")
 
-    A pair at the threshold shares none in MISSED of all cases, more alike ones in far fewer.
+
+def in_cells(member: DataFrame) -> DataFrame:
+    """member (leader, id, root, size) with its group's chunks, its own chunk and its leader's root; groups of one root go."""
+    bounds = F.greatest(F.count("*") / CELL_POINTS, F.sum("size") * 8 / CELL_BYTES)
+    sizes = member.groupBy("leader").agg(
+        F.count("*").alias("n"), F.ceil(bounds).alias("chunks"), F.max(F.when(F.col("id") == F.col("leader"), F.col("root"))).alias("lead_root"),
+        (F.min("root") < F.max("root")).alias("open"),
+    )
+    sizes = written(sizes, "cells").filter("open").drop("open")
+    rows = skew_join(member, sizes, "leader", "n").withColumn("own", F.pmod(F.xxhash64("id"), "chunks"))
+    return written(rows.select("leader", "chunks", "own", "id", "root", "lead_root", "size"), "dealt")
+
+
+def similar(docs: DataFrame, points: DataFrame, words: int, alike: Alike, radius: int) -> DataFrame:
+    """(a, b) links of distinct points (id, fp, n, keys): the same components as all pairs that are alike and share a band.
+
+    A pair at the threshold shares none in MISSED of all cases, more alike ones in far fewer. What the tree finds
+    within the radius of fingerprints is linked ahead, where it is alike, so that bands only join its components.
     """
     spark = docs.sparkSession
     held = points.select("id", F.col("n").alias("size"), F.explode("keys").alias("key"))
@@ -484,13 +510,8 @@ def similar(docs: DataFrame, points: DataFrame, words: int, alike: Alike) -> Dat
     lead = met.join(often, "id").groupBy("key").agg(F.max(F.struct("often", "id")).alias("l"), F.first("n").alias("n"))
     lead = written(lead.select("key", "n", F.col("l.id").alias("leader")), "leaders")
     member = written(skew_join(met.drop("n"), lead, "key", "n").select("leader", "id", "size").distinct(), "members")
-    sizes = member.groupBy("leader").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / CELL_POINTS, F.sum("size") * 8 / CELL_BYTES)).alias("chunks"))
-    rows = skew_join(member, written(sizes, "cells"), "leader", "n")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "chunks")).select("leader", "chunks", "own", "id", "size")
-    rows = written(rows, "dealt")
-    chunks = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
-    sets = written(shingled(docs, words, Bitmap(member.select("id").distinct(), "id")), "sets")
-    large = rows.filter("chunks > 1")
+    by_tree = written(near(points, radius), "by-tree")
+    sets = written(shingled(docs, words, Bitmap(member.select("id").union(by_tree.select("id")).distinct(), "id")), "sets")
 
     def dealt(rows: DataFrame) -> DataFrame:
         """rows (leader, chunk, visits, id, size) with their sets, a chunk's together, sorted by visits."""
@@ -498,17 +519,26 @@ def similar(docs: DataFrame, points: DataFrame, words: int, alike: Alike) -> Dat
         out = rows.join(sets, "id").repartition(max(tasks(spark), 8 * bytes_ >> 25), "leader", "chunk").sortWithinPartitions("leader", "chunk", "visits")
         return out.select("leader", "chunk", "visits", "id", "held")
 
+    def meet_leaders(rows: DataFrame) -> DataFrame:
+        """(leader, id, alike) of the points of another root than their leader's."""
+        first = rows.filter("id = leader").select("leader", F.explode(chunks).alias("chunk"), F.lit(-1).alias("visits"), "id", "size")
+        first = first.unionByName(rows.filter("root <> lead_root").select("leader", F.col("own").alias("chunk"), F.lit(0).alias("visits"), "id", "size"))
+        return written(dealt(first).mapInPandas(lambda it: led(it, alike), "leader long, id long, alike boolean"), "led")
+
+    chunks = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+    known = meet_leaders(in_cells(by_tree.withColumn("root", F.col("id")))).filter("alike").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    roots = written(connected(known), "roots")
+    rows = in_cells(member.join(roots, member["id"] == roots["node"], "left").select("leader", "id", F.coalesce("root", "id").alias("root"), "size"))
+    large = rows.filter("chunks > 1")
     # in a large group all points meet the leader first: those alike to it are one component, and need no other comparison
-    first = large.filter("id = leader").select("leader", F.explode(chunks).alias("chunk"), F.lit(-1).alias("visits"), "id", "size")
-    first = first.unionByName(large.filter("id <> leader").select("leader", F.col("own").alias("chunk"), F.lit(0).alias("visits"), "id", "size"))
-    told = written(dealt(first).mapInPandas(lambda it: led(it, alike), "leader long, id long, alike boolean"), "led")
+    told = meet_leaders(large)
     # the others are compared with all of their group: they visit the cells of all
     far = told.filter("NOT alike").select("leader", "id")
     rest = large.join(far.select("leader").distinct(), "leader", "left_semi")
     guests = large.join(far, ["leader", "id"], "left_semi").select("leader", F.explode(F.filter(chunks, lambda c: c != F.col("own"))).alias("chunk"), F.lit(1).alias("visits"), "id", "size")
     owned = rows.filter("chunks = 1").unionByName(rest).select("leader", F.col("own").alias("chunk"), F.lit(0).alias("visits"), "id", "size")
     found = dealt(owned.unionByName(guests)).mapInPandas(lambda it: cell_links(it, alike), "a long, b long")
-    return found.unionByName(told.filter("alike").select(F.col("leader").alias("a"), F.col("id").alias("b")))
+    return found.unionByName(told.filter("alike").select(F.col("leader").alias("a"), F.col("id").alias("b"))).unionByName(known)
 
 
 def connected(found: DataFrame) -> DataFrame:
@@ -542,7 +572,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, similarity
     doc_id reachable over fingerprints at `radius` or fewer differing bits, itself included. A text
     that is null, empty or blank has fingerprint 0 and links like any other.
 
-    With a similarity, whatever the radius, there is no fp, and texts link that have the same words
+    With a similarity, there is no fp, the radius tells what the tree looks for ahead of the bands, and texts link that have the same words
     or whose sets of shingles have that cosine (what a SimHash estimates) or, as the measure says,
     that Jaccard index. A text without words is then like those without words only.
 
@@ -558,7 +588,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, similarity
     rows = written(rows, "fingerprints")
     same = [F.first(c).alias(c) for c in rows.columns if c not in ("doc_id", "id")]
     points = written(rows.groupBy("id").agg(F.min("doc_id").alias("first_id"), *same), "points")
-    roots = connected(links(points.select("id", F.col("id").alias("fp")), radius) if alike is None else similar(docs, points, words, alike))
+    roots = connected(links(points.select("id", F.col("id").alias("fp")), radius) if alike is None else similar(docs, points, words, alike, radius))
     named = points.join(roots, points["id"] == roots["node"], "left").select("id", "first_id", F.coalesce("root", "id").alias("root"))
     named = written(named, "named")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 import __spark_entry__ as entry
@@ -123,6 +124,32 @@ def test_near_duplicates_in_many_cells(spark, monkeypatch):
     assert got == set(without_near(texts))
 
 
+def test_near_duplicates_come_through_the_tree(spark, monkeypatch):
+    """Without any band, the tree links what is near in fingerprints and alike, over many shards."""
+    profiles = simhash.profiles
+    monkeypatch.setattr(simhash, "profiles", lambda *a: profiles(*a).withColumn("keys", F.array().cast("array<long>")))
+    monkeypatch.setattr(simhash, "SHARD", 16)
+    rng = random.Random(7)
+    texts = {k: [f"w{rng.randrange(5000)}" for _ in range(400)] for k in range(150)}
+    for k in range(40):  # copies with one word changed
+        texts[200 + k] = [*texts[k][:200], "changed", *texts[k][201:]]
+    texts = {k: " ".join(t) for k, t in texts.items()}
+    fp = {k: simhash.simhash(simhash.shingle_sets(t, 5)[0]) for k, t in texts.items()}
+    near = {200 + k for k in range(40) if (fp[k] ^ fp[200 + k]).bit_count() <= 2}
+    assert near and all((fp[a] ^ fp[b]).bit_count() > 2 for a in texts for b in texts if a < b and b - a != 200)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = near_duplicates(docs, words=5, similarity=0.8).filter("doc_id <> component_id").collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: k - 200 for k in near}
+
+
+def test_what_the_tree_finds_is_decided_exactly(spark):
+    """With all points near each other in the tree, only alike ones link, and none is lost."""
+    texts = pairs_at_the_edge(lambda n: n * 25 // 16) | {90: "", 91: None, 92: " "}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["doc_id"] for r in near_duplicates(docs, words=5, radius=64, similarity=0.8).filter("doc_id = component_id").collect()}
+    assert got == set(texts) - {2, 6, 10, 14, 91, 92}
+
+
 def test_odd_rows_survive(spark, sf_dir):
     rows = [(None, None, None, None, None), (None, "again and the same text", "en", None, 3), (1, "", "en", "s", 0), (2, "the same text again and again", "en", "s", 1), (2, "the same text again and again", "en", "s", 1), (3, "the same text again and again", None, None, 2), (4, "12 34", "fr", "s", 5)]
     docs = spark.createDataFrame([(*r, "x", "y", 1, 2) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, slot string, component_id string, h int, d int")
