@@ -318,7 +318,7 @@ def split(rows: DataFrame, levels: int, radius: int) -> DataFrame:
 
 
 def links(points: DataFrame, radius: int) -> DataFrame:
-    """(a, b) links of points (id, fp) of distinct fingerprints: pairs that link, with the same components as all of them."""
+    """(a, b) links of points (fp, and id where that is not their name) of distinct fp: pairs that link, with the components of all."""
     spark = points.sparkSession
     n = points.count()
     levels = max(0, int(np.log2(max(1, n / SHARD)) + 0.999))
@@ -331,7 +331,7 @@ def links(points: DataFrame, radius: int) -> DataFrame:
             for out in places(b.assign(visits=0), tree, depth, radius):
                 yield out.rename(columns={"place": "shard"})[["shard", "visits", "id", "fp"]]
 
-    rows = points.select("id", "fp").mapInPandas(routed, "shard long, visits int, id long, fp long")
+    rows = points.select("id" if "id" in points.columns else F.col("fp").alias("id"), "fp").mapInPandas(routed, "shard long, visits int, id long, fp long")
     rows = written(rows, "routed")
     for _ in range(-(-max(0, levels - TOP) // LEVELS)):
         rows = written(split(rows, LEVELS, radius), "routed")
