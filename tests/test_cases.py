@@ -621,3 +621,16 @@ def test_progress_of_odd_batches(spark):
     results = spark.createDataFrame([(1, 1), (1, 1), (1, None), (1, 9), (2, 1), (3, 1), (None, 1)], "batch_id bigint, item bigint")
     got = {r["batch_id"]: (r["expected"], r["done"], r["closed"]) for r in aggregates.batch_progress(items, results).collect()}
     assert got == {1: (3, 1, False), 2: (1, 1, True), None: (1, 0, False)}
+
+
+@pytest.mark.parametrize(("sent", "few"), [(2_000_000, 64), (2_000_000, 1), (0, 64)])
+def test_values_that_are_sent_or_joined_find_the_same(spark, monkeypatch, sent, few):
+    monkeypatch.setattr(containing, "SENT_VALUES", sent)
+    monkeypatch.setattr(containing, "FEW", few)
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("aé😀") for _ in range(rng.randint(0, n)))
+    texts = [(k % 30, word(60)) for k in range(60)] + [(None, "aaaaaaa"), (61, "a" * 300 + "é" + "a" * 9), (62, None)]  # keys repeat, one is null
+    values = [word(9) for _ in range(60)] + ["a" * 7, "aaaaaaé", "éaaaaaaaaa", "a" * 301, "", None]
+    got = containing.containing(spark.createDataFrame(texts, "k long, text string"), ["k"], spark.createDataFrame([(v,) for v in values], "value string"))
+    want = sorted((k, v, t.index(v) + 1) for k, t in texts for v in {v for v in values if v} if k is not None and t and v in t)
+    assert sorted(map(tuple, got.collect())) == want

@@ -46,6 +46,16 @@ def test_barriers_are_no_nested_loops(spark, inputs, broadcast):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_texts_are_searched_for_values_where_they_lie(spark, inputs):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        outgoing = inputs.pieces.withColumnRenamed("piece_id", "turn")
+        p = plan(deid.global_hits(outgoing, inputs.values))
+        assert "MapInArrow" in p and "Exchange" not in p  # neither texts nor the pieces that were met are written to disk
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_no_python_in_the_case_operators(spark, sf_dir):
     from docketry.plans.queries import QUERIES
 
