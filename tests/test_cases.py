@@ -634,3 +634,23 @@ def test_values_that_are_sent_or_joined_find_the_same(spark, monkeypatch, sent,
     got = containing.containing(spark.createDataFrame(texts, "k long, text string"), ["k"], spark.createDataFrame([(v,) for v in values], "value string"))
     want = sorted((k, v, t.index(v) + 1) for k, t in texts for v in {v for v in values if v} if k is not None and t and v in t)
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_an_audit_in_one_pass_tells_what_its_parts_tell(spark, monkeypatch):
+    monkeypatch.setattr(dictionary, "BATCH_BYTES", 300)
+    cpf, cep = "123.456.789-09", "60000-00"
+    texts = [(k % 9, k // 9 % 4, f"CPF {cpf}, {cep}{k % 3} e {cep}{k % 4} é [CPF_1]" if k % 5 else "nada") for k in range(80)]  # pieces repeat in a case
+    texts += [(1, 99, None), (None, 1, f"CPF {cpf}"), (2, None, f"CPF {cpf}"), (2, None, f"{cep}7"), (77, 1, f"CEP {cep}8")]
+    df = of_case(spark.createDataFrame(texts, "case_no bigint, piece_id bigint, text string"))
+    df = df.unionByName(df.withColumn("tenant", F.lit(2).cast(df.schema["tenant"].dataType)).filter("case_no < 3"))
+    found = deid.detect_patterns(df)
+    found = spark.createDataFrame(found.collect(), found.schema)
+    found = found.unionByName(found.limit(3).withColumn("piece_id", F.lit(55).cast("long")))  # entities of a piece without a text
+    labels = windows.number_labels(found)
+    want = deid.mask_audit(aggregates.mask_counts(found), deid.mask(df, labels), labels)
+    for got in (deid.audit(df, found), deid.audit(df.repartition(3, "tenant", "degree", "case_no"), found)):
+        assert got.columns == want.columns == [*PIECE_KEY, "kind", "n", "masked", "labels"]
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) != []
+    plain = aggregates.mask_counts(found).join(deid.mask(df, labels).select(*PIECE_KEY, "masked"), PIECE_KEY)
+    assert sorted(map(repr, want.drop("labels").collect())) == sorted(map(repr, plain.collect()))

@@ -69,6 +69,16 @@ def test_detection_and_labels_take_one_shuffle_of_the_texts(inputs):
     assert "Exchange" not in above  # the sheets are dealt by case, which serves the labels too
 
 
+def test_an_audit_is_made_where_the_sheets_are_dealt(spark, sf_dir):
+    from docketry.plans.queries import QUERIES
+
+    df = QUERIES["d12_mask_audit"](spark, sf_dir)
+    assert plan(df).count("Exchange hashpartitioning(tenant") == 2  # the sheets', for the texts and for what is found in them
+    df.collect()
+    final = plan(df).split("Initial Plan")[0]
+    assert re.search(r"ReusedExchange \[tenant", final)  # and these are one
+
+
 def test_a_cpf_is_made_once(spark, sf_dir):
     from docketry.plans.queries import QUERIES
 
