@@ -118,7 +118,7 @@ def containing(texts: DataFrame, key: list[str], values: DataFrame) -> DataFrame
     small_batches(texts.sparkSession)
     values = values.select("value").filter("value <> ''").distinct()
     n, size = values.agg(F.count("*"), F.sum(F.char_length("value").cast("long"))).first()
-    texts = texts.select(*key, "text").dropna(subset=key)
+    texts = texts.select(*key, "text").filter(" AND ".join(f"`{c}` IS NOT NULL" for c in key))
     if n <= SENT_VALUES and (size or 0) <= SENT_POINTS:
         return _searched(texts, key, indexed(values))
     return _joined(texts, key, indexed(values))
